@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import bucket_select
 from ..functions.calendar import calendar_features, iso_week_label, week_start
-from ..functions.clean import inflow_outflow_ratio, inflow_share, ratio_or_zero, split_flows
+from ..functions.clean import fill_zero, inflow_outflow_ratio, inflow_share, ratio_or_zero, split_flows
 from . import windows as W
-from .ordering import exact_quantiles
+from .ordering import exact_quantiles_multi
 
 # Column order of the 31 model inputs (fixed contract).
 FLOW_FEATURES_31 = [
@@ -62,11 +62,8 @@ def holdout_split_week(weekly: DataFrame, test_weeks: int = 12):
 def train_thresholds(weekly: DataFrame, split_week, cols=("weekly_outflow_t", "weekly_net_t")) -> dict:
     """q25/q75 of train rows (week_start <= split) per column, applied to all rows."""
     train = weekly.where(F.col("week_start") <= F.lit(split_week))
-    out = {}
-    for c in cols:
-        q25, q75 = exact_quantiles(train, c, [0.25, 0.75])
-        out[c] = (q25, q75)
-    return out
+    q = exact_quantiles_multi(train, list(cols), [0.25, 0.75])
+    return {c: tuple(q[c]) for c in cols}
 
 
 def weekly_features_31(weekly: DataFrame, split_week, thresholds: dict | None = None) -> DataFrame:
@@ -102,15 +99,16 @@ def weekly_features_31(weekly: DataFrame, split_week, thresholds: dict | None =
         inflow_outflow_ratio("weekly_inflow_t", "weekly_outflow_t").alias("inflow_outflow_ratio"),
         inflow_share("weekly_inflow_t", "weekly_outflow_t").alias("inflow_share"),
         F.coalesce(W.rolling_mean_prev("weekly_inflow_t", w, 8), F.lit(0.0)).alias("inflow_rolling_mean_8w"),
-        F.coalesce(W.rolling_std_prev("weekly_inflow_t", w, 8), F.lit(0.0)).alias("inflow_rolling_std_8w"),
         F.coalesce(W.rolling_mean_prev("weekly_outflow_t", w, 8), F.lit(0.0)).alias("outflow_rolling_mean_8w"),
-        F.coalesce(W.rolling_std_prev("weekly_outflow_t", w, 8), F.lit(0.0)).alias("outflow_rolling_std_8w"),
         W.frequency_prev("weekly_inflow_t", w, 8).alias("inflow_frequency_8w"),
         W.frequency_prev("weekly_outflow_t", w, 8).alias("outflow_frequency_8w"),
         W.weeks_since_positive("weekly_inflow_t", w, 52).alias("weeks_since_inflow"),
         W.weeks_since_positive("weekly_outflow_t", w, 52).alias("weeks_since_outflow"),
         ratio_or_zero("weekly_outflow_t", "weekly_inflow_t").alias("outflow_inflow_ratio_t"),
     )
+    feats = W.add_rolling_std(feats, "weekly_inflow_t", w, 8, "inflow_rolling_std_8w")
+    feats = W.add_rolling_std(feats, "weekly_outflow_t", w, 8, "outflow_rolling_std_8w")
+    feats = fill_zero(feats, ["inflow_rolling_std_8w", "outflow_rolling_std_8w"])
     feats = feats.where(F.col("bucket_spend_t_plus_1").isNotNull() & F.col("target_spend_t_plus_1").isNotNull())
     return feats.withColumn("is_test", (F.col("week_start") > F.lit(split_week)).cast("int"))
 
@@ -143,8 +141,8 @@ def category_regression_frame(tx: DataFrame, weekly: DataFrame, split_week) -> D
         W.lag_k("amount_cat_t", w, 2).alias("amount_cat_t_minus_2"),
         W.lead_k("amount_cat_t", w, 1).alias("amount_cat_t_plus_1"),
         W.rolling_mean_prev("amount_cat_t", w, 4).alias("rolling_mean_4"),
-        W.rolling_std_prev("amount_cat_t", w, 4).alias("rolling_std_4"),
     )
+    cw = W.add_rolling_std(cw, "amount_cat_t", w, 4, "rolling_std_4")
     reg = cw.join(user_week_lags(weekly), ["user_id", "week_start"], "left")
     reg = reg.where(F.col("amount_cat_t_plus_1").isNotNull())
     fill = ["amount_cat_t_minus_1", "amount_cat_t_minus_2", "rolling_mean_4", "rolling_std_4"]

@@ -3,17 +3,19 @@
 A global rank is split in two levels: rows are cut into value-range buckets
 (boundaries from ``percentile_approx``, so buckets are balanced by rows even when
 one value range is hot), per-bucket totals give bucket offsets through a small
-table (one row per bucket, size checked, broadcast), and a window partitioned by
-bucket finishes the count inside each bucket.  Used by exact quantiles (B4/B11/T7),
+table (one row per bucket, size checked), and a window partitioned by bucket
+finishes the count inside each bucket.  Used by exact quantiles (B4/B11/T7),
 the two-sample KS statistic (Q9) and expanding folds (B12).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_OFFSET_ROWS = 2_000_000
+MAX_OFFSET_ROWS = 1_000_000
 
 
 def _tree(c: Column, bounds: list, lo: int, hi: int) -> Column:
@@ -24,38 +26,64 @@ def _tree(c: Column, bounds: list, lo: int, hi: int) -> Column:
     return F.when(c > F.lit(bounds[mid]), _tree(c, bounds, mid + 1, hi)).otherwise(_tree(c, bounds, lo, mid))
 
 
-def range_bucket(df: DataFrame, col: str, n_buckets: int) -> Column:
-    """Bucket id in [0, n) that is monotone in ``col`` (equal values share a bucket)."""
+def default_buckets(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+
+
+def bucket_column(df: DataFrame, order_col: str, n_buckets: int, group_col: str | None = None) -> Column:
+    """Bucket id, monotone in ``order_col`` within each ``group_col`` value (equal values share a bucket)."""
     if n_buckets <= 1:
         return F.lit(0)
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(col), probs, 10000).alias("b")).first()
-    bounds = sorted(set(x for x in (row["b"] or []) if x is not None))
-    return _tree(F.col(col), bounds, 0, len(bounds))
-
-
-def default_buckets(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+    approx = F.percentile_approx(F.col(order_col), probs, 10000).alias("b")
+    if group_col is None:
+        rows = [(None, df.agg(approx).first()["b"])]
+    else:
+        rows = [(r[group_col], r["b"]) for r in df.groupBy(group_col).agg(approx).collect()]
+    out = None
+    for key, b in rows:
+        bounds = sorted(set(x for x in (b or []) if x is not None))
+        expr = _tree(F.col(order_col), bounds, 0, len(bounds))
+        if group_col is None:
+            return expr
+        out = F.when(F.col(group_col) == F.lit(key), expr) if out is None else out.when(F.col(group_col) == F.lit(key), expr)
+    return out if out is not None else F.lit(0)
+
+
+def bucket_offsets(b: DataFrame, coarse: list[str], weight: str) -> list:
+    """Totals per coarse key collected in key order (bounded by ``MAX_OFFSET_ROWS``)."""
+    totals = b.groupBy(*coarse).agg(F.sum(weight).alias("_tot"))
+    rows = totals.orderBy(*coarse).limit(MAX_OFFSET_ROWS + 1).collect()
+    if len(rows) > MAX_OFFSET_ROWS:
+        raise ValueError("offset table exceeds its size bound")
+    return rows
 
 
 def with_prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, tie_cols: list[str],
                     weight: str | None = None, n_buckets: int | None = None,
-                    out: str = "_before") -> DataFrame:
+                    out: str = "_before", per_group: bool = False) -> DataFrame:
     """Add ``out`` = total weight of all rows ordered strictly before the row.
 
-    Order is ``group_cols`` then ``order_col`` then ``tie_cols`` (all ascending).
-    ``weight`` defaults to 1 per row, which makes ``out`` the 0-based global row index.
+    Order is ``group_cols`` then ``order_col`` then ``tie_cols`` (ascending).  With
+    ``per_group`` the sum restarts in each ``group_cols`` value.  ``weight`` defaults
+    to 1 per row, which makes ``out`` the 0-based row index.
     """
     n_buckets = n_buckets or default_buckets(df)
+    spark = df.sparkSession
     w = F.col(weight) if weight else F.lit(1)
-    b = df.withColumn("_bkt", range_bucket(df, order_col, n_buckets)).withColumn("_w", w.cast("bigint"))
+    b = df.withColumn("_bkt", bucket_column(df, order_col, n_buckets)).withColumn("_w", w.cast("bigint"))
     coarse = group_cols + ["_bkt"]
-    totals = b.groupBy(*coarse).agg(F.sum("_w").alias("_tot"))
-    n_coarse = totals.count()
-    if n_coarse > MAX_OFFSET_ROWS:
-        raise ValueError(f"{n_coarse} coarse groups exceed the offset table bound")
-    ow = Window.orderBy(*[F.col(c) for c in coarse]).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*coarse, F.coalesce(F.sum("_tot").over(ow), F.lit(0)).alias("_off"))
+    rows = bucket_offsets(b, coarse, "_w")
+    acc, offs, prev_g = 0, [], None
+    for r in rows:
+        g = tuple(r[c] for c in group_cols)
+        if per_group and g != prev_g:
+            acc = 0
+        prev_g = g
+        offs.append(tuple(r[c] for c in coarse) + (acc,))
+        acc += r["_tot"]
+    schema = ", ".join(f"`{c}` {dict(b.dtypes)[c]}" for c in coarse) + ", _off bigint"
+    offsets = spark.createDataFrame(offs, schema) if offs else spark.createDataFrame([], schema)
     lw = (Window.partitionBy(*coarse).orderBy(*[F.col(c) for c in [order_col] + tie_cols])
           .rowsBetween(Window.unboundedPreceding, -1))
     local = b.withColumn("_loc", F.coalesce(F.sum("_w").over(lw), F.lit(0)))
@@ -63,44 +91,78 @@ def with_prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, tie_co
     return res.withColumn(out, F.col("_off") + F.col("_loc")).drop("_bkt", "_w", "_off", "_loc")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
-    """Linear-interpolated quantiles (pandas/NumPy default) computed distributedly.
+def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
+                          n_buckets: int | None = None) -> dict[str, list]:
+    """Linear-interpolated quantiles (pandas/NumPy default) of several columns, distributed.
 
-    The value histogram is aggregated with a map-side combine, ranked by the
-    two-level prefix sum, and only the <= 2 rows per probability that straddle
-    the target positions reach the driver.
+    One value histogram for all columns (map-side combined), per-column range
+    buckets, bucket totals on the driver (bounded by columns x buckets), and a
+    window only inside the few buckets that hold the target ranks.
     """
-    hist = (df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-            .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
-    ranked = with_prefix_sum(hist, [], "v", [], weight="c")
-    n_row = ranked.agg(F.sum("c").alias("n")).first()
-    n = n_row["n"] or 0
-    if n == 0:
-        return [None for _ in probs]
-    import math
-    need = set()
-    for p in probs:
-        pos = (n - 1) * p
-        need.add(int(math.floor(pos)))
-        need.add(min(int(math.floor(pos)) + 1, n - 1))
+    n_buckets = n_buckets or default_buckets(df)
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s"))
+    hist = (long.select("s.k", "s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+            .groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")))
+    b = hist.withColumn("_bkt", bucket_column(hist, "v", n_buckets, "k"))
+    rows = bucket_offsets(b, ["k", "_bkt"], "c")
+    per_k: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        per_k[r["k"]].append((r["_bkt"], r["_tot"]))
+    need_buckets, targets = [], {}
+    for k, lst in per_k.items():
+        n = sum(t for _, t in lst)
+        starts, acc = [], 0
+        for bk, t in lst:
+            starts.append((bk, acc, t))
+            acc += t
+        pos_list = []
+        for p in probs:
+            if n == 0:
+                pos_list.append(None)
+                continue
+            pos = (n - 1) * p
+            lo = int(math.floor(pos))
+            hi = min(lo + 1, n - 1)
+            pos_list.append((lo, hi, pos - lo))
+            for idx in (lo, hi):
+                for bk, s, t in starts:
+                    if s <= idx < s + t:
+                        need_buckets.append((k, bk, s))
+        targets[k] = pos_list
+    if not need_buckets:
+        return {k: [None] * len(probs) for k in cols}
+    need_buckets = sorted(set(need_buckets))
     cond = None
-    for k in need:
-        c = (F.col("_before") <= k) & (F.col("_before") + F.col("c") > k)
+    for k, bk, _ in need_buckets:
+        c = (F.col("k") == k) & (F.col("_bkt") == bk)
         cond = c if cond is None else (cond | c)
-    rows = ranked.where(cond).select("v", "c", "_before").collect()
-
-    def at(k):
-        for r in rows:
-            if r["_before"] <= k < r["_before"] + r["c"]:
-                return r["v"]
+    lw = Window.partitionBy("k", "_bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    local = b.where(cond).withColumn("_loc", F.coalesce(F.sum("c").over(lw), F.lit(0)))
+    start_of = {(k, bk): s for k, bk, s in need_buckets}
+    cells = [(r["k"], r["_bkt"], r["_loc"], r["c"], r["v"]) for r in local.collect()]
+
+    def at(k, idx):
+        for kk, bk, loc, c, v in cells:
+            if kk == k:
+                s = start_of[(kk, bk)] + loc
+                if s <= idx < s + c:
+                    return v
         raise RuntimeError("rank not found")
 
-    res = []
-    for p in probs:
-        pos = (n - 1) * p
-        lo = int(math.floor(pos))
-        hi = min(lo + 1, n - 1)
-        frac = pos - lo
-        vlo, vhi = at(lo), at(hi)
-        res.append(vlo + (vhi - vlo) * frac if frac > 0 else vlo)
-    return res
+    out = {}
+    for k in cols:
+        vals = []
+        for t in targets[k]:
+            if t is None:
+                vals.append(None)
+                continue
+            lo, hi, frac = t
+            vlo, vhi = at(k, lo), at(k, hi)
+            vals.append(vlo + (vhi - vlo) * frac if frac > 0 else vlo)
+        out[k] = vals
+    return out
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list:
+    return exact_quantiles_multi(df, [col], probs)[col]
