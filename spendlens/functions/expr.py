@@ -60,7 +60,7 @@ def guarded_corr(x, y, eps: float = 1e-8) -> Column:
     ys = F.when(both, y)
     sx = F.stddev_samp(xs)
     sy = F.stddev_samp(ys)
-    ok = (F.count(xs) >= 2) & (sx * sx > eps) & (sy * sy > eps)
+    ok = (F.count(xs) >= 2) & (sx > eps) & (sy > eps)
     return F.when(ok, F.try_divide(F.covar_samp(xs, ys), sx * sy))
 
 

@@ -27,3 +27,34 @@ def sparsity_summary(stats: DataFrame) -> DataFrame:
         share((p >= 20) & (p < 50)).alias("share_pairs_20_to_50pct"),
         share(p >= 50).alias("share_pairs_50plus_pct"),
     )
+
+
+def sanity_profile(tx: DataFrame, user="user_id", date="event_date", heavy: int = 200) -> DataFrame:
+    """A1: rows, users, date range, mean/median transactions per user, users with >= heavy rows."""
+    per = tx.groupBy(user).agg(F.count(F.lit(1)).alias("n"), F.min(date).alias("d0"), F.max(date).alias("d1"),
+                               F.sum(F.lit(1)).alias("_r"))
+    return per.agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("users"), F.min("d0").alias("min_date"),
+        F.max("d1").alias("max_date"), F.avg("n").alias("avg_tx_per_user"),
+        median("n").cast("double").alias("median_tx_per_user"),
+        count_if(F.col("n") >= heavy).alias("users_with_200plus_tx"),
+        share(F.col("n") >= heavy).alias("share_users_with_200plus_tx"),
+    )
+
+
+def category_profile(tx: DataFrame, raw="raw_category", collapsed="category") -> DataFrame:
+    """A2: distinct raw and collapsed labels (the top-10 lists are K1)."""
+    return tx.agg(F.countDistinct(raw).alias("raw_unique_categories"),
+                  F.countDistinct(collapsed).alias("collapsed_unique_categories"))
+
+
+def signal_decision(grid: DataFrame, sparse_bad, lag7_bad, amount="amount") -> DataFrame:
+    """Q13: decision case from sparsity, lag-7 weakness and the zero share of the grid."""
+    zs = share(F.col(amount) == 0)
+    sb = F.lit(sparse_bad).cast("double")
+    lb = F.lit(lag7_bad).cast("double")
+    dec = (F.when((lb > 0.7) | (sb > 0.7), F.lit("CASE 1: no_signal"))
+           .when(lb > 0.4, F.lit("CASE 2: weak_signal")).otherwise(F.lit("CASE 3: good_signal")))
+    return grid.agg(zs.alias("zero_share")).select(
+        dec.alias("decision"), F.coalesce(F.col("zero_share") >= 0.95, F.lit(False)).alias("mostly_zero_note"),
+        sb.alias("share_pairs_below_20pct"), lb.alias("share_lag7_below_0_1"), "zero_share")

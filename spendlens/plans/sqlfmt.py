@@ -21,3 +21,11 @@ def rolling_std_sql(c: str, k: int, win: str) -> str:
     mean = f"(({' + '.join(f'coalesce({x}, 0.0)' for x in xs)}) / ({n}))"
     ss = " + ".join(f"(CASE WHEN {x} IS NOT NULL THEN ({x} - {mean}) * ({x} - {mean}) ELSE 0.0 END)" for x in xs)
     return f"(CASE WHEN ({n}) >= 2 THEN sqrt(({ss}) / (({n}) - 1)) END)"
+
+
+def corr_sql(x: str, y: str, eps: float = 1e-8) -> str:
+    """Guarded Pearson over non-null pairs, identical in meaning to ``expr.guarded_corr``."""
+    xs = f"(CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN {x} END)"
+    ys = f"(CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN {y} END)"
+    return (f"(CASE WHEN count({xs}) >= 2 AND stddev_samp({xs}) > {eps} AND stddev_samp({ys}) > {eps} "
+            f"THEN covar_samp({xs}, {ys}) / (stddev_samp({xs}) * stddev_samp({ys})) END)")
