@@ -32,11 +32,12 @@ def bucket_select(y, q25, q75) -> Column:
 
 
 def bucket_quantile_class(y, q25, q75) -> Column:
-    """B3/B4 class rule: 0 for zero, 1 for y<=q25 (negatives included), 2 for <=q75, 3 above."""
+    """B3/B4 class rule (bins [0,q25], (q25,q75], (q75,inf)): classes 1-3 only;
+    zero, negatives and NULL fall into class 1."""
     y = col(y)
     q25 = q25 if isinstance(q25, Column) else F.lit(q25)
     q75 = q75 if isinstance(q75, Column) else F.lit(q75)
-    return F.when(y == 0, 0).when(y <= q25, 1).when(y <= q75, 2).when(y > q75, 3).cast("int")
+    return F.when(y <= q25, 1).when(y <= q75, 2).when(y > q75, 3).otherwise(1).cast("int")
 
 
 def widen_equal_thresholds(q25, q75) -> tuple[Column, Column]:

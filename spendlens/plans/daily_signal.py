@@ -11,6 +11,7 @@ from ..operators import profile, stats
 from ..operators.categories import collapse_categories, top_labels
 from ..operators.grid import daily_grid_full, daily_grid_observed
 from ..sources.tables import oracle_with, table, tx_daily
+from . import shared
 from .registry import register, rounded
 from .sqlfmt import corr_sql, select_rounded
 
@@ -87,7 +88,7 @@ def tx_of(spark, sf_dir) -> DataFrame:
 
 
 def grid_of(spark, sf_dir) -> DataFrame:
-    return daily_grid_observed(tx_of(spark, sf_dir))
+    return shared.frame(spark, "daily_grid", sf_dir, lambda: daily_grid_observed(tx_of(spark, sf_dir)))
 
 
 @register("A1_sanity_profile", oracle_with("tx_daily") + """,

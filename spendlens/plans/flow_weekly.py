@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import count_if, median, share
 from ..operators import flow_features as ff
 from ..sources.tables import oracle_with, tx_flow
+from . import shared
 from .registry import register, rounded
 from .sqlfmt import rolling_std_sql, select_rounded
 
@@ -80,7 +81,16 @@ MEAN_DIGITS = {c: 6 for c in ("inflow_rolling_mean_8w", "outflow_rolling_mean_8w
 
 
 def weekly_of(spark, sf_dir):
-    return ff.weekly_flows(tx_flow(spark, sf_dir))
+    return shared.frame(spark, "weekly_flows", sf_dir, lambda: ff.weekly_flows(tx_flow(spark, sf_dir)))
+
+
+def split_week_of(spark, sf_dir):
+    return shared.value(spark, "flow_split_week", sf_dir, lambda: ff.holdout_split_week(weekly_of(spark, sf_dir), TEST_WEEKS))
+
+
+def thresholds_of(spark, sf_dir):
+    return shared.value(spark, "flow_thresholds", sf_dir,
+                        lambda: ff.train_thresholds(weekly_of(spark, sf_dir), split_week_of(spark, sf_dir)))
 
 
 @register("P7_normalize_flows", oracle_with("tx_flow") + "\n" + select_rounded(
@@ -101,24 +111,23 @@ def a17_weekly_flows(spark, sf_dir):
 SELECT (SELECT split_week FROM sp) AS split_week, CAST(count(DISTINCT week_start) AS BIGINT) AS total_weeks FROM weekly""")
 def b10_split(spark, sf_dir):
     wk = weekly_of(spark, sf_dir)
-    split = ff.holdout_split_week(wk, TEST_WEEKS)
+    split = split_week_of(spark, sf_dir)
     return wk.agg(F.lit(split).alias("split_week"), F.countDistinct("week_start").alias("total_weeks"))
 
 
 @register("B11_train_thresholds", _WEEKLY_SQL + """
 SELECT round(s25, 4) AS q25_spend, round(s75, 4) AS q75_spend, round(n25, 4) AS q25_net, round(n75, 4) AS q75_net FROM thr""")
 def b11_thresholds(spark, sf_dir):
-    wk = weekly_of(spark, sf_dir)
-    split = ff.holdout_split_week(wk, TEST_WEEKS)
-    thr = ff.train_thresholds(wk, split)
+    thr = thresholds_of(spark, sf_dir)
     row = [(thr["weekly_outflow_t"][0], thr["weekly_outflow_t"][1], thr["weekly_net_t"][0], thr["weekly_net_t"][1])]
     return rounded(spark.createDataFrame(row, "q25_spend double, q75_spend double, q25_net double, q75_net double"))
 
 
 def features_31(spark, sf_dir):
-    wk = weekly_of(spark, sf_dir)
-    split = ff.holdout_split_week(wk, TEST_WEEKS)
-    return ff.weekly_features_31(wk, split), split
+    split = split_week_of(spark, sf_dir)
+    feats = shared.frame(spark, "flow_features_31", sf_dir, lambda: ff.weekly_features_31(
+        weekly_of(spark, sf_dir), split, thresholds_of(spark, sf_dir)))
+    return feats, split
 
 
 @register("L16_weekly_features_31", _FEATURES_SQL + select_rounded(
@@ -160,10 +169,10 @@ _R_OTHER = ["user_id", "week_start", "week_t", "category", "flow_direction", "tx
 
 
 def regression_rows(spark, sf_dir):
-    tx = tx_flow(spark, sf_dir)
-    wk = ff.weekly_flows(tx)
-    split = ff.holdout_split_week(wk, TEST_WEEKS)
-    return ff.category_regression_frame(tx, wk, split), split
+    split = split_week_of(spark, sf_dir)
+    reg = shared.frame(spark, "flow_regression_rows", sf_dir, lambda: ff.category_regression_frame(
+        tx_flow(spark, sf_dir), weekly_of(spark, sf_dir), split))
+    return reg, split
 
 
 @register("A18_weekly_category_flows", _CAT_SQL + select_rounded(
