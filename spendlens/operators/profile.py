@@ -58,3 +58,14 @@ def signal_decision(grid: DataFrame, sparse_bad, lag7_bad, amount="amount") -> D
     return grid.agg(zs.alias("zero_share")).select(
         dec.alias("decision"), F.coalesce(F.col("zero_share") >= 0.95, F.lit(False)).alias("mostly_zero_note"),
         sb.alias("share_pairs_below_20pct"), lb.alias("share_lag7_below_0_1"), "zero_share")
+
+
+def leakage_check(user_stats: DataFrame, train_tx: DataFrame, user="user_id", date="event_date",
+                  amount="amount", rtol: float = 0.01, atol: float = 1e-8) -> DataFrame:
+    """User means carried by the features must equal the train weekly means."""
+    from ..functions.calendar import iso_week_label
+    wk = train_tx.withColumn("_w", iso_week_label(date)).groupBy(user, "_w").agg(F.sum(amount).alias("_a"))
+    cm = wk.groupBy(user).agg(F.avg("_a").alias("computed_mean"))
+    j = user_stats.select(user, "user_mean_amount").join(cm, user, "inner")
+    bad = F.abs(F.col("user_mean_amount") - F.col("computed_mean")) > atol + rtol * F.abs(F.col("computed_mean"))
+    return j.agg(F.count(F.lit(1)).alias("users_checked"), count_if(bad).alias("mismatches"))

@@ -249,3 +249,39 @@ def ks_two_sample(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     rab = with_prefix_sum(ra, [], "v", [], weight="cb", out="_bb")
     d = F.abs((F.col("_ba") + F.col("ca")) / F.lit(float(na)) - (F.col("_bb") + F.col("cb")) / F.lit(float(nb)))
     return rab.agg(F.max(d).alias("ks_statistic"), F.lit(na).alias("n_a"), F.lit(nb).alias("n_b"))
+
+
+def ks_two_sample_multi(frame: DataFrame, split_col: str, a_val: str, b_val: str, features: list[str],
+                        n_buckets: int | None = None) -> DataFrame:
+    """Q9 statistic for many features in one pass.
+
+    Features are stacked to (feature, value, side) and pooled into a per-value
+    histogram (map-side combined); ECDFs come from per-feature range buckets
+    (offsets collected, bounded by features x buckets) plus a window inside
+    each bucket - never a single-partition window.
+    """
+    from .ordering import bucket_column, bucket_offsets, default_buckets
+    spark = frame.sparkSession
+    n_buckets = n_buckets or default_buckets(frame)
+    side = F.col(split_col)
+    long = frame.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"),
+                 F.when(side == a_val, 1).otherwise(0).alias("a"), F.when(side == b_val, 1).otherwise(0).alias("b"))
+        for c in features])).alias("s")).select("s.*").where(F.col("v").isNotNull())
+    pooled = long.groupBy("feature", "v").agg(F.sum("a").cast("bigint").alias("a"), F.sum("b").cast("bigint").alias("b"))
+    bk = pooled.withColumn("_bkt", bucket_column(pooled, "v", n_buckets, "feature"))
+    tot = bk.groupBy("feature", "_bkt").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb")).orderBy("feature", "_bkt").collect()
+    offs, na, nb = [], {}, {}
+    for r in tot:
+        f = r["feature"]
+        offs.append((f, r["_bkt"], na.get(f, 0), nb.get(f, 0)))
+        na[f] = na.get(f, 0) + r["ta"]
+        nb[f] = nb.get(f, 0) + r["tb"]
+    off = spark.createDataFrame(offs, "feature string, _bkt int, _oa bigint, _ob bigint")
+    totals = spark.createDataFrame([(f, na[f], nb.get(f, 0)) for f in na], "feature string, n_a bigint, n_b bigint")
+    w = Window.partitionBy("feature", "_bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = bk.select("feature", "_bkt", F.sum("a").over(w).alias("_ca"), F.sum("b").over(w).alias("_cb"))
+    j = cum.join(F.broadcast(off), ["feature", "_bkt"]).join(F.broadcast(totals), "feature")
+    d = F.abs((F.col("_oa") + F.col("_ca")) / F.col("n_a") - (F.col("_ob") + F.col("_cb")) / F.col("n_b"))
+    return j.groupBy("feature").agg(F.max(d).alias("ks_statistic"), F.first("n_a").alias("n_a"),
+                                    F.first("n_b").alias("n_b"))

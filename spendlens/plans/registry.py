@@ -41,4 +41,4 @@ def rounded(df: DataFrame, digits: int = 4, overrides: dict[str, int] | None = N
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import daily_signal, flow_weekly, intensity  # noqa: F401
+    from . import card_weekly, daily_signal, flow_weekly, intensity  # noqa: F401

@@ -9,7 +9,8 @@ def select_rounded(src: str, doubles: list[str], others: list[str], digits: int
     casts = casts or {}
     digits_by = digits_by or {}
     parts = [f"{c}" if c not in casts else f"CAST({c} AS {casts[c]}) AS {c}" for c in others]
-    parts += [f"round(CAST({c} AS DOUBLE), {digits_by.get(c, digits)}) AS {c}" for c in doubles]
+    # "+ 0.0" turns a rounded -0.0 into 0.0, as Spark's decimal rounding does
+    parts += [f"(round(CAST({c} AS DOUBLE), {digits_by.get(c, digits)}) + 0.0) AS {c}" for c in doubles]
     sql = f"SELECT {', '.join(parts)} FROM {src}"
     return sql + (f" WHERE {where}" if where else "")
 
