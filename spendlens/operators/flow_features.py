@@ -148,3 +148,56 @@ def category_regression_frame(tx: DataFrame, weekly: DataFrame, split_week) -> D
     fill = ["amount_cat_t_minus_1", "amount_cat_t_minus_2", "rolling_mean_4", "rolling_std_4"]
     reg = reg.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in fill else F.col(c) for c in reg.columns])
     return reg.withColumn("is_test", (F.col("week_start") > F.lit(split_week)).cast("int"))
+
+
+def ingestion_profile(tx: DataFrame) -> DataFrame:
+    """Rows, users, date range and flow counts of the signed table (top categories are K1)."""
+    return tx.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("user_id").alias("users"),
+                  F.min("transaction_date").alias("date_min"), F.max("transaction_date").alias("date_max"),
+                  F.sum(F.when(F.col("flow_direction") == "inflow", 1).otherwise(0)).cast("bigint").alias("inflow_rows"),
+                  F.sum(F.when(F.col("flow_direction") == "outflow", 1).otherwise(0)).cast("bigint").alias("outflow_rows"))
+
+
+def weeks_per_user(weekly: DataFrame) -> DataFrame:
+    """Distinct weeks per user -> quantiles and shares under 8 and 12 weeks."""
+    w = weekly.groupBy("user_id").agg(F.countDistinct("week_t").alias("n"))
+    return w.agg(F.count(F.lit(1)).alias("accounts"),
+                 *[F.percentile("n", q).alias(f"p{int(q * 100)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9)],
+                 F.avg(F.when(F.col("n") < 8, 1.0).otherwise(0.0)).alias("lt_8_weeks"),
+                 F.avg(F.when(F.col("n") < 12, 1.0).otherwise(0.0)).alias("lt_12_weeks"))
+
+
+def volatility_cv(weekly: DataFrame) -> DataFrame:
+    """Per-user std/mean of weekly outflow (mean 0 -> NULL), quartiles over users."""
+    v = weekly.groupBy("user_id").agg(
+        F.try_divide(F.stddev_samp("weekly_outflow_t"), F.when(F.avg("weekly_outflow_t") != 0, F.avg("weekly_outflow_t"))).alias("cv"))
+    return v.agg(*[F.percentile("cv", q).alias(f"cv_p{int(q * 100)}") for q in (0.25, 0.5, 0.75)])
+
+
+def weekly_trend(weekly: DataFrame) -> DataFrame:
+    """Total outflow / inflow / net per week label."""
+    return weekly.groupBy("week_t").agg(F.sum("weekly_outflow_t").alias("outflow_sum"),
+                                        F.sum("weekly_inflow_t").alias("inflow_sum"), F.sum("weekly_net_t").alias("net_sum"))
+
+
+def lag_correlations(weekly: DataFrame) -> DataFrame:
+    """Q10: pooled Pearson outflow_t~t-1, net_t~t-1, inflow_{t-1}~outflow_{t+1}; empty -> 0.0."""
+    from ..functions.expr import guarded_corr
+    w = W.spec("user_id", "week_start")
+    d = weekly.select("weekly_outflow_t", "weekly_net_t",
+                      W.lag_k("weekly_outflow_t", w, 1).alias("o1"), W.lag_k("weekly_net_t", w, 1).alias("n1"),
+                      W.lag_k("weekly_inflow_t", w, 1).alias("i1"), W.lead_k("weekly_outflow_t", w, 1).alias("of1"))
+    return d.agg(F.coalesce(guarded_corr("weekly_outflow_t", "o1", 0.0), F.lit(0.0)).alias("corr_outflow_t_vs_t_minus_1"),
+                 F.coalesce(guarded_corr("weekly_net_t", "n1", 0.0), F.lit(0.0)).alias("corr_net_t_vs_t_minus_1"),
+                 F.coalesce(guarded_corr("i1", "of1", 0.0), F.lit(0.0)).alias("corr_inflow_t_minus_1_vs_outflow_t_plus_1"))
+
+
+def observed_vs_dense(observed: DataFrame, dense: DataFrame, target: str = "amount_cat_t_plus_1") -> DataFrame:
+    """Q17: rows, zero rate, persistence and rolling-4 MAE on observed rows vs the dense grid."""
+    def ev(df, kind):
+        y = F.col(target)
+        return df.agg(F.lit(kind).alias("frame"), F.count(F.lit(1)).alias("rows"),
+                      F.avg(F.when(y == 0, 1.0).otherwise(0.0)).alias("target_zero_rate"),
+                      F.avg(F.abs(F.col("amount_cat_t") - y)).alias("persistence_mae"),
+                      F.avg(F.abs(F.col("rolling_mean_4") - y)).alias("rolling4_mae"))
+    return ev(observed, "observed").unionByName(ev(dense, "dense"))

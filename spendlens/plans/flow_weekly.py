@@ -10,7 +10,7 @@ from ..operators import flow_features as ff
 from ..sources.tables import oracle_with, tx_flow
 from . import shared
 from .registry import register, rounded
-from .sqlfmt import rolling_std_sql, select_rounded
+from .sqlfmt import corr_sql, rolling_std_sql, select_rounded
 
 TEST_WEEKS = 12
 
@@ -194,3 +194,171 @@ def a33(spark, sf_dir):
     reg, _ = regression_rows(spark, sf_dir)
     return rounded(reg.groupBy("is_test").agg(share(F.col("amount_cat_t_plus_1") == 0).alias("zero_rate_target"),
                                               F.count(F.lit(1)).alias("n_rows")), 6)
+
+
+from ..operators.categories import top_labels  # noqa: E402
+from ..operators.grid import weekly_category_grid  # noqa: E402
+
+
+@register("A28_ingestion_profile", oracle_with("tx_flow") + """
+SELECT count(*) AS rows, count(DISTINCT user_id) AS users, min(transaction_date) AS date_min, max(transaction_date) AS date_max,
+       CAST(sum(CASE WHEN flow_direction = 'inflow' THEN 1 ELSE 0 END) AS BIGINT) AS inflow_rows,
+       CAST(sum(CASE WHEN flow_direction = 'outflow' THEN 1 ELSE 0 END) AS BIGINT) AS outflow_rows FROM tx_flow""")
+def a28(spark, sf_dir):
+    return ff.ingestion_profile(tx_flow(spark, sf_dir))
+
+
+@register("K1_top_flow_categories", oracle_with("tx_flow") + """
+SELECT category, count(*) AS n FROM tx_flow GROUP BY category ORDER BY n DESC, category LIMIT 30""")
+def k1f(spark, sf_dir):
+    return top_labels(tx_flow(spark, sf_dir), "category", 30)
+
+
+@register("K2_most_active_users", _WEEKLY_SQL + """,
+top AS (SELECT user_id FROM tx_flow GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 20)
+SELECT user_id, count(*) AS weeks, round(sum(weekly_outflow_t), 4) AS outflow FROM weekly
+WHERE user_id IN (SELECT user_id FROM top) GROUP BY user_id""")
+def k2(spark, sf_dir):
+    top = top_labels(tx_flow(spark, sf_dir), "user_id", 20).select("user_id")
+    wk = weekly_of(spark, sf_dir).join(F.broadcast(top), "user_id", "left_semi")
+    return rounded(wk.groupBy("user_id").agg(F.count(F.lit(1)).alias("weeks"), F.sum("weekly_outflow_t").alias("outflow")))
+
+
+@register("K4_recent_weeks", _WEEKLY_SQL + """,
+rw AS (SELECT DISTINCT week_start FROM weekly ORDER BY week_start DESC LIMIT 8)
+SELECT week_start, count(*) AS user_weeks, round(sum(weekly_net_t), 4) AS net FROM weekly
+WHERE week_start IN (SELECT week_start FROM rw) GROUP BY week_start""")
+def k4(spark, sf_dir):
+    wk = weekly_of(spark, sf_dir)
+    recent = wk.select("week_start").distinct().orderBy(F.desc("week_start")).limit(8)
+    sel = wk.join(F.broadcast(recent), "week_start", "left_semi")
+    return rounded(sel.groupBy("week_start").agg(F.count(F.lit(1)).alias("user_weeks"), F.sum("weekly_net_t").alias("net")))
+
+
+@register("A29_weeks_per_user", _WEEKLY_SQL + """,
+w AS (SELECT user_id, count(DISTINCT week_t) AS n FROM weekly GROUP BY user_id)
+SELECT count(*) AS accounts, round(quantile_cont(n, 0.1), 4) AS p10, round(quantile_cont(n, 0.25), 4) AS p25,
+       round(quantile_cont(n, 0.5), 4) AS p50, round(quantile_cont(n, 0.75), 4) AS p75, round(quantile_cont(n, 0.9), 4) AS p90,
+       round(avg(CASE WHEN n < 8 THEN 1.0 ELSE 0.0 END), 6) AS lt_8_weeks, round(avg(CASE WHEN n < 12 THEN 1.0 ELSE 0.0 END), 6) AS lt_12_weeks
+FROM w""")
+def a29(spark, sf_dir):
+    return rounded(ff.weeks_per_user(weekly_of(spark, sf_dir)), 4, {"lt_8_weeks": 6, "lt_12_weeks": 6})
+
+
+@register("A30_volatility_cv", _WEEKLY_SQL + """,
+v AS (SELECT user_id, stddev_samp(weekly_outflow_t) / nullif(avg(weekly_outflow_t), 0) AS cv FROM weekly GROUP BY user_id)
+SELECT round(quantile_cont(cv, 0.25), 6) AS cv_p25, round(quantile_cont(cv, 0.5), 6) AS cv_p50, round(quantile_cont(cv, 0.75), 6) AS cv_p75 FROM v""")
+def a30(spark, sf_dir):
+    return rounded(ff.volatility_cv(weekly_of(spark, sf_dir)), 6)
+
+
+@register("A31_weekly_trend", _WEEKLY_SQL + """
+SELECT week_t, round(sum(weekly_outflow_t), 4) AS outflow_sum, round(sum(weekly_inflow_t), 4) AS inflow_sum,
+       round(sum(weekly_net_t), 4) AS net_sum FROM weekly GROUP BY week_t""")
+def a31(spark, sf_dir):
+    return rounded(ff.weekly_trend(weekly_of(spark, sf_dir)))
+
+
+@register("A31_trend_span", _WEEKLY_SQL + """
+SELECT count(DISTINCT week_t) AS weekly_points, min(week_t) AS time_start, max(week_t) AS time_end FROM weekly""")
+def a31s(spark, sf_dir):
+    t = ff.weekly_trend(weekly_of(spark, sf_dir))
+    return t.agg(F.count(F.lit(1)).alias("weekly_points"), F.min("week_t").alias("time_start"), F.max("week_t").alias("time_end"))
+
+
+@register("Q10_lag_correlations", _WEEKLY_SQL + """,
+d AS (SELECT weekly_outflow_t, weekly_net_t, lag(weekly_outflow_t) OVER w AS o1, lag(weekly_net_t) OVER w AS n1,
+             lag(weekly_inflow_t) OVER w AS i1, lead(weekly_outflow_t) OVER w AS of1
+      FROM weekly WINDOW w AS (PARTITION BY user_id ORDER BY week_start))
+SELECT round(coalesce(""" + corr_sql("weekly_outflow_t", "o1", 0.0) + """, 0.0), 6) AS corr_outflow_t_vs_t_minus_1,
+       round(coalesce(""" + corr_sql("weekly_net_t", "n1", 0.0) + """, 0.0), 6) AS corr_net_t_vs_t_minus_1,
+       round(coalesce(""" + corr_sql("i1", "of1", 0.0) + """, 0.0), 6) AS corr_inflow_t_minus_1_vs_outflow_t_plus_1 FROM d""")
+def q10(spark, sf_dir):
+    return rounded(ff.lag_correlations(weekly_of(spark, sf_dir)), 6)
+
+
+@register("A32_category_support", _CAT_SQL + """,
+cs AS (SELECT category, count(*) AS support FROM reg GROUP BY category)
+SELECT count(*) AS categories_total, round(avg(CASE WHEN support < 50 THEN 1.0 ELSE 0.0 END), 6) AS tail_share_below_50,
+       max(support) AS max_support FROM cs""")
+def a32(spark, sf_dir):
+    reg, _ = regression_rows(spark, sf_dir)
+    cs = reg.groupBy("category").agg(F.count(F.lit(1)).alias("support"))
+    return rounded(cs.agg(F.count(F.lit(1)).alias("categories_total"),
+                          share(F.col("support") < 50).alias("tail_share_below_50"), F.max("support").alias("max_support")), 6)
+
+
+_DENSE_NUM = ["amount_cat_t", "amount_cat_t_minus_1", "amount_cat_t_minus_2", "rolling_mean_4",
+              "rolling_std_4", "weekly_inflow_t_minus_1", "weekly_outflow_t_minus_1", "weekly_net_t_minus_1",
+              "amount_cat_t_plus_1"]
+
+
+def dense_test(spark, sf_dir):
+    reg, _ = regression_rows(spark, sf_dir)
+    te = reg.where("is_test = 1").withColumn("txn_count_cat_t", F.col("txn_count_cat_t").cast("double"))
+    cats = reg.where("is_test = 0").select("category").distinct()
+    return weekly_category_grid(te, cats, _DENSE_NUM + ["txn_count_cat_t"], keys=("user_id", "week_start", "week_t"))
+
+
+_DENSE_SQL = _CAT_SQL + """,
+rte AS (SELECT * FROM reg WHERE is_test = 1),
+cats AS (SELECT DISTINCT category FROM reg WHERE is_test = 0),
+uw2 AS (SELECT DISTINCT user_id, week_start, week_t FROM rte),
+dense AS (SELECT u.user_id, u.week_start, u.week_t, c.category, split_part(c.category, ':', 1) AS flow_direction,
+               """ + ", ".join(f"coalesce(r.{x}, 0.0) AS {x}" for x in _DENSE_NUM) + """,
+               coalesce(CAST(r.txn_count_cat_t AS DOUBLE), 0.0) AS txn_count_cat_t
+          FROM uw2 u CROSS JOIN cats c
+          LEFT JOIN rte r ON r.user_id = u.user_id AND r.week_start = u.week_start AND r.category = c.category)"""
+
+
+@register("J3_weekly_category_grid", _DENSE_SQL + "\n" + select_rounded(
+    "dense", _DENSE_NUM + ["txn_count_cat_t"], ["user_id", "week_start", "week_t", "category", "flow_direction"],
+    digits_by=MEAN_DIGITS))
+def j3(spark, sf_dir):
+    return rounded(dense_test(spark, sf_dir), overrides=MEAN_DIGITS)
+
+
+@register("Q17_observed_vs_dense", _DENSE_SQL + """
+SELECT 'observed' AS frame, count(*) AS rows, round(avg(CASE WHEN amount_cat_t_plus_1 = 0 THEN 1.0 ELSE 0.0 END), 6) AS target_zero_rate,
+       round(avg(abs(amount_cat_t - amount_cat_t_plus_1)), 4) AS persistence_mae, round(avg(abs(rolling_mean_4 - amount_cat_t_plus_1)), 4) AS rolling4_mae
+FROM rte
+UNION ALL
+SELECT 'dense', count(*), round(avg(CASE WHEN amount_cat_t_plus_1 = 0 THEN 1.0 ELSE 0.0 END), 6),
+       round(avg(abs(amount_cat_t - amount_cat_t_plus_1)), 4), round(avg(abs(rolling_mean_4 - amount_cat_t_plus_1)), 4) FROM dense""")
+def q17(spark, sf_dir):
+    reg, _ = regression_rows(spark, sf_dir)
+    out = ff.observed_vs_dense(reg.where("is_test = 1"), dense_test(spark, sf_dir))
+    return rounded(out, 4, {"target_zero_rate": 6})
+
+
+@register("A35_distinct_counts", _CAT_SQL + """
+SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id, category FROM cw)) AS user_category_pairs,
+       (SELECT count(DISTINCT user_id) FROM tx_flow) AS users, (SELECT count(DISTINCT transaction_date) FROM tx_flow) AS dates,
+       (SELECT count(DISTINCT week_start) FROM weekly) AS weeks, (SELECT count(DISTINCT category) FROM tx_flow) AS categories""")
+def a35(spark, sf_dir):
+    tx = tx_flow(spark, sf_dir)
+    cw = ff.weekly_category_flows(tx)
+    return tx.agg(F.countDistinct("user_id").alias("users"), F.countDistinct("transaction_date").alias("dates"),
+                  F.countDistinct("category").alias("categories")).select(
+        F.lit(cw.select("user_id", "category").distinct().count()).cast("bigint").alias("user_category_pairs"),
+        "users", "dates", F.lit(weekly_of(spark, sf_dir).select("week_start").distinct().count()).cast("bigint").alias("weeks"),
+        "categories")
+
+
+@register("A37_training_profile", _FEATURES_SQL + """,
+ff2 AS (SELECT * FROM f WHERE bucket_spend_t_plus_1 IS NOT NULL AND target_spend_t_plus_1 IS NOT NULL),
+c AS (SELECT is_test, bucket_spend_t_plus_1, count(*) AS n FROM ff2 GROUP BY ALL)
+SELECT p.is_test, p.rows, p.first_week, p.last_week,
+       round(coalesce((SELECT n FROM c WHERE c.is_test = p.is_test AND bucket_spend_t_plus_1 = 0), 0) / p.rows, 6) AS share_0,
+       round(coalesce((SELECT n FROM c WHERE c.is_test = p.is_test AND bucket_spend_t_plus_1 = 1), 0) / p.rows, 6) AS share_1,
+       round(coalesce((SELECT n FROM c WHERE c.is_test = p.is_test AND bucket_spend_t_plus_1 = 2), 0) / p.rows, 6) AS share_2,
+       round(coalesce((SELECT n FROM c WHERE c.is_test = p.is_test AND bucket_spend_t_plus_1 = 3), 0) / p.rows, 6) AS share_3
+FROM (SELECT is_test, count(*) AS rows, min(week_t) AS first_week, max(week_t) AS last_week FROM ff2 GROUP BY is_test) p""")
+def a37(spark, sf_dir):
+    feats, _ = features_31(spark, sf_dir)
+    y = F.col("bucket_spend_t_plus_1")
+    g = feats.groupBy("is_test").agg(F.count(F.lit(1)).alias("rows"), F.min("week_t").alias("first_week"),
+                                     F.max("week_t").alias("last_week"),
+                                     *[F.sum(F.when(y == c, 1).otherwise(0)).alias(f"_n{c}") for c in range(4)])
+    return rounded(g.select("is_test", "rows", "first_week", "last_week",
+                            *[(F.col(f"_n{c}") / F.col("rows")).alias(f"share_{c}") for c in range(4)]), 6)
