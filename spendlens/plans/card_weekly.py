@@ -16,6 +16,12 @@ from . import shared
 from .registry import register, rounded
 from .sqlfmt import rolling_std_sql, select_rounded
 
+def _summary(src, y, p):
+    from .evaluation import _summary_sql
+    from ..operators.metrics import LABELS
+    return _summary_sql(src, y, p, LABELS)
+
+
 GATE = C.Gate(min_tx=6, min_span_days=365, min_tx_per_week=0.02, max_gap_days=900)
 SPLIT_FRAC = 0.8
 
@@ -482,3 +488,71 @@ def _ks_sql(c: str) -> str:
 def q9(spark, sf_dir):
     f = features_21(spark, sf_dir)
     return rounded(stats.ks_two_sample_multi(f, "split", "train", "test", KS_FEATURES), 6)
+
+
+@register("A26_threshold_profile", _RB_SQL + """
+SELECT round(min(q25), 4) AS q25_min, round(quantile_cont(q25, 0.5), 4) AS q25_median, round(max(q25), 4) AS q25_max,
+       round(min(q75), 4) AS q75_min, round(quantile_cont(q75, 0.5), 4) AS q75_median, round(max(q75), 4) AS q75_max,
+       CAST(sum(CASE WHEN fallback THEN 1 ELSE 0 END) AS BIGINT) AS fallback_users FROM t1_u""")
+def a26(spark, sf_dir):
+    thr, _ = user_thresholds(spark, sf_dir, "amount_t_plus_1")
+    return rounded(thr.agg(F.min("q25").alias("q25_min"), F.percentile("q25", 0.5).alias("q25_median"),
+                           F.max("q25").alias("q25_max"), F.min("q75").alias("q75_min"),
+                           F.percentile("q75", 0.5).alias("q75_median"), F.max("q75").alias("q75_max"),
+                           count_if("fallback").alias("fallback_users")))
+
+
+@register("B4_bucket_global_quantile", _LAG_SQL + """,
+g AS (SELECT quantile_cont(amount_t_plus_1, 0.25) AS a, quantile_cont(amount_t_plus_1, 0.75) AS b FROM lagf WHERE split = 'train')
+SELECT split, user_id, week_t, CAST(CASE WHEN amount_t_plus_1 <= a THEN 1 WHEN amount_t_plus_1 <= b THEN 2
+                                        WHEN amount_t_plus_1 > b THEN 3 ELSE 1 END AS INT) AS bucket_t_plus_1
+FROM lagf, g""")
+def b4(spark, sf_dir):
+    lag = lag_rows_of(spark, sf_dir)
+    out = B.apply_global_buckets(lag.drop("bucket_t_plus_1"), lag.where(F.col("split") == "train"),
+                                 "amount_t_plus_1", "bucket_t_plus_1")
+    return out.select("split", "user_id", "week_t", "bucket_t_plus_1")
+
+
+@register("K3_first_users", oracle_with("tx_sparse") + """
+SELECT user_id, min(event_date) AS first_date FROM tx_sparse GROUP BY user_id ORDER BY first_date, user_id LIMIT 25""")
+def k3(spark, sf_dir):
+    tx = tx_of(spark, sf_dir)
+    return tx.groupBy("user_id").agg(F.min("event_date").alias("first_date")).orderBy("first_date", "user_id").limit(25)
+
+
+@register("Q15_dataset_verdict", _LAG_SQL + """,
+lt AS (SELECT * FROM lagf WHERE split = 'test'),
+bt AS (SELECT 'train' AS split, CASE WHEN amount = 0 THEN 0 WHEN amount <= q25 THEN 1 WHEN amount <= q75 THEN 2 ELSE 3 END AS bucket FROM tr, q
+       UNION ALL SELECT 'test', CASE WHEN amount = 0 THEN 0 WHEN amount <= q25 THEN 1 WHEN amount <= q75 THEN 2 ELSE 3 END FROM te, q),
+ct AS (SELECT bucket, count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHERE split = 'test') AS b FROM bt GROUP BY bucket),
+shift AS (SELECT max(abs(a / (SELECT sum(a) FROM ct) - b / (SELECT sum(b) FROM ct))) * 100.0 AS max_shift FROM ct),
+san AS (SELECT count(DISTINCT user_id) >= 200 AND count(*) >= 500000 AND date_diff('day', min(event_date), max(event_date)) >= 365 AS ok FROM tx_sparse),
+ret AS (SELECT sum(CASE WHEN valid THEN 1 ELSE 0 END) / greatest(count(*), 1) AS r, sum(CASE WHEN valid THEN 1 ELSE 0 END) AS nv FROM flags),
+ovl AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id FROM tr INTERSECT SELECT DISTINCT user_id FROM te)) >= 0.8 * greatest((SELECT nv FROM ret), 1) AS ok),
+base AS (SELECT f1_macro FROM """ + _summary("lt", "bucket_t_plus_1", "bucket_t") + """),
+chk AS (SELECT CAST((SELECT ok FROM san) AS INT) AS c1, CAST((SELECT r FROM ret) >= 0.5 AS INT) AS c2, CAST((SELECT ok FROM ovl) AS INT) AS c3,
+               CAST((SELECT max_shift FROM shift) < 15.0 AS INT) AS c4, CAST((SELECT f1_macro FROM base) > 0.25 AS INT) AS c5)
+SELECT CAST(5 - (c1 + c2 + c3 + c4 + c5) AS INT) AS failed_checks,
+       CASE WHEN NOT (SELECT ok FROM san) OR (SELECT nv FROM ret) < 100 THEN 'NO_GO'
+            WHEN 5 - (c1 + c2 + c3 + c4 + c5) = 0 THEN 'GO' WHEN 5 - (c1 + c2 + c3 + c4 + c5) <= 2 THEN 'BORDERLINE' ELSE 'NO_GO' END AS verdict
+FROM chk""")
+def q15(spark, sf_dir):
+    """Q15: five checks (sanity, retention, overlap, bucket shift < 15 pp, baseline macro F1 > 0.25)."""
+    from ..functions.buckets import bucket_select
+    from ..operators import metrics as M
+    san = C.sanity_gate(tx_of(spark, sf_dir)).first()["status"] == "PASS"
+    gate = C.quality_gate_summary(flags_of(spark, sf_dir)).first()
+    tr, te = splits(spark, sf_dir)
+    ov = B.user_overlap(tr, te).first()["overlapping_users"]
+    q25, q75 = tx_thresholds(spark, sf_dir)
+    shift = C.chi2_bucket_shift(tr.withColumn("bucket", bucket_select("amount", q25, q75)),
+                                te.withColumn("bucket", bucket_select("amount", q25, q75))).first()["max_shift_pp"]
+    lag = lag_rows_of(spark, sf_dir).where(F.col("split") == "test")
+    base = M.classification_summary(lag, "bucket_t_plus_1", "bucket_t")
+    checks = [san, gate["retention_rate"] >= 0.5, ov >= 0.8 * max(gate["valid_users_count"], 1), shift < 15.0]
+    failed_fixed = sum(0 if c else 1 for c in checks)
+    failed = (F.lit(failed_fixed) + F.when(F.col("f1_macro") > 0.25, 0).otherwise(1)).cast("int")
+    hard = (not san) or gate["valid_users_count"] < 100
+    verdict = (F.when(F.lit(hard), "NO_GO").when(failed == 0, "GO").when(failed <= 2, "BORDERLINE").otherwise("NO_GO"))
+    return base.select(failed.alias("failed_checks"), verdict.alias("verdict"))

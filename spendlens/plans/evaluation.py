@@ -292,3 +292,31 @@ def m14(spark, sf_dir):
                F.avg(F.abs(F.col("rolling_mean_4") - F.col("amount_cat_t_plus_1"))).alias("r"))
     g = M.acceptance_gain(F.col("r"), F.col("p"), higher_is_better=False)
     return rounded(m.select(F.lit("rolling_mean_4").alias("model"), *[v.alias(k) for k, v in g.items()]), 6)
+
+
+@register("J16_before_after", _FLOW_TEST + """,
+bef AS (SELECT 'persistence' AS model, * FROM """ + _summary_sql("fte", "bucket_net_t_plus_1", "bucket_net_t", M.LABELS) + """
+        UNION ALL SELECT 'majority', * FROM """ + _summary_sql("scored", "bucket_net_t_plus_1", "majority_net", M.LABELS) + """),
+aft AS (SELECT 'persistence' AS model, * FROM """ + _summary_sql("fte", "bucket_spend_t_plus_1", "bucket_spend_t", M.LABELS) + """
+        UNION ALL SELECT 'majority', * FROM """ + _summary_sql("scored", "bucket_spend_t_plus_1", "majority_spend", M.LABELS) + """)
+SELECT b.model, round(a.f1_macro - b.f1_macro, 6) AS delta_f1_macro,
+       round(a.balanced_accuracy - b.balanced_accuracy, 6) AS delta_balanced_accuracy,
+       (a.f1_macro - b.f1_macro >= 0.02 OR a.balanced_accuracy - b.balanced_accuracy >= 0.02) AS keep
+FROM bef b JOIN aft a ON a.model = b.model""")
+def j16(spark, sf_dir):
+    """Per-model deltas between two metric sets (net target = before, spend = after)."""
+    sc = flow_scored(spark, sf_dir)
+    runs = {"persistence": (("bucket_net_t_plus_1", "bucket_net_t"), ("bucket_spend_t_plus_1", "bucket_spend_t")),
+            "majority": (("bucket_net_t_plus_1", "majority_net"), ("bucket_spend_t_plus_1", "majority_spend"))}
+    bef = aft = None
+    for m, ((yb, pb), (ya, pa)) in runs.items():
+        b = rounded(M.classification_summary(sc, yb, pb), 6).select(F.lit(m).alias("model"), F.col("f1_macro").alias("bf"),
+                                                                     F.col("balanced_accuracy").alias("bb"))
+        a = rounded(M.classification_summary(sc, ya, pa), 6).select(F.lit(m).alias("model"), F.col("f1_macro").alias("af"),
+                                                                     F.col("balanced_accuracy").alias("ab"))
+        bef = b if bef is None else bef.unionByName(b)
+        aft = a if aft is None else aft.unionByName(a)
+    j = bef.join(aft, "model")
+    df1, db = F.col("af") - F.col("bf"), F.col("ab") - F.col("bb")
+    return rounded(j.select("model", df1.alias("delta_f1_macro"), db.alias("delta_balanced_accuracy"),
+                            ((df1 >= 0.02) | (db >= 0.02)).alias("keep")), 6)

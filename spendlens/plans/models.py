@@ -284,3 +284,62 @@ def m27(spark, sf_dir):
 def p10(spark, sf_dir):
     part = table(spark, sf_dir, "part", ["p_partkey", "p_name"])
     return collapse_categories(part, "tfidf", n_clusters=15, src="p_name").select("p_partkey", "p_name", "category")
+
+
+@register("K6_top_improved_users")
+def k6(spark, sf_dir):
+    """K6: ten most improved and ten most worsened users (calibrated vs base), user tie-break."""
+    pu = M.per_user_f1(personalized(spark, sf_dir), "user_id", "y_true", ["y_pred_base", "y_pred_cal"])
+    d = pu.withColumn("delta", F.col("f1_y_pred_cal") - F.col("f1_y_pred_base"))
+    up = d.orderBy(F.desc("delta"), "user_id").limit(10).withColumn("side", F.lit("improved"))
+    down = d.orderBy(F.asc("delta"), "user_id").limit(10).withColumn("side", F.lit("worsened"))
+    return up.unionByName(down)
+
+
+@register("Q16_feasibility_verdict")
+def q16(spark, sf_dir):
+    """Q16: classification gain of the best model over persistence (>= .03 GO, >= .01 BORDERLINE)
+    and regression relative MAE gain over persistence (>= .05 GO, >= .01 BORDERLINE)."""
+    best = max((_test_summary(spark, sf_dir, n).first()["f1_macro"] or 0.0)
+               for n in ("random_forest", "logistic_regression", "sgd_classifier"))
+    base = M.classification_summary(scored(spark, sf_dir, "random_forest"), TARGET, "bucket_spend_t").first()["f1_macro"]
+    reg = l4(spark, sf_dir)
+    model_mae = reg.agg(F.min("mae")).first()[0]
+    r, _ = FW.regression_rows(spark, sf_dir)
+    pm = M.regression_metrics(r.where("is_test = 1"), "amount_cat_t_plus_1", "amount_cat_t").first()["mae"]
+    gain_c = best - base
+    gain_r = (pm - model_mae) / max(pm, 1e-9)
+    vc = "GO" if gain_c >= 0.03 else ("BORDERLINE" if gain_c >= 0.01 else "NO_GO")
+    vr = "GO" if gain_r >= 0.05 else ("BORDERLINE" if gain_r >= 0.01 else "NO_GO")
+    return reg.limit(1).select(F.lit(gain_c).alias("classification_gain"), F.lit(vc).alias("classification_verdict"),
+                               F.lit(gain_r).alias("regression_gain"), F.lit(vr).alias("regression_verdict"))
+
+
+@register("Q14_intensity_verdict")
+def q14(spark, sf_dir):
+    """Q14 on the daily model frame (L15): class separation, RF weighted-F1 lift over the
+    majority class, best per-category Spearman; GO with two of three."""
+    from ..operators import stats as S
+    from . import intensity as I
+    mf = I.model_frame(spark, sf_dir)
+    tr, te = mf.where("is_test = 0"), mf.where("is_test = 1")
+    w = T.class_weights(tr, "bucket")
+    model = T.rf_classifier(I.MODEL_FEATURES, "bucket", n_trees=120, max_depth=14).fit(T.with_weights(tr, "bucket", w))
+    pred = model.transform(te).withColumn("p", F.col("prediction").cast("int"))
+    maj = M.majority_class(tr, "bucket").first()[0]
+    ms = M.classification_summary(pred, "bucket", "p").first()["f1_weighted"]
+    bs = M.classification_summary(te.withColumn("p", F.lit(maj)), "bucket", "p").first()["f1_weighted"]
+    g, _ = I.bucketed(spark, sf_dir)
+    means = {r["bucket"]: r["mean_value"] for r in
+             I.B.class_distribution(g, "bucket", "target_7d_sum").collect()}
+    sep = (means[2] / means[1]) if means.get(1) else None
+    tr7 = I.transitions(spark, sf_dir)
+    sp = [r["spearman"] for r in S.spearman(tr7.where(F.col("category").isin(*I.FOCUS)), "bucket", "bucket_t_plus_7",
+                                            by="category").collect() if r["spearman"] is not None]
+    best = max(sp) if sp else None
+    ok = [sep is not None and sep >= 2.0, bool(bs) and ms >= bs * 1.10, best is not None and best >= 0.15]
+    verdict = "GO" if sum(ok) >= 2 else "NO GO"
+    return mf.limit(1).select(
+        F.lit(sep).cast("double").alias("class_separation_ratio_c2_c1"), F.lit(ms).alias("model_f1_weighted"),
+        F.lit(bs).alias("baseline_f1_weighted"), F.lit(best).cast("double").alias("best_category_spearman"),
+        F.lit(sum(ok)).alias("criteria_passed"), F.lit(verdict).alias("verdict"))
