@@ -71,27 +71,26 @@ def _walk(pdf: pd.DataFrame, cfg: CalibrationConfig) -> pd.DataFrame:
     labels = pdf["label"].to_numpy(dtype=int)
     is_test = pdf["is_test"].to_numpy(dtype=int)
     weeks = pdf["week_t"].astype(str).to_numpy()
+    uid = int(pdf["user_id"].iloc[0]) if len(pdf) else 0
     W, b = np.eye(k), np.zeros(k)
-    hp, hl = [], []
     seen = since = updates = 0
     out = []
     total = len(pdf)
     for i in range(total):
         p = probs[i]
-        pc = calibrate_predict(W, b, p)[0]
+        z = W @ p + b
+        z = np.exp(z - z.max())
+        pc = z / z.sum()
         alpha = cfg.alpha_after_warmup if seen >= cfg.warmup_weeks else 0.0
         pb = (1.0 - alpha) * p + alpha * pc
         if is_test[i] == 1:
-            out.append((int(pdf["user_id"].iloc[0]), weeks[i], i + 1, int(labels[i]), int(np.argmax(p)),
-                        int(np.argmax(pc)), int(np.argmax(pb)), float(np.max(pb)), updates, total))
-        hp.append(p)
-        hl.append(int(labels[i]))
-        if len(hp) > cfg.history_cap:
-            hp, hl = hp[-cfg.history_cap:], hl[-cfg.history_cap:]
+            out.append((uid, weeks[i], i + 1, int(labels[i]), int(np.argmax(p)), int(np.argmax(pc)), int(np.argmax(pb)),
+                        float(np.max(pb)), updates, total))
         seen += 1
         since += 1
         if seen >= cfg.warmup_weeks and since >= cfg.update_every_weeks:
-            W, b = calibrate_fit(W, b, np.asarray(hp), np.asarray(hl), cfg)
+            lo = max(0, i + 1 - cfg.history_cap)          # buffer = the last history_cap revealed rows
+            W, b = calibrate_fit(W, b, probs[lo:i + 1], labels[lo:i + 1], cfg)
             updates += 1
             since = 0
     cols = ["user_id", "week_t", "week_order", "y_true", "y_pred_base", "y_pred_cal", "y_pred_blend", "confidence",

@@ -44,7 +44,8 @@ def rf_classifier(features: list[str], label: str, n_trees: int = 120, max_depth
     """L1: random forest (depth capped at 30 by Spark)."""
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
                                 maxDepth=min(int(max_depth), 30), minInstancesPerNode=min_leaf,
-                                featureSubsetStrategy=str(max_features), seed=seed, maxBins=64)
+                                featureSubsetStrategy=str(max_features), seed=seed, maxBins=32,
+                                cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
     if weight:
         rf.setWeightCol(weight)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), rf])

@@ -14,12 +14,10 @@ from ..operators.ordering import exact_quantiles
 from ..sources.tables import oracle_with, table, tx_sparse
 from . import shared
 from .registry import register, rounded
-from .sqlfmt import rolling_std_sql, select_rounded
+from .sqlfmt import rolling_std_sql, select_rounded, summary_sql
 
 def _summary(src, y, p):
-    from .evaluation import _summary_sql
-    from ..operators.metrics import LABELS
-    return _summary_sql(src, y, p, LABELS)
+    return summary_sql(src, y, p, [0, 1, 2, 3])
 
 
 GATE = C.Gate(min_tx=6, min_span_days=365, min_tx_per_week=0.02, max_gap_days=900)

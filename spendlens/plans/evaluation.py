@@ -13,29 +13,12 @@ from . import card_weekly as CW
 from . import flow_weekly as FW
 from . import shared
 from .registry import register, rounded
-from .sqlfmt import select_rounded
+from .sqlfmt import select_rounded, summary_sql
 
 N_SPLITS = 5
 
 
-def _summary_sql(src: str, y: str, p: str, labels, by: str | None = None) -> str:
-    """SQL for ``metrics.classification_summary`` over ``src``."""
-    g = f"{by}, " if by else ""
-    gb = f"GROUP BY {by}" if by else ""
-    lab = ", ".join(str(x) for x in labels)
-    return f"""(WITH _pl AS (
-   SELECT {g}l.label, count(*) FILTER (WHERE {y} = l.label AND {p} = l.label) AS tp,
-          count(*) FILTER (WHERE {y} = l.label) AS support, count(*) FILTER (WHERE {p} = l.label) AS predicted
-   FROM {src} CROSS JOIN (SELECT unnest([{lab}]) AS label) l GROUP BY {g}l.label),
- _n AS (SELECT {g}count(*) AS n_rows FROM {src} {gb}),
- _f AS (SELECT *, coalesce(2.0 * tp / nullif(support + predicted, 0), 0.0) AS f1, tp / nullif(support, 0) AS rec FROM _pl)
- SELECT {('_f.' + by + ', ') if by else ''}any_value(_n.n_rows) AS n_rows,
-        round(avg(CASE WHEN support + predicted > 0 THEN f1 END), 6) AS f1_macro,
-        round(avg(f1), 6) AS f1_macro_fixed,
-        round(sum(f1 * support) / nullif(sum(support), 0), 6) AS f1_weighted,
-        round(sum(tp) / any_value(_n.n_rows), 6) AS accuracy,
-        round(avg(CASE WHEN support > 0 THEN rec END), 6) AS balanced_accuracy
- FROM _f {'JOIN _n ON _n.' + by + ' = _f.' + by if by else 'CROSS JOIN _n'} {('GROUP BY _f.' + by) if by else ''})"""
+_summary_sql = summary_sql
 
 
 # ---------------------------------------------------------------- label pairs (labels table)

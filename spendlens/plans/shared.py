@@ -30,11 +30,14 @@ def value(spark, name: str, sf_dir: str, build):
     return _MEMO[k]
 
 
-def clear() -> None:
-    for v in _MEMO.values():
+def clear(keep_models: bool = False) -> None:
+    """Drop memoised intermediates; ``keep_models`` keeps fitted models (saved artefacts)."""
+    for k in list(_MEMO):
+        if keep_models and k[1].startswith("model_"):
+            continue
+        v = _MEMO.pop(k)
         if hasattr(v, "unpersist"):
             try:
                 v.unpersist()
             except Exception:  # noqa: BLE001
                 pass
-    _MEMO.clear()
