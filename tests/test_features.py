@@ -59,3 +59,16 @@ def test_weekly_features_do_not_leak(spark):
     ka = a.where(F.col("week_start") < F.lit(cut)).select("user_id", "week_start", *cols)
     kb = b.where(F.col("week_start") < F.lit(cut)).select("user_id", "week_start", *cols)
     assert ka.exceptAll(kb).count() == 0
+
+
+def test_contract_checks(spark):
+    import pytest
+    from spendlens.operators import checks as K
+    df = spark.createDataFrame([(1, 0, 0.5), (2, 3, 1.5), (2, 5, None)], "k int, b int, r double")
+    res = K.check_frame(df, no_null=["r"], ranges={"r": (0, 1)}, keys=["k"], labels=("b", [0, 1, 2, 3]))
+    assert res == {"rows": 3, "null__r": 1, "range__r": 1, "label__b": 1, "duplicate_keys": 1}
+    with pytest.raises(K.ContractError):
+        K.assert_frame(df, no_null=["r"])
+    assert K.schema_diff(["a", "c"], ["a", "b"]) == {"missing": ["b"], "extra": ["c"]}
+    with pytest.raises(K.ContractError):
+        K.assert_schema(df, ["k", "r", "b"])
