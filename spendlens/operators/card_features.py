@@ -228,16 +228,19 @@ def user_weekly_stats(train_tx: DataFrame, user="user_id", date="event_date", am
 
 
 def weekly_txn_count(tx: DataFrame, user="user_id", date="event_date") -> DataFrame:
-    """Transactions per (user, ISO week label)."""
-    return tx.withColumn("week_t", iso_week_label(date)).groupBy(user, "week_t").agg(
+    """Transactions per (user, ISO week label); ``user`` may be a list of key columns."""
+    keys = [user] if isinstance(user, str) else list(user)
+    return tx.withColumn("week_t", iso_week_label(date)).groupBy(*keys, "week_t").agg(
         F.count(F.lit(1)).alias("txn_count"))
 
 
 def category_mix(tx: DataFrame, user="user_id", date="event_date", category="category") -> DataFrame:
-    """A21 + A22: distinct categories and the dominant category's share per (user, week label)."""
-    c = tx.withColumn("week_t", iso_week_label(date)).groupBy(user, "week_t", category).agg(
+    """A20-A22 per (user, week label): transactions, distinct categories, dominant category share."""
+    keys = [user] if isinstance(user, str) else list(user)
+    c = tx.withColumn("week_t", iso_week_label(date)).groupBy(*keys, "week_t", category).agg(
         F.count(F.lit(1)).alias("cnt"))
-    return c.groupBy(user, "week_t").agg(
+    return c.groupBy(*keys, "week_t").agg(
+        F.sum("cnt").alias("txn_count"),
         F.count(F.lit(1)).alias("category_diversity"),
         (F.max("cnt") / F.greatest(F.sum("cnt"), F.lit(1))).alias("dominant_category_ratio"))
 
@@ -251,28 +254,33 @@ def recency_asof(rows: DataFrame, tx: DataFrame, user="user_id", probe="week_mon
     before it is read with ``last(ignorenulls)`` - no range join, and the window
     holds one row per distinct day, however many rows a user has.
     """
-    days = tx.select(user, F.col(date).alias("_d")).distinct()
-    probes = rows.select(user, F.col(probe).alias("_d")).distinct()
-    u = (probes.select(user, "_d", F.lit(0).alias("_o"), F.lit(None).cast("date").alias("_tx"))
-         .unionByName(days.select(user, "_d", F.lit(1).alias("_o"), F.col("_d").alias("_tx"))))
-    w = W.spec(user, ["_d", "_o"]).rowsBetween(W.UNB, -1)
-    last = u.select(user, "_d", "_o", F.last("_tx", ignorenulls=True).over(w).alias("_last"))
+    keys = [user] if isinstance(user, str) else list(user)
+    days = tx.select(*keys, F.col(date).alias("_d")).distinct()
+    probes = rows.select(*keys, F.col(probe).alias("_d")).distinct()
+    u = (probes.select(*keys, "_d", F.lit(0).alias("_o"), F.lit(None).cast("date").alias("_tx"))
+         .unionByName(days.select(*keys, "_d", F.lit(1).alias("_o"), F.col("_d").alias("_tx"))))
+    w = W.spec(keys, ["_d", "_o"]).rowsBetween(W.UNB, -1)
+    last = u.select(*keys, "_d", "_o", F.last("_tx", ignorenulls=True).over(w).alias("_last"))
     rec = last.where(F.col("_o") == 0).select(
-        user, F.col("_d").alias(probe),
+        *keys, F.col("_d").alias(probe),
         clip(F.coalesce(F.datediff("_d", "_last").cast("double"), F.lit(none_value)), 0.0, cap).alias("recency_days"))
-    return rows.join(rec, [user, probe], "left")
+    return rows.join(rec, keys + [probe], "left")
 
 
-def card_features(lag: DataFrame, tx_split: DataFrame, stats: DataFrame, user="user_id") -> DataFrame:
-    """The 16-column frame (tier 1 + 2) for one split.
+def card_features(lag: DataFrame, tx_split: DataFrame, stats: DataFrame, user="user_id",
+                  split: str | None = None) -> DataFrame:
+    """The 16-column frame (tier 1 + 2) plus tier 3.
 
     ``lag`` holds user_id, week_t, week_monday, bucket_t, amount_t, bucket_t_plus_1,
-    amount_t_plus_1 (buckets already re-assigned per user).  Rows of users without
-    train statistics are dropped (J5; the reference aborts instead).
+    amount_t_plus_1 (buckets already re-assigned per user).  With ``split`` both splits
+    are computed in one pass: every window and join is keyed by (split, user), so a
+    split's history never sees the other split.  Rows of users without train
+    statistics are dropped (J5; the reference aborts instead).
     """
-    counts = weekly_txn_count(tx_split)
-    f = (lag.join(stats, user, "inner").join(counts, [user, "week_t"], "left"))
-    w = W.spec(user, "week_monday")
+    keys = ([split] if split else []) + [user]
+    mix = category_mix(tx_split, keys)
+    f = lag.join(stats, user, "inner").join(mix, keys + ["week_t"], "left")
+    w = W.spec(keys, "week_monday")
     f = f.select(
         "*",
         clip((F.col("amount_t") - F.col("user_mean_amount")) / F.greatest(F.col("user_std_amount"), F.lit(1e-6)),
@@ -283,19 +291,13 @@ def card_features(lag: DataFrame, tx_split: DataFrame, stats: DataFrame, user="u
         W.diff_prev("bucket_t", w, 0).cast("int").alias("delta_bucket"),
         F.coalesce(W.rolling_mean_prev("amount_t", w, 8), F.lit(0.0)).alias("rolling_mean_8w"),
         clip(F.col("user_std_amount") / F.greatest(F.col("user_mean_amount"), F.lit(1e-6)), 0, 10).alias("user_cv"),
-        W.lag_k("amount_t", w, 1).alias("_a1"), W.lag_k("amount_t", w, 2).alias("_a2"),
+        F.coalesce(W.lag_k("amount_t", w, 1), F.col("user_mean_amount"), F.lit(0.0)).alias("amount_t_minus_1"),
+        F.coalesce(W.lag_k("amount_t", w, 2), F.col("user_mean_amount"), F.lit(0.0)).alias("amount_t_minus_2"),
         W.lag_k("bucket_t", w, 1, 3).alias("bucket_t_minus_1"),
     )
     f = W.add_rolling_std(f, "amount_t", w, 8, "rolling_std_8w")
     f = f.withColumn("rolling_std_8w", F.greatest(F.coalesce(F.col("rolling_std_8w"), F.lit(0.0)), F.lit(1e-6)))
-    f = recency_asof(f, tx_split, user)
-    mix = category_mix(tx_split)
-    f = f.join(mix, [user, "week_t"], "left")
-    return f.select(
-        "*",
-        F.coalesce(F.col("_a1"), F.col("user_mean_amount"), F.lit(0.0)).alias("amount_t_minus_1"),
-        F.coalesce(F.col("_a2"), F.col("user_mean_amount"), F.lit(0.0)).alias("amount_t_minus_2"),
-    ).drop("_a1", "_a2")
+    return recency_asof(f, tx_split, keys)
 
 
 CARD_FEATURES_21 = [

@@ -88,10 +88,10 @@ def features_21(spark, sf_dir):
     def build():
         rb = rebucketed(spark, sf_dir)
         st = user_stats_of(spark, sf_dir)
-        tr, te = splits(spark, sf_dir)
-        a = C.card_features(rb.where(F.col("split") == "train"), tr, st)
-        b = C.card_features(rb.where(F.col("split") == "test"), te, st)
-        return a.unionByName(b).select(*C.CARD_FEATURES_21, "split")
+        sd = split_date_of(spark, sf_dir)
+        tx = valid_tx(spark, sf_dir).withColumn(
+            "split", F.when(F.col("event_date") <= F.lit(sd), F.lit("train")).otherwise(F.lit("test")))
+        return C.card_features(rb, tx, st, split="split").select(*C.CARD_FEATURES_21, "split")
     return shared.frame(spark, "card_features_21", sf_dir, build)
 
 
