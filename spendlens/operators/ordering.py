@@ -133,14 +133,33 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
     if not need_buckets:
         return {k: [None] * len(probs) for k in cols}
     need_buckets = sorted(set(need_buckets))
-    cond = None
+    start_of = {(k, bk): s for k, bk, s in need_buckets}
+    # positions each needed bucket must serve, so only straddling rows reach the driver
+    wanted: dict = {}
+    for k, pos_list in targets.items():
+        for t in pos_list:
+            if t is None:
+                continue
+            for idx in (t[0], t[1]):
+                for (kk, bk), st in start_of.items():
+                    if kk == k:
+                        wanted.setdefault((kk, bk), set()).add(idx)
+    bucket_cond = None
     for k, bk, _ in need_buckets:
         c = (F.col("k") == k) & (F.col("_bkt") == bk)
-        cond = c if cond is None else (cond | c)
+        bucket_cond = c if bucket_cond is None else (bucket_cond | c)
     lw = Window.partitionBy("k", "_bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    local = b.where(cond).withColumn("_loc", F.coalesce(F.sum("c").over(lw), F.lit(0)))
-    start_of = {(k, bk): s for k, bk, s in need_buckets}
-    cells = [(r["k"], r["_bkt"], r["_loc"], r["c"], r["v"]) for r in local.collect()]
+    local = b.where(bucket_cond).withColumn("_loc", F.coalesce(F.sum("c").over(lw), F.lit(0)))
+    row_cond = None
+    for (k, bk), idxs in wanted.items():
+        pos = F.lit(start_of[(k, bk)]) + F.col("_loc")
+        hit = None
+        for idx in sorted(idxs):
+            h = (pos <= idx) & (pos + F.col("c") > idx)
+            hit = h if hit is None else (hit | h)
+        c = (F.col("k") == k) & (F.col("_bkt") == bk) & hit
+        row_cond = c if row_cond is None else (row_cond | c)
+    cells = [(r["k"], r["_bkt"], r["_loc"], r["c"], r["v"]) for r in local.where(row_cond).collect()]
 
     def at(k, idx):
         for kk, bk, loc, c, v in cells:
