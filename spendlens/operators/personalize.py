@@ -98,13 +98,92 @@ def _walk(pdf: pd.DataFrame, cfg: CalibrationConfig) -> pd.DataFrame:
     return pd.DataFrame(out, columns=cols)
 
 
-def personalize(scored: DataFrame, label: str, cfg: CalibrationConfig | None = None) -> DataFrame:
+def _walk_many(pdf: pd.DataFrame, cfg: CalibrationConfig) -> pd.DataFrame:
+    """The walk of :func:`_walk` for many users at once.
+
+    Warm-up, update cadence and the history buffer depend only on the row position,
+    so every user refits at the same steps: users are padded to a (U, T, k) array and
+    each step / epoch is one batched ``matmul`` over all users.
+    """
+    cols = ["user_id", "week_t", "week_order", "y_true", "y_pred_base", "y_pred_cal", "y_pred_blend", "confidence",
+            "update_count", "user_total_history"]
+    if pdf.empty:
+        return pd.DataFrame(columns=cols)
+    k = cfg.n_classes
+    pdf = pdf.sort_values(["user_id", "week_start", "week_t"], kind="mergesort").reset_index(drop=True)
+    uid = pdf["user_id"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]])
+    lens = np.diff(np.r_[starts, len(pdf)])
+    U, T = len(starts), int(lens.max())
+    user_of = np.repeat(np.arange(U), lens)
+    pos = np.arange(len(pdf)) - np.repeat(starts, lens)
+    P = np.zeros((U, T, k))
+    P[user_of, pos] = pdf[[f"proba_class_{i}" for i in range(k)]].to_numpy(dtype=float)
+    Y = np.zeros((U, T), dtype=int)
+    Y[user_of, pos] = pdf["label"].to_numpy(dtype=int)
+    OH = np.zeros((U, T, k))
+    OH[user_of, pos, Y[user_of, pos]] = 1.0
+    W = np.repeat(np.eye(k)[None], U, axis=0)
+    b = np.zeros((U, k))
+    pc_all = np.zeros((U, T, k))
+    upd_before = np.zeros(T, dtype=int)
+    since = updates = 0
+    for t in range(T):
+        z = np.matmul(W, P[:, t, :, None])[:, :, 0] + b
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        pc_all[:, t] = z / z.sum(axis=1, keepdims=True)
+        upd_before[t] = updates
+        since += 1
+        if t + 1 >= cfg.warmup_weeks and since >= cfg.update_every_weeks:
+            lo = max(0, t + 1 - cfg.history_cap)
+            x, oh = P[:, lo:t + 1], OH[:, lo:t + 1]
+            n = x.shape[1]
+            for _ in range(max(1, cfg.epochs)):
+                lg = np.matmul(x, W.transpose(0, 2, 1)) + b[:, None, :]
+                lg = np.exp(lg - lg.max(axis=2, keepdims=True))
+                pr = lg / lg.sum(axis=2, keepdims=True)
+                d = (pr - oh) / n
+                gW = np.matmul(d.transpose(0, 2, 1), x) + cfg.l2 * W
+                gb = d.sum(axis=1)
+                norm = np.sqrt((gW ** 2).sum(axis=(1, 2)) + (gb ** 2).sum(axis=1))
+                scale = np.where(norm > cfg.grad_clip, cfg.grad_clip / np.maximum(norm, 1e-12), 1.0)
+                W = W - cfg.learning_rate * gW * scale[:, None, None]
+                b = b - cfg.learning_rate * gb * scale[:, None]
+            updates += 1
+            since = 0
+    test = pdf["is_test"].to_numpy(dtype=int) == 1
+    u, ps = user_of[test], pos[test]
+    p, pc = P[u, ps], pc_all[u, ps]
+    alpha = np.where(ps >= cfg.warmup_weeks, cfg.alpha_after_warmup, 0.0)[:, None]
+    pb = (1.0 - alpha) * p + alpha * pc
+    return pd.DataFrame({
+        "user_id": uid[test].astype("int64"), "week_t": pdf["week_t"].astype(str).to_numpy()[test],
+        "week_order": (ps + 1).astype("int32"), "y_true": Y[u, ps].astype("int32"),
+        "y_pred_base": p.argmax(axis=1).astype("int32"), "y_pred_cal": pc.argmax(axis=1).astype("int32"),
+        "y_pred_blend": pb.argmax(axis=1).astype("int32"), "confidence": pb.max(axis=1),
+        "update_count": upd_before[ps].astype("int32"), "user_total_history": lens[u].astype("int32")}, columns=cols)
+
+
+USERS_PER_GROUP = 1000
+
+
+def personalize(scored: DataFrame, label: str, cfg: CalibrationConfig | None = None,
+                users_per_group: int = USERS_PER_GROUP) -> DataFrame:
     """Scored rows (user_id, week_start, week_t, is_test, proba_class_*, label) ->
-    one evaluation row per test week with base, calibrated and blended predictions."""
+    one evaluation row per test week with base, calibrated and blended predictions.
+
+    Users are hashed into at least ``2 x defaultParallelism`` groups and into more when
+    needed to keep about ``users_per_group`` users per group (the group count grows with
+    the number of users, so a group stays bounded by users_per_group x weeks); each
+    group runs the vectorised walk.
+    """
     cfg = cfg or CalibrationConfig()
     cols = ["user_id", "week_start", "week_t", "is_test"] + [f"proba_class_{i}" for i in range(cfg.n_classes)]
     src = scored.select(*[F.col(c) for c in cols], F.col(label).cast("int").alias("label"))
-    return src.groupBy("user_id").applyInPandas(lambda pdf: _walk(pdf, cfg), schema=OUT_SCHEMA)
+    n_users = src.select("user_id").distinct().count()
+    n_groups = max(1, -(-n_users // users_per_group), 2 * src.sparkSession.sparkContext.defaultParallelism)
+    grp = F.pmod(F.xxhash64("user_id"), F.lit(n_groups))
+    return src.groupBy(grp.alias("_g")).applyInPandas(lambda pdf: _walk_many(pdf, cfg), schema=OUT_SCHEMA)
 
 
 def time_to_benefit(ev: DataFrame) -> DataFrame:

@@ -27,3 +27,21 @@ def test_walk_forward_update_counts(spark):
     # first update fires after the 8th row, then every 2 rows: updates before rows 11..14 = 2, 2, 3, 3
     assert out["update_count"].tolist() == [2, 2, 3, 3]
     assert (out["y_pred_base"] == 0).all()
+
+
+def test_vectorised_walk_matches_single_user_walk():
+    rng = np.random.default_rng(1)
+    parts = []
+    for u, n in enumerate([3, 9, 25, 14]):
+        pr = rng.dirichlet(np.ones(4), size=n)
+        parts.append(pd.DataFrame({"user_id": u, "week_start": pd.date_range("2020-01-06", periods=n, freq="7D").date,
+                                   "week_t": [f"w{i:02d}" for i in range(n)], "is_test": (np.arange(n) >= n // 2).astype(int),
+                                   **{f"proba_class_{i}": pr[:, i] for i in range(4)},
+                                   "label": rng.integers(0, 4, size=n)}))
+    pdf = pd.concat(parts, ignore_index=True)
+    cfg = P.CalibrationConfig()
+    many = P._walk_many(pdf.sample(frac=1.0, random_state=3), cfg).sort_values(["user_id", "week_order"]).reset_index(drop=True)
+    one = pd.concat([P._walk(g, cfg) for _, g in pdf.groupby("user_id")]).sort_values(["user_id", "week_order"]).reset_index(drop=True)
+    for c in ["user_id", "week_order", "y_true", "y_pred_base", "y_pred_cal", "y_pred_blend", "update_count", "user_total_history"]:
+        assert (many[c].to_numpy() == one[c].to_numpy()).all(), c
+    assert np.allclose(many["confidence"], one["confidence"])
