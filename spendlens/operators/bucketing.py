@@ -107,6 +107,29 @@ def user_quantile_thresholds(train: DataFrame, value: str, user: str = "user_id"
     return thr, (g25, g75)
 
 
+def user_quantile_thresholds_multi(train: DataFrame, values: list[str], user: str = "user_id",
+                                   min_rows: int = 4) -> dict:
+    """B3 thresholds for several value columns in one pass: one distributed quantile job
+    set for the global pairs, one ``groupBy(user)`` for the per-user pairs."""
+    gq = exact_quantiles_multi(train, values, [0.25, 0.75])
+    glob = {}
+    for v in values:
+        g25, g75 = gq[v]
+        if g25 is not None and g25 == g75:
+            e = max(1e-6, abs(g25) * 0.01)
+            g25, g75 = g25 - e, g75 + e
+        glob[v] = (g25, g75)
+    per = train.groupBy(user).agg(F.count(F.lit(1)).alias("_n"), *[
+        F.percentile(F.col(v), F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{v}") for v in values])
+    fb = F.col("_n") < min_rows
+    cols = [user, fb.alias("fallback")]
+    for v in values:
+        q25, q75 = widen_equal_thresholds(F.col(f"_q_{v}")[0], F.col(f"_q_{v}")[1])
+        cols += [F.when(fb, F.lit(glob[v][0])).otherwise(q25).alias(f"q25_{v}"),
+                 F.when(fb, F.lit(glob[v][1])).otherwise(q75).alias(f"q75_{v}")]
+    return per.select(*cols), glob
+
+
 def apply_user_buckets(df: DataFrame, thr: DataFrame, glob: tuple, value: str, out: str,
                        user: str = "user_id") -> DataFrame:
     """Class 1-3 with the user's thresholds, test-only users with the global pair."""

@@ -64,12 +64,20 @@ def lag_rows_of(spark, sf_dir):
     return shared.frame(spark, "card_lag_rows", sf_dir, build)
 
 
-def user_thresholds(spark, sf_dir, value):
+def _all_user_thresholds(spark, sf_dir):
     def build():
         lag = lag_rows_of(spark, sf_dir)
-        thr, glob = B.user_quantile_thresholds(lag.where(F.col("split") == "train"), value)
+        thr, glob = B.user_quantile_thresholds_multi(lag.where(F.col("split") == "train"),
+                                                     ["amount_t_plus_1", "amount_t"])
         return thr.persist(), glob
-    return shared.value(spark, f"card_user_thr_{value}", sf_dir, build)
+    return shared.value(spark, "card_user_thr", sf_dir, build)
+
+
+def user_thresholds(spark, sf_dir, value):
+    """B3 per-user (q25, q75, fallback) for one value column, from the shared one-pass build."""
+    thr, glob = _all_user_thresholds(spark, sf_dir)
+    return thr.select("user_id", F.col(f"q25_{value}").alias("q25"), F.col(f"q75_{value}").alias("q75"),
+                      "fallback"), glob[value]
 
 
 def rebucketed(spark, sf_dir):
