@@ -72,3 +72,15 @@ def test_contract_checks(spark):
     assert K.schema_diff(["a", "c"], ["a", "b"]) == {"missing": ["b"], "extra": ["c"]}
     with pytest.raises(K.ContractError):
         K.assert_schema(df, ["k", "r", "b"])
+
+
+def test_tfidf_collapse_rules(spark):
+    from spendlens.operators.categories import collapse_categories
+    two = spark.createDataFrame([("coffee bar",), ("gas station",), ("coffee bar",)], "raw_category string")
+    out = collapse_categories(two, "tfidf", n_clusters=15)
+    assert sorted(r["category"] for r in out.collect()) == ["coffee bar", "coffee bar", "gas station"]
+    names = ["coffee bar", "coffee shop", "gas station", "gas stop", "city hotel", "hotel city", "coffee bar"]
+    df = spark.createDataFrame([(n,) for n in names], "raw_category string")
+    got = {r["raw_category"]: r["category"] for r in collapse_categories(df, "tfidf", n_clusters=3).collect()}
+    assert all(v.startswith("cluster_") and len(v) == 10 for v in got.values())
+    assert len(set(got.values())) <= 3
