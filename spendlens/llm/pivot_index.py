@@ -196,9 +196,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
-u AS (SELECT *, coalesce(len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-        AND len(list_filter(e, x -> x <> 0)) > 0, false) AS ok FROM v),
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT *, coalesce(len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0, false) AS ok FROM v),
 g AS (SELECT rid, vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM u WHERE ok),
 l AS (SELECT a.rid AS r, a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.rid <> b.rid AND len(a.e) = len(b.e)
         AND list_dot_product(a.e, b.e) >= 0.9::DOUBLE * a.norm * b.norm),

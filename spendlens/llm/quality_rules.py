@@ -139,8 +139,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {docs}),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-g AS (SELECT rid, unnest(list_transform(range(1, len(ws) - 3), i -> ws[i:i+4])) AS win,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, unnest(list_transform(range(1, len(ws) - 3), lambda i: ws[i:i+4])) AS win,
              unnest(range(1, len(ws) - 3)) AS p FROM w WHERE len(ws) >= 5),
 r AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, win) AS c FROM g) WHERE c > 1),
 c AS (SELECT rid, sum(least(5, p - coalesce(q, -5)))::BIGINT AS n FROM (

@@ -247,7 +247,7 @@ SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, octet_length(encode(h))::BIGINT AS n, sha1(h) AS d,
         max(page_id) OVER (PARTITION BY sha1(h)) AS m FROM p),
-b AS (SELECT *, list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+b AS (SELECT *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         1 + ((('0x' || substr(d, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)) AS c FROM q)
 SELECT page_id, n AS payload_bytes, list_aggregate(c, 'string_agg', '') AS payload_digest,
        CASE WHEN page_id IS NOT DISTINCT FROM m THEN 'response' ELSE 'revisit' END AS record_type,
