@@ -195,9 +195,10 @@ class WordCache:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[bytes, bytes] = {}
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         if len(self.cache) > self.most:
             self.cache.clear()
+        new = list(dict.fromkeys(w for w in words if w not in self.cache))
         for e, w in zip(self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), new):
             self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
 
@@ -207,11 +208,7 @@ class WordCache:
         words, out = text.encode("utf-8").split(), []
         for i in range(0, len(words), 50_000):
             some = words[i:i + 50_000]
-            if new := list(dict.fromkeys(w for w in some if w not in self.cache)):
-                kept = len(self.cache)
-                self._learn(new)
-                if len(self.cache) < kept + len(new) and (again := [w for w in dict.fromkeys(some) if w not in self.cache]):
-                    self._learn(again)
+            self._learn(some)
             out.append(b"".join(map(self.cache.__getitem__, some)))
         return b"".join(out)
 
