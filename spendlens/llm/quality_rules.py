@@ -19,7 +19,7 @@ RULES = {
     "too_few_words": "n_words < 10",
     "repeated_windows": "100 * n_repeat_words > 20 * n_words",
     "many_symbols": "10 * n_symbols > n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "2 * n_dup_lines > n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
     "shouting": "10 * n_exclaims > 3 * n_words",
@@ -152,7 +152,7 @@ m AS (SELECT w.doc_id, w.t, len(ws)::BIGINT AS n_words, length(list_aggregate(ws
       FROM w LEFT JOIN c USING (rid)),
 b AS (SELECT *, coalesce(wc, 0) AS word_chars FROM m),
 f AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT
-      + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
+      + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
       + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT
       + 64 * (10 * n_exclaims > 3 * n_words)::BIGINT)::BIGINT AS failed_bits FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed,

@@ -114,7 +114,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     def fine(t):
         n, chars, symbols, dup, repeat = measures(t)
         lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in t.split("\n")) if t else 0
-        return n >= 10 and 100 * repeat <= 20 * n and 10 * symbols <= n and 10 * dup <= 3 * lines and 2 * n <= chars <= 20 * n \
+        return n >= 10 and 100 * repeat <= 20 * n and 10 * symbols <= n and 2 * dup <= lines and 2 * n <= chars <= 20 * n \
             and 10 * t.count("!") <= 3 * n
 
     assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in before if r["text"] and fine(r["text"]))
