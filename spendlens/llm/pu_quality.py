@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, functions as F
 from spendlens.llm import textfeat
 from spendlens.llm.shared import held_out, learnable
 
-N_BITS = 10
+N_BITS = 8
 THRESHOLD = 0.3
 #: Byte classes whose shares are features.
-CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "#*$%&|<>", "!?", ".,;:", " \t", "\n", "()[]{}",
-           "@/\\_=+-")
+CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "#*$%&<>", "|", "!", "?", ".,;:", " \t", "\n",
+           "()[]{}", "@/\\_=+-")
+HIDDEN = 32
 
 
 def _class_table() -> np.ndarray:
@@ -52,7 +53,7 @@ def features(text: str | None) -> np.ndarray:
     shape = [np.log1p(len(words)), distinct / n, np.log1p(distinct) / np.log1p(n),
              sum(a == b for a, b in zip(words, words[1:])) / n, min(30.0, (len(data) - counts[32]) / n),
              1 - len(set(lines)) / max(1, len(lines)), min(1.0, 20 / n)]
-    return np.concatenate([shape, counts @ TABLE / max(1, len(data)), 100 * textfeat.shares(data, N_BITS)])
+    return np.concatenate([shape, np.log1p(100 * (counts @ TABLE) / max(1, len(data))), 100 * textfeat.shares(data, N_BITS)])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -61,44 +62,61 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    """Standardised features, one hidden layer, one logistic output."""
     mean: np.ndarray
     scale: np.ndarray
-    weights: np.ndarray
-    bias: float
+    params: list[np.ndarray]
     prior: float
 
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) * self.scale, -6, 6)
+
+    def hidden(self, z: np.ndarray) -> np.ndarray:
+        return np.tanh(z @ self.params[0] + self.params[1])
+
+    def output(self, h: np.ndarray) -> np.ndarray:
+        return sigmoid(h @ self.params[2] + self.params[3])
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) * self.scale, -6, 6)
-        return sigmoid(z @ self.weights + self.bias)
-
-
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.02,
-             strength: float = 1e-3, seed: int = 7) -> Model:
-    """Logistic model that minimises the non-negative unbiased risk by Adam on mini-batches."""
-    mean, scale = unl.mean(axis=0), 1 / np.maximum(unl.std(axis=0), 1e-6)
-    # The shape features speak for themselves; the many n-gram shares share the weight of a few.
-    scale = np.where(unl.std(axis=0) > 0, scale, 0)
-    scale[-(1 << N_BITS):] /= np.sqrt(1 << N_BITS) / 4
-    zp, zu = (np.clip((v - mean) * scale, -6, 6) for v in (pos, unl))
-    rng = np.random.default_rng(seed)
-    w, b = np.zeros(zp.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+        return self.output(self.hidden(self.inputs(x)))
+
+
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 500, rate: float = 0.02,
+             strength: float = 1e-4, back_off: float = 0.1, seed: int = 7) -> Model:
+    """Network that minimises the non-negative unbiased risk with logistic loss.
+
+    Adam on the whole sample, which leaves the sign of the negative risk to the data and not to a
+    batch's luck.  ``back_off`` discounts the step against a negative risk under zero.
+    """
+    both, rng = np.vstack([pos, unl]), np.random.default_rng(seed)
+    spread = both.std(axis=0)
+    scale = np.where(spread > 0, 1 / np.maximum(spread, 1e-6), 0)
+    scale[-(1 << N_BITS):] /= np.sqrt(1 << N_BITS) / 4      # the many n-gram shares weigh like a few shape features
+    d, n_pos = both.shape[1], len(pos)
+    model = Model(both.mean(axis=0), scale, [rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN),
+                                             rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)], prior)
+    z = model.inputs(both)
+    share = np.where(np.arange(len(z)) < n_pos, 1 / n_pos, 1 / len(unl))
+    first, second = [np.zeros_like(q) for q in model.params], [np.zeros_like(q) for q in model.params]
     for t in range(1, steps + 1):
-        p = zp[rng.integers(0, len(zp), 256)]
-        u = zu[rng.integers(0, len(zu), 256)]
-        sp, su = sigmoid(p @ w + b), sigmoid(u @ w + b)
-        negative = -np.log(np.maximum(1e-12, 1 - su)).mean() + prior * np.log(np.maximum(1e-12, 1 - sp)).mean()
-        # Gradients of the losses by the margin: of a positive as such, of text taken as negative.
-        as_pos, neg_u, neg_p = prior * (sp - 1) / len(p), su / len(u), -prior * sp / len(p)
-        if negative >= 0:
-            gw, gb = p.T @ (as_pos + neg_p) + u.T @ neg_u, (as_pos + neg_p).sum() + neg_u.sum()
+        h = model.hidden(z)
+        s = model.output(h)
+        as_negative = -np.log(np.maximum(1e-12, 1 - s)) * share
+        # Gradients by the margin: of positives as such, and of the risk on negatives.
+        positive = np.where(np.arange(len(z)) < n_pos, prior * (s - 1), 0)
+        negative = np.where(np.arange(len(z)) < n_pos, -prior * s, s)
+        if as_negative[n_pos:].sum() >= prior * as_negative[:n_pos].sum():
+            g = (positive + negative) * share
         else:
-            gw, gb = -(p.T @ neg_p + u.T @ neg_u), -(neg_p.sum() + neg_u.sum())
-        g = np.append(gw + strength * w, gb)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * min(1.0, 3 * (1 - t / (steps + 1))) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return Model(mean, scale, w, float(b), prior)
+            g = -back_off * negative * share
+        back = np.outer(g, model.params[2]) * (1 - h * h)
+        grads = [z.T @ back + strength * model.params[0], back.sum(axis=0), h.T @ g + strength * model.params[2], g.sum(keepdims=True)]
+        pace = rate * min(1.0, 3 * (1 - t / (steps + 1)))
+        for k, q in enumerate(grads):
+            first[k] = 0.9 * first[k] + 0.1 * q
+            second[k] = 0.999 * second[k] + 0.001 * q * q
+            model.params[k] = model.params[k] - pace * first[k] / (1 - 0.9 ** t) / (np.sqrt(second[k] / (1 - 0.999 ** t)) + 1e-8)
+    return model
 
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray, confidence: float = 0.1) -> float:
