@@ -26,27 +26,8 @@ def safe_div(num, den) -> Column:
     return F.try_divide(col(num), col(den))
 
 
-def nan_to_null(c) -> Column:
-    c = col(c)
-    return F.when(~F.isnan(c), c)
-
-
-def round_to(c, digits: int = 4) -> Column:
-    return F.round(col(c), digits)
 
 
-def pearson_from_moments(n, sx, sy, sxx, syy, sxy, eps: float = 1e-8) -> Column:
-    """Pearson r from sums; NULL when either side has (near) zero variance.
-
-    Computed from moments so a constant column cannot trip ANSI division errors.
-    """
-    n, sx, sy, sxx, syy, sxy = map(col, (n, sx, sy, sxx, syy, sxy))
-    cov = sxy - sx * sy / n
-    vx = sxx - sx * sx / n
-    vy = syy - sy * sy / n
-    ok = (n >= 2) & (vx / (n - 1) > eps) & (vy / (n - 1) > eps)
-    return F.when(ok, cov / F.sqrt(vx * vy))
-
 
 def guarded_corr(x, y, eps: float = 1e-8) -> Column:
     """Aggregate Pearson correlation over aligned non-null pairs, NULL when degenerate.

@@ -27,18 +27,16 @@ def tune_thresholds(df: DataFrame, y: str) -> dict:
     if q[0.25] is None:
         return {"low": 0.0, "high": 0.0, "mode": "degenerate", "q_low": 0.0, "q_high": 0.0}
     combos = [(0.25, 0.75)] + [(lo, hi) for lo in TUNE_LOW for hi in TUNE_HIGH if lo < hi]
+    # Positive rows up to each candidate; every pair's classes are differences of these counts.
     yy = F.col(y)
-    aggs = [count_if(yy >= 0).alias("n")]
-    for i, (lo, hi) in enumerate(combos):
-        a, b = q[lo], q[hi]
-        aggs += [count_if((yy > 0) & (yy <= a)).alias(f"c1_{i}"),
-                 count_if((yy > a) & (yy <= b)).alias(f"c2_{i}"),
-                 count_if(yy > b).alias(f"c3_{i}")]
-    r = df.agg(*aggs).first()
-    n = r["n"]
+    upto = [count_if((yy > 0) & (yy <= q[p])).alias(f"u{i}") for i, p in enumerate(probs)]
+    r = df.agg(count_if(yy >= 0).alias("n"), count_if(yy > 0).alias("positive"), *upto).first()
+    n, below = r["n"], {p: r[f"u{i}"] for i, p in enumerate(probs)}
 
     def shares(i):
-        return [r[f"c{k}_{i}"] / n if n else 0.0 for k in (1, 2, 3)]
+        lo, hi = combos[i]
+        counts = (below[lo], below[hi] - below[lo], r["positive"] - below[hi])
+        return [c / n if n else 0.0 for c in counts]
 
     d = shares(0)
     if min(d) >= MIN_CLASS_SHARE:
@@ -169,7 +167,11 @@ def split_by_date_quantile(df: DataFrame, date: str, p: float = 0.8) -> DataFram
     q = date_quantile(df, date, p)
     if q is None:
         raise RuntimeError("Train/test split is empty")
-    return df.withColumn("is_test", (F.unix_date(F.col(date)) > F.lit(q)).cast("int"))
+    out = df.withColumn("is_test", (F.unix_date(F.col(date)) > F.lit(q)).cast("int"))
+    ends = df.agg(F.min(F.unix_date(F.col(date))).alias("lo"), F.max(F.unix_date(F.col(date))).alias("hi")).first()
+    if not ends["lo"] <= q < ends["hi"]:
+        raise RuntimeError("Train/test split is empty")
+    return out
 
 
 def expanding_folds(df: DataFrame, order_cols: list[str], n_splits: int = 5) -> DataFrame:

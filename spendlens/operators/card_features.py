@@ -17,7 +17,7 @@ from ..functions.buckets import bucket_select
 from ..functions.calendar import iso_week_label, week_label_to_monday, week_start
 from ..functions.expr import clip, count_if, median, share
 from . import windows as W
-from .ordering import exact_quantiles
+from .ordering import exact_quantiles, quantile_table
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,10 @@ def user_coverage(tx: DataFrame, user="user_id", date="event_date", amount="amou
     cov = tx.groupBy(user).agg(
         F.min(date).alias("first_transaction_date"), F.max(date).alias("last_transaction_date"),
         F.count(F.lit(1)).alias("total_transactions"), F.countDistinct(category).alias("categories_count"),
-        F.avg(amount).alias("avg_transaction_amount"), median(amount).alias("median_transaction_amount"))
+        F.avg(amount).alias("avg_transaction_amount"))
+    # A hot user's raw amounts are cut by value, so no buffer holds them all.
+    mid = quantile_table(tx, [amount], [0.5], by=[user]).select(user, F.col("q")[0].alias("median_transaction_amount"))
+    cov = cov.join(mid, user, "left")
     span = F.datediff("last_transaction_date", "first_transaction_date")
     cov = cov.withColumn("activity_span_days", span).withColumn(
         "avg_txn_per_week", F.col("total_transactions") / F.greatest(F.col("activity_span_days"), F.lit(1)) * 7.0)
@@ -267,19 +270,31 @@ def recency_asof(rows: DataFrame, tx: DataFrame, user="user_id", probe="week_mon
     return rows.join(rec, keys + [probe], "left")
 
 
+def rows_without_stats(lag: DataFrame, stats: DataFrame, user="user_id") -> DataFrame:
+    """Rows of users that have no train statistics."""
+    return lag.join(stats.select(user), user, "left_anti")
+
+
+def attach_user_stats(lag: DataFrame, stats: DataFrame, user="user_id", missing: str = "fail") -> DataFrame:
+    """Statistics by user; rows without any make it fail, or with ``missing='exclude'`` stay out
+    (callers that exclude report them through :func:`rows_without_stats`)."""
+    if missing == "fail" and (n := rows_without_stats(lag, stats, user).count()):
+        raise RuntimeError(f"{n} rows have no user statistics")
+    return lag.join(stats, user, "inner")
+
+
 def card_features(lag: DataFrame, tx_split: DataFrame, stats: DataFrame, user="user_id",
-                  split: str | None = None) -> DataFrame:
+                  split: str | None = None, missing: str = "fail") -> DataFrame:
     """The 16-column frame (tier 1 + 2) plus tier 3.
 
     ``lag`` holds user_id, week_t, week_monday, bucket_t, amount_t, bucket_t_plus_1,
     amount_t_plus_1 (buckets already re-assigned per user).  With ``split`` both splits
     are computed in one pass: every window and join is keyed by (split, user), so a
-    split's history never sees the other split.  Rows of users without train
-    statistics are dropped (J5; the reference aborts instead).
+    split's history never sees the other split.  ``missing``: see :func:`attach_user_stats`.
     """
     keys = ([split] if split else []) + [user]
     mix = category_mix(tx_split, keys)
-    f = lag.join(stats, user, "inner").join(mix, keys + ["week_t"], "left")
+    f = attach_user_stats(lag, stats, user, missing).join(mix, keys + ["week_t"], "left")
     w = W.spec(keys, "week_monday")
     f = f.select(
         "*",
@@ -300,6 +315,7 @@ def card_features(lag: DataFrame, tx_split: DataFrame, stats: DataFrame, user="u
     return recency_asof(f, tx_split, keys)
 
 
+# Output columns of the card frame, in order.
 CARD_FEATURES_21 = [
     "user_id", "week_t", "bucket_t", "amount_t", "bucket_t_plus_1", "amount_t_plus_1", "z_score", "entropy",
     "txn_count", "relative_txn_count", "delta_amount", "delta_bucket", "rolling_mean_8w", "rolling_std_8w",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import collapse_manual
+from ..session import checkpointed
 
 
 def collapse_categories(df: DataFrame, mode: str = "manual", top_n: int = 20, n_clusters: int = 15,
@@ -35,39 +36,69 @@ def collapse_top_n(df: DataFrame, n: int, src: str = "raw_category", dst: str =
     return out.withColumn(dst, F.when(F.col("_keep").isNotNull(), F.col(src)).otherwise(F.lit("other"))).drop("_keep")
 
 
+def word_grams(text: Column, low: int = 3, high: int = 5) -> Column:
+    """Character n-grams inside words: each lower-cased word with a blank on either side gives its
+    n-grams for n from ``low`` up to ``high`` or its own length, whichever is smaller."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+    def of_length(w, n):
+        return F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))
+
+    return F.flatten(F.transform(padded, lambda w: F.flatten(F.transform(
+        F.sequence(F.lit(low), F.least(F.lit(high), F.length(w))), lambda n: of_length(w, n)))))
+
+
+def label_terms(df: DataFrame, src: str = "raw_category", min_df: int = 2) -> DataFrame:
+    """P10 terms of the distinct labels: ``(src, rows, term, tf, idf)``.
+
+    Document frequency and ``min_df`` count rows, so a label counts as often as it occurs;
+    idf = ln((1 + n) / (1 + df)) + 1 over the n rows with a label.  Every term is kept.
+    """
+    labels = df.where(F.col(src).isNotNull()).groupBy(src).agg(F.count(F.lit(1)).alias("rows"))
+    terms = labels.select(src, "rows", F.explode(word_grams(F.col(src))).alias("term"))
+    terms = terms.groupBy(src, "rows", "term").agg(F.count(F.lit(1)).alias("tf"))
+    freq = terms.groupBy("term").agg(F.sum("rows").alias("df")).where(F.col("df") >= min_df)
+    total = labels.agg(F.sum("rows").alias("n"))
+    idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
+    return terms.join(freq, "term").crossJoin(F.broadcast(total)).select(src, "rows", "term", "tf", idf.alias("idf"))
+
+
+def tfidf_weights(df: DataFrame, src: str = "raw_category") -> DataFrame:
+    """P10 weights ``(src, term, weight)``: tf x idf scaled to unit length per label."""
+    t = label_terms(df, src).withColumn("_x", F.col("tf") * F.col("idf"))
+    norm = t.groupBy(src).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
+    return t.join(norm, src).select(src, "term", (F.col("_x") / F.col("_norm")).alias("weight"))
+
+
 def collapse_tfidf(df: DataFrame, n_clusters: int = 15, src: str = "raw_category",
-                   dst: str = "category", seed: int = 42) -> DataFrame:
-    """P10: char-in-word 3-5 grams -> TF-IDF -> L2 -> k-means -> ``cluster_XX``.
+                   dst: str = "category", seed: int = 42, tries: int = 10) -> DataFrame:
+    """P10: TF-IDF of character n-grams -> k-means -> ``cluster_XX``, the best of ``tries`` seeds by cost.
 
-    Fitted on the distinct labels weighted by their row count (equivalent to
-    fitting on every row, since equal labels have equal vectors), then joined back.
-    Two or fewer distinct labels are left unchanged.
+    Fitted on the distinct labels weighted by their rows, which is fitting on every row since equal
+    labels have equal vectors, then joined back.  Two or fewer distinct labels are left unchanged;
+    null labels get no cluster.
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import CountVectorizer, IDF, Normalizer
+    from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
 
-    labels = df.groupBy(src).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    terms = checkpointed(label_terms(df, src))
+    idf = {r["term"]: r["idf"] for r in terms.select("term", "idf").distinct().collect()}  # the vocabulary, as in any text model
+    labels = df.where(F.col(src).isNotNull()).groupBy(src).agg(F.count(F.lit(1)).cast("double").alias("_w"))
     n_distinct = labels.count()
-    if n_distinct <= 2:
+    if n_distinct <= 2 or not idf:
         return df.withColumn(dst, F.col(src))
+    bags = terms.groupBy(src).agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("_terms"))
+    bags = labels.join(bags, src, "left").withColumn("_terms", F.coalesce("_terms", F.array().cast("array<string>")))
+    counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=len(idf), minDF=1.0).fit(bags)
+    scale = ElementwiseProduct(inputCol="_tf", outputCol="_x", scalingVec=Vectors.dense([idf[t] for t in counter.vocabulary]))
+    vectors = Normalizer(inputCol="_x", outputCol="_vec", p=2.0).transform(scale.transform(counter.transform(bags)))
+    vectors = vectors.select(src, "_w", "_vec").persist()
     k = max(2, min(n_clusters, n_distinct))
-    # padded words -> all character n-grams of length 3..5 inside each padded word
-    words = F.transform(F.split(F.col(src), r"\s+"), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = F.flatten(F.transform(words, lambda w: F.flatten(F.transform(
-        F.sequence(F.lit(3), F.lit(5)),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(0))),
-            lambda i: F.substring(w, i, n))))))
-    grams = F.filter(grams, lambda g: F.length(g) >= 3)
-    feats = labels.withColumn("_grams", grams)
-    pipe = Pipeline(stages=[
-        CountVectorizer(inputCol="_grams", outputCol="_tf", minDF=2.0),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_vec", p=2.0),
-        KMeans(featuresCol="_vec", predictionCol="_cluster", k=k, seed=seed, weightCol="_w"),
-    ])
-    model = pipe.fit(feats)
-    mapping = model.transform(feats).select(
-        F.col(src).alias("_lbl"), F.format_string("cluster_%02d", F.col("_cluster")).alias(dst))
+    models = [KMeans(featuresCol="_vec", predictionCol="_cluster", k=k, seed=seed + i, weightCol="_w").fit(vectors) for i in range(tries)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    mapping = checkpointed(best.transform(vectors).select(
+        F.col(src).alias("_lbl"), F.format_string("cluster_%02d", F.col("_cluster")).alias(dst)))
+    vectors.unpersist()
     return df.join(mapping, df[src] == mapping["_lbl"], "left").drop("_lbl")

@@ -25,6 +25,7 @@ FLOW_FEATURES_31 = [
     "inflow_rolling_std_8w", "outflow_rolling_mean_8w", "outflow_rolling_std_8w", "inflow_frequency_8w",
     "outflow_frequency_8w", "weeks_since_inflow", "weeks_since_outflow",
 ]
+# Numeric inputs of the regressors, in order.
 REGRESSION_NUMERIC = [
     "amount_cat_t", "txn_count_cat_t", "amount_cat_t_minus_1", "amount_cat_t_minus_2", "rolling_mean_4",
     "rolling_std_4", "weekly_inflow_t_minus_1", "weekly_outflow_t_minus_1", "weekly_net_t_minus_1",
@@ -171,7 +172,9 @@ def volatility_cv(weekly: DataFrame) -> DataFrame:
     """Per-user std/mean of weekly outflow (mean 0 -> NULL), quartiles over users."""
     v = weekly.groupBy("user_id").agg(
         F.try_divide(F.stddev_samp("weekly_outflow_t"), F.when(F.avg("weekly_outflow_t") != 0, F.avg("weekly_outflow_t"))).alias("cv"))
-    return v.agg(*[F.percentile("cv", q).alias(f"cv_p{int(q * 100)}") for q in (0.25, 0.5, 0.75)])
+    probs = [0.25, 0.5, 0.75]
+    found = exact_quantiles_multi(v, ["cv"], probs)["cv"]
+    return v.agg(*[F.lit(x).cast("double").alias(f"cv_p{int(q * 100)}") for q, x in zip(probs, found)])
 
 
 def weekly_trend(weekly: DataFrame) -> DataFrame:

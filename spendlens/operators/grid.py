@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_CATEGORIES = 10_000
-
 
 def daily_totals(tx: DataFrame, keys=("user_id", "category"), date="event_date", amount="amount") -> DataFrame:
     """Sum per (series, day) with map-side partial aggregation."""
@@ -44,22 +42,18 @@ def daily_grid_full(tx: DataFrame, user="user_id", category="category", date="ev
                     amount="amount") -> DataFrame:
     """Every user x every category x every day, zero filled.
 
-    The category list is collected with a size check before it becomes a literal.
+    Zero cells of the dense grid and the daily sums are added up, so no user's history is held in
+    one row.  Users meet the table of categories (the product is the feature; Spark broadcasts the
+    categories only under its size threshold).
     """
     daily = daily_totals(tx, (user, category), date, amount)
     d0, d1 = date_bounds(daily, date)
-    cats = [r[0] for r in daily.select(category).distinct().limit(MAX_BROADCAST_CATEGORIES + 1).collect()]
-    if len(cats) > MAX_BROADCAST_CATEGORIES:
-        raise ValueError("too many categories for a full grid; use daily_grid_observed")
     if d0 is None:
         return daily.limit(0)
-    per_user = daily.groupBy(user).agg(F.map_from_entries(F.collect_list(
-        F.struct(F.struct(F.col(category).alias("c"), F.col(date).alias("d")), F.col(amount)))).alias("_m"))
-    grid = (per_user
-            .select(user, "_m", F.explode(F.array(*[F.lit(c) for c in sorted(cats)])).alias(category))
-            .select(user, category, "_m", F.explode(F.sequence(F.lit(d0), F.lit(d1))).alias(date)))
-    key = F.struct(F.col(category).alias("c"), F.col(date).alias("d"))
-    return grid.select(user, category, date, F.coalesce(F.element_at("_m", key), F.lit(0.0)).alias(amount))
+    dense = (daily.select(user).distinct().crossJoin(daily.select(category).distinct())
+             .select(user, category, F.explode(F.sequence(F.lit(d0), F.lit(d1))).alias(date), F.lit(0.0).alias(amount)))
+    return (dense.unionByName(daily.select(user, category, date, F.col(amount).cast("double").alias(amount)))
+            .groupBy(user, category, date).agg(F.sum(amount).alias(amount)))
 
 
 def weekly_category_grid(reg: DataFrame, categories: DataFrame, numeric_cols: list[str],
@@ -67,15 +61,10 @@ def weekly_category_grid(reg: DataFrame, categories: DataFrame, numeric_cols: li
     """Observed user-weeks x train categories, numeric columns zero filled and
     the flow direction derived from the category text.
 
-    ``categories`` is a distinct list whose size is checked before it is broadcast
-    as a literal array (no cross join).
+    ``categories`` may be of any size; the weeks meet its distinct values as a table.
     """
     keys = list(keys)
-    cats = [r[0] for r in categories.select(category).distinct().limit(MAX_BROADCAST_CATEGORIES + 1).collect()]
-    if len(cats) > MAX_BROADCAST_CATEGORIES:
-        raise ValueError("too many categories for a dense weekly grid")
-    weeks = reg.select(*keys).distinct()
-    dense = weeks.select(*keys, F.explode(F.array(*[F.lit(c) for c in sorted(cats)])).alias(category))
+    dense = reg.select(*keys).distinct().crossJoin(categories.select(category).distinct())
     obs = reg.select(*keys, category, *numeric_cols)
     out = dense.join(obs, keys + [category], "left")
     return out.select(*keys, category,

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import count_if
+from .ordering import exact_quantiles
 
 LABELS = [0, 1, 2, 3]
 
@@ -171,6 +172,8 @@ def per_user_f1(df: DataFrame, user: str, y: str, preds: list[str], labels=LABEL
 def per_user_delta_summary(pu: DataFrame, a: str, b: str, tol: float = 1e-12) -> DataFrame:
     """Improved / worsened / unchanged users (|delta| <= tol) and delta deciles."""
     d = F.col(b) - F.col(a)
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    found = exact_quantiles(pu.select(d.alias("delta")), "delta", probs)
     return pu.agg(count_if(d > tol).alias("users_improved"), count_if(d < -tol).alias("users_worsened"),
                   count_if(F.abs(d) <= tol).alias("users_unchanged"),
-                  *[F.percentile(d, q).alias(f"delta_p{int(q * 100)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9)])
+                  *[F.lit(v).cast("double").alias(f"delta_p{int(q * 100)}") for q, v in zip(probs, found)])

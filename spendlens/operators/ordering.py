@@ -1,187 +1,109 @@
 """Global order without a single-partition window.
 
-A global rank is split in two levels: rows are cut into value-range buckets
-(boundaries from ``percentile_approx``, so buckets are balanced by rows even when
-one value range is hot), per-bucket totals give bucket offsets through a small
-table (one row per bucket, size checked), and a window partitioned by bucket
-finishes the count inside each bucket.  Used by exact quantiles (B4/B11/T7),
-the two-sample KS statistic (Q9) and expanding folds (B12).
+Rows are range-partitioned on the whole sort key (all of its columns, so one hot value of the first
+column is cut by the next) and written once to the shared checkpoint folder, which fixes the
+partition each row is in.  Partition totals give offsets through a small window over one row per
+partition, and a window inside each partition finishes the count.  Nothing is collected and no
+boundary becomes a literal, so cost and plan follow the data and not the partition setting.  Used by
+exact quantiles, rank correlation, the two-sample KS statistic and expanding folds.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_OFFSET_ROWS = 1_000_000
-
-
-def _tree(c: Column, bounds: list, lo: int, hi: int) -> Column:
-    """Number of boundaries strictly below ``c`` among bounds[lo:hi], as a balanced CASE tree."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(c > F.lit(bounds[mid]), _tree(c, bounds, mid + 1, hi)).otherwise(_tree(c, bounds, lo, mid))
+from ..session import checkpointed
 
 
 def default_buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def bucket_column(df: DataFrame, order_col: str, n_buckets: int, group_col: str | None = None) -> Column:
-    """Bucket id, monotone in ``order_col`` within each ``group_col`` value (equal values share a bucket)."""
-    if n_buckets <= 1:
-        return F.lit(0)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    approx = F.percentile_approx(F.col(order_col), probs, 10000).alias("b")
-    if group_col is None:
-        rows = [(None, df.agg(approx).first()["b"])]
-    else:
-        rows = [(r[group_col], r["b"]) for r in df.groupBy(group_col).agg(approx).collect()]
-    out = None
-    for key, b in rows:
-        bounds = sorted(set(x for x in (b or []) if x is not None))
-        expr = _tree(F.col(order_col), bounds, 0, len(bounds))
-        if group_col is None:
-            return expr
-        out = F.when(F.col(group_col) == F.lit(key), expr) if out is None else out.when(F.col(group_col) == F.lit(key), expr)
-    return out if out is not None else F.lit(0)
-
-
-def bucket_offsets(b: DataFrame, coarse: list[str], weight: str) -> list:
-    """Totals per coarse key collected in key order (bounded by ``MAX_OFFSET_ROWS``)."""
-    totals = b.groupBy(*coarse).agg(F.sum(weight).alias("_tot"))
-    rows = totals.orderBy(*coarse).limit(MAX_OFFSET_ROWS + 1).collect()
-    if len(rows) > MAX_OFFSET_ROWS:
-        raise ValueError("offset table exceeds its size bound")
-    return rows
+def range_buckets(df: DataFrame, keys: list[str], n_buckets: int | None = None, out: str = "_bkt") -> DataFrame:
+    """``df`` with the number of its range partition over ``keys``, written once."""
+    dealt = df.repartitionByRange(n_buckets or default_buckets(df), *keys)
+    return checkpointed(dealt.withColumn(out, F.spark_partition_id()))
+
+
+def with_prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], weights: dict[str, Column | None],
+                     n_buckets: int | None = None, per_group: bool = False) -> DataFrame:
+    """Add, for each name in ``weights``, the total weight of all rows ordered strictly before the row.
+
+    Order is ``group_cols`` then ``order_cols`` (ascending).  With ``per_group`` sums restart in each
+    group.  A weight of None counts rows, which gives the 0-based row index.
+    """
+    keys = group_cols + order_cols
+    w = {f"_w{i}": (F.lit(1) if c is None else c).cast("bigint") for i, c in enumerate(weights.values())}
+    b = range_buckets(df.withColumns(w), keys, n_buckets)
+    coarse = (group_cols if per_group else []) + ["_bkt"]
+    totals = b.groupBy(*coarse).agg(*[F.sum(c).alias(c) for c in w])
+    upto = (Window.partitionBy(*group_cols) if per_group and group_cols else Window.partitionBy()).orderBy("_bkt")
+    upto = upto.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*coarse, *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_off") for c in w])
+    inside = Window.partitionBy(*coarse).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    local = b.withColumns({f"{c}_in": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in w})
+    on = F.lit(True)
+    for c in coarse:
+        on = on & F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}"))
+    joined = local.alias("l").join(offsets.alias("o"), on)
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns],
+                         *[(F.col(f"o.{c}_off") + F.col(f"l.{c}_in")).alias(out) for c, out in zip(w, weights)])
 
 
 def with_prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, tie_cols: list[str],
                     weight: str | None = None, n_buckets: int | None = None,
                     out: str = "_before", per_group: bool = False) -> DataFrame:
-    """Add ``out`` = total weight of all rows ordered strictly before the row.
+    """One prefix sum (see :func:`with_prefix_sums`)."""
+    return with_prefix_sums(df, group_cols, [order_col] + tie_cols, {out: F.col(weight) if weight else None},
+                            n_buckets, per_group)
 
-    Order is ``group_cols`` then ``order_col`` then ``tie_cols`` (ascending).  With
-    ``per_group`` the sum restarts in each ``group_cols`` value.  ``weight`` defaults
-    to 1 per row, which makes ``out`` the 0-based row index.
+
+def quantile_table(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None,
+                   n_buckets: int | None = None) -> DataFrame:
+    """``(by..., k, q)``: linear-interpolated quantiles (pandas/NumPy default) of each column per group.
+
+    One value histogram for all columns and groups (map-side combined), its prefix counts, and of
+    it only the values that hold a target rank.  Null and NaN values do not count; a group without
+    values has no row for that column.
     """
-    n_buckets = n_buckets or default_buckets(df)
-    spark = df.sparkSession
-    w = F.col(weight) if weight else F.lit(1)
-    b = df.withColumn("_bkt", bucket_column(df, order_col, n_buckets)).withColumn("_w", w.cast("bigint"))
-    coarse = group_cols + ["_bkt"]
-    rows = bucket_offsets(b, coarse, "_w")
-    acc, offs, prev_g = 0, [], None
-    for r in rows:
-        g = tuple(r[c] for c in group_cols)
-        if per_group and g != prev_g:
-            acc = 0
-        prev_g = g
-        offs.append(tuple(r[c] for c in coarse) + (acc,))
-        acc += r["_tot"]
-    schema = ", ".join(f"`{c}` {dict(b.dtypes)[c]}" for c in coarse) + ", _off bigint"
-    offsets = spark.createDataFrame(offs, schema) if offs else spark.createDataFrame([], schema)
-    lw = (Window.partitionBy(*coarse).orderBy(*[F.col(c) for c in [order_col] + tie_cols])
-          .rowsBetween(Window.unboundedPreceding, -1))
-    local = b.withColumn("_loc", F.coalesce(F.sum("_w").over(lw), F.lit(0)))
-    res = local.join(F.broadcast(offsets), coarse, "inner")
-    return res.withColumn(out, F.col("_off") + F.col("_loc")).drop("_bkt", "_w", "_off", "_loc")
+    by = by or []
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in cols]))
+    hist = (df.select(*by, cells.alias("s")).select(*by, "s.k", "s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+            .groupBy(*by, "k", "v").agg(F.count(F.lit(1)).alias("c")))
+    group = by + ["k"]
+    before = with_prefix_sums(hist, group, ["v"], {"s": F.col("c")}, n_buckets, per_group=True)
+    sizes = before.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.max(F.col("s") + F.col("c")).alias("n"))
+    wanted = sizes.withColumn("_t", F.explode(F.array(*[F.struct(
+        F.lit(i).alias("i"), ((F.col("n") - 1) * F.lit(float(p))).alias("pos")) for i, p in enumerate(probs)])))
+    targets = wanted.groupBy(*[f"_{g}" for g in group]).agg(F.collect_list("_t").alias("_ts"))
+    on = F.lit(True)
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    # Of each target position the values at its floor and at the next rank, where they lie in this value.
+    hit = F.expr("filter(_ts, t -> s <= floor(t.pos) + 1 AND s + c > floor(t.pos))")
+    held = before.join(targets, on).withColumn("_hit", F.explode(hit))
+    lo = F.max(F.when((F.col("s") <= F.floor("_hit.pos")) & (F.floor("_hit.pos") < F.col("s") + F.col("c")), F.col("v")))
+    hi = F.max(F.when((F.col("s") <= F.floor("_hit.pos") + 1) & (F.floor("_hit.pos") + 1 < F.col("s") + F.col("c")), F.col("v")))
+    ends = held.groupBy(*group, F.col("_hit.i").alias("_i"), F.col("_hit.pos").alias("_pos")).agg(lo.alias("_lo"), hi.alias("_hi"))
+    frac = F.col("_pos") - F.floor("_pos")
+    value = F.when((frac > 0) & F.col("_hi").isNotNull(), F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).otherwise(F.col("_lo"))
+    per = ends.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("_i", value.alias("v")))).alias("_m"))
+    return per.select(*group, F.array(*[F.element_at("_m", F.lit(i)) for i in range(len(probs))]).alias("q"))
 
 
 def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
                           n_buckets: int | None = None) -> dict[str, list]:
-    """Linear-interpolated quantiles (pandas/NumPy default) of several columns, distributed.
-
-    One value histogram for all columns (map-side combined), per-column range
-    buckets, bucket totals on the driver (bounded by columns x buckets), and a
-    window only inside the few buckets that hold the target ranks.
-    """
-    n_buckets = n_buckets or default_buckets(df)
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s"))
-    hist = (long.select("s.k", "s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
-            .groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")))
-    b = hist.withColumn("_bkt", bucket_column(hist, "v", n_buckets, "k"))
-    rows = bucket_offsets(b, ["k", "_bkt"], "c")
-    per_k: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
-        per_k[r["k"]].append((r["_bkt"], r["_tot"]))
-    need_buckets, targets = [], {}
-    for k, lst in per_k.items():
-        n = sum(t for _, t in lst)
-        starts, acc = [], 0
-        for bk, t in lst:
-            starts.append((bk, acc, t))
-            acc += t
-        pos_list = []
-        for p in probs:
-            if n == 0:
-                pos_list.append(None)
-                continue
-            pos = (n - 1) * p
-            lo = int(math.floor(pos))
-            hi = min(lo + 1, n - 1)
-            pos_list.append((lo, hi, pos - lo))
-            for idx in (lo, hi):
-                for bk, s, t in starts:
-                    if s <= idx < s + t:
-                        need_buckets.append((k, bk, s))
-        targets[k] = pos_list
-    if not need_buckets:
-        return {k: [None] * len(probs) for k in cols}
-    need_buckets = sorted(set(need_buckets))
-    start_of = {(k, bk): s for k, bk, s in need_buckets}
-    # positions each needed bucket must serve, so only straddling rows reach the driver
-    wanted: dict = {}
-    for k, pos_list in targets.items():
-        for t in pos_list:
-            if t is None:
-                continue
-            for idx in (t[0], t[1]):
-                for (kk, bk), st in start_of.items():
-                    if kk == k:
-                        wanted.setdefault((kk, bk), set()).add(idx)
-    bucket_cond = None
-    for k, bk, _ in need_buckets:
-        c = (F.col("k") == k) & (F.col("_bkt") == bk)
-        bucket_cond = c if bucket_cond is None else (bucket_cond | c)
-    lw = Window.partitionBy("k", "_bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    local = b.where(bucket_cond).withColumn("_loc", F.coalesce(F.sum("c").over(lw), F.lit(0)))
-    row_cond = None
-    for (k, bk), idxs in wanted.items():
-        pos = F.lit(start_of[(k, bk)]) + F.col("_loc")
-        hit = None
-        for idx in sorted(idxs):
-            h = (pos <= idx) & (pos + F.col("c") > idx)
-            hit = h if hit is None else (hit | h)
-        c = (F.col("k") == k) & (F.col("_bkt") == bk) & hit
-        row_cond = c if row_cond is None else (row_cond | c)
-    cells = [(r["k"], r["_bkt"], r["_loc"], r["c"], r["v"]) for r in local.where(row_cond).collect()]
-
-    def at(k, idx):
-        for kk, bk, loc, c, v in cells:
-            if kk == k:
-                s = start_of[(kk, bk)] + loc
-                if s <= idx < s + c:
-                    return v
-        raise RuntimeError("rank not found")
-
-    out = {}
-    for k in cols:
-        vals = []
-        for t in targets[k]:
-            if t is None:
-                vals.append(None)
-                continue
-            lo, hi, frac = t
-            vlo, vhi = at(k, lo), at(k, hi)
-            vals.append(vlo + (vhi - vlo) * frac if frac > 0 else vlo)
-        out[k] = vals
-    return out
+    """Quantiles of several columns as numbers: one row per column reaches the driver."""
+    found = {r["k"]: list(r["q"]) for r in quantile_table(df, cols, probs, n_buckets=n_buckets).collect()}
+    return {c: found.get(c, [None] * len(probs)) for c in cols}
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list:
     return exact_quantiles_multi(df, [col], probs)[col]
+
+
+def medians(df: DataFrame, cols: dict[str, str]) -> dict[str, Column]:
+    """Literals ``name -> median of column`` for use inside an aggregate over the same frame."""
+    q = exact_quantiles_multi(df, list(dict.fromkeys(cols.values())), [0.5])
+    return {name: F.lit(q[c][0]).cast("double").alias(name) for name, c in cols.items()}

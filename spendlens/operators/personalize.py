@@ -34,134 +34,86 @@ class CalibrationConfig:
     alpha_after_warmup: float = 0.2
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return e / e.sum(axis=1, keepdims=True)
+def softmax(z: np.ndarray) -> np.ndarray:
+    """Along the last axis, shifted by the maximum."""
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
 
 
-def calibrate_predict(W: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """softmax(p W^T + b)."""
-    return _softmax(np.atleast_2d(p) @ W.T + b)
+def start_params(users: int, k: int) -> np.ndarray:
+    """One (k, k + 1) matrix per user: identity weights and, in the last column, zero offsets."""
+    return np.tile(np.hstack([np.eye(k), np.zeros((k, 1))]), (users, 1, 1))
 
 
-def calibrate_fit(W: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, cfg: CalibrationConfig):
-    """Full-batch gradient steps on mean cross-entropy, L2 on W only, global-norm clip."""
-    n = max(len(x), 1)
-    onehot = np.zeros((len(x), cfg.n_classes))
-    onehot[np.arange(len(x)), y] = 1.0
+def calibrated(params: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """L11 for all users: softmax of the affine map of each user's probabilities ``p`` (users, rows, k)."""
+    return softmax(np.einsum("ujc,urc->urj", params, with_one(p)))
+
+
+def with_one(p: np.ndarray) -> np.ndarray:
+    return np.concatenate([p, np.ones(p.shape[:-1] + (1,))], axis=-1)
+
+
+def refit(params: np.ndarray, p: np.ndarray, target: np.ndarray, cfg: CalibrationConfig) -> np.ndarray:
+    """L12 for all users: ``epochs`` full-batch gradient steps on mean cross-entropy.
+
+    ``target`` is one-hot.  The penalty leaves offsets alone; a user's gradient is clipped by the
+    norm over weights and offsets together.
+    """
+    penalty = np.append(np.full(cfg.n_classes, cfg.l2), 0.0)
+    x = with_one(p)
     for _ in range(max(1, cfg.epochs)):
-        probs = calibrate_predict(W, b, x)
-        d = (probs - onehot) / n
-        gW = d.T @ x + cfg.l2 * W
-        gb = d.sum(axis=0)
-        norm = float(np.sqrt((gW ** 2).sum() + (gb ** 2).sum()))
-        if norm > cfg.grad_clip:
-            s = cfg.grad_clip / max(norm, 1e-12)
-            gW, gb = gW * s, gb * s
-        W = W - cfg.learning_rate * gW
-        b = b - cfg.learning_rate * gb
-    return W, b
-
-
-def _walk(pdf: pd.DataFrame, cfg: CalibrationConfig) -> pd.DataFrame:
-    pdf = pdf.sort_values(["week_start", "week_t"])
-    k = cfg.n_classes
-    probs = pdf[[f"proba_class_{i}" for i in range(k)]].to_numpy(dtype=float)
-    labels = pdf["label"].to_numpy(dtype=int)
-    is_test = pdf["is_test"].to_numpy(dtype=int)
-    weeks = pdf["week_t"].astype(str).to_numpy()
-    uid = int(pdf["user_id"].iloc[0]) if len(pdf) else 0
-    W, b = np.eye(k), np.zeros(k)
-    seen = since = updates = 0
-    out = []
-    total = len(pdf)
-    for i in range(total):
-        p = probs[i]
-        z = W @ p + b
-        z = np.exp(z - z.max())
-        pc = z / z.sum()
-        alpha = cfg.alpha_after_warmup if seen >= cfg.warmup_weeks else 0.0
-        pb = (1.0 - alpha) * p + alpha * pc
-        if is_test[i] == 1:
-            out.append((uid, weeks[i], i + 1, int(labels[i]), int(np.argmax(p)), int(np.argmax(pc)), int(np.argmax(pb)),
-                        float(np.max(pb)), updates, total))
-        seen += 1
-        since += 1
-        if seen >= cfg.warmup_weeks and since >= cfg.update_every_weeks:
-            lo = max(0, i + 1 - cfg.history_cap)          # buffer = the last history_cap revealed rows
-            W, b = calibrate_fit(W, b, probs[lo:i + 1], labels[lo:i + 1], cfg)
-            updates += 1
-            since = 0
-    cols = ["user_id", "week_t", "week_order", "y_true", "y_pred_base", "y_pred_cal", "y_pred_blend", "confidence",
-            "update_count", "user_total_history"]
-    return pd.DataFrame(out, columns=cols)
+        gradient = np.einsum("urj,urc->ujc", calibrated(params, p) - target, x) / p.shape[1] + penalty * params
+        norm = np.linalg.norm(gradient.reshape(len(gradient), -1), axis=1)
+        shrink = np.minimum(1.0, cfg.grad_clip / np.maximum(norm, 1e-12))
+        params = params - cfg.learning_rate * shrink[:, None, None] * gradient
+    return params
+
+
+def update_weeks(weeks: int, cfg: CalibrationConfig) -> list[int]:
+    """Numbers of seen rows after which a user refits: from the warm-up on, in the given step."""
+    first = max(cfg.warmup_weeks, cfg.update_every_weeks)
+    return list(range(first, weeks + 1, cfg.update_every_weeks))
 
 
 def _walk_many(pdf: pd.DataFrame, cfg: CalibrationConfig) -> pd.DataFrame:
-    """The walk of :func:`_walk` for many users at once.
+    """L13 for a group of users: predict with what earlier rows taught, row by row, test rows out.
 
-    Warm-up, update cadence and the history buffer depend only on the row position,
-    so every user refits at the same steps: users are padded to a (U, T, k) array and
-    each step / epoch is one batched ``matmul`` over all users.
+    When a user refits depends on the number of rows seen only, so all users move together: they
+    are padded to one (users, rows, classes) array, and between two refits every row is predicted
+    with the same parameters.
     """
-    cols = ["user_id", "week_t", "week_order", "y_true", "y_pred_base", "y_pred_cal", "y_pred_blend", "confidence",
-            "update_count", "user_total_history"]
+    names = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
     if pdf.empty:
-        return pd.DataFrame(columns=cols)
+        return pd.DataFrame(columns=names)
     k = cfg.n_classes
     pdf = pdf.sort_values(["user_id", "week_start", "week_t"], kind="mergesort").reset_index(drop=True)
-    uid = pdf["user_id"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]])
-    lens = np.diff(np.r_[starts, len(pdf)])
-    U, T = len(starts), int(lens.max())
-    user_of = np.repeat(np.arange(U), lens)
-    pos = np.arange(len(pdf)) - np.repeat(starts, lens)
-    P = np.zeros((U, T, k))
-    P[user_of, pos] = pdf[[f"proba_class_{i}" for i in range(k)]].to_numpy(dtype=float)
-    Y = np.zeros((U, T), dtype=int)
-    Y[user_of, pos] = pdf["label"].to_numpy(dtype=int)
-    OH = np.zeros((U, T, k))
-    OH[user_of, pos, Y[user_of, pos]] = 1.0
-    W = np.repeat(np.eye(k)[None], U, axis=0)
-    b = np.zeros((U, k))
-    pc_all = np.zeros((U, T, k))
-    upd_before = np.zeros(T, dtype=int)
-    since = updates = 0
-    for t in range(T):
-        z = np.matmul(W, P[:, t, :, None])[:, :, 0] + b
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        pc_all[:, t] = z / z.sum(axis=1, keepdims=True)
-        upd_before[t] = updates
-        since += 1
-        if t + 1 >= cfg.warmup_weeks and since >= cfg.update_every_weeks:
-            lo = max(0, t + 1 - cfg.history_cap)
-            x, oh = P[:, lo:t + 1], OH[:, lo:t + 1]
-            n = x.shape[1]
-            for _ in range(max(1, cfg.epochs)):
-                lg = np.matmul(x, W.transpose(0, 2, 1)) + b[:, None, :]
-                lg = np.exp(lg - lg.max(axis=2, keepdims=True))
-                pr = lg / lg.sum(axis=2, keepdims=True)
-                d = (pr - oh) / n
-                gW = np.matmul(d.transpose(0, 2, 1), x) + cfg.l2 * W
-                gb = d.sum(axis=1)
-                norm = np.sqrt((gW ** 2).sum(axis=(1, 2)) + (gb ** 2).sum(axis=1))
-                scale = np.where(norm > cfg.grad_clip, cfg.grad_clip / np.maximum(norm, 1e-12), 1.0)
-                W = W - cfg.learning_rate * gW * scale[:, None, None]
-                b = b - cfg.learning_rate * gb * scale[:, None]
-            updates += 1
-            since = 0
-    test = pdf["is_test"].to_numpy(dtype=int) == 1
-    u, ps = user_of[test], pos[test]
-    p, pc = P[u, ps], pc_all[u, ps]
-    alpha = np.where(ps >= cfg.warmup_weeks, cfg.alpha_after_warmup, 0.0)[:, None]
-    pb = (1.0 - alpha) * p + alpha * pc
-    return pd.DataFrame({
-        "user_id": uid[test].astype("int64"), "week_t": pdf["week_t"].astype(str).to_numpy()[test],
-        "week_order": (ps + 1).astype("int32"), "y_true": Y[u, ps].astype("int32"),
-        "y_pred_base": p.argmax(axis=1).astype("int32"), "y_pred_cal": pc.argmax(axis=1).astype("int32"),
-        "y_pred_blend": pb.argmax(axis=1).astype("int32"), "confidence": pb.max(axis=1),
-        "update_count": upd_before[ps].astype("int32"), "user_total_history": lens[u].astype("int32")}, columns=cols)
+    by_user = pdf.groupby("user_id", sort=False)
+    user, row = by_user.ngroup().to_numpy(), by_user.cumcount().to_numpy()
+    total = by_user["user_id"].transform("size").to_numpy()
+    users, rows = int(user.max()) + 1, int(total.max())
+    proba, target = np.zeros((users, rows, k)), np.zeros((users, rows, k))
+    proba[user, row] = pdf[[f"proba_class_{i}" for i in range(k)]].to_numpy(dtype=float)
+    label = pdf["label"].to_numpy(dtype=int)
+    target[user, row, label] = 1.0
+    refits = update_weeks(rows, cfg)
+    params, adapted = start_params(users, k), np.zeros_like(proba)
+    for since, until in zip([0, *refits], [*refits, rows]):
+        if since:
+            seen = slice(max(0, since - cfg.history_cap), since)
+            params = refit(params, proba[:, seen], target[:, seen], cfg)
+        adapted[:, since:until] = calibrated(params, proba[:, since:until])
+    test = np.flatnonzero(pdf["is_test"].to_numpy(dtype=int) == 1)
+    u, r = user[test], row[test]
+    base, cal = proba[u, r], adapted[u, r]
+    alpha = np.where(r >= cfg.warmup_weeks, cfg.alpha_after_warmup, 0.0)[:, None]
+    blend = (1.0 - alpha) * base + alpha * cal
+    out = {
+        "user_id": pdf["user_id"].to_numpy()[test].astype("int64"), "week_t": pdf["week_t"].astype(str).to_numpy()[test],
+        "week_order": r + 1, "y_true": label[test], "y_pred_base": base.argmax(axis=1), "y_pred_cal": cal.argmax(axis=1),
+        "y_pred_blend": blend.argmax(axis=1), "confidence": blend.max(axis=1),
+        "update_count": np.searchsorted(refits, r, side="right"), "user_total_history": total[test]}
+    return pd.DataFrame({c: out[c] if c in ("user_id", "week_t", "confidence") else out[c].astype("int32") for c in names})
 
 
 USERS_PER_GROUP = 1000

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import guarded_corr, median, share
 from . import windows as W
-from .ordering import exact_quantiles_multi
+from .ordering import exact_quantiles_multi, medians, quantile_table, with_prefix_sums
 
 EPS = 1e-8
 
@@ -36,7 +36,7 @@ def autocorr_summary(ac: DataFrame, lags=(1, 7, 30), ref_lag: int = 7) -> DataFr
     r = F.col(f"corr_lag{ref_lag}")
     nn = r.isNotNull()
     return ac.agg(
-        *[median(f"corr_lag{k}").alias(f"median_corr_lag{k}") for k in lags],
+        *medians(ac, {f"median_corr_lag{k}": f"corr_lag{k}" for k in lags}).values(),
         F.avg(F.when(nn, F.when(r < 0.1, 1.0).otherwise(0.0))).alias("share_lag7_below_0_1"),
         F.avg(F.when(nn, F.when((r >= 0.1) & (r < 0.3), 1.0).otherwise(0.0))).alias("share_lag7_0_1_to_0_3"),
         F.avg(F.when(nn, F.when(r >= 0.3, 1.0).otherwise(0.0))).alias("share_lag7_0_3_plus"),
@@ -90,7 +90,7 @@ def target_vs_rolling_corr(grid: DataFrame, keys=("user_id", "category"), date="
 
 def target_corr_summary(tv: DataFrame) -> DataFrame:
     c = F.col("corr_target_vs_roll7")
-    return tv.agg(median(c).alias("median_corr"),
+    return tv.agg(medians(tv, {"median_corr": "corr_target_vs_roll7"})["median_corr"],
                   F.avg(F.when(c.isNotNull(), F.when(c >= 0.9, 1.0).otherwise(0.0))).alias("share_corr_0_9_plus"))
 
 
@@ -133,11 +133,8 @@ def event_analysis(grid: DataFrame, keys=("user_id", "category"), date="event_da
 def event_summary(ev: DataFrame) -> DataFrame:
     return ev.agg(
         F.count(F.lit(1)).alias("pairs"),
-        median("event_rate").alias("median_event_rate"),
-        median("corr_lag1").alias("median_corr_lag1"),
-        median("corr_lag7").alias("median_corr_lag7"),
-        median("p_event_given_prev0").alias("median_p_event_given_prev0"),
-        median("p_event_given_prev1").alias("median_p_event_given_prev1"),
+        *medians(ev, {f"median_{c}": c for c in (
+            "event_rate", "corr_lag1", "corr_lag7", "p_event_given_prev0", "p_event_given_prev1")}).values(),
         F.avg("always_0_accuracy").alias("always_0_accuracy"),
         F.avg("frequency_accuracy").alias("frequency_accuracy"),
         F.avg("frequency_balanced_accuracy").alias("frequency_balanced_accuracy"),
@@ -201,87 +198,68 @@ def user_variance_summary(grid: DataFrame, user_stats: DataFrame, user="user_id"
 
 def category_signal(sp: DataFrame, ac: DataFrame, focus: list[str], category="category") -> DataFrame:
     """A15 + J8: median active % and median lag-7 correlation per category, full outer join, focus filter."""
-    a = sp.groupBy(category).agg(median("active_days_pct").alias("active_days_pct"))
-    b = ac.groupBy(category).agg(median("corr_lag7").alias("corr_lag7"))
-    return a.join(b, category, "full_outer").where(F.col(category).isin(*focus))
+    def per_category(df, value):
+        q = quantile_table(df.where(F.col(category).isin(*focus)), [value], [0.5], by=[category])
+        return q.select(category, F.col("q")[0].alias(value))
+
+    categories = (sp.select(category).unionByName(ac.select(category))
+                  .where(F.col(category).isin(*focus)).distinct())
+    return (categories.join(per_category(sp, "active_days_pct"), category, "left")
+            .join(per_category(ac, "corr_lag7"), category, "left"))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: str | None = None) -> DataFrame:
     """Q6: Spearman rank correlation with average ranks, NULL under 3 pairs.
 
-    Ranks come from each side's value histogram (cum count before + (count+1)/2);
-    the histograms are tiny for bucket data and are broadcast with a size check.
+    Ranks come from each side's value histogram (count before + (count + 1) / 2) by distributed
+    prefix sums, and meet the pairs' own histogram by value; any number of distinct values works.
     """
     grp = [by] if by else []
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*grp, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    cells = pairs.groupBy(*grp, "_a", "_b").agg(F.count(F.lit(1)).alias("_c"))
 
     def ranks(c):
-        h = pairs.groupBy(*grp, c).agg(F.count(F.lit(1)).alias("_n"))
-        if h.limit(100_001).count() > 100_000:
-            raise ValueError("rank histogram too large to broadcast")
-        w = Window.partitionBy(*grp).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return h.select(*grp, c, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(f"{c}_r"))
-
-    ra, rb = ranks("_a"), ranks("_b")
-    j = pairs.join(F.broadcast(ra), grp + ["_a"]).join(F.broadcast(rb), grp + ["_b"])
-    agg = j.groupBy(*grp) if grp else j.groupBy()
-    return agg.agg(F.count(F.lit(1)).alias("n_pairs"),
-                   F.when(F.count(F.lit(1)) >= 3, guarded_corr("_a_r", "_b_r", 0.0)).alias("spearman"))
-
-
-def ks_two_sample(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """Q9 statistic: max |ECDF_a - ECDF_b| over the pooled values.
-
-    Pooled per-value counts of both samples, ranked by the two-level prefix sum
-    (no single-partition window), then ``max(abs(F_a - F_b))``.
-    """
-    from .ordering import with_prefix_sum
-    sa = a.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    sb = b.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    pooled = (sa.select("v", F.lit(1).alias("ca"), F.lit(0).alias("cb"))
-              .unionByName(sb.select("v", F.lit(0).alias("ca"), F.lit(1).alias("cb")))
-              .groupBy("v").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb")))
-    na = sa.count()
-    nb = sb.count()
-    if na == 0 or nb == 0:
-        return pooled.sparkSession.createDataFrame([(None, na, nb)], "ks_statistic double, n_a bigint, n_b bigint")
-    ra = with_prefix_sum(pooled, [], "v", [], weight="ca", out="_ba")
-    rab = with_prefix_sum(ra, [], "v", [], weight="cb", out="_bb")
-    d = F.abs((F.col("_ba") + F.col("ca")) / F.lit(float(na)) - (F.col("_bb") + F.col("cb")) / F.lit(float(nb)))
-    return rab.agg(F.max(d).alias("ks_statistic"), F.lit(na).alias("n_a"), F.lit(nb).alias("n_b"))
+        h = cells.groupBy(*grp, c).agg(F.sum("_c").alias("_n"))
+        before = with_prefix_sums(h, grp, [c], {"_s": F.col("_n")}, per_group=True)
+        return before.select(*grp, c, (F.col("_s") + (F.col("_n") + 1) / 2.0).alias(f"{c}_r"))
+
+    j = cells.join(ranks("_a"), grp + ["_a"]).join(ranks("_b"), grp + ["_b"])
+    x, y, w = F.col("_a_r"), F.col("_b_r"), F.col("_c")
+    m = (j.groupBy(*grp) if grp else j.groupBy()).agg(
+        F.coalesce(F.sum(w), F.lit(0)).cast("bigint").alias("n_pairs"), F.sum(w * x).alias("_x"), F.sum(w * x * x).alias("_xx"),
+        F.sum(w * y * y).alias("_yy"), F.sum(w * x * y).alias("_xy"))
+    # Average ranks have mean (n + 1) / 2 on both sides; all sums are multiples of a quarter.
+    n = F.col("n_pairs")
+    mean2 = n * ((n + 1) / 2.0) * ((n + 1) / 2.0)
+    vx, vy = F.col("_xx") - mean2, F.col("_yy") - mean2
+    r = F.when((n >= 3) & (vx > 0) & (vy > 0), (F.col("_xy") - mean2) / F.sqrt(vx * vy))
+    return m.select(*grp, "n_pairs", r.alias("spearman"))
 
 
 def ks_two_sample_multi(frame: DataFrame, split_col: str, a_val: str, b_val: str, features: list[str],
                         n_buckets: int | None = None) -> DataFrame:
-    """Q9 statistic for many features in one pass.
+    """Q9 for many features in one pass: statistic, sample sizes, asymptotic p-value, similar flag.
 
-    Features are stacked to (feature, value, side) and pooled into a per-value
-    histogram (map-side combined); ECDFs come from per-feature range buckets
-    (offsets collected, bounded by features x buckets) plus a window inside
-    each bucket - never a single-partition window.
+    Features are stacked to (feature, value, side) and pooled into a per-value histogram (map-side
+    combined); both ECDFs come from one distributed prefix sum over (feature, value).  The p-value
+    is the Kolmogorov tail 2 sum (-1)^(j-1) exp(-2 j^2 t^2) at t = D sqrt(n_a n_b / (n_a + n_b));
+    ``similar`` means it is above 0.05.
     """
-    from .ordering import bucket_column, bucket_offsets, default_buckets
-    spark = frame.sparkSession
-    n_buckets = n_buckets or default_buckets(frame)
     side = F.col(split_col)
     long = frame.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"),
                  F.when(side == a_val, 1).otherwise(0).alias("a"), F.when(side == b_val, 1).otherwise(0).alias("b"))
         for c in features])).alias("s")).select("s.*").where(F.col("v").isNotNull())
     pooled = long.groupBy("feature", "v").agg(F.sum("a").cast("bigint").alias("a"), F.sum("b").cast("bigint").alias("b"))
-    bk = pooled.withColumn("_bkt", bucket_column(pooled, "v", n_buckets, "feature"))
-    tot = bk.groupBy("feature", "_bkt").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb")).orderBy("feature", "_bkt").collect()
-    offs, na, nb = [], {}, {}
-    for r in tot:
-        f = r["feature"]
-        offs.append((f, r["_bkt"], na.get(f, 0), nb.get(f, 0)))
-        na[f] = na.get(f, 0) + r["ta"]
-        nb[f] = nb.get(f, 0) + r["tb"]
-    off = spark.createDataFrame(offs, "feature string, _bkt int, _oa bigint, _ob bigint")
-    totals = spark.createDataFrame([(f, na[f], nb.get(f, 0)) for f in na], "feature string, n_a bigint, n_b bigint")
-    w = Window.partitionBy("feature", "_bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = bk.select("feature", "_bkt", F.sum("a").over(w).alias("_ca"), F.sum("b").over(w).alias("_cb"))
-    j = cum.join(F.broadcast(off), ["feature", "_bkt"]).join(F.broadcast(totals), "feature")
-    d = F.abs((F.col("_oa") + F.col("_ca")) / F.col("n_a") - (F.col("_ob") + F.col("_cb")) / F.col("n_b"))
-    return j.groupBy("feature").agg(F.max(d).alias("ks_statistic"), F.first("n_a").alias("n_a"),
-                                    F.first("n_b").alias("n_b"))
+    cum = with_prefix_sums(pooled, ["feature"], ["v"], {"_ba": F.col("a"), "_bb": F.col("b")}, n_buckets, per_group=True)
+    cum = cum.select("feature", (F.col("_ba") + F.col("a")).alias("ca"), (F.col("_bb") + F.col("b")).alias("cb"))
+    sizes = cum.groupBy("feature").agg(F.max("ca").alias("n_a"), F.max("cb").alias("n_b"))
+    d = F.abs(F.try_divide(F.col("ca"), F.col("n_a")) - F.try_divide(F.col("cb"), F.col("n_b")))
+    out = cum.join(sizes, "feature").groupBy("feature", "n_a", "n_b").agg(F.max(d).alias("ks_statistic"))
+    t = F.col("ks_statistic") * F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
+    out = out.withColumn("_t", t)
+    tail = sum(((-1) ** (j - 1) * 2.0 * F.exp(-2.0 * j * j * F.col("_t") * F.col("_t")) for j in range(1, 101)), F.lit(0.0))
+    # Below 0.2 the tail is 1 to twelve digits and the series is slow to converge.
+    p = F.when(F.col("_t") < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
+    p = F.when(F.col("ks_statistic").isNotNull(), p)
+    return out.select("feature", "ks_statistic", "n_a", "n_b", p.alias("p_value"), (p > 0.05).alias("similar"))

@@ -17,8 +17,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def with_weights(df: DataFrame, label: str, weights: DataFrame, out: str = "w")
     return df.join(F.broadcast(weights.select(label, F.col("weight").alias(out))), label, "left")
 
 
-def rf_classifier(features: list[str], label: str, n_trees: int = 120, max_depth: int = 12,
+def rf_classifier(features: list[str], label: str, n_trees: int = 250, max_depth: int = 12,
                   min_leaf: int = 1, max_features: str = "sqrt", weight: str | None = "w", seed: int = 42) -> Pipeline:
     """L1: random forest (depth capped at 30 by Spark)."""
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
@@ -51,8 +52,15 @@ def rf_classifier(features: list[str], label: str, n_trees: int = 120, max_depth
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), rf])
 
 
+def population_scaler(source: str, out: str, width: int, n_rows: int) -> list:
+    """Standardisation by mean and population deviation (Spark's scaler divides by the sample one)."""
+    factor = (max(n_rows, 2) / (max(n_rows, 2) - 1.0)) ** 0.5
+    return [StandardScaler(inputCol=source, outputCol=f"{source}_std", withMean=True, withStd=True),
+            ElementwiseProduct(inputCol=f"{source}_std", outputCol=out, scalingVec=Vectors.dense([factor] * width))]
+
+
 def logistic_regression(features: list[str], label: str, n_rows: int, C: float = 1.0,
-                        weight: str | None = "w", max_iter: int = 200) -> Pipeline:
+                        weight: str | None = "w", max_iter: int = 1200) -> Pipeline:
     """L2: standardised multinomial logistic regression with L2 penalty from C."""
     lr = LogisticRegression(featuresCol="scaled", labelCol=label, family="multinomial",
                             regParam=1.0 / (C * max(n_rows, 1)), elasticNetParam=0.0, maxIter=max_iter,
@@ -60,11 +68,11 @@ def logistic_regression(features: list[str], label: str, n_rows: int, C: float =
     if weight:
         lr.setWeightCol(weight)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
-                            StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True), lr])
+                            *population_scaler("features", "scaled", len(features), n_rows), lr])
 
 
-def sgd_log_loss(features: list[str], label: str, alpha: float = 1e-3, weight: str | None = "w",
-                 max_iter: int = 200) -> Pipeline:
+def sgd_log_loss(features: list[str], label: str, n_rows: int, alpha: float = 1e-3, weight: str | None = "w",
+                 max_iter: int = 1500) -> Pipeline:
     """L3: the log-loss objective with L2 alpha, one-vs-rest (the step schedule is not reproduced)."""
     base = LogisticRegression(featuresCol="scaled", labelCol=label, regParam=alpha, elasticNetParam=0.0,
                               maxIter=max_iter, standardization=False)
@@ -72,18 +80,18 @@ def sgd_log_loss(features: list[str], label: str, alpha: float = 1e-3, weight: s
     if weight:
         ovr.setWeightCol(weight)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
-                            StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True), ovr])
+                            *population_scaler("features", "scaled", len(features), n_rows), ovr])
 
 
-def preprocessor(numeric: list[str], categorical: list[str]) -> list:
+def preprocessor(numeric: list[str], categorical: list[str], n_rows: int) -> list:
     """Numeric columns scaled, categoricals one-hot (unknown -> the extra 'keep' slot)."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in categorical]
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in categorical], outputCols=[f"{c}_ohe" for c in categorical],
                         handleInvalid="keep")
     num = VectorAssembler(inputCols=numeric, outputCol="num_vec", handleInvalid="keep")
-    sc = StandardScaler(inputCol="num_vec", outputCol="num_scaled", withMean=True, withStd=True)
+    sc = population_scaler("num_vec", "num_scaled", len(numeric), n_rows)
     allv = VectorAssembler(inputCols=["num_scaled"] + [f"{c}_ohe" for c in categorical], outputCol="features")
-    return idx + [ohe, num, sc, allv]
+    return idx + [ohe, num, *sc, allv]
 
 
 def linear_regressor(numeric: list[str], categorical: list[str], label: str, kind: str, n_rows: int,
@@ -95,10 +103,10 @@ def linear_regressor(numeric: list[str], categorical: list[str], label: str, kin
         lam = alpha * l1_ratio + y_std * alpha * (1 - l1_ratio)
         reg, en = lam, (alpha * l1_ratio / lam if lam else 0.0)
     else:
-        reg, en = 5e-4 * y_std, 0.0
+        reg, en = alpha * y_std, 0.0
     lr = LinearRegression(featuresCol="features", labelCol=label, regParam=reg, elasticNetParam=en,
-                          standardization=False, maxIter=200)
-    return Pipeline(stages=preprocessor(numeric, categorical) + [lr])
+                          standardization=False, maxIter=5000)
+    return Pipeline(stages=preprocessor(numeric, categorical, n_rows) + [lr])
 
 
 def scaler_table(df: DataFrame, features: list[str]) -> DataFrame:
@@ -141,19 +149,65 @@ def coefficients(model: PipelineModel, features: list[str], spark) -> DataFrame:
         F.desc("abs_coefficient"), "class", "feature")
 
 
-def cv_expanding(frame: DataFrame, make, label: str, n_splits: int, evaluate) -> list[tuple[int, DataFrame]]:
-    """Fit on rows before each test block, score the block (frame holds row_index / test_fold)."""
+def expanding_fold(frame: DataFrame, i: int, n_splits: int, label: str, weight: str = "w") -> tuple[DataFrame, DataFrame]:
+    """Train rows before test block ``i`` with class weights of their own, and the block."""
     size, n = frame.select("test_size", "n_rows").first()
-    start = n - n_splits * size
+    train = frame.where(F.col("row_index") < n - (n_splits - i + 1) * size)
+    return with_weights(train, label, class_weights(train, label), weight), frame.where(F.col("test_fold") == i)
+
+
+def cv_expanding(frame: DataFrame, make, label: str, n_splits: int, evaluate) -> list[tuple[int, DataFrame]]:
+    """Fit on rows before each test block, score the block (frame holds row_index / test_fold).
+
+    Class weights come from the rows a fold trains on, so nothing later leaks into a fit.
+    """
     out = []
     for i in range(1, n_splits + 1):
-        tr = frame.where(F.col("row_index") < start + (i - 1) * size)
-        te = frame.where(F.col("test_fold") == i)
-        model = make(tr).fit(tr)
-        out.append((i, evaluate(model.transform(te))))
+        train, test = expanding_fold(frame, i, n_splits, label)
+        out.append((i, evaluate(make(train).fit(train).transform(test))))
     return out
 
 
+# The settings searched per learner (solver, step size and iteration variants that
+# leave a converged optimum unchanged are not repeated).
+SEARCH = {
+    "logistic_regression": [{"C": c} for c in (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)],
+    "sgd_classifier": [{"alpha": a} for a in (0.0001, 0.001, 0.01, 0.1)],
+    "random_forest": [{"n_trees": t, "max_depth": d, "min_leaf": m, "max_features": f}
+                      for t in (100, 150, 200) for d in (12, 18, 24) for m in (2, 4, 6) for f in ("sqrt", "log2")],
+}
+RF_SETTINGS = 50
+
+
+def learner(name: str, features: list[str], label: str, n_rows: int, **setting) -> Pipeline:
+    if name == "random_forest":
+        return rf_classifier(features, label, **setting)
+    if name == "logistic_regression":
+        return logistic_regression(features, label, n_rows, **setting)
+    return sgd_log_loss(features, label, n_rows, **setting)
+
+
+def search(frame: DataFrame, name: str, features: list[str], label: str, n_splits: int, score, seed: int = 42,
+           settings: list[dict] | None = None) -> list[tuple[dict, list[float]]]:
+    """Every setting's score on every expanding fold; a forest's settings are a seeded sample of 50.
+
+    ``score`` maps a scored fold to a number.  The caller refits the setting with the best mean.
+    """
+    folds = [tuple(f.persist() for f in expanding_fold(frame, i, n_splits, label)) for i in range(1, n_splits + 1)]
+    sizes = [train.count() for train, _ in folds]
+
+    def run(setting: dict) -> list[float]:
+        return [score(learner(name, features, label, n, **setting).fit(train).transform(test))
+                for n, (train, test) in zip(sizes, folds)]
+
+    try:
+        return random_search(settings or SEARCH[name], RF_SETTINGS, seed, run)
+    finally:
+        for train, test in folds:
+            train.unpersist()
+            test.unpersist()
+
+
 def random_search(grid: list[dict], n_iter: int, seed: int, score, parallelism: int = 4) -> list[tuple[dict, float]]:
     """Seeded sample of the grid (all of it when smaller), scored in parallel threads."""
     settings = list(grid)

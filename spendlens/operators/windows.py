@@ -115,19 +115,3 @@ def rolling_entropy(bucket, w, k: int = 4, classes=(0, 1, 2, 3)) -> Column:
     for t in terms[1:]:
         total = total + t
     return F.when(n > 0, total).otherwise(F.lit(0.0))
-
-
-def row_order(w) -> Column:
-    """1-based running number."""
-    return F.row_number().over(w)
-
-
-def running_mean(c, w) -> Column:
-    """Cumulative mean up to and including the row."""
-    return F.avg(col(c)).over(w.rowsBetween(UNB, 0))
-
-
-def group_size(keys) -> Column:
-    """Rows in the row's partition."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    return F.count(F.lit(1)).over(Window.partitionBy(*keys))

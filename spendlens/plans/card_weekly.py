@@ -10,7 +10,7 @@ from ..functions.expr import count_if
 from ..operators import bucketing as B
 from ..operators import card_features as C
 from ..operators import stats
-from ..operators.ordering import exact_quantiles
+from ..operators.ordering import exact_quantiles, exact_quantiles_multi, medians
 from ..sources.tables import oracle_with, table, tx_sparse
 from . import shared
 from .registry import register, rounded
@@ -99,7 +99,7 @@ def features_21(spark, sf_dir):
         sd = split_date_of(spark, sf_dir)
         tx = valid_tx(spark, sf_dir).withColumn(
             "split", F.when(F.col("event_date") <= F.lit(sd), F.lit("train")).otherwise(F.lit("test")))
-        return C.card_features(rb, tx, st, split="split").select(*C.CARD_FEATURES_21, "split")
+        return C.card_features(rb, tx, st, split="split", missing="exclude").select(*C.CARD_FEATURES_21, "split")
     return shared.frame(spark, "card_features_21", sf_dir, build)
 
 
@@ -252,11 +252,12 @@ SELECT round(quantile_cont(total_transactions, 0.1), 4) AS tx_p10, round(quantil
 FROM flags""")
 def a11(spark, sf_dir):
     f = flags_of(spark, sf_dir)
-    p = lambda c, q: F.percentile(F.col(c), q)
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    names = {"total_transactions": "tx", "activity_span_days": "span", "avg_txn_per_week": "rate"}
+    found = exact_quantiles_multi(f, list(names), probs)
     out = f.agg(
-        *[p("total_transactions", q).alias(f"tx_p{int(q * 100)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9)],
-        *[p("activity_span_days", q).alias(f"span_p{int(q * 100)}") for q in (0.1, 0.5, 0.9)],
-        *[p("avg_txn_per_week", q).alias(f"rate_p{int(q * 100)}") for q in (0.1, 0.5, 0.9)],
+        *[F.lit(found[c][i]).cast("double").alias(f"{short}_p{int(q * 100)}") for c, short in names.items()
+          for i, q in enumerate(probs) if short == "tx" or q in (0.1, 0.5, 0.9)],
         count_if("ok_tx").alias("transactions_ok"), count_if("ok_span").alias("activity_span_ok"),
         count_if("ok_rate").alias("txn_per_week_ok"), count_if("ok_gap").alias("max_gap_ok"))
     return rounded(out, 4, {f"rate_p{k}": 6 for k in (10, 50, 90)})
@@ -478,19 +479,35 @@ def j15(spark, sf_dir):
     return leakage_check(feats.join(st, "user_id"), tr)
 
 
+# The ten first-tier features, then the four of the third tier.
 KS_FEATURES = ["z_score", "entropy", "txn_count", "relative_txn_count", "delta_amount", "delta_bucket",
-               "rolling_mean_8w", "rolling_std_8w", "recency_days", "user_cv"]
+               "rolling_mean_8w", "rolling_std_8w", "recency_days", "user_cv",
+               "category_diversity", "dominant_category_ratio", "amount_t_minus_1", "amount_t_minus_2"]
 
 
 def _ks_sql(c: str) -> str:
-    return f"""(SELECT '{c}' AS feature, round(max(abs(ca / na - cb / nb)), 6) AS ks_statistic, any_value(na) AS n_a, any_value(nb) AS n_b
+    return f"""(SELECT '{c}' AS feature, max(abs(ca / na - cb / nb)) AS d, CAST(any_value(na) AS BIGINT) AS n_a,
+         CAST(any_value(nb) AS BIGINT) AS n_b
   FROM (SELECT v, sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb,
                sum(a) OVER () AS na, sum(b) OVER () AS nb
         FROM (SELECT CAST({c} AS DOUBLE) AS v, count(*) FILTER (WHERE split = 'train') AS a,
                      count(*) FILTER (WHERE split = 'test') AS b FROM feat WHERE {c} IS NOT NULL GROUP BY 1)))"""
 
 
-@register("Q9_ks_statistic", _FEAT_SQL + "\n" + " UNION ALL ".join(_ks_sql(c) for c in KS_FEATURES))
+@register("J5_rows_without_user_stats", _RB_SQL + """
+SELECT r.split, count(*) AS n_rows, count(DISTINCT r.user_id) AS n_users
+FROM rb r ANTI JOIN ust s ON s.user_id = r.user_id GROUP BY 1""")
+def j5(spark, sf_dir):
+    """What L17 leaves out: rows of users that have no train statistics."""
+    out = C.rows_without_stats(rebucketed(spark, sf_dir), user_stats_of(spark, sf_dir))
+    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("user_id").alias("n_users"))
+
+
+@register("Q9_ks_statistic", _FEAT_SQL + ",\nks AS (" + " UNION ALL ".join(_ks_sql(c) for c in KS_FEATURES) + """),
+kt AS (SELECT *, d * sqrt(CAST(n_a AS DOUBLE) * n_b / (n_a + n_b)) AS t FROM ks),
+kp AS (SELECT *, CASE WHEN t < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT sum((CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END)
+         * exp(-2.0 * j * j * t * t)) FROM range(1, 101) AS r(j)))) END AS p FROM kt)
+SELECT feature, round(d, 6) AS ks_statistic, n_a, n_b, round(p, 6) AS p_value, p > 0.05 AS similar FROM kp""")
 def q9(spark, sf_dir):
     f = features_21(spark, sf_dir)
     return rounded(stats.ks_two_sample_multi(f, "split", "train", "test", KS_FEATURES), 6)
@@ -502,9 +519,10 @@ SELECT round(min(q25), 4) AS q25_min, round(quantile_cont(q25, 0.5), 4) AS q25_m
        CAST(sum(CASE WHEN fallback THEN 1 ELSE 0 END) AS BIGINT) AS fallback_users FROM t1_u""")
 def a26(spark, sf_dir):
     thr, _ = user_thresholds(spark, sf_dir, "amount_t_plus_1")
-    return rounded(thr.agg(F.min("q25").alias("q25_min"), F.percentile("q25", 0.5).alias("q25_median"),
+    mid = medians(thr, {"q25_median": "q25", "q75_median": "q75"})
+    return rounded(thr.agg(F.min("q25").alias("q25_min"), mid["q25_median"],
                            F.max("q25").alias("q25_max"), F.min("q75").alias("q75_min"),
-                           F.percentile("q75", 0.5).alias("q75_median"), F.max("q75").alias("q75_max"),
+                           mid["q75_median"], F.max("q75").alias("q75_max"),
                            count_if("fallback").alias("fallback_users")))
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import bucket_strict, entropy_level
 from ..functions.calendar import is_month_end, is_weekend
-from ..functions.expr import median, share
+from ..functions.expr import share
 from ..operators import bucketing as B
 from ..operators import stats
 from ..operators import windows as W
 from ..operators.grid import attach_user_daily
+from ..operators.ordering import exact_quantiles
 from .daily_signal import FOCUS, _GRID_SQL, grid_of
 from . import shared
 from .registry import register, rounded
@@ -202,8 +203,9 @@ SELECT round(quantile_cont(entropy, 0.1), 6) AS p10, round(quantile_cont(entropy
 def q7s(spark, sf_dir):
     e = user_entropy(spark, sf_dir)
     lv = F.col("entropy_level")
-    return rounded(e.agg(F.percentile("entropy", 0.1).alias("p10"), median("entropy").alias("p50"),
-                         F.percentile("entropy", 0.9).alias("p90"), share(lv == "low").alias("share_low"),
+    probs = [0.1, 0.5, 0.9]
+    found = exact_quantiles(e, "entropy", probs)
+    return rounded(e.agg(*[F.lit(v).cast("double").alias(f"p{int(q * 100)}") for q, v in zip(probs, found)], share(lv == "low").alias("share_low"),
                          share(lv == "medium").alias("share_medium"), share(lv == "high").alias("share_high")), 6)
 
 

@@ -6,7 +6,9 @@ Model outputs are not reproducible in SQL, so these queries are checked by rows
 
 from __future__ import annotations
 
+import hashlib
 import os
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -43,11 +45,11 @@ def fitted(spark, sf_dir, name):
     def build():
         tr = weighted_train(spark, sf_dir)
         if name == "random_forest":
-            est = T.rf_classifier(FLOW_FEATURES_31, TARGET, n_trees=120, max_depth=12, min_leaf=2)
+            est = T.rf_classifier(FLOW_FEATURES_31, TARGET, n_trees=250, max_depth=12, min_leaf=2)
         elif name == "logistic_regression":
             est = T.logistic_regression(FLOW_FEATURES_31, TARGET, tr.count(), C=1.0)
         else:
-            est = T.sgd_log_loss(FLOW_FEATURES_31, TARGET, alpha=1e-3)
+            est = T.sgd_log_loss(FLOW_FEATURES_31, TARGET, tr.count(), alpha=1e-3)
         return est.fit(tr)
     return shared.value(spark, f"model_{name}", sf_dir, build)
 
@@ -139,7 +141,7 @@ def m20(spark, sf_dir):
 def m21(spark, sf_dir):
     """S10 round trip: save the forest to the shared checkpoint folder, load it, re-score the golden rows."""
     model = fitted(spark, sf_dir, "random_forest")
-    path = os.path.join(ensure_checkpoint_dir(spark), "models", "random_forest_" + str(abs(hash(sf_dir))))
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", "random_forest_" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
     T.save_model(model, path)
     again = T.load_model(path)
     _, te = train_test(spark, sf_dir)
@@ -166,8 +168,6 @@ def m28c(spark, sf_dir):
 @register("L7_cv_expanding")
 def l7(spark, sf_dir):
     fx = EV.folds_of(spark, sf_dir)
-    w = weights_of(spark, sf_dir)
-    fxw = T.with_weights(fx, TARGET, w)
 
     def make(tr):
         return T.logistic_regression(FLOW_FEATURES_31, TARGET, tr.count(), C=1.0)
@@ -175,34 +175,55 @@ def l7(spark, sf_dir):
     def evaluate(pred):
         return M.classification_summary(pred.withColumn("p", F.col("prediction").cast("int")), TARGET, "p")
 
-    parts = [df.withColumn("fold", F.lit(i)) for i, df in T.cv_expanding(fxw, make, TARGET, EV.N_SPLITS, evaluate)]
+    parts = [df.withColumn("fold", F.lit(i)) for i, df in T.cv_expanding(fx, make, TARGET, EV.N_SPLITS, evaluate)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+@register("L7_fold_class_weights", EV._FLOW_TEST + f""",
+ix AS (SELECT *, row_number() OVER (ORDER BY week_start, user_id) - 1 AS i, count(*) OVER () AS n FROM ftr),
+fo AS (SELECT f.fold, ix.bucket_spend_t_plus_1, count(*) AS n_c FROM ix, range(1, {EV.N_SPLITS} + 1) AS f(fold)
+       WHERE i < n - ({EV.N_SPLITS} - f.fold + 1) * (n // ({EV.N_SPLITS} + 1)) GROUP BY ALL)
+SELECT CAST(fold AS INT) AS fold, bucket_spend_t_plus_1, n_c,
+       round(sum(n_c) OVER (PARTITION BY fold) / (count(*) OVER (PARTITION BY fold) * n_c), 6) AS weight FROM fo""")
+def l7w(spark, sf_dir):
+    """Class weights of every expanding fold, from the rows it trains on."""
+    fx = EV.folds_of(spark, sf_dir)
+    out = None
+    for i in range(1, EV.N_SPLITS + 1):
+        train, _ = T.expanding_fold(fx, i, EV.N_SPLITS, TARGET)
+        w = T.class_weights(train, TARGET).withColumn("fold", F.lit(i))
+        out = w if out is None else out.unionByName(w)
+    return rounded(out, 6)
+
+
+def _searched(spark, sf_dir, name):
+    """Every setting's folds, and the refitted best on the test rows."""
+    def macro(pred):
+        p = pred.withColumn("p", F.col("prediction").cast("int"))
+        return M.classification_summary(p, TARGET, "p").first()["f1_macro"] or 0.0
+
+    found = T.search(EV.folds_of(spark, sf_dir), name, FLOW_FEATURES_31, TARGET, EV.N_SPLITS, macro)
+    best = max(found, key=lambda s: statistics.mean(s[1]))[0]
+    tr, (_, te) = weighted_train(spark, sf_dir), train_test(spark, sf_dir)
+    test = macro(T.learner(name, FLOW_FEATURES_31, TARGET, tr.count(), **best).fit(tr).transform(te))
+    rows = [(name, str(s), [float(v) for v in f], statistics.mean(f), statistics.pstdev(f), s == best, test if s == best else None)
+            for s, f in found]
+    return spark.createDataFrame(rows, "model string, setting string, fold_f1_macro array<double>, mean_f1_macro double, "
+                                       "std_f1_macro double, best boolean, test_f1_macro double")
+
+
 @register("L8_random_search")
 def l8(spark, sf_dir):
-    fx = T.with_weights(EV.folds_of(spark, sf_dir), TARGET, weights_of(spark, sf_dir))
-    size, n = fx.select("test_size", "n_rows").first()
-    start = n - EV.N_SPLITS * size
-    grid = [{"C": c} for c in (0.001, 0.01, 0.1, 1.0, 10.0)]
-
-    def score(setting):
-        vals = []
-        for i in range(1, EV.N_SPLITS + 1):
-            tr = fx.where(F.col("row_index") < start + (i - 1) * size)
-            te = fx.where(F.col("test_fold") == i)
-            m = T.logistic_regression(FLOW_FEATURES_31, TARGET, start + (i - 1) * size, C=setting["C"]).fit(tr)
-            pr = m.transform(te).withColumn("p", F.col("prediction").cast("int"))
-            vals.append(M.classification_summary(pr, TARGET, "p").first()["f1_macro"] or 0.0)
-        import statistics
-        return statistics.mean(vals), statistics.pstdev(vals)
-
-    res = T.random_search(grid, 3, 42, score)
-    rows = [(float(s["C"]), float(m), float(sd)) for s, (m, sd) in res]
-    return spark.createDataFrame(rows, "C double, mean_f1_macro double, std_f1_macro double").orderBy(F.desc("mean_f1_macro"))
+    """Full logistic grid; the best setting is refitted and scored on the test rows."""
+    return _searched(spark, sf_dir, "logistic_regression")
+
+
+@register("L8_sgd_search")
+def l8s(spark, sf_dir):
+    return _searched(spark, sf_dir, "sgd_classifier")
 
 
 @register("L4_regressors")
@@ -211,7 +232,7 @@ def l4(spark, sf_dir):
     tr, te = reg.where("is_test = 0"), reg.where("is_test = 1")
     st = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("amount_cat_t_plus_1").alias("s")).first()
     outs = []
-    for kind, alpha in (("ridge", 1.0), ("elasticnet", 0.01), ("sgd", 1e-4)):
+    for kind, alpha in (("ridge", 1.0), ("elasticnet", 0.001), ("sgd", 0.0005)):
         model = T.linear_regressor(REGRESSION_NUMERIC, ["category", "flow_direction"], "amount_cat_t_plus_1", kind,
                                    st["n"], st["s"] or 1.0, alpha=alpha).fit(tr)
         pred = model.transform(te)
@@ -280,6 +301,21 @@ def m27(spark, sf_dir):
         "user_id", "week_t", "week_order", "y_true", "y_pred_base", "y_pred_cal", "y_pred_blend", "update_count")
 
 
+@register("P10_tfidf_weights", """
+WITH lab AS (SELECT p_name, count(*) AS rows FROM part WHERE p_name IS NOT NULL GROUP BY 1),
+word AS (SELECT p_name, rows, ' ' || w || ' ' AS w
+         FROM (SELECT p_name, rows, unnest(string_split_regex(lower(p_name), '\\s+')) AS w FROM lab) WHERE w <> ''),
+gram AS (SELECT p_name, rows, substr(w, i, n) AS term
+         FROM word, unnest([3, 4, 5]) AS a(n), unnest(range(1, length(w) - n + 2)) AS b(i)),
+tf AS (SELECT p_name, rows, term, count(*) AS tf FROM gram GROUP BY ALL),
+df AS (SELECT term, sum(rows) AS df FROM tf GROUP BY 1 HAVING sum(rows) >= 2),
+x AS (SELECT p_name, term, tf * (ln((1.0 + (SELECT sum(rows) FROM lab))::DOUBLE / (1.0 + df)::DOUBLE) + 1) AS x FROM tf JOIN df USING (term))
+SELECT p_name, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY p_name)), 6) AS weight FROM x""")
+def p10w(spark, sf_dir):
+    from ..operators.categories import tfidf_weights
+    return rounded(tfidf_weights(table(spark, sf_dir, "part", ["p_name"]), "p_name"), 6)
+
+
 @register("P10_collapse_tfidf")
 def p10(spark, sf_dir):
     part = table(spark, sf_dir, "part", ["p_partkey", "p_name"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,8 +42,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used as is.  Only when the
-    setting is absent (local tests) a fresh scratch folder is created.
+    A cluster names a shared folder there; it is used as is.  Where the setting is absent, a local
+    session gets a scratch folder; on a cluster that is an error, since executors could not see it.
     """
     sc = spark.sparkContext
     existing = sc.getCheckpointDir()
@@ -51,12 +51,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return existing
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="spendlens-ckpt-")
     sc.setCheckpointDir(current)
     return current
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    return df.checkpoint(eager=True)

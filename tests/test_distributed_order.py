@@ -88,3 +88,38 @@ def test_chi2_yates_only_at_one_dof(spark):
     ref = sum((abs(o - e) - 0.5) ** 2 / e for o, e in exp)
     assert abs(r["chi2"] - ref) < 1e-9 and r["dof"] == 1
     assert 0 < r["p_value"] < 0.05
+
+
+def test_one_hot_week_is_cut_by_the_second_key(spark):
+    rows = [(1, u) for u in range(990)] + [(2, u) for u in range(10)]
+    df = spark.createDataFrame(rows, "week int, user int")
+    dealt = O.range_buckets(df, ["week", "user"], 8)
+    assert dealt.where("week = 1").select("_bkt").distinct().count() > 3
+    got = {(r["week"], r["user"]): r["i"] for r in O.with_prefix_sum(df, [], "week", ["user"], out="i", n_buckets=8).collect()}
+    assert all(got[r] == i for i, r in enumerate(rows))
+
+
+def test_quantiles_by_group_with_nulls(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, float("nan"), rnd.uniform(0, 9)])) for _ in range(400)] + [("void", None)]
+    got = {r["g"]: r["q"] for r in O.quantile_table(spark.createDataFrame(rows, "g string, v double"), ["v"], [0.1, 0.5], by=["g"]).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, q in got.items():
+        assert np.allclose(q, np.quantile([v for k, v in rows if k == g and v is not None and v == v], [0.1, 0.5]))
+
+
+def test_spearman_beyond_the_former_limit(spark):
+    n = 100_500
+    df = spark.range(n).select(F.col("id").alias("a"), F.when(F.col("id") < n - 1, F.col("id")).otherwise(-1).alias("b"))
+    r = S.spearman(df, "a", "b").first()
+    assert r["n_pairs"] == n and 0.9999 < r["spearman"] < 1
+    assert S.spearman(df.limit(2), "a", "b").first()["spearman"] is None
+
+
+def test_spearman_with_ties_against_pandas(spark):
+    rnd = random.Random(3)
+    pdf = pd.DataFrame({"g": [rnd.choice("xy") for _ in range(300)], "a": [rnd.randint(0, 5) for _ in range(300)],
+                        "b": [rnd.randint(0, 4) for _ in range(300)]})
+    got = {r["g"]: r["spearman"] for r in S.spearman(spark.createDataFrame(pdf), "a", "b", by="g").collect()}
+    for g, part in pdf.groupby("g"):
+        assert abs(got[g] - part["a"].rank().corr(part["b"].rank())) < 1e-12

@@ -84,3 +84,31 @@ def test_tfidf_collapse_rules(spark):
     got = {r["raw_category"]: r["category"] for r in collapse_categories(df, "tfidf", n_clusters=3).collect()}
     assert all(v.startswith("cluster_") and len(v) == 10 for v in got.values())
     assert len(set(got.values())) <= 3
+
+
+def test_full_grid_beyond_the_former_category_limit(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    tx = spark.range(10_050).select(F.lit(1).alias("user_id"), F.concat(F.lit("c"), F.col("id")).alias("category"),
+                                    F.lit(dt.date(2024, 1, 1)).alias("event_date"), F.lit(2.0).alias("amount"))
+    from spendlens.operators.grid import daily_grid_full
+    r = daily_grid_full(tx).agg(F.count("*"), F.sum("amount")).first()
+    assert tuple(r) == (10_050, 20_100.0)
+
+
+def test_user_stats_fail_or_exclude(spark):
+    import pytest
+    from spendlens.operators import card_features as C
+    lag = spark.createDataFrame([(1, "w"), (2, "w"), (2, "x")], "user_id long, week_t string")
+    stats = spark.createDataFrame([(1, 3.0)], "user_id long, user_mean_amount double")
+    with pytest.raises(RuntimeError, match="2 rows"):
+        C.attach_user_stats(lag, stats)
+    assert C.attach_user_stats(lag, stats, missing="exclude").count() == 1
+    assert C.rows_without_stats(lag, stats).count() == 2
+
+
+def test_word_grams_of_short_words(spark):
+    from spendlens.operators.categories import word_grams
+    from pyspark.sql import functions as F
+    got = spark.createDataFrame([("A at  cat",)], "t string").select(word_grams(F.col("t")).alias("g")).first()["g"]
+    assert sorted(got) == sorted([" a ", " at", "at ", " at ", " ca", "cat", "at ", " cat", "cat ", " cat "])

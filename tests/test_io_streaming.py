@@ -75,3 +75,14 @@ def test_streaming_weekly_matches_batch(spark):
     max_week = batch.agg(F.max("week_start")).first()[0]
     old = batch.where(F.col("week_start") < F.lit(max_week - dt.timedelta(days=28)))
     assert old.select(*cols).exceptAll(got.select(*cols)).count() == 0
+
+
+def test_scan_dir_takes_the_preferred_or_the_largest_file(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "small.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "sub" / "large.csv").write_text("x\n" + "7\n" * 50)
+    (tmp_path / "notes.txt").write_text("z" * 5000)
+    assert IO.scan_dir(spark, str(tmp_path)).columns == ["x"]
+    assert IO.scan_dir(spark, str(tmp_path), preferred="small.csv").columns == ["a", "b"]
+    with pytest.raises(FileNotFoundError):
+        IO.scan_dir(spark, str(tmp_path), glob="*.tsv")
