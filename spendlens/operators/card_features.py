@@ -130,6 +130,16 @@ def split_profile(train: DataFrame, test: DataFrame, user="user_id", date="event
         F.countDistinct(week_start(date)).alias("distinct_weeks"))
 
 
+def split_ratio(train: DataFrame, test: DataFrame, date="event_date", few_weeks: int = 10) -> DataFrame:
+    """Train rows per test row, and whether the test split covers fewer than ``few_weeks`` weeks."""
+    both = train.select(date, F.lit(1).alias("_t")).unionByName(test.select(date, F.lit(0).alias("_t")))
+    s = both.agg(count_if(F.col("_t") == 1).alias("train_transactions"), count_if(F.col("_t") == 0).alias("test_transactions"),
+                 F.countDistinct(F.when(F.col("_t") == 0, week_start(date))).alias("test_weeks"))
+    ratio = F.col("train_transactions") / F.greatest(F.col("test_transactions"), F.lit(1))
+    return s.select("train_transactions", "test_transactions", ratio.alias("train_test_ratio"), "test_weeks",
+                    (F.col("test_weeks") < few_weeks).alias("few_test_weeks"))
+
+
 def weekly_amounts(tx: DataFrame, q25, q75, user="user_id", date="event_date", amount="amount") -> DataFrame:
     """A16 + B2: per (user, Monday) sum, first and last transaction date, count, bucket, label."""
     wk = tx.withColumn("week_key", week_start(date))

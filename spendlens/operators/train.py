@@ -232,30 +232,46 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def prediction_parity(a: DataFrame, b: DataFrame, key: list[str], n_classes: int = 4) -> DataFrame:
-    """Agreement of two scored sets joined on the row key: class match, mean cosine of
-    probability vectors, full rank-order agreement, probability-sum range, first mismatch."""
-    pa = F.array(*[F.col(f"a{i}") for i in range(n_classes)])
-    pb = F.array(*[F.col(f"b{i}") for i in range(n_classes)])
-    sa = a.select(*key, *[F.col(f"proba_class_{i}").alias(f"a{i}") for i in range(n_classes)], F.col("predicted_class").alias("ca"))
-    sb = b.select(*key, *[F.col(f"proba_class_{i}").alias(f"b{i}") for i in range(n_classes)], F.col("predicted_class").alias("cb"))
-    j = sa.join(sb, key, "inner").withColumn("_pa", pa).withColumn("_pb", pb)
-    dot = F.aggregate(F.zip_with("_pa", "_pb", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    na = F.sqrt(F.aggregate(F.transform("_pa", lambda x: x * x), F.lit(0.0), lambda s, v: s + v))
-    nb = F.sqrt(F.aggregate(F.transform("_pb", lambda x: x * x), F.lit(0.0), lambda s, v: s + v))
-    cos = F.try_divide(dot, na * nb)
-    order = lambda arr: F.transform(F.array_sort(F.arrays_zip(F.transform(arr, lambda v: -v).alias("v"),
-                                                               F.sequence(F.lit(0), F.lit(n_classes - 1)).alias("i"))),
-                                    lambda s: s["i"])
-    suma = F.aggregate("_pa", F.lit(0.0), lambda s, v: s + v)
-    return j.agg(
+def prediction_parity(a: DataFrame, b: DataFrame, key: list[str], n_classes: int = 4, votes: float = 1.0) -> DataFrame:
+    """Agreement of two scored sets joined on the row key, and whether the second may stand in.
+
+    ``b`` may hold raw votes that sum to ``votes``; its argmax, cosine and rank order are taken
+    after division by the row's sum.  Kept: sums near 1 or ``votes``, at least 90 % equal classes
+    after normalisation, and a mean cosine of 0.95 or nine rows in the same rank order.
+    """
+    idx = range(n_classes)
+    sa = a.select(*key, F.array(*[F.col(f"proba_class_{i}") for i in idx]).alias("_pa"), F.col("predicted_class").alias("ca"))
+    sb = b.select(*key, F.array(*[F.col(f"proba_class_{i}") for i in idx]).alias("_raw"), F.col("predicted_class").alias("cb"))
+
+    def total(arr):
+        return F.aggregate(arr, F.lit(0.0), lambda s, v: s + v)
+
+    def order(arr):
+        cells = F.transform(arr, lambda v, i: F.struct((-v).alias("v"), i.alias("i")))
+        return F.transform(F.array_sort(cells), lambda s: s["i"])
+
+    j = sa.join(sb, key, "inner").withColumn("_sum", total(F.col("_raw")))
+    j = j.withColumn("_pb", F.transform("_raw", lambda v: F.try_divide(v, F.col("_sum"))))
+    j = j.withColumns({"_oa": order(F.col("_pa")), "_ob": order(F.col("_pb"))})
+    norm = F.sqrt(total(F.transform("_pa", lambda x: x * x))) * F.sqrt(total(F.transform("_pb", lambda x: x * x)))
+    cos = F.try_divide(total(F.zip_with("_pa", "_pb", lambda x, y: x * y)), norm)
+    same = F.col("_oa") == F.col("_ob")
+    out = j.agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("class_match_rate"),
+        F.avg((F.col("_ob")[0] == F.col("ca")).cast("double")).alias("argmax_norm_match_rate"),
         F.avg(cos).alias("mean_cosine"),
-        F.avg((order(F.col("_pa")) == order(F.col("_pb"))).cast("double")).alias("rank_order_agreement"),
-        F.min(suma).alias("prob_sum_min"), F.avg(suma).alias("prob_sum_mean"), F.max(suma).alias("prob_sum_max"),
+        count_if(same).alias("rank_order_match_count"), F.avg(same.cast("double")).alias("rank_order_agreement"),
+        F.min("_sum").alias("prob_sum_min"), F.avg("_sum").alias("prob_sum_mean"), F.max("_sum").alias("prob_sum_max"),
         F.min_by(F.struct(*key), F.when(F.col("ca") != F.col("cb"), F.struct(*key))).alias("first_mismatch"),
     )
+    mean = F.col("prob_sum_mean")
+    sum_ok = F.least(F.abs(mean - 1.0) / F.greatest(mean, F.lit(1.0)),
+                     F.abs(mean - votes) / F.greatest(mean, F.lit(float(votes)))) <= 0.01
+    keep = sum_ok & (F.col("argmax_norm_match_rate") >= 0.9) & ((F.col("mean_cosine") >= 0.95) | (F.col("rank_order_match_count") >= 9))
+    cause = (F.when(keep, "normalized_votes").when(~sum_ok, "raw_votes_not_normalized")
+             .when(F.col("argmax_norm_match_rate") <= 0.6, "low_parity").otherwise("borderline_parity"))
+    return out.withColumn("decision", F.when(keep, "KEEP").otherwise("ABANDON")).withColumn("root_cause", cause)
 
 
 def probability_sum_check(scored: DataFrame, n_classes: int = 4, tol: float = 0.05) -> DataFrame:

@@ -361,6 +361,16 @@ def a36(spark, sf_dir):
     return C.split_profile(tr, te)
 
 
+@register("A36_split_ratio", _BASE_SQL + """,
+w AS (SELECT (SELECT count(*) FROM tr) AS a, (SELECT count(*) FROM te) AS b,
+             (SELECT count(DISTINCT date_trunc('week', event_date)) FROM te) AS k)
+SELECT a AS train_transactions, b AS test_transactions, round(a / greatest(b, 1), 4) AS train_test_ratio, k AS test_weeks,
+       k < 10 AS few_test_weeks FROM w""")
+def a36r(spark, sf_dir):
+    tr, te = splits(spark, sf_dir)
+    return rounded(C.split_ratio(tr, te))
+
+
 @register("B11_card_tx_thresholds", _LAG_SQL + "\nSELECT round(q25, 4) AS q25_train, round(q75, 4) AS q75_train FROM q")
 def b11c(spark, sf_dir):
     q25, q75 = tx_thresholds(spark, sf_dir)
@@ -545,6 +555,19 @@ def k3(spark, sf_dir):
     return tx.groupBy("user_id").agg(F.min("event_date").alias("first_date")).orderBy("first_date", "user_id").limit(25)
 
 
+# Thresholds that the test tables can meet, so that the gate's other branch runs as well.
+SMALL_GATE = {"min_users": 50, "min_rows": 500, "min_days": 200}
+
+
+@register("A8_sanity_gate_small", oracle_with("tx_sparse") + f"""
+SELECT count(DISTINCT user_id) AS total_users, count(*) AS total_transactions,
+       CASE WHEN count(DISTINCT user_id) >= {SMALL_GATE["min_users"]} AND count(*) >= {SMALL_GATE["min_rows"]}
+             AND date_diff('day', min(event_date), max(event_date)) >= {SMALL_GATE["min_days"]} THEN 'PASS' ELSE 'FAIL' END AS status
+FROM tx_sparse""")
+def a8s(spark, sf_dir):
+    return C.sanity_gate(tx_of(spark, sf_dir), **SMALL_GATE).select("total_users", "total_transactions", "status")
+
+
 @register("Q15_dataset_verdict", _LAG_SQL + """,
 lt AS (SELECT * FROM lagf WHERE split = 'test'),
 bt AS (SELECT 'train' AS split, CASE WHEN amount = 0 THEN 0 WHEN amount <= q25 THEN 1 WHEN amount <= q75 THEN 2 ELSE 3 END AS bucket FROM tr, q

@@ -108,6 +108,12 @@ def a2(spark, sf_dir):
     return profile.category_profile(tx_of(spark, sf_dir))
 
 
+@register("A2_top_collapsed", _TX_SQL + """
+SELECT category, count(*) AS n FROM tx GROUP BY category ORDER BY n DESC, category LIMIT 10""")
+def a2t(spark, sf_dir):
+    return top_labels(tx_of(spark, sf_dir), "category", 10)
+
+
 @register("K1_top_categories", oracle_with("tx_daily") + """
 SELECT raw_category, count(*) AS n FROM tx_daily GROUP BY raw_category ORDER BY n DESC, raw_category LIMIT 10""")
 def k1(spark, sf_dir):

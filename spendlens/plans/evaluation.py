@@ -303,3 +303,22 @@ def j16(spark, sf_dir):
     df1, db = F.col("af") - F.col("bf"), F.col("ab") - F.col("bb")
     return rounded(j.select("model", df1.alias("delta_f1_macro"), db.alias("delta_balanced_accuracy"),
                             ((df1 >= 0.02) | (db >= 0.02)).alias("keep")), 6)
+
+
+def _class_sql(frame: str, y: str, p: str) -> str:
+    return (f"SELECT l.label, coalesce(2.0 * count(*) FILTER ({y} = l.label AND {p} = l.label) / nullif(count(*) FILTER ({y} = l.label)"
+            f" + count(*) FILTER ({p} = l.label), 0), 0.0) AS f1, count(*) FILTER ({y} = l.label) AS support"
+            f" FROM {frame} CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS label) l GROUP BY l.label")
+
+
+@register("J16_per_class_deltas", _FLOW_TEST + f""",
+bef AS ({_class_sql("fte", "bucket_net_t_plus_1", "bucket_net_t")}),
+aft AS ({_class_sql("fte", "bucket_spend_t_plus_1", "bucket_spend_t")})
+SELECT label, round(a.f1 - b.f1, 6) AS delta_f1, a.support - b.support AS delta_support FROM aft a JOIN bef b USING (label)""")
+def j16c(spark, sf_dir):
+    """J16 per class: F1 and support of the spend target minus those of the net target, persistence."""
+    sc = flow_scored(spark, sf_dir)
+    bef = M.per_class_prf(sc, "bucket_net_t_plus_1", "bucket_net_t").select("label", F.col("f1").alias("bf"), F.col("support").alias("bs"))
+    aft = M.per_class_prf(sc, "bucket_spend_t_plus_1", "bucket_spend_t").select("label", "f1", "support")
+    return rounded(aft.join(bef, "label").select("label", (F.col("f1") - F.col("bf")).alias("delta_f1"),
+                                                 (F.col("support") - F.col("bs")).alias("delta_support")), 6)

@@ -331,6 +331,24 @@ def q17(spark, sf_dir):
     return rounded(out, 4, {"target_zero_rate": 6})
 
 
+@register("Q17_dense_minus_observed", _DENSE_SQL + """,
+o AS (SELECT count(*) AS n, avg((amount_cat_t_plus_1 = 0)::INT) AS z, avg(abs(amount_cat_t - amount_cat_t_plus_1)) AS p,
+             avg(abs(rolling_mean_4 - amount_cat_t_plus_1)) AS r FROM rte),
+d AS (SELECT count(*) AS n, avg((amount_cat_t_plus_1 = 0)::INT) AS z, avg(abs(amount_cat_t - amount_cat_t_plus_1)) AS p,
+             avg(abs(rolling_mean_4 - amount_cat_t_plus_1)) AS r, count(DISTINCT category) AS c FROM dense)
+SELECT d.n - o.n AS delta_rows, round(d.z - o.z, 6) AS delta_target_zero_rate, round(d.p - o.p, 4) AS delta_persistence_mae,
+       round(d.r - o.r, 4) AS delta_rolling4_mae, d.c AS categories FROM d, o""")
+def q17d(spark, sf_dir):
+    reg, _ = regression_rows(spark, sf_dir)
+    dense = dense_test(spark, sf_dir)
+    both = ff.observed_vs_dense(reg.where("is_test = 1"), dense)
+    names = ["rows", "target_zero_rate", "persistence_mae", "rolling4_mae"]
+    sign = F.when(F.col("frame") == "dense", 1).otherwise(-1)
+    out = both.agg(*[F.sum(sign * F.col(c)).alias(f"delta_{c}") for c in names])
+    out = out.crossJoin(F.broadcast(dense.agg(F.countDistinct("category").alias("categories"))))
+    return rounded(out, 4, {"delta_target_zero_rate": 6})
+
+
 @register("A35_distinct_counts", _CAT_SQL + """
 SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id, category FROM cw)) AS user_category_pairs,
        (SELECT count(DISTINCT user_id) FROM tx_flow) AS users, (SELECT count(DISTINCT transaction_date) FROM tx_flow) AS dates,

@@ -209,6 +209,15 @@ def q7s(spark, sf_dir):
                          share(lv == "medium").alias("share_medium"), share(lv == "high").alias("share_high")), 6)
 
 
+@register("A5_histogram_entropy", _ENT_SQL + """,
+mm AS (SELECT min(entropy) AS lo, CASE WHEN max(entropy) > min(entropy) THEN max(entropy) - min(entropy) ELSE 1.0 END AS w FROM uel)
+SELECT 'entropy' AS series, CAST(least(39, floor((entropy - lo) / w * 40)) AS INT) AS bin,
+       round(lo + CAST(least(39, floor((entropy - lo) / w * 40)) AS INT) * (w / 40), 4) AS bin_lo, count(*) AS n
+FROM uel, mm WHERE entropy IS NOT NULL GROUP BY ALL""")
+def a5e(spark, sf_dir):
+    return rounded(stats.histogram(user_entropy(spark, sf_dir), "entropy", 40))
+
+
 MODEL_FEATURES = ["prev_bucket_1", "prev_bucket_2", "rolling_sum_7d", "rolling_sum_30d", "is_weekend",
                   "is_month_end", "cumulative_spend_30d"]
 

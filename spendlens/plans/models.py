@@ -126,7 +126,7 @@ def m17(spark, sf_dir):
 def m18(spark, sf_dir):
     s = scored(spark, sf_dir, "random_forest")
     votes = F.map_from_arrays(F.array(*[F.lit(i) for i in range(5)]),
-                              F.array(*[F.col(f"proba_class_{i}") * 120 for i in range(4)], F.lit(0.0)))
+                              F.array(*[F.col(f"proba_class_{i}") * 250 for i in range(4)], F.lit(0.0)))
     return s.select("user_id", "week_start", T.normalize_votes(votes).alias("normalized"))
 
 
