@@ -54,30 +54,9 @@ def rolling_mean_prev(c, w, k: int) -> Column:
     return F.avg(col(c)).over(w.rowsBetween(-k, -1))
 
 
-def _chain(terms):
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
-
-
 def add_rolling_std(df: DataFrame, c: str, w, k: int, out: str) -> DataFrame:
-    """Sample std of the previous k rows (NULL with fewer than two rows).
-
-    Two-pass formula over k lag columns of one window spec: the mean first, then
-    squared deviations (no cancellation on large amounts).  Lags, then count/mean,
-    then the std are separate projections, so each lag is evaluated once.
-    """
-    ls = [f"_{out}_l{i}" for i in range(1, k + 1)]
-    df = df.select("*", *[F.lag(col(c), i).over(w).cast("double").alias(n) for i, n in enumerate(ls, 1)])
-    n = _chain([F.when(F.col(x).isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)) for x in ls])
-    df = df.select("*", n.alias(f"_{out}_n"))
-    df = df.select("*", F.try_divide(_chain([F.coalesce(F.col(x), F.lit(0.0)) for x in ls]), F.col(f"_{out}_n")).alias(f"_{out}_m"))
-    m = F.col(f"_{out}_m")
-    ss = _chain([F.when(F.col(x).isNotNull(), (F.col(x) - m) * (F.col(x) - m)).otherwise(F.lit(0.0)) for x in ls])
-    nn = F.col(f"_{out}_n")
-    df = df.select("*", F.when(nn >= 2, F.sqrt(F.try_divide(ss, nn - 1))).alias(out))
-    return df.drop(*ls, f"_{out}_n", f"_{out}_m")
+    """Sample std of the previous k rows (NULL with fewer than two rows)."""
+    return df.withColumn(out, F.stddev_samp(col(c).cast("double")).over(w.rowsBetween(-k, -1)))
 
 
 def frequency_prev(c, w, k: int = 8) -> Column:
