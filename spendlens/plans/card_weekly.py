@@ -415,13 +415,25 @@ def q8(spark, sf_dir):
     return rounded(out.select("chi2", "dof", "max_shift_pp"))
 
 
-@register("Q8_bucket_shift_test")
+@register("Q8_bucket_shift_test", _LAG_SQL + """,
+bt AS (SELECT 'train' AS split, CASE WHEN amount = 0 THEN 0 WHEN amount <= q25 THEN 1 WHEN amount <= q75 THEN 2 ELSE 3 END AS bucket FROM tr, q
+       UNION ALL SELECT 'test', CASE WHEN amount = 0 THEN 0 WHEN amount <= q25 THEN 1 WHEN amount <= q75 THEN 2 ELSE 3 END FROM te, q),
+ct AS (SELECT bucket, CAST(count(*) FILTER (WHERE split = 'train') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE split = 'test') AS DOUBLE) AS b
+       FROM bt GROUP BY bucket HAVING count(*) > 0),
+tot AS (SELECT sum(a) AS na, sum(b) AS nb, count(*) - 1 AS dof FROM ct),
+cell AS (SELECT ct.*, na, nb, dof, (a + b) * na / (na + nb) AS ea, (a + b) * nb / (na + nb) AS eb FROM ct, tot),
+k AS (SELECT sum(CASE WHEN dof = 1 THEN greatest(abs(a - ea) - 0.5, 0) ^ 2 / ea + greatest(abs(b - eb) - 0.5, 0) ^ 2 / eb
+                     ELSE (a - ea) ^ 2 / ea + (b - eb) ^ 2 / eb END) AS x, any_value(dof) / 2.0 AS h, max(abs(a / na - b / nb)) * 100.0 AS shift FROM cell),
+l AS (SELECT *, (SELECT sum(exp((h + n) * ln(greatest(x, 1e-300) / 2) - x / 2 - lgamma(h + n + 1))) FROM range(0, 400) AS r(n)) AS lower FROM k),
+m AS (SELECT *, greatest(0.0, 1 - lower) AS p FROM l)
+SELECT round(x, 4) AS chi2, CAST(2 * h AS INT) AS dof, round(p, 6) AS p_value, round(shift, 4) AS max_shift_pp,
+       CASE WHEN p < 0.05 THEN 'FAIL' WHEN shift < 10 THEN 'PASS' ELSE 'WARN' END AS status FROM m""")
 def q8t(spark, sf_dir):
     from ..functions.buckets import bucket_select
     q25, q75 = tx_thresholds(spark, sf_dir)
     tr, te = splits(spark, sf_dir)
-    return C.chi2_bucket_shift(tr.withColumn("bucket", bucket_select("amount", q25, q75)),
-                               te.withColumn("bucket", bucket_select("amount", q25, q75)))
+    return rounded(C.chi2_bucket_shift(tr.withColumn("bucket", bucket_select("amount", q25, q75)),
+                               te.withColumn("bucket", bucket_select("amount", q25, q75))), 4, {"p_value": 6})
 
 
 @register("A16_weekly_lag_rows", _LAG_SQL + "\n" + select_rounded(

@@ -187,6 +187,19 @@ def m11(spark, sf_dir):
     return rounded(fold_metrics(spark, sf_dir), 6)
 
 
+@register("M11_fold_confusion", _FOLD_SQL + """,
+fb AS (SELECT * FROM fx WHERE test_fold IS NOT NULL),
+fp AS (SELECT test_fold AS fold, min(week_start) AS test_start_week, max(week_start) AS test_end_week FROM fb GROUP BY 1)
+SELECT fp.fold, test_start_week, test_end_week, a.y_true, b.y_pred, count(fb.user_id) AS n
+FROM fp CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS y_true) a CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS y_pred) b
+LEFT JOIN fb ON fb.test_fold = fp.fold AND fb.bucket_spend_t_plus_1 = a.y_true AND fb.bucket_spend_t = b.y_pred GROUP BY ALL""")
+def m11c(spark, sf_dir):
+    """Period and 4 x 4 confusion of the persistence predictor on every test block."""
+    fb = folds_of(spark, sf_dir).where(F.col("test_fold").isNotNull()).withColumnRenamed("test_fold", "fold")
+    period = fb.groupBy("fold").agg(F.min("week_start").alias("test_start_week"), F.max("week_start").alias("test_end_week"))
+    return period.join(M.confusion(fb, "bucket_spend_t_plus_1", "bucket_spend_t", by=["fold"]), "fold")
+
+
 @register("M12_stability", _FM_SQL + """,
 r AS (SELECT model, f1_macro, row_number() OVER (PARTITION BY model ORDER BY test_fold) AS a,
              row_number() OVER (PARTITION BY model ORDER BY test_fold DESC) AS b FROM fm),

@@ -12,6 +12,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
+from ..operators import bucketing as B
 from ..operators import metrics as M
 from ..operators import personalize as P
 from ..operators import train as T
@@ -25,6 +26,9 @@ from . import shared
 from .registry import register, rounded
 
 TARGET = "bucket_spend_t_plus_1"
+REGRESSION_FOLDS = 3
+# Penalty of each regressor.
+REGRESSORS = (("ridge", 1.0), ("elasticnet", 0.001), ("sgd", 0.0005))
 
 
 def train_test(spark, sf_dir):
@@ -182,6 +186,27 @@ def l7(spark, sf_dir):
     return out
 
 
+@register("M11_model_folds")
+def m11m(spark, sf_dir):
+    """Per fold: period, metrics and rows by class of the logistic model fitted on the rows before the block."""
+    fx = EV.folds_of(spark, sf_dir)
+    out = None
+    for i in range(1, EV.N_SPLITS + 1):
+        train, test = T.expanding_fold(fx, i, EV.N_SPLITS, TARGET)
+        train, n = train.persist(), train.count()
+        for name in ("logistic_regression",):
+            pred = T.learner(name, FLOW_FEATURES_31, TARGET, n).fit(train).transform(test).withColumn("p", F.col("prediction").cast("int"))
+            by_class = M.per_class_prf(pred, TARGET, "p").agg(F.sort_array(F.collect_list(F.struct("label", "precision", "recall", "f1", "support")))
+                                                              .alias("classes"))
+            period = pred.agg(F.min("week_start").alias("test_start_week"), F.max("week_start").alias("test_end_week"))
+            row = M.classification_summary(pred, TARGET, "p").crossJoin(period).crossJoin(by_class).withColumns(
+                {"fold": F.lit(i), "model": F.lit(name), "train_rows": F.lit(n)})
+            row = spark.createDataFrame(row.collect(), row.schema)      # one row of metrics per fit
+            out = row if out is None else out.unionByName(row)
+        train.unpersist()
+    return out
+
+
 @register("L7_fold_class_weights", EV._FLOW_TEST + f""",
 ix AS (SELECT *, row_number() OVER (ORDER BY week_start, user_id) - 1 AS i, count(*) OVER () AS n FROM ftr),
 fo AS (SELECT f.fold, ix.bucket_spend_t_plus_1, count(*) AS n_c FROM ix, range(1, {EV.N_SPLITS} + 1) AS f(fold)
@@ -232,7 +257,7 @@ def l4(spark, sf_dir):
     tr, te = reg.where("is_test = 0"), reg.where("is_test = 1")
     st = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("amount_cat_t_plus_1").alias("s")).first()
     outs = []
-    for kind, alpha in (("ridge", 1.0), ("elasticnet", 0.001), ("sgd", 0.0005)):
+    for kind, alpha in REGRESSORS:
         model = T.linear_regressor(REGRESSION_NUMERIC, ["category", "flow_direction"], "amount_cat_t_plus_1", kind,
                                    st["n"], st["s"] or 1.0, alpha=alpha).fit(tr)
         pred = model.transform(te)
@@ -243,6 +268,25 @@ def l4(spark, sf_dir):
     return out
 
 
+@register("L4_fold_mae")
+def l4f(spark, sf_dir):
+    """Regression folds: MAE of each regressor on three expanding blocks, and mean and spread."""
+    reg, _ = FW.regression_rows(spark, sf_dir)
+    fx = B.expanding_folds(reg.where("is_test = 0"), ["week_start", "user_id", "category"], REGRESSION_FOLDS).persist()
+    size, n = fx.select("test_size", "n_rows").first()
+    rows, y = [], "amount_cat_t_plus_1"
+    for i in range(1, REGRESSION_FOLDS + 1):
+        tr, te = fx.where(F.col("row_index") < n - (REGRESSION_FOLDS - i + 1) * size), fx.where(F.col("test_fold") == i)
+        st = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(y).alias("s")).first()
+        for kind, alpha in REGRESSORS:
+            model = T.linear_regressor(REGRESSION_NUMERIC, ["category", "flow_direction"], y, kind, st["n"], st["s"] or 1.0, alpha=alpha).fit(tr)
+            rows.append((kind, i, M.regression_metrics(model.transform(te), y, "prediction").first()["mae"]))
+    fx.unpersist()
+    per = spark.createDataFrame(rows, "model string, fold int, mae double")
+    return per.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("fold", "mae"))).alias("folds"), F.avg("mae").alias("cv_mae"),
+                                    F.stddev_pop("mae").alias("cv_mae_std"))
+
+
 def personalized(spark, sf_dir):
     def build():
         feats, _ = FW.features_31(spark, sf_dir)
