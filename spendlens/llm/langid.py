@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from spendlens.llm import textfeat
-from spendlens.llm.shared import held_out, learnable
+from spendlens.llm.shared import checkpointed, held_out, learnable
 
 #: Languages (ISO 639-1) by family.  A language not listed is a family of its own.
 FAMILIES = {
@@ -106,8 +107,12 @@ def fit(docs: DataFrame, per_lang: int = 500) -> Tree:
     'und' for everything; with one language it predicts that.
     """
     rows = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = textfeat.sample(rows.select("doc_id", "lang"), F.col("lang"), per_lang)
-    chosen = rows.select("doc_id", "lang", "text").join(ids.distinct(), ["doc_id", "lang"], "left_semi")
+    ids = checkpointed(rows.select("doc_id", "lang").distinct())
+    langs = sorted(r["lang"] for r in ids.select("lang").distinct().collect())
+    if not langs:
+        return Tree({})
+    samples = [textfeat.sample(ids.where(F.col("lang") == lang), per_lang) for lang in langs]
+    chosen = rows.select("doc_id", "lang", "text").join(F.broadcast(reduce(DataFrame.unionByName, samples)), ["doc_id", "lang"])
     y, x = textfeat.collect_features(chosen, lambda t: textfeat.shares(normalise(t), N_BITS), "lang")
     groups: dict[str, list[str]] = {}
     for lang in sorted(set(y)):

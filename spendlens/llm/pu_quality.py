@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from spendlens.llm import textfeat
-from spendlens.llm.shared import held_out, learnable
+from spendlens.llm.shared import checkpointed, held_out, learnable
 
 N_BITS = 8
 THRESHOLD = 0.3
@@ -146,12 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model | None:
     learnable documents without a look at labels.  None if there is no positive or no text.
     """
     rows = docs.where(learnable(F.col("doc_id")))
-    ids = rows.select("doc_id").distinct()
+    ids = checkpointed(rows.select("doc_id").distinct())
     good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
-    one = F.lit(1)
-    pos = textfeat.sample(ids.join(good, "doc_id", "left_semi"), one, most).select("doc_id", F.lit(1.0).alias("kind"))
-    unl = textfeat.sample(ids, one, most).select("doc_id", F.lit(0.0).alias("kind"))
-    chosen = rows.select("doc_id", "text").join(pos.unionByName(unl), "doc_id").select("kind", "text")
+    pos = textfeat.sample(ids.join(good, "doc_id", "left_semi"), most).select("doc_id", F.lit(1.0).alias("kind"))
+    unl = textfeat.sample(ids, most).select("doc_id", F.lit(0.0).alias("kind"))
+    chosen = rows.select("doc_id", "text").join(F.broadcast(pos.unionByName(unl)), "doc_id").select("kind", "text")
     y, x = textfeat.collect_features(chosen, features, "kind")
     y = y.astype(float)
     if not (y == 1).any() or not (y == 0).any():

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import Column, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from spendlens.session import checkpointed, ensure_checkpoint_dir as shared_folder
+
+__all__ = ["SEPARATORS", "checkpointed", "held_out", "learnable", "shared_folder", "words"]
 
 #: Word separators of the digest contracts: space and the ASCII controls tab to carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -23,26 +25,3 @@ def held_out(doc_id: Column) -> Column:
 def learnable(doc_id: Column) -> Column:
     """Rows a model may learn from: a known id whose crc32 remainder by 5 is not 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent, a local session (tests) gets a scratch folder; on a cluster an
-    unset folder is an error, because no machine-local folder would be visible to the others.
-    """
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spendlens-shared-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, so lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 ORDERS = (2, 3)
 #: Odd multipliers that spread n-gram codes over the buckets, one per order.
@@ -61,13 +61,13 @@ def scores(data: bytes, weights: np.ndarray, n_bits: int) -> np.ndarray:
     return out / max(1, n)
 
 
-def sample(rows: DataFrame, by: Column, most: int) -> DataFrame:
-    """At most ``most`` rows for each value of ``by``, chosen by a hash of their ids.
+def sample(ids: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of ``ids``, the first by a hash of their ``doc_id``.
 
-    Spark limits ranks before the shuffle, so a frequent value never meets in one task whole.
+    Every task keeps its own first rows, so no more than ``most`` of each meet in one place.  The
+    result has a proven size and may be broadcast.
     """
-    order = Window.partitionBy("_by").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    return rows.withColumn("_by", by).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_by", "_rank")
+    return ids.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
 
 
 def collect_features(rows: DataFrame, features, label: str) -> tuple[np.ndarray, np.ndarray]:
