@@ -124,7 +124,7 @@ def mixed(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights=WEIGH
     rows = rows.withColumn("_each", each).withColumn("_copy", F.explode(F.expr(
         "transform(sequence(1, CAST(ceil(_each / _size) AS int)), i -> least(_size, _each - (i - 1) * _size))")))
     cut = F.expr(r"regexp_extract(_row.text, concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){', "
-                 r"_copy, '}'), 0)")
+                 r"_copy, '}+'), 0)")
     text = F.when(F.col("_copy") == F.col("_size"), F.col("_row.text")).otherwise(cut)
     fields = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:

@@ -15,7 +15,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spendlens.llm.graph import components
 from spendlens.llm.shared import checkpointed
@@ -28,13 +28,14 @@ def usable(v: Column) -> Column:
 
 
 def choose_pivots(classes: DataFrame, most: int) -> dict[int, np.ndarray]:
-    """Unit pivots by dimension: at most ``most`` vectors each, chosen by a hash of the vector."""
-    by = Window.partitionBy(F.size("vector")).orderBy(F.xxhash64("vector"), "uid")
-    rows = classes.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= most).select("vector", "_rank").collect()
-    found: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: (len(r["vector"]), r["_rank"])):
-        found.setdefault(len(r["vector"]), []).append(r["vector"])
-    return {d: _units(np.array(v, dtype=np.float64)) for d, v in found.items()}
+    """Unit pivots by dimension: at most ``most`` vectors each, the first by a hash of the vector.
+
+    Every task keeps its own first vectors, so no more than ``most`` of each meet in one place.
+    """
+    sized = classes.select("uid", "vector", F.size("vector").alias("_d"))
+    dims = sorted(r["_d"] for r in sized.select("_d").distinct().collect())
+    firsts = {d: sized.where(F.col("_d") == d).orderBy(F.xxhash64("vector"), "uid").limit(most) for d in dims}
+    return {d: _units(np.array([r["vector"] for r in f.select("vector").collect()], dtype=np.float64)) for d, f in firsts.items()}
 
 
 def _units(x: np.ndarray) -> np.ndarray:

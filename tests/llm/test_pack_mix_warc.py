@@ -159,6 +159,14 @@ def test_mixed_rows_carry_the_words_taken(spark):
     assert mix.mixed(docs.where("false")).count() == 0 and mix.takes(docs.where("false")).count() == 0
 
 
+def test_a_long_document_is_cut_to_its_words(spark):
+    rows = [(1, "\t" + " ".join(f"w{i}" for i in range(60_000)) + " ", "s"), (2, "x y z", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["text"] for r in mix.mixed(docs, share=0.4).collect()}
+    taken = {r["doc_id"]: r["taken"] for r in mix.takes(docs, share=0.4).collect()}
+    assert 0 < taken[1] < 60_000 and out[1].split() == [f"w{i}" for i in range(taken[1])]
+
+
 def b32(x):
     return base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
 
