@@ -11,15 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Letters whose counts (modulo 16) go into a line's id; an edit changes two counts by one at most.
-COUNTED = "eantio"
 _NO_ID = -(2 ** 63)
+_LINE_ID = "(xxhash64({}) & 1099511627775L)"
 
 
-def segments(n: str, count: int) -> list[tuple[str, str]]:
-    """SQL for (first position, length) of even segments of a line of ``n`` characters."""
-    cuts = [f"(({n}) * {i} div {count})" for i in range(count + 1)]
-    return [(f"{a} + 1", f"({b} - {a})") for a, b in zip(cuts, cuts[1:])]
+def cuts(n: str, shorter: int, count: int) -> dict[str, str]:
+    """SQL for the ends of ``count`` even segments of a line ``shorter`` than ``n`` characters."""
+    return {f"_c{shorter}_{i}": f"CAST(({n} - {shorter}) * {i} div {count} AS int)" for i in range(count + 1)}
 
 
 def probe_places(edits: int) -> list[tuple[int, int, int]]:
@@ -33,21 +31,6 @@ def probe_places(edits: int) -> list[tuple[int, int, int]]:
             for s in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
 
 
-def line_id(line: str) -> Column:
-    """40 bits of the line's hash over counts of six letters, four bits each."""
-    counts = " | ".join(
-        f"shiftleft(pmod(char_length({line}) - char_length(replace({line}, '{c}', '')), 16), {4 * k})"
-        for k, c in enumerate(COUNTED))
-    return F.expr(f"(xxhash64({line}) & -16777216L) | CAST({counts} AS bigint)")
-
-
-def counts_apart(a: str, b: str) -> str:
-    """Sum over the counted letters of the circular difference of two ids' counts."""
-    one = "least(pmod(({x}) - ({y}), 16), pmod(({y}) - ({x}), 16))"
-    return " + ".join(one.format(x=f"shiftrightunsigned({a}, {4 * k}) & 15L", y=f"shiftrightunsigned({b}, {4 * k}) & 15L")
-                      for k in range(len(COUNTED)))
-
-
 def edit_distance(a: str, b: str, edits: int) -> str:
     """SQL for the edit distance of character code arrays ``a`` and ``b``, right up to ``edits``.
 
@@ -75,93 +58,117 @@ def codes(line: str) -> str:
     return f"transform(split({line}, ''), c -> ascii(c))"
 
 
-def _order(k: str, i: str) -> Column:
-    """Place of a line in the corpus as one number: documents in order of their ids, then lines."""
-    return F.expr(f"CAST({k} AS decimal(20,0)) * 2147483648BD + CAST({i} AS decimal(10,0))")
+def _key(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID))
 
 
-def _lines(d: DataFrame, edits_apply: str) -> DataFrame:
-    """Lines of ``d(_k, text)`` that take part, with their position."""
-    return (d.select("_k", F.posexplode(F.split("text", "\n")).alias("_i", "_line")).where(edits_apply))
+def _place() -> Column:
+    """Place of a line in the corpus as one number: documents in order of their keys, then lines."""
+    return F.expr("CAST(_k AS decimal(20,0)) * 2147483648BD + CAST(_i AS decimal(10,0))")
 
 
-def duplicates(docs: DataFrame, edits: int = 2, min_chars: int = 40) -> DataFrame:
-    """``(_k, drops)``: positions (from 0) of lines to drop, by document key.
+def _at(place: str) -> list[Column]:
+    """Document key and line number of a place."""
+    return [F.floor(F.col(place) / F.lit(2 ** 31)).cast("long").alias("_k"), F.expr(f"CAST(pmod({place}, 2147483648BD) AS int)").alias("_i")]
 
-    A line of ``min_chars`` characters or more goes if an equal line stands earlier in the corpus,
-    or if an earlier line, by first places, is within ``edits`` edits (whether that one stays or
-    not).  Shorter lines stay.
+
+def _segment_keys(edits: int) -> Column:
+    """Index keys (own) and probe keys of a line: 56 bits of its length as met, segment and substring.
+
+    The line's 40-bit id goes with each, shifted by a bit that tells index keys.
     """
-    if min_chars <= 2 * edits:
-        raise ValueError("lines must be longer than twice the edits")
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_k"), F.coalesce("text", F.lit("")).alias("text"))
-    long_enough = f"char_length(_line) >= {min_chars}"
-    # Equal lines, by 128 bits of hash: first place of each, then every later place.
-    here = _lines(d, long_enough).select(
-        _order("_k", "_i").alias("_at"), "_k", "_i", line_id("_line").alias("_id"), F.xxhash64(F.lit("line"), "_line").alias("_h"))
-    firsts = here.groupBy("_id", "_h").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    places = here.join(firsts, ["_id", "_h"])
-    later = places.where("_at > _first").select("_k", "_i")
-    known = later.groupBy("_k").agg(F.collect_list("_i").alias("_later"))
-    # Keys of each distinct line, from its first place.
-    rest = d.join(known, "_k", "left").select(
-        "_k", "text", F.coalesce("_later", F.expr("CAST(array() AS array<int>)")).alias("_later"))
-    rest = rest.select("_k", "_later", F.split("text", "\n").alias("_all"))
-    only = rest.select("_k", F.explode(F.expr(
-        "transform(array_except(sequence(0, size(_all) - 1), _later), i -> named_struct('i', i, 'line', _all[i]))")).alias("_l"))
-    only = only.select("_k", F.col("_l.i").alias("_i"), F.col("_l.line").alias("_line")).where(long_enough)
-    only = only.withColumn("_n", F.char_length("_line"))
     keys = []
     for short, i, shift in probe_places(edits):
-        pos, size = segments(f"_n - {short}", edits + 1)[i]
-        keys.append(f"named_struct('own', {'true' if short == shift == 0 else 'false'}, 'key', "
-                    f"xxhash64(_n - {short}, {i}, substring(_line, {pos} + {shift}, {size})))")
-    rows = only.select(line_id("_line").alias("id"), F.explode(F.array(*[F.expr(x) for x in keys])).alias("_key"))
-    rows = rows.select("id", "_key.own", "_key.key")
-    a = rows.where("own").select("key", F.col("id").alias("a"))
-    b = rows.select("key", F.col("id").alias("b"))
-    pairs = (a.join(b, "key").where(F.col("a") != F.col("b")).where(F.expr(f"{counts_apart('a', 'b')} <= {2 * edits}"))
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # Both lines of a pair at their first places; the lines themselves come from those documents.
-    place = firsts.select(F.col("_id"), F.col("_first"))
-    both = (pairs.join(place.select(F.col("_id").alias("a"), F.col("_first").alias("fa")), "a")
-            .join(place.select(F.col("_id").alias("b"), F.col("_first").alias("fb")), "b").select("fa", "fb"))
-    both = both.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"))
-    wanted = both.select(F.col("fa").alias("f")).unionByName(both.select(F.col("fb").alias("f"))).distinct()
-    wanted = wanted.select(F.floor(F.col("f") / F.lit(2 ** 31)).cast("long").alias("_k"), "f",
-                           F.expr("CAST(pmod(f, 2147483648BD) AS int)").alias("i"))
-    wanted = wanted.groupBy("_k").agg(F.collect_list(F.struct("f", "i")).alias("_w"))
-    lines = d.join(wanted, "_k").select(F.expr("split(text, '\\n')").alias("_all"), "_w")
-    lines = lines.select(F.explode(F.expr("transform(_w, w -> named_struct('f', w.f, 'c', " + codes("_all[w.i]") + "))")).alias("_l"))
-    lines = lines.select("_l.f", "_l.c").dropDuplicates(["f"])
-    checked = (both.join(lines.select(F.col("f").alias("fa"), F.col("c").alias("ca")), "fa")
-               .join(lines.select(F.col("f").alias("fb"), F.col("c").alias("cb")), "fb")
-               .where(F.expr(f"{edit_distance('ca', 'cb', edits)} <= {edits}")).select(F.col("fb").alias("_first")).distinct())
-    near = places.join(checked, "_first", "left_semi").where("_at = _first").select("_k", "_i")
-    return later.unionByName(near).groupBy("_k").agg(F.collect_set("_i").alias("drops"))
+        start, end = f"_c{short}_{i}", f"_c{short}_{i + 1}"
+        keys.append(f"named_struct('tag', {'_own' if short == shift == 0 else '_probe'}, 'key', "
+                    f"xxhash64(_c{short}_{edits + 1}, {i}, substring(_line, {start} + {1 + shift}, {end} - {start})) & 72057594037927935L)")
+    return F.expr(f"array({', '.join(keys)})")
+
+
+def _firsts(d: DataFrame, min_chars: int) -> DataFrame:
+    """``(id, _first)``: each distinct line of the length in question and its first place.
+
+    Lines are told apart by 104 bits of hash; ``id`` is 40 of them.
+    """
+    lines = d.select("_k", F.posexplode(F.split("text", "\n")).alias("_i", "_line")).where(F.char_length("_line") >= min_chars)
+    lines = lines.select(_place().alias("_p"), F.expr(_LINE_ID.format("_line")).alias("id"),
+                         F.xxhash64(F.lit("line"), "_line").alias("_h"))
+    return lines.groupBy("id", "_h").agg(F.min("_p").alias("_first")).select("id", "_first")
+
+
+def repeated(d: DataFrame, firsts: DataFrame, lists: DataFrame, edits: int) -> DataFrame:
+    """``(_k, _near)``: first places of lines that are within ``edits`` of an earlier line, by document.
+
+    Lines meet by key only where a key has several; the join on keys compares the lines themselves,
+    so a key that many lines share emits links and no candidates.
+    """
+    lines = d.join(lists.hint("shuffle_hash"), "_k").select("_firsts", F.split("text", "\n").alias("_all"))
+    lines = lines.select(F.explode(F.expr("transform(_firsts, x -> named_struct('id', x.id, 'line', get(_all, x._i)))")).alias("_x"))
+    # Rows that share a doc_id share its places; only the line meant counts.
+    lines = lines.select("_x.id", F.col("_x.line").alias("_line")).where(_LINE_ID.format("_line") + " = id")
+    lines = lines.withColumn("_n", F.char_length("_line"))
+    ends = {k: F.expr(v) for short in range(edits + 1) for k, v in cuts("_n", short, edits + 1).items()}
+    lines = lines.withColumns(ends | {"_own": F.expr("coalesce(id, 0L) * 2 + 1"), "_probe": F.expr("coalesce(id, 0L) * 2")})
+    keyed = lines.select(F.explode(_segment_keys(edits)).alias("_key")).select("_key.tag", "_key.key").repartition("key")
+    crowd = keyed.groupBy("key").agg(F.count("*").alias("_m"), F.max(F.col("tag").bitwiseAND(F.lit(1))).alias("_own")).where("_m > 1 AND _own = 1")
+    met = keyed.join(crowd.select("key").hint("shuffle_hash"), "key")
+    # Bit operations cannot make nulls, so no null filter tells the uses of these rows apart and they are made once.
+    met = met.select("key", F.shiftright("tag", 1).alias("id"), F.col("tag").bitwiseAND(F.lit(1)).alias("own"))
+    # The lines that meet others, fetched by their first places.
+    wanted = met.select("id").distinct().join(firsts, "id").select("id", *_at("_first"), "_first")
+    wanted = wanted.groupBy("_k").agg(F.collect_set(F.struct("id", "_i", "_first")).alias("_w"))
+    texts = d.join(wanted.hint("shuffle_hash"), "_k").select("_w", F.split("text", "\n").alias("_all"))
+    texts = texts.select(F.explode(F.expr(
+        "transform(_w, w -> named_struct('id', w.id, 'first', w._first, 'line', get(_all, w._i)))")).alias("_x")).select("_x.*").where(_LINE_ID.format("line") + " = id")
+    full = met.join(texts.dropDuplicates(["id", "first"]), "id").select("key", "own", "first", "line")
+    a = full.select("key", F.col("own").alias("oa"), F.col("first").alias("fa"), F.col("line").alias("a"))
+    b = full.select("key", F.col("own").alias("ob"), F.col("first").alias("fb"), F.col("line").alias("b"))
+    # An index key on the left; the sum keeps the two sides alike, so that they are made once.
+    meet = (2 * F.col("oa") + F.col("ob") >= 2) & (F.col("fa") != F.col("fb")) & ((F.col("oa") + F.col("ob") < 2) | (F.col("fa") < F.col("fb")))
+    pairs = a.join(b, "key").where(meet & (F.levenshtein("a", "b", edits) >= 0)).dropDuplicates(["fa", "fb"])
+    # The number keeps the filter above the arrays of characters, which it would else make anew for each step.
+    pairs = pairs.select(F.greatest("fa", "fb").alias("_late"), F.expr(codes("a")).alias("a"), F.expr(codes("b")).alias("b"),
+                         F.monotonically_increasing_id().alias("_no"))
+    near = pairs.where((F.col("_no") >= 0) & F.expr(f"{edit_distance('a', 'b', edits)} <= {edits}")).select("_late").distinct()
+    return near.select(*_at("_late")).groupBy("_k").agg(F.collect_set("_i").alias("_near"))
 
 
 def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 40) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``.
 
-    A document that loses lines is joined again by newlines from those that stay, or becomes empty;
-    others keep their text as it is, null included (no lines).  Rows that share a doc_id stand at
-    the same place, so equal lines of theirs count as one.  A null doc_id comes first in the order.
-    ``n_chars`` follows where present.  An empty table gives no rows.
+    A line of ``min_chars`` characters or more goes if an equal line stands earlier in the corpus,
+    or if an earlier line, by first places, is within ``edits`` edits (whether that one stays or
+    not).  Shorter lines stay.  A document that loses lines is joined again by newlines from those
+    that stay, or becomes empty; others keep their text as it is, null included (no lines).  Rows
+    that share a doc_id stand at the same place, so equal lines of theirs count as one.  A null
+    doc_id comes first in the order, and a repeated line stays where another row of its doc_id has a
+    first one.  ``n_chars`` follows where present.  An empty table gives no rows.
     """
-    drops = duplicates(docs, edits, min_chars)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_k"), F.coalesce("text", F.lit("")).alias("text"),
-                       *([F.struct(*docs.columns).alias("_row")]))
-    rows = rows.join(drops, "_k", "left").select("_row", "drops", F.split("text", "\n").alias("_all"))
-    stay = F.expr("array_join(transform(array_except(sequence(0, size(_all) - 1), drops), i -> _all[i]), '\\n')")
-    text = F.when(F.col("drops").isNull(), F.col("_row.text")).otherwise(stay)
-    fields = {c: F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")} | {"text": text}
-    if "n_chars" in docs.columns:
-        fields["n_chars"] = F.when(F.col("drops").isNull(), F.col("_row.n_chars")).otherwise(
-            F.char_length(text)).cast(docs.schema["n_chars"].dataType)
-    n_lines = F.when(F.col("_row.text").isNull(), 0).otherwise(F.size("_all"))
-    return rows.select(*[v.alias(c) for c, v in fields.items()], n_lines.cast("long").alias("n_lines"),
-                       F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    if min_chars <= 2 * edits:
+        raise ValueError("lines must be longer than twice the edits")
+    d = docs.select(_key(docs).alias("_k"), "text")
+    firsts = _firsts(d, min_chars)
+    lists = firsts.select("id", *_at("_first")).groupBy("_k").agg(F.collect_set(F.struct("_i", "id")).alias("_firsts"))
+    near = repeated(d, firsts, lists, edits)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # Without further columns this is dealt out like the texts above, and Spark deals them once.
+    rows = docs.select(_key(docs).alias("_k"), "text", *([F.struct(*others).alias("_rest")] if others else []))
+    rows = rows.join(lists.hint("shuffle_hash"), "_k", "left").join(near.hint("shuffle_hash"), "_k", "left")
+    none = "CAST(array() AS array<int>)"
+    rows = rows.withColumn("_all", F.split("text", "\n"))
+    rows = rows.withColumn("_long", F.expr(f"filter(transform(_all, (x, i) -> IF(char_length(x) >= {min_chars}, i, -1)), i -> i >= 0)"))
+    rows = rows.withColumn("_drops", F.expr(
+        f"array_except(_long, array_except(coalesce(transform(_firsts, x -> x._i), {none}), coalesce(_near, {none})))"))
+    stay = F.expr("array_join(transform(array_except(sequence(0, size(_all) - 1), _drops), i -> _all[i]), '\\n')")
+    dropped = F.coalesce(F.size("_drops"), F.lit(0))
+    text = F.when(dropped > 0, stay).otherwise(F.col("text"))
+    made = {"doc_id": F.expr(f"nullif(_k, {_NO_ID + 1}L - 1L)").cast(docs.schema["doc_id"].dataType), "text": text}
+    if "n_chars" in others:
+        made["n_chars"] = F.when(dropped > 0, F.char_length(text)).otherwise(F.col("_rest.n_chars")).cast(docs.schema["n_chars"].dataType)
+    made = {c: made[c] if c in made else F.col(f"_rest.`{c}`") for c in docs.columns} | {
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_all")).cast("long"),
+        "n_dropped": F.when(F.col("text").isNull(), 0).otherwise(dropped).cast("long")}
+    return rows.select(*[v.alias(c) for c, v in made.items()])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -170,5 +177,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; documents that lose all their lines go."""
-    return deduplicated(docs).where((F.col("n_dropped") == 0) | (F.col("text") != "")).select(*docs.columns)
+    """Documents without repeated lines; documents of which nothing is left go."""
+    out = deduplicated(docs)
+    # A filter on the text would be pushed below and split it again for each line; the number keeps it here.
+    out = out.withColumn("_no", F.monotonically_increasing_id())
+    return out.where((F.col("_no") >= 0) & ((F.col("n_dropped") == 0) | (F.col("text") != ""))).select(*docs.columns)
