@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, limit: float = 2.0, wei
 
 
 def takes(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights=WEIGHTS,
-          bucket_rows: int = 20_000) -> DataFrame:
+          bucket_rows: int = 4_000) -> DataFrame:
     """One row per document: ``doc_id, _text, source, size, source_size, target, taken``.
 
     ``docs`` needs doc_id, text and source.  ``_text`` is a 64-bit hash of the text, which orders
