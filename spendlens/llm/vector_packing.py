@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -186,31 +187,131 @@ class WordCache:
 
     The tokenizer drops white space before its merges and no merge or normalisation crosses it, so
     the ids of a text are those of its words in order.  Texts that hold a special token's string
-    are tokenised as a whole.  The cache starts anew when it holds ``most`` words.
+    are tokenised as a whole.  Words live in two generations of ``most`` each: the young one becomes
+    the old one when it is full, and words met again come back, so frequent words stay.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    #: Punctuation that is neither white space nor part of a contraction.
+    TAIL = ".,;:!?#$%&*|"
+
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        new = list(dict.fromkeys(w for w in words if w not in self.cache))
-        for e, w in zip(self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), new):
-            self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.young: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each word from one call on all of them.
+
+        Where every word is one run of letters, it ends with the one token that ends a run;
+        otherwise offsets tell whose a token is.
+        """
+        e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(e.ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(texts) and all(map(str.isalpha, texts)):
+            ends = [0, *ends.tolist()]
+        else:
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+            ends = np.searchsorted(np.array([start for start, _ in e.offsets], dtype=np.int64), starts).tolist()
+        raw = ids.tobytes()
+        return (raw[4 * i:4 * j] for i, j in zip(ends, ends[1:]))
+
+    def _learn(self, missing: set[bytes]) -> None:
+        """Words new to the young generation, from the old one or the tokenizer.
+
+        Letters with punctuation behind them are two words to the tokenizer, so such a word is put
+        together from its parts; ASCII letters are looked up in lower case.
+        """
+        young, old, joined = self.young, self.old, []
+        letters: dict[bytes, str] = {}
+        other: dict[bytes, str] = {}
+        for w in missing:
+            if w in old:
+                young[w] = old[w]
+                continue
+            text = w.decode()
+            stem = text.rstrip(self.TAIL)
+            low = stem.lower()
+            if not stem.isalpha() or len(low) != len(stem):     # a few letters become two in lower case
+                other[w] = text
+                continue
+            if not stem.isascii():
+                low = stem
+            parts = low.encode(), text[len(stem):].encode()
+            joined.append((w, *parts))
+            for part, run, kind in zip(parts, (low, text[len(stem):]), (letters, other)):
+                if part in old:
+                    young[part] = old[part]
+                elif part not in young:
+                    kind[part] = run
+        for new in (letters, other):
+            words, texts = list(new), list(new.values())
+            for i in range(0, len(words), 1000):
+                young.update(zip(words[i:i + 1000], self._encode(texts[i:i + 1000])))
+        for w, low, tail in joined:
+            young[w] = young[low] + young[tail]
+
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {b"": b""}
+        found = list(map(self.young.get, words))
+        gaps, i = [], -1
+        try:
+            while True:
+                i = found.index(None, i + 1)
+                gaps.append(i)
+        except ValueError:
+            pass
+        if gaps:
+            self._learn({words[i] for i in gaps})
+            for i in gaps:
+                found[i] = self.young[words[i]]
+        return found
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words, out = text.encode("utf-8").split(), []
-        for i in range(0, len(words), 50_000):
-            some = words[i:i + 50_000]
-            self._learn(some)
-            out.append(b"".join(map(self.cache.__getitem__, some)))
-        return b"".join(out)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str], at_once: int = 50_000) -> list[bytes]:
+        """Ids of each text; words of several texts are looked up together, long texts in runs."""
+        out: list[bytes] = []
+        words: list[bytes] = []
+        ends: list[int] = []
+
+        def flush() -> None:
+            found, start = self._of_words(words), 0
+            for end in ends:
+                out.append(b"".join(found[start:end]))
+                start = end
+            words.clear()
+            ends.clear()
+
+        for text in texts:
+            if any(s in text for s in self.special):
+                flush()
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+                continue
+            own = text.encode("utf-8").split()
+            if len(own) > at_once:
+                flush()
+                out.append(b"".join(b"".join(self._of_words(own[i:i + at_once])) for i in range(0, len(own), at_once)))
+                continue
+            words += own
+            ends.append(len(words))
+            if len(words) >= at_once:
+                flush()
+        flush()
+        return out
+
+
+@lru_cache(maxsize=2)
+def word_cache(path: str) -> WordCache:
+    """One cache per worker process and tokenizer, kept from task to task."""
+    return WordCache(path)
 
 
 def pack_texts(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 2,
@@ -224,13 +325,14 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(),
     ``sequence_id`` is the partition number times 2^40 plus a counter.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, end = WordCache(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        cache, end = word_cache(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
 
         def examples() -> Iterator[Example]:
             for b in batches:
-                for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"]):
-                    ids = cache.ids(text or "") + end
-                    yield Example(None if doc_id is pd.NA else int(doc_id), 0, ids, len(ids) // 4)
+                for i in range(0, len(b), 256):
+                    some = b.iloc[i:i + 256]
+                    for doc_id, ids in zip(some["doc_id"].astype("Int64"), cache.many([t or "" for t in some["text"]])):
+                        yield Example(None if doc_id is pd.NA else int(doc_id), 0, ids + end, len(ids) // 4 + 1)
 
         yield from _rows(place(examples(), limits, cut), _first_id())
 
