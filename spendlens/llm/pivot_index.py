@@ -5,6 +5,9 @@ asking for two shared pivots at least is the same as one list per pair of pivots
 part of the list's key and no pair of vectors is counted up in a shuffle.  Lists are verified in
 blocks of bounded size by exact double precision cosines; a pair is taken only in the list of its
 two smallest shared pivots, so it counts once.  Equal vectors are one class before anything else.
+
+Pivots keep a set angle from each other.  Else a dense region would hold many of them, all about
+equally near to its vectors, whose order says nothing.
 """
 
 from __future__ import annotations
@@ -21,21 +24,65 @@ from spendlens.llm.graph import components
 from spendlens.llm.shared import checkpointed
 
 
+#: Vectors on which the length of the prefixes is tried.
+SAMPLE = 512
+
+
 def usable(v: Column) -> Column:
     """Vectors with finite components that are not all zero."""
     fine = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def choose_pivots(classes: DataFrame, most: int) -> dict[int, np.ndarray]:
-    """Unit pivots by dimension: at most ``most`` vectors each, the first by a hash of the vector.
+def choose_pivots(classes: DataFrame, most: int, apart: float, threshold: float, nearest: int,
+                  most_nearest: int) -> dict[int, tuple[np.ndarray, int]]:
+    """Unit pivots by dimension and the length of their prefixes.
 
-    Every task keeps its own first vectors, so no more than ``most`` of each meet in one place.
+    Candidates are the first vectors by a hash of the vector, twice ``most`` and a sample for the
+    prefix length.  Every task keeps its own first vectors, so no more than these meet in one place.
     """
     sized = classes.select("uid", "vector", F.size("vector").alias("_d"))
-    dims = sorted(r["_d"] for r in sized.select("_d").distinct().collect())
-    firsts = {d: sized.where(F.col("_d") == d).orderBy(F.xxhash64("vector"), "uid").limit(most) for d in dims}
-    return {d: _units(np.array([r["vector"] for r in f.select("vector").collect()], dtype=np.float64)) for d, f in firsts.items()}
+    out = {}
+    for d in sorted(r["_d"] for r in sized.select("_d").distinct().collect()):
+        first = sized.where(F.col("_d") == d).orderBy(F.xxhash64("vector"), "uid").limit(2 * most + SAMPLE)
+        x = first.select("vector").toArrow()["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x = _units(x.reshape(-1, d).astype(np.float64))
+        pivots = thinned(x[:2 * most], most, apart)
+        out[d] = pivots, prefix_length(x[-SAMPLE:], pivots, threshold, nearest, most_nearest)
+    return out
+
+
+def thinned(x: np.ndarray, most: int, apart: float) -> np.ndarray:
+    """The first ``most`` of unit vectors ``x`` of which no two have a cosine of ``apart`` or more."""
+    kept = x[:0]
+    for s in range(0, len(x), 256):
+        some = x[s:s + 256]
+        if len(kept):
+            some = some[(some @ kept.T).max(axis=1) < apart]
+        near, free = some @ some.T >= apart, []
+        for i in range(len(some)):
+            if not near[i, free].any():
+                free.append(i)
+        kept = np.concatenate([kept, some[free]])[:most]
+        if len(kept) == most:
+            break
+    return kept
+
+
+def prefix_length(x: np.ndarray, pivots: np.ndarray, threshold: float, least: int, most: int, recall: float = 0.995) -> int:
+    """Shortest prefix under which ``recall`` of the links of unit vectors ``x`` share two pivots.
+
+    The links tried are the hardest ones, at a cosine of ``threshold`` in a random direction.
+    """
+    least, most = min(least, len(pivots)), min(most, len(pivots))
+    if least == most or x.shape[1] < 2:
+        return least
+    side = np.random.default_rng(0).normal(size=x.shape)
+    side = _units(side - (side * x).sum(axis=1, keepdims=True) * x)
+    a, b = (np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, :most]
+            for v in (x, threshold * x + sqrt(1 - threshold ** 2) * side))
+    same = a[:, :, None] == b[:, None, :]
+    return next((k for k in range(least, most) if (same[:, :k, :k].sum(axis=(1, 2)) >= 2).mean() >= recall), most)
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -43,10 +90,11 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def index(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
+def index(classes: DataFrame, pivots: dict[int, tuple[np.ndarray, int]]) -> DataFrame:
     """``(key, uid, prefix)``: inverted lists by dimension and pair of pivots.
 
-    ``prefix`` holds the vector's ``nearest`` pivots in order of nearness.
+    ``prefix`` holds the vector's nearest pivots in order of nearness.  A single pivot makes one
+    list of all vectors.
     """
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
@@ -54,16 +102,13 @@ def index(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> Da
         for b in batches:
             dims = b["vector"].map(len)
             for d, part in b.groupby(dims):
-                p = shared.value[int(d)]
-                k = min(nearest, len(p))
+                p, k = shared.value[int(d)]
                 for i in range(0, len(part), 2048):
                     some = part.iloc[i:i + 2048]
                     sims = _units(np.stack(some["vector"]).astype(np.float64)) @ p.T
                     prefix = np.argsort(-sims, axis=1, kind="stable")[:, :k].astype(np.int32)
                     ranked = np.sort(prefix, axis=1).astype(np.int64)
-                    pairs = list(combinations(range(k), 2))
-                    if not pairs:
-                        continue
+                    pairs = list(combinations(range(k), 2)) or [(0, 0)]
                     keys = np.stack([(d << 44) | (ranked[:, a] << 22) | ranked[:, c] for a, c in pairs], axis=1)
                     uid = np.repeat(some["uid"].to_numpy(), len(pairs))
                     held = np.repeat(np.array([r.tobytes() for r in prefix], dtype=object), len(pairs))
@@ -72,6 +117,25 @@ def index(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> Da
     return classes.select("uid", "vector").mapInPandas(run, "key long, uid long, prefix binary")
 
 
+def _own(i: np.ndarray, j: np.ndarray, prefix: np.ndarray, key: int) -> np.ndarray:
+    """Which pairs of positions share no pivots before the two of the list, by sorted prefixes."""
+    first, second = (key >> 22) & ((1 << 22) - 1), key & ((1 << 22) - 1)
+    before = (prefix < second) & (prefix != first)
+    names, at = np.unique(prefix[before], return_inverse=True)
+    own = np.ones(len(i), dtype=bool)
+    if len(names) <= 4 * prefix.shape[1] ** 2:    # few names: a product of their marks costs less
+        marks = np.zeros((len(prefix), len(names)), dtype=np.float32)
+        marks[np.nonzero(before)[0], at] = 1
+        a, i = np.unique(i, return_inverse=True)
+        b, j = np.unique(j, return_inverse=True)
+        return (marks[a] @ marks[b].T == 0)[i, j]
+    held = np.where(before, prefix, -1 - np.arange(len(prefix))[:, None])
+    for t in range(0, len(i), 100_000):
+        a, b = held[i[t:t + 100_000]], held[j[t:t + 100_000]]
+        own[t:t + 100_000] = ~(a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
+    return own
+
+
 def _verify(g: pd.DataFrame, threshold: float, dtype) -> pd.DataFrame | None:
     """Links of one block pair of one list: weight of linked vectors and a root for each vector."""
     key, lo, hi = int(g["key"].iloc[0]), int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
@@ -86,15 +150,9 @@ def _verify(g: pd.DataFrame, threshold: float, dtype) -> pd.DataFrame | None:
         i, j = rows[s + i], cols[j]
         if lo == hi:
             i, j = i[i < j], j[i < j]
-        for t in range(0, len(i), 100_000):
-            a, b = i[t:t + 100_000], j[t:t + 100_000]
-            both = (prefix[a][:, :, None] == prefix[b][:, None, :]).any(axis=2)
-            rank = np.cumsum(both, axis=1)
-            first = np.take_along_axis(prefix[a], (both & (rank == 1)).argmax(axis=1)[:, None], 1)[:, 0]
-            second = np.take_along_axis(prefix[a], (both & (rank == 2)).argmax(axis=1)[:, None], 1)[:, 0]
-            own = ((first << 22) | second) == (key & ((1 << 44) - 1))
-            found_i.append(a[own])
-            found_j.append(b[own])
+        own = _own(i, j, prefix, key)
+        found_i.append(i[own])
+        found_j.append(j[own])
     i, j = np.concatenate(found_i or [rows[:0]]), np.concatenate(found_j or [rows[:0]])
     if not len(i):
         return None
@@ -141,16 +199,18 @@ def verified(lists: DataFrame, threshold: float, dtype) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = 7, block: int = 1024,
-                    most_pivots: int = 16_384) -> DataFrame:
+                    most_pivots: int = 16_384, apart: float = 0.7, most_nearest: int = 16) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``: one row per row of ``vectors(vec_id, embedding)``.
 
     Vectors are linked at a cosine of ``threshold`` or more.  ``n_links`` counts the other vectors
     linked directly, ``component_id`` is the smallest vec_id reachable.  Null or zero vectors and
     those with null or non-finite components link with nothing, equal ones included; vectors of
     different length never link.  The square root of the number of distinct vectors, 64 at least
-    and ``most_pivots`` at most, are pivots, so lists keep their expected length as the data grow;
-    every vector is indexed.  Repeated rows are vectors of their own.  A null vec_id is ignored by
-    the minimum.
+    and ``most_pivots`` at most, are pivots, fewer where vectors lie so close that no more have
+    cosines under ``apart`` (or the threshold) with each other; a region within that angle is
+    compared whole.  Every vector is indexed, by ``nearest`` pivots or as many more, up to
+    ``most_nearest``, as links at the threshold need.  Repeated rows are vectors of their own.  A
+    null vec_id is ignored by the minimum.
     """
     kind = vectors.schema["embedding"].dataType.elementType.typeName()
     dtype = np.float32 if kind == "float" else np.float64
@@ -159,8 +219,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = 7
     classes = checkpointed(rows.where(usable(F.col("vector"))).groupBy("vector")
                            .agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
                            .withColumn("uid", F.monotonically_increasing_id()))
-    pivots = choose_pivots(classes, min(most_pivots, max(64, ceil(sqrt(classes.count())))))
-    keys = checkpointed(index(classes, pivots, nearest))
+    pivots = choose_pivots(classes, min(most_pivots, max(64, ceil(sqrt(classes.count())))), min(apart, threshold),
+                           threshold, nearest, most_nearest)
+    keys = checkpointed(index(classes, pivots))
     counts = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     lists = keys.join(counts, "key")
     lists = lists.withColumn("blocks", F.ceil(F.col("size") / block).cast("long"))

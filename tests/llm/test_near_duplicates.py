@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -228,6 +229,39 @@ def test_vector_links_and_recall(spark, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_links_in_dense_regions_are_found(spark):
+    """A third in one cluster of distinct vectors, a third in a topic at 0.8 with linked pairs in it."""
+    rng = np.random.default_rng(4)
+
+    def away(x, base):                                  # unit vectors orthogonal to the unit rows of base
+        r = rng.normal(size=x.shape)
+        for b in base:
+            r -= (r * b).sum(axis=1, keepdims=True) * b
+        return r / np.linalg.norm(r, axis=1, keepdims=True)
+
+    n, dim = 10_000, 64
+    c, t = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+    c, t = np.broadcast_to(c, (n, dim)), np.broadcast_to(t, (n // 2, dim))
+    e = away(t, [t])
+    f = 0.6 * e + 0.8 * away(t, [t, e])                 # cosine 0.8 + 0.2 * 0.6 in the topic
+    x = np.concatenate([np.sqrt(0.92) * c + np.sqrt(0.08) * away(c, [c]), np.sqrt(0.8) * t + np.sqrt(0.2) * e,
+                        np.sqrt(0.8) * t + np.sqrt(0.2) * f, rng.normal(size=(n, dim))]).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = np.concatenate([(u[s:s + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for s in range(0, len(u), 1000)])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<float>")
+    got = pv.near_duplicates(df.repartition(8)).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    assert (got <= want).all() and want[:n].sum() > 10 ** 7 and want[n:2 * n].sum() >= n
+    assert got[:n].sum() >= 0.98 * want[:n].sum() and got[n:2 * n].sum() >= 0.98 * want[n:2 * n].sum()
+
+
+def test_prefixes_grow_with_the_pivots():
+    rng = np.random.default_rng(6)
+    x = pv._units(rng.normal(size=(20_000, 64)))
+    few, many = pv.thinned(x[:100], 100, 0.7), pv.thinned(x, 8000, 0.7)
+    assert len(few) == 100 and len(many) == 8000
+    assert 7 <= pv.prefix_length(x[-512:], few, 0.9, 7, 16) < pv.prefix_length(x[-512:], many, 0.9, 7, 16)
+
+
 def test_vectors_that_link_with_nothing(spark):
     one = [1.0, 2.0, 3.0]
     rows = [(1, one), (2, one), (3, None), (4, [0.0, 0.0, 0.0]), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 3.0]), (7, [1.0, float("nan"), 3.0]),
