@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-_NO_ID = -(2 ** 63)
 _LINE_ID = "(xxhash64({}) & 1099511627775L)"
 
 
@@ -58,18 +57,32 @@ def codes(line: str) -> str:
     return f"transform(split({line}, ''), c -> ascii(c))"
 
 
-def _key(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID))
+def _document() -> Column:
+    """Place of a document in the corpus as one number: null ids first, then ids, then a hash of the text.
+
+    The last 28 bits are left for the line, more than an array holds.  Before them a null id takes
+    64 bits of the hash and others 34, so rows that share an id but not the text are told apart.
+    """
+    # Never null, so no null filter tells the uses of the dealt texts apart.
+    return F.expr("coalesce(IF(doc_id IS NULL, (CAST(xxhash64(text) AS decimal(20,0)) + 9223372036854775808BD) * 268435456BD "
+                  "- 90000000000000000000000000000000000000BD, CAST(CAST(doc_id AS bigint) AS decimal(20,0)) * 4611686018427387904BD "
+                  "+ CAST(shiftrightunsigned(xxhash64(text), 30) AS decimal(11,0)) * 268435456BD), 0BD)")
+
+
+def _doc_id() -> Column:
+    """The id that a document's place was made of."""
+    return F.expr("IF(_d < -50000000000000000000000000000000000000BD, NULL, "
+                  "CAST((_d - pmod(_d, 4611686018427387904BD)) / 4611686018427387904BD AS bigint))")
 
 
 def _place() -> Column:
-    """Place of a line in the corpus as one number: documents in order of their keys, then lines."""
-    return F.expr("CAST(_k AS decimal(20,0)) * 2147483648BD + CAST(_i AS decimal(10,0))")
+    """Place of a line in the corpus as one number: that of its document, then lines."""
+    return F.expr("_d + CAST(_i AS decimal(10,0))")
 
 
 def _at(place: str) -> list[Column]:
-    """Document key and line number of a place."""
-    return [F.floor(F.col(place) / F.lit(2 ** 31)).cast("long").alias("_k"), F.expr(f"CAST(pmod({place}, 2147483648BD) AS int)").alias("_i")]
+    """Place of the document and line number of a place."""
+    return [F.expr(f"{place} - pmod({place}, 268435456BD)").alias("_d"), F.expr(f"CAST(pmod({place}, 268435456BD) AS int)").alias("_i")]
 
 
 def _segment_keys(edits: int) -> Column:
@@ -90,21 +103,21 @@ def _firsts(d: DataFrame, min_chars: int) -> DataFrame:
 
     Lines are told apart by 104 bits of hash; ``id`` is 40 of them.
     """
-    lines = d.select("_k", F.posexplode(F.split("text", "\n")).alias("_i", "_line")).where(F.char_length("_line") >= min_chars)
+    lines = d.select("_d", F.posexplode(F.split("text", "\n")).alias("_i", "_line")).where(F.char_length("_line") >= min_chars)
     lines = lines.select(_place().alias("_p"), F.expr(_LINE_ID.format("_line")).alias("id"),
                          F.xxhash64(F.lit("line"), "_line").alias("_h"))
     return lines.groupBy("id", "_h").agg(F.min("_p").alias("_first")).select("id", "_first")
 
 
 def repeated(d: DataFrame, firsts: DataFrame, lists: DataFrame, edits: int) -> DataFrame:
-    """``(_k, _near)``: first places of lines that are within ``edits`` of an earlier line, by document.
+    """``(_d, _near)``: first places of lines that are within ``edits`` of an earlier line, by document.
 
     Lines meet by key only where a key has several; the join on keys compares the lines themselves,
     so a key that many lines share emits links and no candidates.
     """
-    lines = d.join(lists.hint("shuffle_hash"), "_k").select("_firsts", F.split("text", "\n").alias("_all"))
+    lines = d.join(lists.hint("shuffle_hash"), "_d").select("_firsts", F.split("text", "\n").alias("_all"))
     lines = lines.select(F.explode(F.expr("transform(_firsts, x -> named_struct('id', x.id, 'line', get(_all, x._i)))")).alias("_x"))
-    # Rows that share a doc_id share its places; only the line meant counts.
+    # Only the line meant counts, should two texts of a doc_id have the same hash.
     lines = lines.select("_x.id", F.col("_x.line").alias("_line")).where(_LINE_ID.format("_line") + " = id")
     lines = lines.withColumn("_n", F.char_length("_line"))
     ends = {k: F.expr(v) for short in range(edits + 1) for k, v in cuts("_n", short, edits + 1).items()}
@@ -116,8 +129,8 @@ def repeated(d: DataFrame, firsts: DataFrame, lists: DataFrame, edits: int) -> D
     met = met.select("key", F.shiftright("tag", 1).alias("id"), F.col("tag").bitwiseAND(F.lit(1)).alias("own"))
     # The lines that meet others, fetched by their first places.
     wanted = met.select("id").distinct().join(firsts, "id").select("id", *_at("_first"), "_first")
-    wanted = wanted.groupBy("_k").agg(F.collect_set(F.struct("id", "_i", "_first")).alias("_w"))
-    texts = d.join(wanted.hint("shuffle_hash"), "_k").select("_w", F.split("text", "\n").alias("_all"))
+    wanted = wanted.groupBy("_d").agg(F.collect_set(F.struct("id", "_i", "_first")).alias("_w"))
+    texts = d.join(wanted.hint("shuffle_hash"), "_d").select("_w", F.split("text", "\n").alias("_all"))
     texts = texts.select(F.explode(F.expr(
         "transform(_w, w -> named_struct('id', w.id, 'first', w._first, 'line', get(_all, w._i)))")).alias("_x")).select("_x.*").where(_LINE_ID.format("line") + " = id")
     full = met.join(texts.dropDuplicates(["id", "first"]), "id").select("key", "own", "first", "line")
@@ -130,7 +143,7 @@ def repeated(d: DataFrame, firsts: DataFrame, lists: DataFrame, edits: int) -> D
     pairs = pairs.select(F.greatest("fa", "fb").alias("_late"), F.expr(codes("a")).alias("a"), F.expr(codes("b")).alias("b"),
                          F.monotonically_increasing_id().alias("_no"))
     near = pairs.where((F.col("_no") >= 0) & F.expr(f"{edit_distance('a', 'b', edits)} <= {edits}")).select("_late").distinct()
-    return near.select(*_at("_late")).groupBy("_k").agg(F.collect_set("_i").alias("_near"))
+    return near.select(*_at("_late")).groupBy("_d").agg(F.collect_set("_i").alias("_near"))
 
 
 def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 40) -> DataFrame:
@@ -140,20 +153,20 @@ def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 40) -> DataFr
     or if an earlier line, by first places, is within ``edits`` edits (whether that one stays or
     not).  Shorter lines stay.  A document that loses lines is joined again by newlines from those
     that stay, or becomes empty; others keep their text as it is, null included (no lines).  Rows
-    that share a doc_id stand at the same place, so equal lines of theirs count as one.  A null
-    doc_id comes first in the order, and a repeated line stays where another row of its doc_id has a
-    first one.  ``n_chars`` follows where present.  An empty table gives no rows.
+    alike in doc_id and text are one document and stay alike.  Rows that share a doc_id only are
+    documents of their own, in order of a hash of the text; null ids come before all others.
+    ``n_chars`` follows where present.  An empty table gives no rows.
     """
     if min_chars <= 2 * edits:
         raise ValueError("lines must be longer than twice the edits")
-    d = docs.select(_key(docs).alias("_k"), "text")
+    d = docs.select(_document().alias("_d"), "text")
     firsts = _firsts(d, min_chars)
-    lists = firsts.select("id", *_at("_first")).groupBy("_k").agg(F.collect_set(F.struct("_i", "id")).alias("_firsts"))
+    lists = firsts.select("id", *_at("_first")).groupBy("_d").agg(F.collect_set(F.struct("_i", "id")).alias("_firsts"))
     near = repeated(d, firsts, lists, edits)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     # Without further columns this is dealt out like the texts above, and Spark deals them once.
-    rows = docs.select(_key(docs).alias("_k"), "text", *([F.struct(*others).alias("_rest")] if others else []))
-    rows = rows.join(lists.hint("shuffle_hash"), "_k", "left").join(near.hint("shuffle_hash"), "_k", "left")
+    rows = docs.select(_document().alias("_d"), "text", *([F.struct(*others).alias("_rest")] if others else []))
+    rows = rows.join(lists.hint("shuffle_hash"), "_d", "left").join(near.hint("shuffle_hash"), "_d", "left")
     none = "CAST(array() AS array<int>)"
     rows = rows.withColumn("_all", F.split("text", "\n"))
     rows = rows.withColumn("_long", F.expr(f"filter(transform(_all, (x, i) -> IF(char_length(x) >= {min_chars}, i, -1)), i -> i >= 0)"))
@@ -162,7 +175,7 @@ def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 40) -> DataFr
     stay = F.expr("array_join(transform(array_except(sequence(0, size(_all) - 1), _drops), i -> _all[i]), '\\n')")
     dropped = F.coalesce(F.size("_drops"), F.lit(0))
     text = F.when(dropped > 0, stay).otherwise(F.col("text"))
-    made = {"doc_id": F.expr(f"nullif(_k, {_NO_ID + 1}L - 1L)").cast(docs.schema["doc_id"].dataType), "text": text}
+    made = {"doc_id": _doc_id().cast(docs.schema["doc_id"].dataType), "text": text}
     if "n_chars" in others:
         made["n_chars"] = F.when(dropped > 0, F.char_length(text)).otherwise(F.col("_rest.n_chars")).cast(docs.schema["n_chars"].dataType)
     made = {c: made[c] if c in made else F.col(f"_rest.`{c}`") for c in docs.columns} | {

@@ -191,6 +191,26 @@ def test_line_dedup_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.columns == ["doc_id", "text"]
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(12)
+    stock = ["".join(rng.choice("abcdefgh ") for _ in range(30)) for _ in range(20)]
+    low = -(2 ** 63)
+    rows = [(i, "\n".join(rng.choice(stock) + rng.choice(["", "", "x"]) for _ in range(4)) + f"\nonly here {n} " + "".join(
+        rng.choice("ijklmnop") for _ in range(30))) for n, i in enumerate([None] * 8 + [7] * 8 + [-3] * 4 + [low] * 2 + [2 ** 63 - 1] * 2 + [1, 2, 3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = {r["text"]: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"] % 2 ** 64 if r["doc_id"] is not None else r["h"])
+          for r in docs.withColumn("h", F.xxhash64("text")).collect()}
+    place = {}
+    for _, t in rows:
+        for n, x in enumerate(t.split("\n")):
+            place[x] = min(place.get(x, (at[t], n)), (at[t], n))
+    gone = {b for a in place for b in place if place[a] < place[b] and abs(len(a) - len(b)) <= 2 and levenshtein(a, b) <= 2}
+    want = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if x not in gone and place[x] == (at[t], n))) for i, t in rows]
+    got = led.deduplicated(docs.repartition(3), min_chars=12).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+    assert all("only here" in r["text"] for r in got)
+
+
 def clustered(seed, cosine, groups=25, size=12, dim=64, noise=400):
     rng = np.random.default_rng(seed)
     out = [rng.normal(size=dim) for _ in range(noise)]
