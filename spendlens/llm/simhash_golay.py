@@ -88,7 +88,9 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: one row per document, ``fp`` the fingerprint's 64 bits as a signed long.
+    """``(doc_id, fp, hash)``: one row per document, ``fp`` the fingerprint's 64 bits as a signed long.
+
+    ``hash`` is the XXH64 of the text as it is, which tells rows that share an id.
 
     Only the letters A to Z are lower-cased and only space and tab to carriage return separate
     words.  Texts of any length are hashed in chunks of shingles.
@@ -96,10 +98,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64), "hash": b["hash"]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    return rows.mapInPandas(run, "doc_id long, fp long, hash long")
 
 
 def golay_keys(fps: DataFrame) -> DataFrame:
@@ -148,6 +150,15 @@ def links(fps: DataFrame, max_distance: int = 2, hot_key: int = HOT_KEY) -> Data
     return pairs.unionByName(stars).distinct()
 
 
+def _grouped(docs: DataFrame, shingle: int = 3, max_distance: int = 2, hot_key: int = HOT_KEY) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and ``(fp, low, root)``: smallest doc_id and component of each distinct one."""
+    marked = checkpointed(fingerprints(docs, shingle))
+    classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    found = components(links(classes, max_distance, hot_key))
+    return marked, classes.join(found, classes["fp"] == found["node"], "left").select(
+        "fp", "low", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, hot_key: int = HOT_KEY) -> DataFrame:
     """``(doc_id, fp, component_id)``: one row per input row.
 
@@ -157,11 +168,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, ho
     fingerprint 0 and are linked like any others.  A null doc_id is ignored by the minimum; a
     component of null ids only has a null component_id.  An empty table gives no rows.
     """
-    marked = checkpointed(fingerprints(docs, shingle))
-    classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    found = components(links(classes, max_distance, hot_key))
-    labelled = classes.join(found, classes["fp"] == found["node"], "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("root"))
+    marked, labelled = _grouped(docs, shingle, max_distance, hot_key)
     roots = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     names = labelled.join(roots, "root").select("fp", "component_id")
     return marked.join(names, "fp").select("doc_id", "fp", "component_id")
@@ -175,10 +182,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that with the smallest doc_id.
+    """One row of each near-duplicate component: that with the smallest doc_id, then hash of the text.
 
-    Rows that share a kept doc_id count as one document and one row of them stays.
+    Null ids come last, so a component of null ids only keeps one of its rows too.  Rows alike in
+    doc_id and text are interchangeable and one of them stays.
     """
-    keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    marked, labelled = _grouped(docs)
+    keep = (marked.join(labelled.select("fp", "root"), "fp").groupBy("root")
+            .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("_keep"))
+            .select(F.col("_keep.doc_id").alias("_id"), F.col("_keep.hash").alias("_kept")))
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    rows = rows.join(keep, (F.col("_hash") == F.col("_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_hash"]).drop("_hash")

@@ -106,6 +106,16 @@ def test_simhash_stage_keeps_one_of_each_group(spark):
     assert sg.stage(spark, docs.where("false"), "").count() == 0
 
 
+def test_simhash_stage_keeps_one_row_of_each_group_whatever_its_id(spark):
+    rows = [(None, "one text of some words"), (None, "quite another thing to read"), (None, "Quite another thing to read"),
+            (5, "red green blue yellow white"), (5, "alpha beta gamma delta"), (3, "Red green blue yellow white"),
+            (None, "alpha beta gamma Delta"), (6, "alone here"), (6, "alone here"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in sg.stage(spark, docs, "").collect()), key=str)
+    assert got == sorted([(None, "one text of some words"), (None, "quite another thing to read"), (3, "red green blue yellow white"),
+                          (5, "alpha beta gamma delta"), (6, "alone here"), (None, "")], key=str)
+
+
 def test_banded_edit_distance_against_builtin(spark):
     rng = random.Random(2)
     rows = []
