@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: The pipeline's brute force holds its stage to lines of 40 characters or more.
+STAGE_MIN_CHARS = 40
 _LINE_ID = "(xxhash64({}) & 1099511627775L)"
 
 
@@ -146,7 +148,7 @@ def repeated(d: DataFrame, firsts: DataFrame, lists: DataFrame, edits: int) -> D
     return near.select(*_at("_late")).groupBy("_d").agg(F.collect_set("_i").alias("_near"))
 
 
-def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 40) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``.
 
     A line of ``min_chars`` characters or more goes if an equal line stands earlier in the corpus,
@@ -191,7 +193,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; documents of which nothing is left go."""
-    out = deduplicated(docs)
+    out = deduplicated(docs, min_chars=STAGE_MIN_CHARS)
     # A filter on the text would be pushed below and split it again for each line; the number keeps it here.
     out = out.withColumn("_no", F.monotonically_increasing_id())
     return out.where((F.col("_no") >= 0) & ((F.col("n_dropped") == 0) | (F.col("text") != ""))).select(*docs.columns)

@@ -221,6 +221,14 @@ def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     assert all("only here" in r["text"] for r in got)
 
 
+def test_query_compares_short_lines(spark, tmp_path):
+    rows = [(1, "All rights reserved.\nfirst\nReleased under the MIT License."), (2, "All rights reserved.\nsecond\nreleased under the MIT License"),
+            (3, "To.\nLicensed under CC BY-NC 4.0."), (4, "To.\nLicensed under CC BY-SA 4.0.\nLicensed under GNU GPL 3.0.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in led.query(spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "second", 3: rows[2][1], 4: "To.\nLicensed under GNU GPL 3.0."}
+
+
 def clustered(seed, cosine, groups=25, size=12, dim=64, noise=400):
     rng = np.random.default_rng(seed)
     out = [rng.normal(size=dim) for _ in range(noise)]
