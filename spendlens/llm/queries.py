@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from spendlens.llm import (es_mixing, langid, line_edit_dedup, pivot_index, pu_quality, quality_rules, secret_ledger,
-                           simhash_golay, vector_packing, warc_chunks)
+                           simhash_golay, source_audit, token_alignment, toxicity, vector_packing, warc_chunks)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_line_edit_dedup": line_edit_dedup.query,
     "op9_pivot_index": pivot_index.query,
     "op10_es_mixing": es_mixing.query,
+    "op11_token_alignment": token_alignment.query,
+    "op12_source_audit": source_audit.query,
+    "op13_toxicity": toxicity.query,
 }
 
 ORACLE = {
@@ -24,4 +27,5 @@ ORACLE = {
     "op7_warc_chunks": warc_chunks.SQL,
     "op9_pivot_index": pivot_index.SQL,
     "op10_es_mixing": es_mixing.SQL,
+    "op12_source_audit": source_audit.SQL,
 }
