@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import collapse_manual
 from ..session import checkpointed
+from .kmeans import relational_kmeans
 
 
 def collapse_categories(df: DataFrame, mode: str = "manual", top_n: int = 20, n_clusters: int = 15,
@@ -71,34 +72,28 @@ def tfidf_weights(df: DataFrame, src: str = "raw_category") -> DataFrame:
     return t.join(norm, src).select(src, "term", (F.col("_x") / F.col("_norm")).alias("weight"))
 
 
+def tfidf_clusters(df: DataFrame, n_clusters: int = 15, src: str = "raw_category", seed: int = 42, tries: int = 10,
+                   iterations: int = 20) -> DataFrame:
+    """P10 clusters of the distinct labels: ``(label, cluster, rows, d, try, cost)`` (see ``relational_kmeans``).
+
+    Fitted on distinct labels weighted by their rows, which is fitting on every row since equal labels
+    have equal vectors.  Terms, vectors and centres stay tables; the number of distinct labels is all the driver learns.
+    """
+    labels = checkpointed(df.where(F.col(src).isNotNull()).groupBy(F.col(src).alias("label")).agg(F.count(F.lit(1)).alias("rows")))
+    k = max(2, min(n_clusters, labels.count()))
+    return relational_kmeans(tfidf_weights(df, src).withColumnRenamed(src, "label"), labels, k, tries, iterations, seed)
+
+
 def collapse_tfidf(df: DataFrame, n_clusters: int = 15, src: str = "raw_category",
                    dst: str = "category", seed: int = 42, tries: int = 10) -> DataFrame:
     """P10: TF-IDF of character n-grams -> k-means -> ``cluster_XX``, the best of ``tries`` seeds by cost.
 
-    Fitted on the distinct labels weighted by their rows, which is fitting on every row since equal
-    labels have equal vectors, then joined back.  Two or fewer distinct labels are left unchanged;
-    null labels get no cluster.
+    Two or fewer distinct labels, or labels of which no n-gram occurs in two rows, are left unchanged; null labels
+    get no cluster.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
-    from pyspark.ml.linalg import Vectors
-
-    terms = checkpointed(label_terms(df, src))
-    idf = {r["term"]: r["idf"] for r in terms.select("term", "idf").distinct().collect()}  # the vocabulary, as in any text model
-    labels = df.where(F.col(src).isNotNull()).groupBy(src).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    n_distinct = labels.count()
-    if n_distinct <= 2 or not idf:
+    few = df.where(F.col(src).isNotNull()).select(src).distinct().limit(3).count() <= 2
+    if few or label_terms(df, src).isEmpty():
         return df.withColumn(dst, F.col(src))
-    bags = terms.groupBy(src).agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("_terms"))
-    bags = labels.join(bags, src, "left").withColumn("_terms", F.coalesce("_terms", F.array().cast("array<string>")))
-    counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=len(idf), minDF=1.0).fit(bags)
-    scale = ElementwiseProduct(inputCol="_tf", outputCol="_x", scalingVec=Vectors.dense([idf[t] for t in counter.vocabulary]))
-    vectors = Normalizer(inputCol="_x", outputCol="_vec", p=2.0).transform(scale.transform(counter.transform(bags)))
-    vectors = vectors.select(src, "_w", "_vec").persist()
-    k = max(2, min(n_clusters, n_distinct))
-    models = [KMeans(featuresCol="_vec", predictionCol="_cluster", k=k, seed=seed + i, weightCol="_w").fit(vectors) for i in range(tries)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    mapping = checkpointed(best.transform(vectors).select(
-        F.col(src).alias("_lbl"), F.format_string("cluster_%02d", F.col("_cluster")).alias(dst)))
-    vectors.unpersist()
-    return df.join(mapping, df[src] == mapping["_lbl"], "left").drop("_lbl")
+    mapping = tfidf_clusters(df, n_clusters, src, seed, tries).select(
+        F.col("label").alias("_lbl"), F.format_string("cluster_%02d", F.col("cluster")).alias(dst))
+    return df.join(mapping, F.col(src) == F.col("_lbl"), "left").drop("_lbl")

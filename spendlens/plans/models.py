@@ -16,8 +16,9 @@ from ..operators import bucketing as B
 from ..operators import metrics as M
 from ..operators import personalize as P
 from ..operators import train as T
-from ..operators.categories import collapse_categories
+from ..operators.categories import collapse_categories, tfidf_clusters
 from ..operators.flow_features import FLOW_FEATURES_31, REGRESSION_NUMERIC
+from ..operators.kmeans import kmeans_sql
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
 from . import evaluation as EV
@@ -345,7 +346,7 @@ def m27(spark, sf_dir):
         "user_id", "week_t", "week_order", "y_true", "y_pred_base", "y_pred_cal", "y_pred_blend", "update_count")
 
 
-@register("P10_tfidf_weights", """
+_TFIDF_SQL = """
 WITH lab AS (SELECT p_name, count(*) AS rows FROM part WHERE p_name IS NOT NULL GROUP BY 1),
 word AS (SELECT p_name, rows, ' ' || w || ' ' AS w
          FROM (SELECT p_name, rows, unnest(string_split_regex(lower(p_name), '\\s+')) AS w FROM lab) WHERE w <> ''),
@@ -353,17 +354,42 @@ gram AS (SELECT p_name, rows, substr(w, i, n) AS term
          FROM word, unnest([3, 4, 5]) AS a(n), unnest(range(1, length(w) - n + 2)) AS b(i)),
 tf AS (SELECT p_name, rows, term, count(*) AS tf FROM gram GROUP BY ALL),
 df AS (SELECT term, sum(rows) AS df FROM tf GROUP BY 1 HAVING sum(rows) >= 2),
-x AS (SELECT p_name, term, tf * (ln((1.0 + (SELECT sum(rows) FROM lab))::DOUBLE / (1.0 + df)::DOUBLE) + 1) AS x FROM tf JOIN df USING (term))
+x AS (SELECT p_name, term, tf * (ln((1.0 + (SELECT sum(rows) FROM lab))::DOUBLE / (1.0 + df)::DOUBLE) + 1) AS x FROM tf JOIN df USING (term))"""
+N_CLUSTERS, KMEANS_STEPS = 15, 20
+#: At the driver's scales ``part`` has more distinct names than clusters, which fixes the number of clusters here.
+_KMEANS_SQL = _TFIDF_SQL + """,
+v AS MATERIALIZED (SELECT p_name AS label, term, x / sqrt(sum(x * x) OVER (PARTITION BY p_name)) AS weight FROM x),
+l AS (SELECT p_name AS label, rows FROM lab),
+""" + kmeans_sql(N_CLUSTERS, iterations=KMEANS_STEPS)
+
+
+@register("P10_tfidf_weights", _TFIDF_SQL + """
 SELECT p_name, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY p_name)), 6) AS weight FROM x""")
 def p10w(spark, sf_dir):
     from ..operators.categories import tfidf_weights
     return rounded(tfidf_weights(table(spark, sf_dir, "part", ["p_name"]), "p_name"), 6)
 
 
-@register("P10_collapse_tfidf")
+def part_clusters(spark, sf_dir):
+    return shared.frame(spark, "part_clusters", sf_dir, lambda: tfidf_clusters(
+        table(spark, sf_dir, "part", ["p_name"]), N_CLUSTERS, "p_name", iterations=KMEANS_STEPS))
+
+
+@register("P10_collapse_tfidf", _KMEANS_SQL + """
+SELECT p_partkey, p_name, printf('cluster_%02d', cluster) AS category FROM part LEFT JOIN km ON km.label = part.p_name""")
 def p10(spark, sf_dir):
     part = table(spark, sf_dir, "part", ["p_partkey", "p_name"])
-    return collapse_categories(part, "tfidf", n_clusters=15, src="p_name").select("p_partkey", "p_name", "category")
+    return collapse_categories(part, "tfidf", n_clusters=N_CLUSTERS, src="p_name").select("p_partkey", "p_name", "category")
+
+
+@register("P10_cluster_profile", _KMEANS_SQL + """
+SELECT cluster, count(*) AS n_labels, sum(rows)::BIGINT AS n_rows, round(sum(rows * d), 4) + 0.0 AS inertia, any_value(try)::INT AS best_try,
+       round(any_value(cost), 4) AS cost, min(label) AS first_label FROM km GROUP BY cluster""")
+def p10c(spark, sf_dir):
+    """Sizes and inertia of the clusters of the best try."""
+    return rounded(part_clusters(spark, sf_dir).groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n_labels"), F.sum("rows").alias("n_rows"), F.sum(F.col("rows") * F.col("d")).alias("inertia"),
+        F.first("try").alias("best_try"), F.first("cost").alias("cost"), F.min("label").alias("first_label")))
 
 
 @register("K6_top_improved_users")
