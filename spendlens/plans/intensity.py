@@ -12,9 +12,9 @@ from ..functions.expr import share
 from ..operators import bucketing as B
 from ..operators import stats
 from ..operators import windows as W
-from ..operators.grid import attach_user_daily
+from ..operators.grid import daily_grid_with_user_sum, user_daily_grid
 from ..operators.ordering import exact_quantiles
-from .daily_signal import FOCUS, _GRID_SQL, grid_of
+from .daily_signal import FOCUS, _GRID_SQL, tx_of
 from . import shared
 from .registry import register, rounded
 from .sqlfmt import select_rounded
@@ -28,7 +28,7 @@ def with_target(grid: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def target_grid(spark, sf_dir):
-    return shared.frame(spark, "daily_target_grid", sf_dir, lambda: with_target(grid_of(spark, sf_dir)))
+    return shared.frame(spark, "daily_target_grid", sf_dir, lambda: with_target(daily_grid_with_user_sum(tx_of(spark, sf_dir))))
 
 
 def grid_thresholds(spark, sf_dir):
@@ -167,9 +167,7 @@ def q6(spark, sf_dir):
 
 
 def user_entropy(spark, sf_dir):
-    grid = grid_of(spark, sf_dir)
-    ud = shared.frame(spark, "user_daily_target", sf_dir, lambda: with_target(
-        grid.groupBy("user_id", "event_date").agg(F.sum("amount").alias("amount")), ["user_id"]))
+    ud = shared.frame(spark, "user_daily_target", sf_dir, lambda: with_target(user_daily_grid(tx_of(spark, sf_dir)), ["user_id"]))
     thr = shared.value(spark, "user_daily_thresholds", sf_dir, lambda: B.tune_thresholds(ud, "target_7d_sum"))
     ub = ud.withColumn("bucket", bucket_strict("target_7d_sum", thr["low"], thr["high"])).where(F.col("bucket").isNotNull())
     cnt = ub.groupBy("user_id", "bucket").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -231,8 +229,8 @@ def model_frame(spark, sf_dir) -> DataFrame:
         *KEYS, "event_date", "amount", "bucket",
         W.lag_k("bucket", w, 1).alias("prev_bucket_1"), W.lag_k("bucket", w, 2).alias("prev_bucket_2"),
         W.trailing_sum("amount", w, 7).alias("rolling_sum_7d"), W.trailing_sum("amount", w, 30).alias("rolling_sum_30d"),
-        is_weekend("event_date").alias("is_weekend"), is_month_end("event_date").alias("is_month_end"))
-    f = attach_user_daily(f, 30, out="cumulative_spend_30d")
+        is_weekend("event_date").alias("is_weekend"), is_month_end("event_date").alias("is_month_end"),
+        F.col("user_trailing_sum_30").alias("cumulative_spend_30d"))
     f = f.dropna(subset=["bucket"] + MODEL_FEATURES)
     return B.split_by_date_quantile(f, "event_date", 0.8)
 

@@ -112,3 +112,57 @@ def test_word_grams_of_short_words(spark):
     from pyspark.sql import functions as F
     got = spark.createDataFrame([("A at  cat",)], "t string").select(word_grams(F.col("t")).alias("g")).first()["g"]
     assert sorted(got) == sorted([" a ", " at", "at ", " at ", " ca", "cat", "at ", " cat", "cat ", " cat "])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def _exchanges_above_explode(df):
+    """Exchanges of the physical plan that stand above the node which lays out the days."""
+    lines = _plan(df)[1].split("== Initial Plan ==")[-1].split("\n")
+    at = next(i for i, x in enumerate(lines) if "Generate posexplode" in x)
+    return [x for x in lines[:at] if "Exchange" in x]
+
+
+def _random_tx(spark, seed=0):
+    import datetime as dt
+    import random
+    rnd = random.Random(seed)
+    rows = [(f"u{rnd.randint(0, 5)}", rnd.choice("abc"), dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randint(0, 50)), rnd.choice([0.5, 1.25, 4.0, -2.0]))
+            for _ in range(400)]
+    return rows, spark.createDataFrame(rows, "user_id string, category string, event_date date, amount double")
+
+
+def test_dense_rows_are_not_shuffled(spark):
+    from spendlens.operators import windows as W
+    from spendlens.operators.grid import daily_grid_full, daily_grid_observed, daily_grid_with_user_sum
+    _, tx = _random_tx(spark)
+    for grid in (daily_grid_full(tx), daily_grid_observed(tx), daily_grid_with_user_sum(tx)):
+        w = W.spec(["user_id", "category"], "event_date")
+        assert _exchanges_above_explode(grid) == []
+        assert _exchanges_above_explode(grid.withColumn("s", W.trailing_sum("amount", w, 7))) == []
+
+
+def test_model_frame_is_not_shuffled_on_its_dense_rows(spark):
+    from spendlens.plans import intensity, shared
+    shared.clear()
+    g = intensity.with_target(intensity.daily_grid_with_user_sum(intensity.tx_of(spark, "/root/testdata/sf0.001")))
+    assert _exchanges_above_explode(g) == [] and "user_trailing_sum_30" in g.columns
+
+
+def test_user_sums_against_brute_force(spark):
+    import datetime as dt
+    from spendlens.operators.grid import daily_grid_observed, daily_grid_with_user_sum, user_daily_grid
+    rows, tx = _random_tx(spark, 3)
+    day = {}
+    for u, _, d, a in rows:
+        day[u, d] = day.get((u, d), 0.0) + a
+    first = min(d for _, _, d, _ in rows)
+    got = daily_grid_with_user_sum(tx, 10).collect()
+    assert sorted((r[0], r[1], r[2], r[3]) for r in got) == sorted(tuple(r) for r in daily_grid_observed(tx).collect())
+    for r in got:
+        want = None if r["event_date"] == first else sum(day.get((r["user_id"], r["event_date"] - dt.timedelta(days=i)), 0.0) for i in range(1, 11))
+        assert r["user_trailing_sum_30"] == want
+    assert {(r["user_id"], r["event_date"]): r["amount"] for r in user_daily_grid(tx).collect() if r["amount"]} == {k: v for k, v in day.items() if v}
+    assert daily_grid_with_user_sum(tx.where("false")).count() == 0 and user_daily_grid(tx.where("false")).count() == 0
