@@ -2,16 +2,16 @@
 
 Every document draws the key ``-ln(u) / quality`` with ``u`` from a hash of its id, so better
 documents come earlier and reruns agree.  A source first takes its complete epochs; the rest of its
-target is a prefix of its documents in key order.  The prefix is found in two levels: keys fall
-into key-ordered buckets of a bounded expected size, bucket sums locate the one bucket in which the
-budget ends, and only the rows of that bucket are sorted.  No task sorts a whole source.
+target is a prefix of its documents in key order.  Prefix sums of the sizes come from range partitions
+of (source, key) with offsets, so neither a source nor a crowded span of keys is sorted in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spendlens.llm.shared import checkpointed, words
+from spendlens.llm.shared import checkpointed, packed, words
+from spendlens.operators.ordering import with_prefix_sums
 
 WEIGHTS = (3, 1, 2)
 NOISE = "#*$%&|<>!0123456789"
@@ -24,9 +24,10 @@ def quality(text: Column) -> Column:
     return F.greatest(F.lit(0.1), F.when(F.char_length(t) == 0, F.lit(1.0)).otherwise(clean / F.char_length(t)))
 
 
-def key(doc_id: Column, weight: Column, seed: str = "mix") -> Column:
-    """Exponential key: ``u`` is 52 bits of the md5 of seed and id (a null id hashes like '')."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 13)
+def key(doc_id: Column, text: Column, weight: Column, seed: str = "mix") -> Column:
+    """Exponential key: ``u`` is 52 bits of the md5 of seed and id; in place of a null id stands the md5 of the text, null as ''."""
+    name = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), name).cast("binary")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2 ** 52))
     return -F.log(u) / weight
 
@@ -57,8 +58,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, limit: float = 2.0, wei
             .drop("_rank", "_weight", "_cap", "_level", "_order", "_first"))
 
 
-def takes(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights=WEIGHTS,
-          bucket_rows: int = 4_000) -> DataFrame:
+def takes(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights=WEIGHTS) -> DataFrame:
     """One row per document: ``doc_id, _text, source, size, source_size, target, taken``.
 
     ``docs`` needs doc_id, text and source.  ``_text`` is a 64-bit hash of the text, which orders
@@ -69,37 +69,22 @@ def takes(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights=WEIGH
     """
     base = checkpointed(docs.select(
         "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"),
-        key(F.col("doc_id"), quality(F.col("text"))).alias("_key"), quality(F.col("text")).alias("_quality"),
+        key(F.col("doc_id"), F.col("text"), quality(F.col("text"))).alias("_key"),
         F.xxhash64("text").alias("_text")))
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = (source_targets(sizes, share, limit, weights)
             .withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                         .otherwise(0).cast("long"))
             .withColumn("_budget", F.floor(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("long"))
-            .withColumn("_buckets", F.ceil(F.col("_n") / F.lit(float(bucket_rows))).cast("long"))
             .withColumnRenamed("source", "_source"))
     plan = checkpointed(plan)
     same = F.col("source").eqNullSafe(F.col("_source"))
-    rows = base.join(plan, same).drop("_source")
-    # 1 - exp(-key) grows with the key and is near uniform, so buckets keep the order and a bounded size.
-    rows = rows.withColumn("_bucket", F.least(F.col("_buckets") - 1, F.floor(
-        F.col("_buckets") * (1 - F.exp(-F.col("_key"))))).cast("long"))
-    sums = rows.groupBy("source", "_bucket", "_budget").agg(F.sum("size").alias("_sum"))
-    upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = (sums.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).cast("long"))
-            .where("_before <= _budget")
-            .groupBy(F.col("source").alias("_source")).agg(F.max(F.struct("_bucket", "_before")).alias("_end")))
-    rows = rows.join(ends, same).drop("_source")
-    ordered = (Window.partitionBy("source").orderBy("_key", "doc_id", "_text", "size")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    edge = rows.where("_bucket = _end._bucket").withColumn(
-        "_room", F.col("_budget") - F.col("_end._before") - F.coalesce(F.sum("size").over(ordered), F.lit(0)))
-    outside = rows.where("_bucket <> _end._bucket").withColumn(
-        "_room", F.when(F.col("_bucket") < F.col("_end._bucket"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_room")))
-    return (edge.unionByName(outside)
-            .select("doc_id", "_text", "source", "size", "source_size", "target",
-                    (F.col("_epochs") * F.col("size") + part).alias("taken")))
+    # In key order, ties by id, hash and size: the sizes before each row of its source.
+    rows = with_prefix_sums(base, ["source"], ["_key", "doc_id", "_text", "size"], {"_before": F.col("size")}, per_group=True)
+    rows = rows.join(plan, same).drop("_source")
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_budget") - F.col("_before")))
+    return rows.select("doc_id", "_text", "source", "size", "source_size", "target",
+                       (F.col("_epochs") * F.col("size") + part).alias("taken"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -117,7 +102,7 @@ def mixed(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights=WEIGH
               .groupBy("doc_id", "_text").agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"),
                                               F.count("*").alias("_rows")))
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "_size", "_taken", "_rows")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.xxhash64("text").alias("_text"))
+    rows = docs.select(packed(docs.columns).alias("_row"), F.col("doc_id"), F.xxhash64("text").alias("_text"))
     rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
     # Rows alike in id and text share their words evenly, the first of a division's rest included.
     each = F.ceil(F.col("_taken") / F.col("_rows")).cast("long")
@@ -126,7 +111,7 @@ def mixed(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights=WEIGH
     cut = F.expr(r"regexp_extract(_row.text, concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){', "
                  r"_copy, '}+'), 0)")
     text = F.when(F.col("_copy") == F.col("_size"), F.col("_row.text")).otherwise(cut)
-    fields = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": text}
+    fields = {c: F.col("_row").getField(c) for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
         fields["n_chars"] = F.when(F.col("_copy") == F.col("_size"), F.col("_row.n_chars")).otherwise(
             F.char_length(text)).cast(docs.schema["n_chars"].dataType)
@@ -134,7 +119,10 @@ def mixed(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights=WEIGH
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: sources repeated or thinned to their targets."""
+    """The mixed corpus: sources repeated or thinned to their targets.
+
+    ``text`` is cut where a budget ends, and ``n_chars`` with it; all other columns stay, whatever their names.
+    """
     return mixed(docs)
 
 
@@ -142,7 +130,7 @@ SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
         CASE WHEN length(coalesce(text, '')) = 0 THEN 1.0::DOUBLE ELSE greatest(0.1::DOUBLE,
           length(regexp_replace(text, '[#*$%&|<>!0-9]', '', 'g'))::DOUBLE / length(text)::DOUBLE) END AS q,
-        (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5)
+        (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5)
           / 4503599627370496.0::DOUBLE AS u FROM documents),
 k AS (SELECT *, -ln(u) / q AS kk FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ([3.0, 1.0, 2.0]::DOUBLE[])[1 + ((row_number() OVER (

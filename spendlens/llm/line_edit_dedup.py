@@ -11,8 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: The pipeline's brute force holds its stage to lines of 40 characters or more.
-STAGE_MIN_CHARS = 40
+from spendlens.llm.shared import packed
+
 _LINE_ID = "(xxhash64({}) & 1099511627775L)"
 
 
@@ -148,17 +148,8 @@ def repeated(d: DataFrame, firsts: DataFrame, lists: DataFrame, edits: int) -> D
     return near.select(*_at("_late")).groupBy("_d").agg(F.collect_set("_i").alias("_near"))
 
 
-def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``.
-
-    A line of ``min_chars`` characters or more goes if an equal line stands earlier in the corpus,
-    or if an earlier line, by first places, is within ``edits`` edits (whether that one stays or
-    not).  Shorter lines stay.  A document that loses lines is joined again by newlines from those
-    that stay, or becomes empty; others keep their text as it is, null included (no lines).  Rows
-    alike in doc_id and text are one document and stay alike.  Rows that share a doc_id only are
-    documents of their own, in order of a hash of the text; null ids come before all others.
-    ``n_chars`` follows where present.  An empty table gives no rows.
-    """
+def _cleaned(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """``_row`` (struct of the columns of ``docs`` with the cleaned text), ``_lines`` and ``_dropped``."""
     if min_chars <= 2 * edits:
         raise ValueError("lines must be longer than twice the edits")
     d = docs.select(_document().alias("_d"), "text")
@@ -167,7 +158,7 @@ def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFr
     near = repeated(d, firsts, lists, edits)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     # Without further columns this is dealt out like the texts above, and Spark deals them once.
-    rows = docs.select(_document().alias("_d"), "text", *([F.struct(*others).alias("_rest")] if others else []))
+    rows = docs.select(_document().alias("_d"), "text", *([packed(others).alias("_rest")] if others else []))
     rows = rows.join(lists.hint("shuffle_hash"), "_d", "left").join(near.hint("shuffle_hash"), "_d", "left")
     none = "CAST(array() AS array<int>)"
     rows = rows.withColumn("_all", F.split("text", "\n"))
@@ -180,10 +171,26 @@ def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFr
     made = {"doc_id": _doc_id().cast(docs.schema["doc_id"].dataType), "text": text}
     if "n_chars" in others:
         made["n_chars"] = F.when(dropped > 0, F.char_length(text)).otherwise(F.col("_rest.n_chars")).cast(docs.schema["n_chars"].dataType)
-    made = {c: made[c] if c in made else F.col(f"_rest.`{c}`") for c in docs.columns} | {
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_all")).cast("long"),
-        "n_dropped": F.when(F.col("text").isNull(), 0).otherwise(dropped).cast("long")}
-    return rows.select(*[v.alias(c) for c, v in made.items()])
+    row = F.struct(*[(made[c] if c in made else F.col("_rest").getField(c)).alias(c) for c in docs.columns])
+    return rows.select(row.alias("_row"), F.when(F.col("text").isNull(), 0).otherwise(F.size("_all")).cast("long").alias("_lines"),
+                       F.when(F.col("text").isNull(), 0).otherwise(dropped).cast("long").alias("_dropped"))
+
+
+def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
+    """``docs`` with the repeated lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``.
+
+    A line of ``min_chars`` characters or more goes if an equal line stands earlier in the corpus,
+    or if an earlier line, by first places, is within ``edits`` edits (whether that one stays or
+    not).  Shorter lines stay.  A document that loses lines is joined again by newlines from those
+    that stay, or becomes empty; others keep their text as it is, null included (no lines).  Rows
+    alike in doc_id and text are one document and stay alike.  Rows that share a doc_id only are
+    documents of their own, in order of a hash of the text; null ids come before all others.
+    ``n_chars`` follows where present.  Other columns stay as they are, but for the two that are added, which replace
+    columns of their names.  An empty table gives no rows.
+    """
+    out = _cleaned(docs, edits, min_chars)
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*kept, F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -192,8 +199,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; documents of which nothing is left go."""
-    out = deduplicated(docs, min_chars=STAGE_MIN_CHARS)
+    """Documents without repeated lines; documents of which nothing is left go.
+
+    ``text`` changes, and ``n_chars`` with it; all other columns come back as they were, whatever their names.
+    """
     # A filter on the text would be pushed below and split it again for each line; the number keeps it here.
-    out = out.withColumn("_no", F.monotonically_increasing_id())
-    return out.where((F.col("_no") >= 0) & ((F.col("n_dropped") == 0) | (F.col("text") != ""))).select(*docs.columns)
+    out = _cleaned(docs, 2, 20).withColumn("_no", F.monotonically_increasing_id())
+    return out.where((F.col("_no") >= 0) & ((F.col("_dropped") == 0) | (F.col("_row.text") != ""))).select("_row.*")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spendlens.llm.shared import words
+from spendlens.llm.shared import packed, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -53,7 +53,7 @@ def measure(docs: DataFrame, window: int = 5) -> DataFrame:
     window need.  Existing columns keep their place; a measurement of the same name replaces one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
+    d = docs.select(packed(docs.columns).alias("_row"), F.col("text"))
     d = d.withColumn("_words", words(F.col("text")))
     d = d.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != ""))
     d = d.withColumn("_hashes", F.when(
@@ -80,7 +80,7 @@ def measure(docs: DataFrame, window: int = 5) -> DataFrame:
             f"'n', s.n + least({window}, p - s.last), 'last', p), s -> s.n)"),
         "n_exclaims": _removed(text, "!"),
     }
-    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in out]
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in out]
     return d.select(*kept, *[v.alias(k) for k, v in out.items()])
 
 
@@ -136,8 +136,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy keeps, columns unchanged; null texts go (no words)."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    """Documents that the production policy keeps; null texts go (no words).
+
+    All columns come back unchanged, whatever their names.  An empty table gives no rows.
+    """
+    rows = docs.select(packed(docs.columns).alias("row"), F.col("text"))
     return ledger(rows).where(verdict("prose", 2)).select("row.*")
 
 

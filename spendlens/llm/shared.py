@@ -6,12 +6,22 @@ from pyspark.sql import Column, functions as F
 
 from spendlens.session import checkpointed, ensure_checkpoint_dir as shared_folder
 
-__all__ = ["SEPARATORS", "checkpointed", "held_out", "learnable", "shared_folder", "words"]
+__all__ = ["SEPARATORS", "checkpointed", "held_out", "learnable", "named", "packed", "shared_folder", "words"]
 
 #: Word separators of the digest contracts: space and the ASCII controls tab to carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(columns: list[str]) -> Column:
+    """A struct of the caller's columns, in which no name can meet one of an operator's own; fields by ``getField``."""
+    return F.struct(*[named(c) for c in columns])
+
+
 def words(text: Column) -> Column:
     """Maximal runs of non-separator characters of ``text`` in order; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")

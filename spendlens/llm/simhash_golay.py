@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from spendlens.llm.graph import components
-from spendlens.llm.shared import checkpointed
+from spendlens.llm.shared import checkpointed, packed
 
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -185,12 +185,15 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component: that with the smallest doc_id, then hash of the text.
 
     Null ids come last, so a component of null ids only keeps one of its rows too.  Rows alike in
-    doc_id and text are interchangeable and one of them stays.
+    doc_id and text are interchangeable and one of them stays.  All columns come back unchanged,
+    whatever their names; an empty table gives no rows.
     """
     marked, labelled = _grouped(docs)
     keep = (marked.join(labelled.select("fp", "root"), "fp").groupBy("root")
             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("_keep"))
-            .select(F.col("_keep.doc_id").alias("_id"), F.col("_keep.hash").alias("_kept")))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = rows.join(keep, (F.col("_hash") == F.col("_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+            .select(F.col("_keep.doc_id").alias("_id"), F.col("_keep.hash").alias("_hash")))
+    # Plain keys, null ids told by a flag: what the join deals out is dealt out for the last step too.
+    key = [F.coalesce("_id", F.lit(0)).alias("_id"), F.col("_id").isNull().alias("_none"), "_hash"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), packed(docs.columns).alias("_row"))
+    rows = rows.select(*key, "_row").join(keep.select(*key), ["_id", "_none", "_hash"], "left_semi")
+    return rows.dropDuplicates(["_id", "_none", "_hash"]).select("_row.*")
