@@ -59,7 +59,10 @@ def classification_summary(df: DataFrame, y: str = "y", p: str = "p", labels=LAB
     """M3-M5: macro F1 over labels present in y or p, macro F1 over the fixed label list,
     support-weighted F1, accuracy and balanced accuracy (mean recall over labels in y)."""
     by = by or []
-    c = per_label_counts(df, y, p, labels, by)
+    return _summary(per_label_counts(df, y, p, labels, by), by)
+
+
+def _summary(c: DataFrame, by: list[str]) -> DataFrame:
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("predicted")), F.lit(0.0))
     rec = F.try_divide(F.col("tp").cast("double"), F.col("support"))
     present = (F.col("support") + F.col("predicted")) > 0
@@ -73,6 +76,17 @@ def classification_summary(df: DataFrame, y: str = "y", p: str = "p", labels=LAB
     )
 
 
+def summary_of_counts(counts: DataFrame, by: list[str], labels=LABELS) -> DataFrame:
+    """M3-M5 from confusion counts ``(by..., y_true, y_pred, n)`` in place of rows."""
+    aggs = []
+    for c in labels:
+        y, p = F.col("y_true") == c, F.col("y_pred") == c
+        aggs += [F.coalesce(F.sum(F.when(k, F.col("n"))), F.lit(0)).alias(f"_{name}{c}") for name, k in (("tp", y & p), ("s", y), ("p", p))]
+    one = counts.groupBy(*by).agg(*aggs, F.sum("n").alias("_n"))
+    rows = F.array(*[F.struct(F.col(f"_tp{c}").alias("tp"), F.col(f"_s{c}").alias("support"), F.col(f"_p{c}").alias("predicted")) for c in labels])
+    return _summary(one.select(*by, "_n", F.explode(rows).alias("r")).select(*by, "_n", "r.*"), by)
+
+
 def majority_class(train: DataFrame, y: str) -> DataFrame:
     """M7: most frequent class, lowest label on ties (one row)."""
     return train.groupBy(y).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(y)).limit(1)

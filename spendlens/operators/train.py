@@ -1,7 +1,7 @@
 """Spark ML training and scoring.
 
-Estimators are Spark ML's distributed learners; parameter search fits settings
-in parallel driver threads (each fit is itself a distributed job).  Penalties
+Linear estimators are Spark ML's distributed learners, forests are in ``forest.py``; the linear parameter
+search fits settings in parallel driver threads (each fit is itself a distributed job).  Penalties
 are rescaled so the objectives match the reference's definitions:
 
 * logistic regression with C and balanced weights: ``regParam = 1 / (C * n)``
@@ -16,7 +16,7 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import count_if
+from .forest import Forest
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -40,18 +41,6 @@ def with_weights(df: DataFrame, label: str, weights: DataFrame, out: str = "w")
     return df.join(F.broadcast(weights.select(label, F.col("weight").alias(out))), label, "left")
 
 
-def rf_classifier(features: list[str], label: str, n_trees: int = 250, max_depth: int = 12,
-                  min_leaf: int = 1, max_features: str = "sqrt", weight: str | None = "w", seed: int = 42) -> Pipeline:
-    """L1: random forest (depth capped at 30 by Spark)."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
-                                maxDepth=min(int(max_depth), 30), minInstancesPerNode=min_leaf,
-                                featureSubsetStrategy=str(max_features), seed=seed, maxBins=32,
-                                cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
-    if weight:
-        rf.setWeightCol(weight)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), rf])
-
-
 def population_scaler(source: str, out: str, width: int, n_rows: int) -> list:
     """Standardisation by mean and population deviation (Spark's scaler divides by the sample one)."""
     factor = (max(n_rows, 2) / (max(n_rows, 2) - 1.0)) ** 0.5
@@ -121,7 +110,7 @@ def score_probabilities(model: PipelineModel, df: DataFrame, keep: list[str], n_
     """Class probabilities as columns and the argmax class."""
     out = model.transform(df)
     if "probability" in out.columns:
-        arr = vector_to_array("probability")
+        arr = F.col("probability") if dict(out.dtypes)["probability"].startswith("array") else vector_to_array("probability")
     else:  # one-vs-rest has no probability column: normalised raw margins via softmax
         raw = vector_to_array("rawPrediction")
         mx = F.array_max(raw)
@@ -132,11 +121,9 @@ def score_probabilities(model: PipelineModel, df: DataFrame, keep: list[str], n_
     return out.select(*keep, *probs, F.col("prediction").cast("int").alias("predicted_class"))
 
 
-def feature_importance(model: PipelineModel, features: list[str], spark) -> DataFrame:
+def feature_importance(model: Forest, spark) -> DataFrame:
     """Random-forest importances, largest first."""
-    rf = model.stages[-1]
-    imp = rf.featureImportances.toArray().tolist()
-    rows = sorted(zip(features, imp), key=lambda t: (-t[1], t[0]))
+    rows = sorted(zip(model.features, model.importances), key=lambda t: (-t[1], t[0]))
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
@@ -173,15 +160,13 @@ def cv_expanding(frame: DataFrame, make, label: str, n_splits: int, evaluate) ->
 SEARCH = {
     "logistic_regression": [{"C": c} for c in (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)],
     "sgd_classifier": [{"alpha": a} for a in (0.0001, 0.001, 0.01, 0.1)],
-    "random_forest": [{"n_trees": t, "max_depth": d, "min_leaf": m, "max_features": f}
-                      for t in (100, 150, 200) for d in (12, 18, 24) for m in (2, 4, 6) for f in ("sqrt", "log2")],
+    "random_forest": [{"n_trees": t, "max_depth": d, "min_split": s, "min_leaf": m, "max_features": f}
+                      for t in (100, 150, 200) for d in (12, 18, 24) for s in (5, 10, 15) for m in (2, 4, 6) for f in ("sqrt", "log2")],
 }
 RF_SETTINGS = 50
 
 
 def learner(name: str, features: list[str], label: str, n_rows: int, **setting) -> Pipeline:
-    if name == "random_forest":
-        return rf_classifier(features, label, **setting)
     if name == "logistic_regression":
         return logistic_regression(features, label, n_rows, **setting)
     return sgd_log_loss(features, label, n_rows, **setting)
@@ -189,7 +174,7 @@ def learner(name: str, features: list[str], label: str, n_rows: int, **setting)
 
 def search(frame: DataFrame, name: str, features: list[str], label: str, n_splits: int, score, seed: int = 42,
            settings: list[dict] | None = None) -> list[tuple[dict, list[float]]]:
-    """Every setting's score on every expanding fold; a forest's settings are a seeded sample of 50.
+    """Every setting's score on every expanding fold (forests: ``forest.search_confusions``).
 
     ``score`` maps a scored fold to a number.  The caller refits the setting with the best mean.
     """
@@ -208,11 +193,14 @@ def search(frame: DataFrame, name: str, features: list[str], label: str, n_split
             test.unpersist()
 
 
+def sampled_settings(grid: list[dict], n_iter: int, seed: int) -> list[dict]:
+    """Seeded sample of the grid, all of it when smaller."""
+    return random.Random(seed).sample(list(grid), n_iter) if n_iter < len(grid) else list(grid)
+
+
 def random_search(grid: list[dict], n_iter: int, seed: int, score, parallelism: int = 4) -> list[tuple[dict, float]]:
     """Seeded sample of the grid (all of it when smaller), scored in parallel threads."""
-    settings = list(grid)
-    if n_iter < len(settings):
-        settings = random.Random(seed).sample(settings, n_iter)
+    settings = sampled_settings(grid, n_iter, seed)
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         scores = list(ex.map(score, settings))
     return list(zip(settings, scores))
@@ -224,7 +212,7 @@ def cap_rows(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    """Persist a fitted pipeline."""
+    """Persist a fitted pipeline (a forest: ``forest.save_forest``)."""
     model.write().overwrite().save(path)
 
 

@@ -18,8 +18,9 @@ from ..operators import personalize as P
 from ..operators import train as T
 from ..operators.categories import collapse_categories, tfidf_clusters
 from ..operators.flow_features import FLOW_FEATURES_31, REGRESSION_NUMERIC
+from ..operators.forest import fit_forest, load_forest, save_forest, search_confusions
 from ..operators.kmeans import kmeans_sql
-from ..session import ensure_checkpoint_dir
+from ..session import checkpointed, ensure_checkpoint_dir
 from ..sources.tables import table
 from . import evaluation as EV
 from . import flow_weekly as FW
@@ -28,6 +29,8 @@ from .registry import register, rounded
 
 TARGET = "bucket_spend_t_plus_1"
 REGRESSION_FOLDS = 3
+#: Rows of a fold that the forests of the parameter search learn from.
+SEARCH_ROWS = 3_000
 # Penalty of each regressor.
 REGRESSORS = (("ridge", 1.0), ("elasticnet", 0.001), ("sgd", 0.0005))
 
@@ -48,10 +51,10 @@ def weighted_train(spark, sf_dir):
 
 def fitted(spark, sf_dir, name):
     def build():
-        tr = weighted_train(spark, sf_dir)
         if name == "random_forest":
-            est = T.rf_classifier(FLOW_FEATURES_31, TARGET, n_trees=250, max_depth=12, min_leaf=2)
-        elif name == "logistic_regression":
+            return fit_forest(train_test(spark, sf_dir)[0], FLOW_FEATURES_31, TARGET, n_trees=250, max_depth=12, min_leaf=2)
+        tr = weighted_train(spark, sf_dir)
+        if name == "logistic_regression":
             est = T.logistic_regression(FLOW_FEATURES_31, TARGET, tr.count(), C=1.0)
         else:
             est = T.sgd_log_loss(FLOW_FEATURES_31, TARGET, tr.count(), alpha=1e-3)
@@ -147,8 +150,8 @@ def m21(spark, sf_dir):
     """S10 round trip: save the forest to the shared checkpoint folder, load it, re-score the golden rows."""
     model = fitted(spark, sf_dir, "random_forest")
     path = os.path.join(ensure_checkpoint_dir(spark), "models", "random_forest_" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
-    T.save_model(model, path)
-    again = T.load_model(path)
+    save_forest(spark, model, path)
+    again = load_forest(spark, path)
     _, te = train_test(spark, sf_dir)
     gold = T.cap_rows(te, 10, ["user_id", "week_start"])
     a = T.score_probabilities(model, gold, ["user_id", "week_start"])
@@ -161,8 +164,7 @@ def m21(spark, sf_dir):
 
 @register("M28_feature_importance")
 def m28(spark, sf_dir):
-    return T.feature_importance(fitted(spark, sf_dir, "random_forest").stages[-1:] and
-                                fitted(spark, sf_dir, "random_forest"), FLOW_FEATURES_31, spark)
+    return T.feature_importance(fitted(spark, sf_dir, "random_forest"), spark)
 
 
 @register("M28_coefficients")
@@ -252,6 +254,30 @@ def l8s(spark, sf_dir):
     return _searched(spark, sf_dir, "sgd_classifier")
 
 
+@register("L8_forest_search")
+def l8f(spark, sf_dir):
+    """Fifty sampled forest settings on five expanding folds; the best is refitted on all rows and scored on the test rows.
+
+    A fold's forests learn from a hashed sample of at most ``SEARCH_ROWS`` of its train rows and are scored on its whole block.
+    """
+    fx = EV.folds_of(spark, sf_dir)
+    size, n = fx.select("test_size", "n_rows").first()
+    folds = [(fx.where(F.col("row_index") < n - (EV.N_SPLITS - i + 1) * size), fx.where(F.col("test_fold") == i)) for i in range(1, EV.N_SPLITS + 1)]
+    settings = T.sampled_settings(T.SEARCH["random_forest"], T.RF_SETTINGS, 42)
+    counts = search_confusions(fx, folds, FLOW_FEATURES_31, TARGET, settings, rows_per_group=SEARCH_ROWS)
+    per = M.summary_of_counts(counts, ["setting", "fold"]).groupBy("setting").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("fold", "f1_macro"))), lambda r: r["f1_macro"]).alias("fold_f1_macro"),
+        F.avg("f1_macro").alias("mean_f1_macro"), F.stddev_pop("f1_macro").alias("std_f1_macro"))
+    names = spark.createDataFrame([(k, *[str(s[c]) for c in s]) for k, s in enumerate(settings)],
+                                  "setting int, " + ", ".join(f"{c} string" for c in settings[0]))
+    rows = checkpointed(per.join(F.broadcast(names), "setting"))        # fifty rows
+    best = rows.orderBy(F.desc("mean_f1_macro"), "setting").first()["setting"]
+    tr, te = train_test(spark, sf_dir)
+    pred = fit_forest(tr, FLOW_FEATURES_31, TARGET, **settings[best]).transform(te).withColumn("p", F.col("prediction").cast("int"))
+    test = M.classification_summary(pred, TARGET, "p").first()["f1_macro"]
+    return rows.withColumns({"best": F.col("setting") == best, "test_f1_macro": F.when(F.col("setting") == best, F.lit(test))})
+
+
 @register("L4_regressors")
 def l4(spark, sf_dir):
     reg, _ = FW.regression_rows(spark, sf_dir)
@@ -429,8 +455,7 @@ def q14(spark, sf_dir):
     from . import intensity as I
     mf = I.model_frame(spark, sf_dir)
     tr, te = mf.where("is_test = 0"), mf.where("is_test = 1")
-    w = T.class_weights(tr, "bucket")
-    model = T.rf_classifier(I.MODEL_FEATURES, "bucket", n_trees=120, max_depth=14).fit(T.with_weights(tr, "bucket", w))
+    model = fit_forest(tr, I.MODEL_FEATURES, "bucket", n_trees=120, max_depth=14)
     pred = model.transform(te).withColumn("p", F.col("prediction").cast("int"))
     maj = M.majority_class(tr, "bucket").first()[0]
     ms = M.classification_summary(pred, "bucket", "p").first()["f1_weighted"]
