@@ -87,6 +87,13 @@ def summary_of_counts(counts: DataFrame, by: list[str], labels=LABELS) -> DataFr
     return _summary(one.select(*by, "_n", F.explode(rows).alias("r")).select(*by, "_n", "r.*"), by)
 
 
+def fold_summary(oof: DataFrame) -> DataFrame:
+    """Period and metrics by fold and model from out-of-fold predictions ``(fold, model, week_start, y, p)``."""
+    keys = ["fold", "model"]
+    period = oof.groupBy(*keys).agg(F.min("week_start").alias("test_start_week"), F.max("week_start").alias("test_end_week"))
+    return classification_summary(oof, by=keys).join(period, keys)
+
+
 def majority_class(train: DataFrame, y: str) -> DataFrame:
     """M7: most frequent class, lowest label on ties (one row)."""
     return train.groupBy(y).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(y)).limit(1)

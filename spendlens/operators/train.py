@@ -41,6 +41,11 @@ def with_weights(df: DataFrame, label: str, weights: DataFrame, out: str = "w")
     return df.join(F.broadcast(weights.select(label, F.col("weight").alias(out))), label, "left")
 
 
+def sized(df: DataFrame, n_rows: int, rows_per_partition: int = 20_000) -> DataFrame:
+    """``df`` in as many partitions as its rows need: a fit runs a job per iteration, whose tasks should hold some rows each."""
+    return df.coalesce(max(1, -(-n_rows // rows_per_partition)))
+
+
 def population_scaler(source: str, out: str, width: int, n_rows: int) -> list:
     """Standardisation by mean and population deviation (Spark's scaler divides by the sample one)."""
     factor = (max(n_rows, 2) / (max(n_rows, 2) - 1.0)) ** 0.5

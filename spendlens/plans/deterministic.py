@@ -107,6 +107,67 @@ ev AS (SELECT user_id, week_t, week_order, y AS y_true, k AS y_pred_base, {_arg_
         CASE WHEN seen >= 8 THEN (seen - 8) // 2 + 1 ELSE 0 END AS update_count, total AS user_total_history FROM bl WHERE is_test = 1)"""
 
 
+def out_of_fold(spark, sf_dir) -> DataFrame:
+    """Out-of-fold predictions of three learners that counts fit: the bucket itself, the train rows' largest class, and the
+    largest class after the current bucket.  Counts by block add up to those of every fold, so one pass fits all folds.
+    """
+    def build():
+        fx = EV.folds_of(spark, sf_dir)
+        block = F.coalesce("test_fold", F.lit(0))
+        counts = fx.groupBy(block.alias("_block"), F.col(NOW).alias("_b")).agg(*[F.count(F.when(F.col(Y) == c, 1)).alias(f"_c{c}") for c in CLASSES])
+        folds = F.explode(F.sequence(F.lit(1), F.lit(EV.N_SPLITS)))
+        fitted = counts.withColumn("fold", folds).where("_block < fold").groupBy("fold", "_b").agg(*[F.sum(f"_c{c}").alias(f"_c{c}") for c in CLASSES])
+        whole = fitted.groupBy("fold").agg(*[F.sum(f"_c{c}").alias(f"_m{c}") for c in CLASSES])
+        rows = fx.where("test_fold IS NOT NULL").select(F.col("test_fold").alias("fold"), "user_id", "week_start", NOW, F.col(Y).cast("int").alias("y"))
+        rows = rows.join(F.broadcast(whole), "fold")            # a row per fold, then one per fold and bucket
+        fitted = fitted.withColumnRenamed("fold", "_f")
+        rows = rows.join(F.broadcast(fitted), (F.col("fold") == F.col("_f")) & (F.col(NOW) == F.col("_b")), "left")
+        said = {"persistence": F.col(NOW).cast("int"), "majority": _argmax([F.col(f"_m{c}") for c in CLASSES]),
+                "transition": _argmax([F.coalesce(f"_c{c}", F.lit(0)) for c in CLASSES])}
+        models = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), v.alias("p")) for k, v in said.items()]))
+        return rows.select("fold", "user_id", "week_start", "y", models.alias("_s")).select("fold", "_s.model", "user_id", "week_start", "y", "_s.p")
+    return shared.frame(spark, "det_out_of_fold", sf_dir, build)
+
+
+_OOF = EV._FOLD_SQL + f""",
+oc AS (SELECT f.fold, x.{NOW} AS b, {", ".join(f"count(*) FILTER (x.{Y} = {c}) AS c{c}" for c in CLASSES)}
+       FROM range(1, {EV.N_SPLITS} + 1) AS f(fold) JOIN fx x ON coalesce(x.test_fold, 0) < f.fold GROUP BY ALL),
+om AS (SELECT fold, {", ".join(f"sum(c{c}) AS m{c}" for c in CLASSES)} FROM oc GROUP BY fold),
+oj AS (SELECT x.test_fold AS fold, x.week_start, x.{Y} AS y, x.{NOW} AS now, {_arg_sql([f"m{c}" for c in CLASSES])} AS maj,
+       {_arg_sql([f"coalesce(c{c}, 0)" for c in CLASSES])} AS tra FROM fx x JOIN om ON om.fold = x.test_fold LEFT JOIN oc ON oc.fold = x.test_fold AND oc.b = x.{NOW}
+       WHERE x.test_fold IS NOT NULL),
+oo AS (SELECT fold, 'persistence' AS model, week_start, y, now AS p FROM oj UNION ALL SELECT fold, 'majority', week_start, y, maj FROM oj
+       UNION ALL SELECT fold, 'transition', week_start, y, tra FROM oj),
+ol AS (SELECT fold, model, l.label, count(*) FILTER (y = l.label AND p = l.label) AS tp, count(*) FILTER (y = l.label) AS support,
+       count(*) FILTER (p = l.label) AS predicted FROM oo, (SELECT unnest([0, 1, 2, 3]) AS label) l GROUP BY ALL)"""
+
+
+@register("M11_model_folds_det", _OOF + """,
+os AS (SELECT fold, model, count(*) AS n_rows, min(week_start) AS test_start_week, max(week_start) AS test_end_week FROM oo GROUP BY ALL)
+SELECT fold, model, any_value(n_rows) AS n_rows, any_value(test_start_week) AS test_start_week, any_value(test_end_week) AS test_end_week,
+       round(avg(coalesce(2.0 * tp / nullif(support + predicted, 0), 0)) FILTER (support + predicted > 0), 6) AS f1_macro,
+       round(avg(coalesce(2.0 * tp / nullif(support + predicted, 0), 0)), 6) AS f1_macro_fixed,
+       round(sum(coalesce(2.0 * tp / nullif(support + predicted, 0), 0) * support) / sum(support), 6) AS f1_weighted,
+       round(sum(tp) / any_value(n_rows), 6) AS accuracy, round(avg(tp / nullif(support, 0)), 6) AS balanced_accuracy
+FROM ol JOIN os USING (fold, model) GROUP BY fold, model""")
+def m11_folds(spark, sf_dir):
+    return rounded(M.fold_summary(out_of_fold(spark, sf_dir)), 6)
+
+
+@register("M11_model_confusion_det", _OOF + """
+SELECT o.fold, o.model, a.y_true, b.y_pred, count(*) FILTER (o.y = a.y_true AND o.p = b.y_pred) AS n
+FROM oo o, (SELECT unnest([0, 1, 2, 3]) AS y_true) a, (SELECT unnest([0, 1, 2, 3]) AS y_pred) b GROUP BY ALL""")
+def m11_confusion(spark, sf_dir):
+    return M.confusion(out_of_fold(spark, sf_dir), by=["fold", "model"])
+
+
+@register("M11_model_classes_det", _OOF + """
+SELECT fold, model, label, round(coalesce(tp / nullif(predicted, 0), 0.0), 6) AS precision, round(coalesce(tp / nullif(support, 0), 0.0), 6) AS recall,
+       round(coalesce(2.0 * tp / nullif(support + predicted, 0), 0.0), 6) AS f1, support FROM ol""")
+def m11_classes(spark, sf_dir):
+    return rounded(M.per_class_prf(out_of_fold(spark, sf_dir), by=["fold", "model"]), 6)
+
+
 @register("L10_score_probabilities_det", _DET + f"""
 SELECT user_id, week_t, now AS {NOW}, y AS {Y}, {", ".join(f"round(p{c}, 6) AS proba_class_{c}" for c in CLASSES)}, k AS predicted_class FROM dt""")
 def l10(spark, sf_dir):

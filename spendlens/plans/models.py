@@ -9,7 +9,10 @@ from __future__ import annotations
 import hashlib
 import os
 import statistics
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bucketing as B
@@ -19,6 +22,7 @@ from ..operators import train as T
 from ..operators.categories import collapse_categories, tfidf_clusters
 from ..operators.flow_features import FLOW_FEATURES_31, REGRESSION_NUMERIC
 from ..operators.forest import fit_forest, load_forest, save_forest, search_confusions
+from ..operators.gram import design, solve
 from ..operators.kmeans import kmeans_sql
 from ..session import checkpointed, ensure_checkpoint_dir
 from ..sources.tables import table
@@ -54,11 +58,12 @@ def fitted(spark, sf_dir, name):
         if name == "random_forest":
             return fit_forest(train_test(spark, sf_dir)[0], FLOW_FEATURES_31, TARGET, n_trees=250, max_depth=12, min_leaf=2)
         tr = weighted_train(spark, sf_dir)
+        n = tr.count()
         if name == "logistic_regression":
-            est = T.logistic_regression(FLOW_FEATURES_31, TARGET, tr.count(), C=1.0)
+            est = T.logistic_regression(FLOW_FEATURES_31, TARGET, n, C=1.0)
         else:
-            est = T.sgd_log_loss(FLOW_FEATURES_31, TARGET, tr.count(), alpha=1e-3)
-        return est.fit(tr)
+            est = T.sgd_log_loss(FLOW_FEATURES_31, TARGET, n, alpha=1e-3)
+        return est.fit(T.sized(tr, n))
     return shared.value(spark, f"model_{name}", sf_dir, build)
 
 
@@ -189,25 +194,54 @@ def l7(spark, sf_dir):
     return out
 
 
+#: Learners whose out-of-fold predictions are kept.
+LEARNERS = ("random_forest", "logistic_regression", "sgd_classifier")
+
+
+def out_of_fold(spark, sf_dir):
+    """``(fold, model, user_id, week_start, y, p)``: each learner's predictions on the block after the rows it was fitted on.
+
+    Written once; period, metrics, confusion and classes of all folds are read from it.
+    """
+    def build():
+        fx = EV.folds_of(spark, sf_dir)
+        folds = {}
+        for i in range(1, EV.N_SPLITS + 1):
+            train, test = T.expanding_fold(fx, i, EV.N_SPLITS, TARGET)
+            n = train.count()
+            folds[i] = T.sized(train, n).persist(), test, n
+
+        def predicted(job):
+            i, name = job
+            train, test, n = folds[i]
+            model = (fit_forest(train.drop("w"), FLOW_FEATURES_31, TARGET, n_trees=250, max_depth=12, min_leaf=2) if name == "random_forest"
+                     else T.learner(name, FLOW_FEATURES_31, TARGET, n).fit(train))
+            return model.transform(test).select(F.lit(i).alias("fold"), F.lit(name).alias("model"), "user_id", "week_start",
+                                                F.col(TARGET).cast("int").alias("y"), F.col("prediction").cast("int").alias("p"))
+
+        with ThreadPoolExecutor(max_workers=4) as pool:        # each fit is a distributed job of its own
+            parts = list(pool.map(predicted, [(i, name) for name in LEARNERS for i in folds]))
+        out = checkpointed(reduce(DataFrame.unionByName, parts))
+        for train, _, _ in folds.values():
+            train.unpersist()
+        return out
+    return shared.value(spark, "out_of_fold", sf_dir, build)
+
+
 @register("M11_model_folds")
 def m11m(spark, sf_dir):
-    """Per fold: period, metrics and rows by class of the logistic model fitted on the rows before the block."""
-    fx = EV.folds_of(spark, sf_dir)
-    out = None
-    for i in range(1, EV.N_SPLITS + 1):
-        train, test = T.expanding_fold(fx, i, EV.N_SPLITS, TARGET)
-        train, n = train.persist(), train.count()
-        for name in ("logistic_regression",):
-            pred = T.learner(name, FLOW_FEATURES_31, TARGET, n).fit(train).transform(test).withColumn("p", F.col("prediction").cast("int"))
-            by_class = M.per_class_prf(pred, TARGET, "p").agg(F.sort_array(F.collect_list(F.struct("label", "precision", "recall", "f1", "support")))
-                                                              .alias("classes"))
-            period = pred.agg(F.min("week_start").alias("test_start_week"), F.max("week_start").alias("test_end_week"))
-            row = M.classification_summary(pred, TARGET, "p").crossJoin(period).crossJoin(by_class).withColumns(
-                {"fold": F.lit(i), "model": F.lit(name), "train_rows": F.lit(n)})
-            row = spark.createDataFrame(row.collect(), row.schema)      # one row of metrics per fit
-            out = row if out is None else out.unionByName(row)
-        train.unpersist()
-    return out
+    """Period and metrics of every learner on every fold."""
+    return M.fold_summary(out_of_fold(spark, sf_dir))
+
+
+@register("M11_model_confusion")
+def m11mc(spark, sf_dir):
+    return M.confusion(out_of_fold(spark, sf_dir), by=["fold", "model"])
+
+
+@register("M11_model_classes")
+def m11mk(spark, sf_dir):
+    return M.per_class_prf(out_of_fold(spark, sf_dir), by=["fold", "model"])
 
 
 @register("L7_fold_class_weights", EV._FLOW_TEST + f""",
@@ -278,38 +312,38 @@ def l8f(spark, sf_dir):
     return rows.withColumns({"best": F.col("setting") == best, "test_f1_macro": F.when(F.col("setting") == best, F.lit(test))})
 
 
+CATEGORICAL, AMOUNT = ["category", "flow_direction"], "amount_cat_t_plus_1"
+
+
+def _linear_errors(df, models: dict, by: list[str]):
+    """Errors of several linear models, each a column expression, over one scan of ``df``."""
+    said = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), m.prediction().alias("said")) for k, m in models.items()]))
+    rows = df.select(*by, AMOUNT, said.alias("_m")).select(*by, AMOUNT, "_m.model", "_m.said")
+    return M.regression_metrics(rows, AMOUNT, "said", by=[*by, "model"])
+
+
 @register("L4_regressors")
 def l4(spark, sf_dir):
+    """Test errors of the three regressors, solved on one matrix of sums of the train rows."""
     reg, _ = FW.regression_rows(spark, sf_dir)
-    tr, te = reg.where("is_test = 0"), reg.where("is_test = 1")
-    st = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("amount_cat_t_plus_1").alias("s")).first()
-    outs = []
-    for kind, alpha in REGRESSORS:
-        model = T.linear_regressor(REGRESSION_NUMERIC, ["category", "flow_direction"], "amount_cat_t_plus_1", kind,
-                                   st["n"], st["s"] or 1.0, alpha=alpha).fit(tr)
-        pred = model.transform(te)
-        outs.append(M.regression_metrics(pred, "amount_cat_t_plus_1", "prediction").withColumn("model", F.lit(kind)))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    d = design(reg.where("is_test = 0"), REGRESSION_NUMERIC, CATEGORICAL, AMOUNT)
+    return _linear_errors(reg.where("is_test = 1"), {k: solve(d, d.upto(1), k, a) for k, a in REGRESSORS}, [])
 
 
 @register("L4_fold_mae")
 def l4f(spark, sf_dir):
-    """Regression folds: MAE of each regressor on three expanding blocks, and mean and spread."""
+    """Regression folds: MAE of each regressor on three expanding blocks, and mean and spread.
+
+    One pass makes the matrices of all blocks, which add up to those of the folds; one more scores all models.
+    """
     reg, _ = FW.regression_rows(spark, sf_dir)
     fx = B.expanding_folds(reg.where("is_test = 0"), ["week_start", "user_id", "category"], REGRESSION_FOLDS).persist()
-    size, n = fx.select("test_size", "n_rows").first()
-    rows, y = [], "amount_cat_t_plus_1"
+    d = design(fx, REGRESSION_NUMERIC, CATEGORICAL, AMOUNT, F.coalesce("test_fold", F.lit(0)))
+    per = None
     for i in range(1, REGRESSION_FOLDS + 1):
-        tr, te = fx.where(F.col("row_index") < n - (REGRESSION_FOLDS - i + 1) * size), fx.where(F.col("test_fold") == i)
-        st = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(y).alias("s")).first()
-        for kind, alpha in REGRESSORS:
-            model = T.linear_regressor(REGRESSION_NUMERIC, ["category", "flow_direction"], y, kind, st["n"], st["s"] or 1.0, alpha=alpha).fit(tr)
-            rows.append((kind, i, M.regression_metrics(model.transform(te), y, "prediction").first()["mae"]))
-    fx.unpersist()
-    per = spark.createDataFrame(rows, "model string, fold int, mae double")
+        models = {k: solve(d, d.upto(i), k, a) for k, a in REGRESSORS}
+        one = _linear_errors(fx.where(F.col("test_fold") == i), models, []).withColumn("fold", F.lit(i))
+        per = one if per is None else per.unionByName(one)
     return per.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("fold", "mae"))).alias("folds"), F.avg("mae").alias("cv_mae"),
                                     F.stddev_pop("mae").alias("cv_mae_std"))
 
