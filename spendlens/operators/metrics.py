@@ -149,6 +149,48 @@ def leaderboard(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     return metrics.withColumn("rank", F.row_number().over(w))
 
 
+MODE_METRICS = ("f1_macro", "balanced_accuracy", "relative_gain_vs_persistence")
+
+
+def modes_pivot(rows: DataFrame, baseline: str = "persistence", modes=("full", "quick")) -> DataFrame:
+    """``(target, run_mode, model, f1_macro, balanced_accuracy)`` -> one row per target and model with each metric by run
+    mode, and the F1 that the full run has over the quick one.  Gains are relative to the baseline of the same report."""
+    base = rows.where(F.col("model") == baseline).select("target", "run_mode", F.col("f1_macro").alias("_base"))
+    gain = (F.col("f1_macro") - F.col("_base")) / F.greatest(F.col("_base"), F.lit(1e-9))
+    j = rows.where(F.col("model") != baseline).join(base, ["target", "run_mode"]).withColumn("relative_gain_vs_persistence", gain)
+    wide = j.groupBy("target", "model").pivot("run_mode", list(modes)).agg(*[F.first(m).alias(m) for m in MODE_METRICS])
+    out = wide.select("target", "model", *[F.col(f"{mode}_{m}").alias(f"{m}_{mode}") for m in MODE_METRICS for mode in modes])
+    return out.withColumn("f1_delta_full_minus_quick", F.col("f1_macro_full") - F.col("f1_macro_quick"))
+
+
+def _graded(gain, go: float, border: float):
+    return F.when(gain >= go, "GO").when(gain >= border, "BORDERLINE").otherwise("NO_GO")
+
+
+def feasibility_verdict(models: DataFrame, baseline: DataFrame, regressors: DataFrame, naive: DataFrame) -> DataFrame:
+    """Q16 as one plan: best ``f1_macro`` of ``models`` over the baseline's, and least ``mae`` of ``regressors`` under the naive one's.
+
+    ``baseline`` and ``naive`` are one-row frames, the others aggregate to one row.
+    """
+    one = (models.agg(F.max("f1_macro").alias("_m")).crossJoin(baseline.select(F.col("f1_macro").alias("_b")))
+           .crossJoin(regressors.agg(F.min("mae").alias("_r"))).crossJoin(naive.select(F.col("mae").alias("_n"))))
+    c, r = F.col("_m") - F.col("_b"), (F.col("_n") - F.col("_r")) / F.greatest(F.col("_n"), F.lit(1e-9))
+    return one.select(c.alias("classification_gain"), _graded(c, 0.03, 0.01).alias("classification_verdict"),
+                      r.alias("regression_gain"), _graded(r, 0.05, 0.01).alias("regression_verdict"))
+
+
+def intensity_verdict(distribution: DataFrame, model: DataFrame, baseline: DataFrame, correlations: DataFrame) -> DataFrame:
+    """Q14 as one plan: class means two times apart, weighted F1 a tenth over the baseline, best rank correlation of 0.15; GO with two."""
+    means = distribution.agg(F.max(F.when(F.col("bucket") == 1, F.col("mean_value"))).alias("_c1"), F.max(F.when(F.col("bucket") == 2, F.col("mean_value"))).alias("_c2"))
+    one = (means.crossJoin(model.select(F.col("f1_weighted").alias("_m"))).crossJoin(baseline.select(F.col("f1_weighted").alias("_b")))
+           .crossJoin(correlations.agg(F.max("spearman").alias("_s"))))
+    ratio = F.try_divide(F.col("_c2"), F.col("_c1"))
+    passed = sum((F.coalesce(k, F.lit(False)).cast("int") for k in (ratio >= 2.0, (F.col("_b") > 0) & (F.col("_m") >= F.col("_b") * 1.10), F.col("_s") >= 0.15)), F.lit(0))
+    return one.select(ratio.alias("class_separation_ratio_c2_c1"), F.col("_m").alias("model_f1_weighted"), F.col("_b").alias("baseline_f1_weighted"),
+                      F.col("_s").alias("best_category_spearman"), passed.alias("criteria_passed")).withColumn(
+        "verdict", F.when(F.col("criteria_passed") >= 2, "GO").otherwise("NO GO"))
+
+
 def slice_accuracy(df: DataFrame, y: str, preds: list[str], base: str) -> DataFrame:
     """Accuracy of each predictor on transition rows (y != base) and stable rows."""
     return df.groupBy((F.col(y) != F.col(base)).alias("was_transition")).agg(

@@ -211,9 +211,24 @@ def random_search(grid: list[dict], n_iter: int, seed: int, score, parallelism:
     return list(zip(settings, scores))
 
 
+def hash_order(key: list[str], seed: int = 42) -> F.Column:
+    """md5 of the row key and a seed: an order that looks random and that any engine repeats."""
+    return F.md5(F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key], F.lit(str(seed))).cast("binary"))
+
+
 def cap_rows(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
-    """Deterministic hash-ordered sample of n rows (same rows on every run)."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), *key).limit(n)
+    """Sample of n rows, the first by ``hash_order`` (same rows on every run and engine)."""
+    return df.orderBy(hash_order(key, seed), *key).limit(n)
+
+
+def replay(stored: DataFrame, again: DataFrame, key: list[str], n_classes: int = 4, tol: float = 1e-9) -> DataFrame:
+    """Stored predictions against new ones by row key: rows, rows missing on either side, equal classes, equal probabilities."""
+    a = stored.select(*key, F.array(*[f"proba_class_{i}" for i in range(n_classes)]).alias("_pa"), F.col("predicted_class").alias("_a"))
+    b = again.select(*key, F.array(*[f"proba_class_{i}" for i in range(n_classes)]).alias("_pb"), F.col("predicted_class").alias("_b"))
+    j = a.join(b, key, "full_outer")
+    apart = F.aggregate(F.zip_with("_pa", "_pb", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: F.greatest(s, v))
+    return j.agg(count_if(F.col("_a").isNotNull()).alias("rows"), count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("unmatched"),
+                 F.avg((F.col("_a") == F.col("_b")).cast("double")).alias("match_rate"), count_if(apart > tol).alias("changed_probabilities"))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

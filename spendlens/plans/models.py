@@ -397,13 +397,8 @@ def m26(spark, sf_dir):
 
 @register("M27_pick_users")
 def m27(spark, sf_dir):
-    ev = personalized(spark, sf_dir)
-    users = ev.select("user_id", "user_total_history").distinct()
-    longest = users.orderBy(F.desc("user_total_history"), "user_id").limit(3)
-    seeded = T.cap_rows(users.join(longest, "user_id", "left_anti"), 3, ["user_id"])
-    pick = longest.unionByName(seeded).select("user_id")
-    return ev.join(F.broadcast(pick), "user_id", "left_semi").select(
-        "user_id", "week_t", "week_order", "y_true", "y_pred_base", "y_pred_cal", "y_pred_blend", "update_count")
+    from .reports import picked_users
+    return picked_users(personalized(spark, sf_dir))
 
 
 _TFIDF_SQL = """
@@ -466,19 +461,11 @@ def k6(spark, sf_dir):
 def q16(spark, sf_dir):
     """Q16: classification gain of the best model over persistence (>= .03 GO, >= .01 BORDERLINE)
     and regression relative MAE gain over persistence (>= .05 GO, >= .01 BORDERLINE)."""
-    best = max((_test_summary(spark, sf_dir, n).first()["f1_macro"] or 0.0)
-               for n in ("random_forest", "logistic_regression", "sgd_classifier"))
-    base = M.classification_summary(scored(spark, sf_dir, "random_forest"), TARGET, "bucket_spend_t").first()["f1_macro"]
-    reg = l4(spark, sf_dir)
-    model_mae = reg.agg(F.min("mae")).first()[0]
+    models = reduce(DataFrame.unionByName, [_test_summary(spark, sf_dir, n) for n in ("random_forest", "logistic_regression", "sgd_classifier")])
+    base = M.classification_summary(train_test(spark, sf_dir)[1], TARGET, "bucket_spend_t")
     r, _ = FW.regression_rows(spark, sf_dir)
-    pm = M.regression_metrics(r.where("is_test = 1"), "amount_cat_t_plus_1", "amount_cat_t").first()["mae"]
-    gain_c = best - base
-    gain_r = (pm - model_mae) / max(pm, 1e-9)
-    vc = "GO" if gain_c >= 0.03 else ("BORDERLINE" if gain_c >= 0.01 else "NO_GO")
-    vr = "GO" if gain_r >= 0.05 else ("BORDERLINE" if gain_r >= 0.01 else "NO_GO")
-    return reg.limit(1).select(F.lit(gain_c).alias("classification_gain"), F.lit(vc).alias("classification_verdict"),
-                               F.lit(gain_r).alias("regression_gain"), F.lit(vr).alias("regression_verdict"))
+    naive = M.regression_metrics(r.where("is_test = 1"), AMOUNT, "amount_cat_t")
+    return M.feasibility_verdict(models, base, l4(spark, sf_dir), naive)
 
 
 @register("Q14_intensity_verdict")
@@ -491,20 +478,8 @@ def q14(spark, sf_dir):
     tr, te = mf.where("is_test = 0"), mf.where("is_test = 1")
     model = fit_forest(tr, I.MODEL_FEATURES, "bucket", n_trees=120, max_depth=14)
     pred = model.transform(te).withColumn("p", F.col("prediction").cast("int"))
-    maj = M.majority_class(tr, "bucket").first()[0]
-    ms = M.classification_summary(pred, "bucket", "p").first()["f1_weighted"]
-    bs = M.classification_summary(te.withColumn("p", F.lit(maj)), "bucket", "p").first()["f1_weighted"]
+    majority = te.crossJoin(F.broadcast(M.majority_class(tr, "bucket").select(F.col("bucket").alias("p"))))
     g, _ = I.bucketed(spark, sf_dir)
-    means = {r["bucket"]: r["mean_value"] for r in
-             I.B.class_distribution(g, "bucket", "target_7d_sum").collect()}
-    sep = (means[2] / means[1]) if means.get(1) else None
-    tr7 = I.transitions(spark, sf_dir)
-    sp = [r["spearman"] for r in S.spearman(tr7.where(F.col("category").isin(*I.FOCUS)), "bucket", "bucket_t_plus_7",
-                                            by="category").collect() if r["spearman"] is not None]
-    best = max(sp) if sp else None
-    ok = [sep is not None and sep >= 2.0, bool(bs) and ms >= bs * 1.10, best is not None and best >= 0.15]
-    verdict = "GO" if sum(ok) >= 2 else "NO GO"
-    return mf.limit(1).select(
-        F.lit(sep).cast("double").alias("class_separation_ratio_c2_c1"), F.lit(ms).alias("model_f1_weighted"),
-        F.lit(bs).alias("baseline_f1_weighted"), F.lit(best).cast("double").alias("best_category_spearman"),
-        F.lit(sum(ok)).alias("criteria_passed"), F.lit(verdict).alias("verdict"))
+    ranks = S.spearman(I.transitions(spark, sf_dir).where(F.col("category").isin(*I.FOCUS)), "bucket", "bucket_t_plus_7", by="category")
+    return M.intensity_verdict(I.B.class_distribution(g, "bucket", "target_7d_sum"), M.classification_summary(pred, "bucket", "p"),
+                               M.classification_summary(majority, "bucket", "p"), ranks)

@@ -41,4 +41,4 @@ def rounded(df: DataFrame, digits: int = 4, overrides: dict[str, int] | None = N
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import card_weekly, daily_signal, deterministic, evaluation, flow_weekly, intensity, models  # noqa: F401
+    from . import card_weekly, daily_signal, deterministic, evaluation, files, flow_weekly, intensity, models, reports  # noqa: F401

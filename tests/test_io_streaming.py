@@ -86,3 +86,52 @@ def test_scan_dir_takes_the_preferred_or_the_largest_file(spark, tmp_path):
     assert IO.scan_dir(spark, str(tmp_path), preferred="small.csv").columns == ["a", "b"]
     with pytest.raises(FileNotFoundError):
         IO.scan_dir(spark, str(tmp_path), glob="*.tsv")
+
+
+def test_malformed_rows_are_kept_aside(spark):
+    d = tempfile.mkdtemp(prefix="spendlens-bad-")
+    with open(os.path.join(d, "x.csv"), "w") as f:
+        f.write("id,price,day\n1,2.5,2024-01-01\n2,cheap,2024-01-02\n3,4\n4,5,2024-01-03,extra\n5,,2024-01-04\nx,1,2024-01-05\n6,1,soon\n")
+    good, bad = IO.scan_csv_checked(spark, d, "id long, price double, day date")
+    assert sorted(r["id"] for r in good.collect()) == [1, 5]
+    assert sorted(r["record"] for r in bad.collect()) == ["2,cheap,2024-01-02", "3,4", "4,5,2024-01-03,extra", "6,1,soon", "x,1,2024-01-05"]
+    assert good.select("id").count() == 2 and bad.count() == 5
+
+
+def test_reports_to_rows_and_modes(spark):
+    from spendlens.operators import metrics as M
+    d = tempfile.mkdtemp(prefix="spendlens-modes-")
+    for mode, base, f1 in (("quick", 0.25, 0.5), ("full", 0.5, 0.75)):
+        rep = spark.createDataFrame([("spend", mode)], "target string, run_mode string").select("*", F.struct(
+            F.struct(F.lit(base).alias("f1_macro"), F.lit(0.1).alias("balanced_accuracy")).alias("persistence"),
+            F.struct(F.lit(f1).alias("f1_macro"), F.lit(0.2).alias("balanced_accuracy")).alias("forest")).alias("test"))
+        IO.sink_report(rep, os.path.join(d, mode))
+    with open(os.path.join(d, "full", "broken.json"), "w") as f:
+        f.write("{oops")
+    rows = IO.report_metrics(IO.scan_metrics(spark, os.path.join(d, "*", "*.json")))
+    assert rows.count() == 4
+    r = M.modes_pivot(rows).first()
+    assert (r["target"], r["model"], r["f1_macro_full"], r["f1_macro_quick"], r["f1_delta_full_minus_quick"]) == ("spend", "forest", 0.75, 0.5, 0.25)
+    assert r["relative_gain_vs_persistence_full"] == 0.5 and r["relative_gain_vs_persistence_quick"] == 1.0
+
+
+def test_replay_counts_changes_and_missing_rows(spark):
+    from spendlens.operators import train as T
+    cols = "k long, proba_class_0 double, proba_class_1 double, predicted_class int"
+    a = spark.createDataFrame([(1, 0.5, 0.5, 0), (2, 0.9, 0.1, 0), (3, 0.2, 0.8, 1)], cols)
+    b = spark.createDataFrame([(1, 0.5, 0.5, 0), (2, 0.4, 0.6, 1), (4, 0.2, 0.8, 1)], cols)
+    r = T.replay(a, b, ["k"], 2).first()
+    assert tuple(r) == (3, 2, 0.5, 1)
+    many = spark.range(100).select(F.col("id").alias("k"))
+    assert sorted(r["k"] for r in T.cap_rows(many, 7, ["k"]).collect()) == sorted(r["k"] for r in T.cap_rows(many.repartition(5), 7, ["k"]).collect())
+
+
+def test_verdicts_by_threshold(spark):
+    from spendlens.operators import metrics as M
+    one = lambda name, *v: spark.createDataFrame([(x,) for x in v], f"{name} double")
+    r = M.feasibility_verdict(one("f1_macro", 0.3, 0.32), one("f1_macro", 0.3), one("mae", 9.0, 9.8), one("mae", 10.0)).first()
+    assert (r["classification_verdict"], r["regression_verdict"]) == ("BORDERLINE", "GO") and abs(r["regression_gain"] - 0.1) < 1e-12
+    dist = spark.createDataFrame([(1, 2.0), (2, 5.0)], "bucket int, mean_value double")
+    for m, s, n, said in ((0.5, 0.1, 1, "NO GO"), (0.56, 0.1, 2, "GO"), (0.56, 0.2, 3, "GO")):
+        r = M.intensity_verdict(dist, one("f1_weighted", m), one("f1_weighted", 0.5), one("spearman", s, None)).first()
+        assert (r["criteria_passed"], r["verdict"], r["class_separation_ratio_c2_c1"]) == (n, said, 2.5)
