@@ -138,6 +138,14 @@ def apply_user_buckets(df: DataFrame, thr: DataFrame, glob: tuple, value: str, o
     return j.withColumn(out, bucket_quantile_class(value, q25, q75)).drop("_q25", "_q75")
 
 
+def apply_user_buckets_multi(df: DataFrame, thr: DataFrame, glob: dict, outs: dict[str, str], user: str = "user_id") -> DataFrame:
+    """B3/J14 for several value columns (value -> class column) in one join with ``user_quantile_thresholds_multi``'s table."""
+    ends = {f"q{p}_{v}": f"_q{p}_{v}" for v in outs for p in (25, 75)}
+    j = df.drop(*outs.values()).join(thr.select(user, *[F.col(a).alias(b) for a, b in ends.items()]), user, "left")
+    return j.withColumns({out: bucket_quantile_class(v, F.coalesce(F.col(f"_q25_{v}"), F.lit(glob[v][0])), F.coalesce(F.col(f"_q75_{v}"), F.lit(glob[v][1])))
+                          for v, out in outs.items()}).drop(*ends.values())
+
+
 def apply_global_buckets(df: DataFrame, train: DataFrame, value: str, out: str) -> DataFrame:
     """One train q25/q75 for all rows, B3's class rule."""
     q25, q75 = exact_quantiles(train, value, [0.25, 0.75])

@@ -140,26 +140,51 @@ def split_ratio(train: DataFrame, test: DataFrame, date="event_date", few_weeks:
                     (F.col("test_weeks") < few_weeks).alias("few_test_weeks"))
 
 
-def weekly_amounts(tx: DataFrame, q25, q75, user="user_id", date="event_date", amount="amount") -> DataFrame:
-    """A16 + B2: per (user, Monday) sum, first and last transaction date, count, bucket, label."""
+def weekly_amounts(tx: DataFrame, q25, q75, user="user_id", date="event_date", amount="amount", by=()) -> DataFrame:
+    """A16 + B2: per (user, Monday) sum, first and last transaction date, count, bucket, label; ``by`` holds keys beside the user."""
     wk = tx.withColumn("week_key", week_start(date))
-    out = wk.groupBy(user, "week_key").agg(
+    out = wk.groupBy(*by, user, "week_key").agg(
         F.sum(amount).alias("amount_sum"), F.min(date).alias("first_txn_date"),
         F.max(date).alias("last_txn_date"), F.count(F.lit(1)).alias("txn_count"))
     return out.withColumn("year_week", iso_week_label("week_key")).withColumn(
         "bucket", bucket_select("amount_sum", q25, q75))
 
 
-def lag_rows(weekly: DataFrame, user="user_id") -> DataFrame:
-    """Next observed week's bucket and amount; rows without one are dropped."""
-    w = W.spec(user, "week_key")
+def lag_rows(weekly: DataFrame, user="user_id", by=()) -> DataFrame:
+    """Next observed week's bucket and amount, within the user and the keys ``by``; rows without one are dropped."""
+    w = W.spec([*by, user], "week_key")
     out = weekly.select(
-        user, F.col("year_week").alias("week_t"), F.col("week_key").alias("week_monday"),
+        *by, user, F.col("year_week").alias("week_t"), F.col("week_key").alias("week_monday"),
         F.col("bucket").alias("bucket_t"), F.col("amount_sum").alias("amount_t"),
         W.lead_k("bucket", w, 1).alias("bucket_t_plus_1"), W.lead_k("amount_sum", w, 1).alias("amount_t_plus_1"))
     return out.where(F.col("bucket_t_plus_1").isNotNull() & F.col("amount_t_plus_1").isNotNull())
 
 
+def largest_shift(rows: DataFrame, bucket="bucket", split="split", classes=(0, 1, 2, 3)) -> DataFrame:
+    """``max_shift_pp``: largest difference of a bucket's share between the 'train' and the 'test' rows, in percentage points."""
+    cells = [count_if((F.col(split) == s) & (F.col(bucket) == c)).alias(f"_{s}{c}") for s in ("train", "test") for c in classes]
+    one = rows.agg(*cells)
+    total = {s: sum((F.col(f"_{s}{c}") for c in classes), F.lit(0)) for s in ("train", "test")}
+    apart = [F.abs(F.try_divide(F.col(f"_train{c}") * 100.0, total["train"]) - F.try_divide(F.col(f"_test{c}") * 100.0, total["test"])) for c in classes]
+    return one.select(F.greatest(*apart).alias("max_shift_pp"))
+
+
+def dataset_verdict(sanity: DataFrame, gate: DataFrame, overlap: DataFrame, shift: DataFrame, baseline: DataFrame, min_valid: int = 100) -> DataFrame:
+    """Q15 as one plan over one-row frames: five checks (sanity, retention, overlap, shift under 15 points, macro F1 over 0.25).
+
+    GO without a failed check, BORDERLINE with one or two, NO_GO with more, without sanity or with under ``min_valid`` valid users.
+    """
+    one = (sanity.select(F.col("status").alias("_s")).crossJoin(gate.select("retention_rate", "valid_users_count"))
+           .crossJoin(overlap.select("overlapping_users")).crossJoin(shift.select("max_shift_pp")).crossJoin(baseline.select("f1_macro")))
+    sane = F.col("_s") == "PASS"
+    checks = [sane, F.col("retention_rate") >= 0.5, F.col("overlapping_users") >= 0.8 * F.greatest("valid_users_count", F.lit(1)),
+              F.col("max_shift_pp") < 15.0, F.col("f1_macro") > 0.25]
+    failed = sum((F.when(c, 0).otherwise(1) for c in checks), F.lit(0)).cast("int")
+    hard = ~sane | (F.col("valid_users_count") < min_valid)
+    return one.select(failed.alias("failed_checks"), F.when(hard, "NO_GO").when(failed == 0, "GO").when(failed <= 2, "BORDERLINE")
+                      .otherwise("NO_GO").alias("verdict"))
+
+
 def chi2_bucket_shift(train: DataFrame, test: DataFrame, bucket="bucket", classes=(0, 1, 2, 3)) -> DataFrame:
     """Q8: Pearson chi-square of the 2 x k bucket table (empty columns dropped, Yates at 1 dof),
     plus the largest share shift in percentage points.  The p-value comes from the

@@ -128,7 +128,7 @@ def test_replay_counts_changes_and_missing_rows(spark):
 
 def test_verdicts_by_threshold(spark):
     from spendlens.operators import metrics as M
-    one = lambda name, *v: spark.createDataFrame([(x,) for x in v], f"{name} double")
+    one = lambda name, *v: spark.createDataFrame([(x,) for x in v], f"{name} double").coalesce(1)
     r = M.feasibility_verdict(one("f1_macro", 0.3, 0.32), one("f1_macro", 0.3), one("mae", 9.0, 9.8), one("mae", 10.0)).first()
     assert (r["classification_verdict"], r["regression_verdict"]) == ("BORDERLINE", "GO") and abs(r["regression_gain"] - 0.1) < 1e-12
     dist = spark.createDataFrame([(1, 2.0), (2, 5.0)], "bucket int, mean_value double")

@@ -1,6 +1,7 @@
 """Evaluation operators on hand-computed cases."""
 
 from spendlens.operators import metrics as M
+from pyspark.sql import functions as F
 
 
 def test_macro_f1_variants_and_balanced_accuracy(spark):
@@ -42,3 +43,24 @@ def test_regression_metrics_mape_only_positive(spark):
     df = spark.createDataFrame([(0.0, 1.0), (2.0, 1.0)], "y double, p double")
     r = M.regression_metrics(df, "y", "p").first()
     assert r["mae"] == 1.0 and r["mape"] == 0.5
+
+
+def test_dataset_verdict_reaches_every_branch(spark):
+    from spendlens.operators import card_features as C
+
+    def said(status="PASS", rate=0.9, valid=200, both=190, shift=3.0, f1=0.4):
+        one = lambda **v: spark.range(0, 1, 1, 1).select(*[F.lit(x).alias(k) for k, x in v.items()])
+        r = C.dataset_verdict(one(status=status), one(retention_rate=rate, valid_users_count=valid), one(overlapping_users=both),
+                              one(max_shift_pp=shift), one(f1_macro=f1)).first()
+        return r["failed_checks"], r["verdict"]
+
+    assert said() == (0, "GO") and said(f1=0.25) == (1, "BORDERLINE") and said(shift=15.0, both=159) == (2, "BORDERLINE")
+    assert said(shift=20.0, both=1, rate=0.4) == (3, "NO_GO") and said(status="FAIL") == (1, "NO_GO") and said(valid=99, both=99) == (0, "NO_GO")
+
+
+def test_largest_shift_of_shares(spark):
+    from spendlens.operators import card_features as C
+    rows = [("train", 0)] * 3 + [("train", 2)] + [("test", 0)] + [("test", 3)] * 3 + [("test", None)]
+    df = spark.createDataFrame(rows, "split string, bucket int")
+    assert C.largest_shift(df).first()["max_shift_pp"] == 75.0
+    assert C.largest_shift(df.where("split = 'train'")).first()["max_shift_pp"] is None
