@@ -34,8 +34,7 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def choose_pivots(classes: DataFrame, most: int, apart: float, threshold: float, nearest: int,
-                  most_nearest: int) -> dict[int, tuple[np.ndarray, int]]:
+def choose_pivots(classes: DataFrame, most: int, apart: float, threshold: float, nearest: int) -> dict[int, tuple[np.ndarray, int]]:
     """Unit pivots by dimension and the length of their prefixes.
 
     Candidates are the first vectors by a hash of the vector, twice ``most`` and a sample for the
@@ -48,7 +47,7 @@ def choose_pivots(classes: DataFrame, most: int, apart: float, threshold: float,
         x = first.select("vector").toArrow()["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         x = _units(x.reshape(-1, d).astype(np.float64))
         pivots = thinned(x[:2 * most], most, apart)
-        out[d] = pivots, prefix_length(x[-SAMPLE:], pivots, threshold, nearest, most_nearest)
+        out[d] = pivots, prefix_length(x[-SAMPLE:], pivots, threshold, nearest)
     return out
 
 
@@ -69,20 +68,24 @@ def thinned(x: np.ndarray, most: int, apart: float) -> np.ndarray:
     return kept
 
 
-def prefix_length(x: np.ndarray, pivots: np.ndarray, threshold: float, least: int, most: int, recall: float = 0.995) -> int:
-    """Shortest prefix under which ``recall`` of the links of unit vectors ``x`` share two pivots.
+def prefix_length(x: np.ndarray, pivots: np.ndarray, threshold: float, least: int, recall: float = 0.995) -> int:
+    """Shortest prefix, ``least`` at least, under which ``recall`` of the links of unit vectors ``x`` share two pivots.
 
-    The links tried are the hardest ones, at a cosine of ``threshold`` in a random direction.
+    The links tried are the hardest ones, at a cosine of ``threshold`` in a random direction.  A link shares a pivot
+    from the larger of its two ranks on, so it needs a prefix up to the second smallest of these; nothing bounds
+    the length but the number of pivots, which every link shares.
     """
-    least, most = min(least, len(pivots)), min(most, len(pivots))
-    if least == most or x.shape[1] < 2:
+    least = min(least, len(pivots))
+    if least == len(pivots) or len(pivots) < 2 or x.shape[1] < 2 or not len(x):
         return least
     side = np.random.default_rng(0).normal(size=x.shape)
     side = _units(side - (side * x).sum(axis=1, keepdims=True) * x)
-    a, b = (np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, :most]
-            for v in (x, threshold * x + sqrt(1 - threshold ** 2) * side))
-    same = a[:, :, None] == b[:, None, :]
-    return next((k for k in range(least, most) if (same[:, :k, :k].sum(axis=(1, 2)) >= 2).mean() >= recall), most)
+    near, need = threshold * x + sqrt(1 - threshold ** 2) * side, []
+    for s in range(0, len(x), 64):
+        ranks = [np.argsort(np.argsort(-(v[s:s + 64] @ pivots.T), axis=1, kind="stable"), axis=1) for v in (x, near)]
+        need.append(np.partition(np.maximum(*ranks), 1, axis=1)[:, 1] + 1)
+    need = np.sort(np.concatenate(need))
+    return max(least, int(need[ceil(recall * len(need)) - 1]))
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -199,7 +202,7 @@ def verified(lists: DataFrame, threshold: float, dtype) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = 7, block: int = 1024,
-                    most_pivots: int = 16_384, apart: float = 0.7, most_nearest: int = 16) -> DataFrame:
+                    most_pivots: int = 16_384, apart: float = 0.7) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``: one row per row of ``vectors(vec_id, embedding)``.
 
     Vectors are linked at a cosine of ``threshold`` or more.  ``n_links`` counts the other vectors
@@ -208,8 +211,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = 7
     different length never link.  The square root of the number of distinct vectors, 64 at least
     and ``most_pivots`` at most, are pivots, fewer where vectors lie so close that no more have
     cosines under ``apart`` (or the threshold) with each other; a region within that angle is
-    compared whole.  Every vector is indexed, by ``nearest`` pivots or as many more, up to
-    ``most_nearest``, as links at the threshold need.  Repeated rows are vectors of their own.  A
+    compared whole.  Every vector is indexed, by ``nearest`` pivots or as many more as links at the
+    threshold need.  Repeated rows are vectors of their own.  A
     null vec_id is ignored by the minimum.
     """
     kind = vectors.schema["embedding"].dataType.elementType.typeName()
@@ -220,7 +223,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = 7
                            .agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
                            .withColumn("uid", F.monotonically_increasing_id()))
     pivots = choose_pivots(classes, min(most_pivots, max(64, ceil(sqrt(classes.count())))), min(apart, threshold),
-                           threshold, nearest, most_nearest)
+                           threshold, nearest)
     keys = checkpointed(index(classes, pivots))
     counts = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     lists = keys.join(counts, "key")

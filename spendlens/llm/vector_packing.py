@@ -9,6 +9,7 @@ No shuffle is needed and no task holds more than a pool, whatever the partition'
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -308,16 +309,40 @@ class WordCache:
         return out
 
 
+class WholeTexts:
+    """Ids of texts as bytes by the tokenizer itself, for tokenizers that a word cache does not fit."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def by_words(path: str) -> bool:
+    """Whether the tokenizer lower-cases, marks the ends of words and drops the white space between them, as the word cache assumes."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    suffix = spec["model"].get("end_of_word_suffix")
+    if suffix != "</w>" or '"Lowercase"' not in json.dumps(spec["normalizer"]):
+        return False
+    from tokenizers import Tokenizer
+    ids = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in ("Two\n \tWORDS", "two", "words")]
+    return ids[0] == ids[1] + ids[2]
+
+
 @lru_cache(maxsize=2)
-def word_cache(path: str) -> WordCache:
-    """One cache per worker process and tokenizer, kept from task to task."""
-    return WordCache(path)
+def word_cache(path: str) -> WordCache | WholeTexts:
+    """One source of ids per worker process and tokenizer, kept from task to task."""
+    return WordCache(path) if by_words(path) else WholeTexts(path)
 
 
 def pack_texts(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 2,
                cut: bool = True) -> DataFrame:
     """Pieces of the packed texts of ``docs(doc_id, text)``, columns as in ``SCHEMA``.
 
+    Tokenizers of lower-cased words go through a cache of words, any other tokenizes whole texts.
     A document is its ids followed by ``end_id``; a null text is empty, so just that id.  Every id
     bears loss.  With ``cut`` documents are cut freely and no sequence needs padding: it is full or
     its length is a power of two.  Without, only documents over the limits are cut and sequences

@@ -1,3 +1,4 @@
+import math
 import os
 import re
 import sys
@@ -79,6 +80,77 @@ def test_quality_edges(spark):
     assert pu_quality.score(docs.where("false"), None).count() == 0
 
 
+def slow_grams(data, n_bits):
+    """Buckets of the byte 2- and 3-grams at every place where a 3-gram begins, by plain integers."""
+    out = []
+    for order, spread in textfeat.SPREAD.items():
+        for i in range(len(data) - 2):
+            code = int.from_bytes(data[i:i + order], "big") % 2 ** 32
+            out.append((code + 1) * spread % 2 ** 32 >> 32 - n_bits)
+    return out
+
+
+def slow_language(tree, text):
+    """Margins gram by gram, then votes: most wins, then the largest sum of margins, then the later name."""
+    if not text or not re.search(r"[^\W\d_]", text):
+        return "und", 0.0
+    grams = slow_grams(text.lower().encode(), langid.N_BITS)
+    margins = [sum(tree.weights[g][p] for g in grams) / max(1, len(grams)) + tree.bias[p] for p in range(len(tree.pairs))]
+
+    def vote(node, names):
+        if len(names) == 1:
+            return names[0], 1.0
+        rows = []
+        for name in names:
+            own = [(m if a == name else -m) for (n, a, b), m in zip(tree.pairs, margins) if n == node and name in (a, b)]
+            first = [m >= 0 if a == name else m < 0 for (n, a, b), m in zip(tree.pairs, margins) if n == node and name in (a, b)]
+            rows.append((sum(first), sum(own), name, min(1 / (1 + math.exp(-4 * max(-20, min(20, m)))) for m in own)))
+        best = max(rows)
+        return best[2], best[3]
+
+    family, p = vote("", list(tree.groups))
+    lang, q = vote(family, tree.groups[family])
+    return lang, p * q
+
+
+def test_languages_against_plain_counting(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang")
+    tree = langid.fit(docs)
+    extra = spark.createDataFrame([(9001, None, None), (9002, "", None), (9003, "a", None), (9004, "Ab", None), (9005, "12 34", None)], docs.schema)
+    rows = docs.limit(60).unionByName(extra)
+    text = {r["doc_id"]: r["text"] for r in rows.collect()}
+    got = {r["doc_id"]: r for r in langid.identify(rows, tree).collect()}
+    assert len(got) == len(text)
+    for i, t in text.items():
+        lang, score = slow_language(tree, t)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-6
+
+
+def slow_quality(model, text):
+    """Features by plain counting and the network by loops."""
+    data = (text or "").encode()
+    words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
+    n, distinct = max(1, len(words)), len(set(words))
+    x = [math.log1p(len(words)), distinct / n, math.log1p(distinct) / math.log1p(n), sum(a == b for a, b in zip(words, words[1:])) / n,
+         min(30.0, (len(data) - data.count(b" ")) / n), 1 - len(set(lines)) / max(1, len(lines)), min(1.0, 20 / n)]
+    x += [math.log1p(100 * sum(data.count(c.encode()) for c in chars) / max(1, len(data))) for chars in pu_quality.CLASSES]
+    grams = slow_grams(data, pu_quality.N_BITS)
+    x += [100 * grams.count(b) / max(1, len(grams)) for b in range(1 << pu_quality.N_BITS)]
+    z = [max(-6.0, min(6.0, (v - m) * s)) for v, m, s in zip(x, model.mean, model.scale)]
+    w, b, u, c = model.params
+    hidden = [math.tanh(sum(v * w[i][j] for i, v in enumerate(z)) + b[j]) for j in range(len(b))]
+    return 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(h * k for h, k in zip(hidden, u)) + c[0]))))
+
+
+def test_quality_against_plain_counting(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    model = pu_quality.fit(docs, spark.read.parquet(f"{SF001}/labels.parquet").select("doc_id", "quality"))
+    rows = docs.limit(40).unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9003, "ab"), (9004, "x\n\nx |#|")], docs.schema))
+    text = {r["doc_id"]: r["text"] for r in rows.collect()}
+    got = {r["doc_id"]: r["score"] for r in pu_quality.score(rows, model).collect()}
+    assert len(got) == len(text) and all(abs(got[i] - slow_quality(model, t)) < 1e-6 for i, t in text.items())
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()

@@ -297,7 +297,7 @@ def test_prefixes_grow_with_the_pivots():
     x = pv._units(rng.normal(size=(20_000, 64)))
     few, many = pv.thinned(x[:100], 100, 0.7), pv.thinned(x, 8000, 0.7)
     assert len(few) == 100 and len(many) == 8000
-    assert 7 <= pv.prefix_length(x[-512:], few, 0.9, 7, 16) < pv.prefix_length(x[-512:], many, 0.9, 7, 16)
+    assert 7 <= pv.prefix_length(x[-512:], few, 0.9, 7) < pv.prefix_length(x[-512:], many, 0.9, 7)
 
 
 def test_vectors_that_link_with_nothing(spark):
@@ -310,3 +310,19 @@ def test_vectors_that_link_with_nothing(spark):
         same = r["vec_id"] in (1, 2, 11, None)
         assert (r["n_links"], r["component_id"]) == ((4, 1) if same else (0, r["vec_id"])), r
     assert pv.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_prefixes_grow_past_the_first_limit():
+    """At a low threshold sixteen nearest pivots do not do; the length found gives the recall on links of its own."""
+    import numpy as np
+    from spendlens.llm import pivot_index as pv
+    rng = np.random.default_rng(8)
+    x, pivots = pv._units(rng.normal(size=(300, 48))), pv._units(rng.normal(size=(600, 48)))
+    k = pv.prefix_length(x, pivots, 0.7, 7)
+    assert k > 16
+    side = rng.normal(size=x.shape)
+    side = pv._units(side - (side * x).sum(axis=1, keepdims=True) * x)
+    near = [np.argsort(-(v @ pivots.T), axis=1)[:, :k] for v in (x, 0.7 * x + np.sqrt(1 - 0.49) * side)]
+    met = [len(set(a) & set(b)) >= 2 for a, b in zip(*near)]
+    assert np.mean(met) >= 0.97
+    assert pv.prefix_length(x, pivots[:5], 0.7, 7) == 5 and 7 <= pv.prefix_length(x, pivots[:9], 0.01, 7) <= 9

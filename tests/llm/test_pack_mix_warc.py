@@ -89,6 +89,21 @@ def test_examples_under_three_limits(spark):
     assert vp.pack_texts(spark.createDataFrame([], "doc_id long, text string"), BPE).count() == 0
 
 
+def test_other_tokenizers_take_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert vp.by_words(vp._word_bpe()) and not vp.by_words(path)
+    tok, texts = Tokenizer.from_file(path), ["Hello World", "", None, "  It's  2 tabs\t\n", "Ünïcode 你好 \U0001f600", "a" * 3000]
+    got = vp.pack_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    for i, t in enumerate(texts):
+        ids, at = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], dtype="<u4"), 0
+        for p in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["start"]):
+            assert p["ids_crc32"] == zlib.crc32(ids[at:at + p["length"]].tobytes()) and p["doc_tokens"] == len(ids)
+            at += p["length"]
+        assert at == len(ids)
+
+
 def slow_targets(sizes, share=1.5, limit=2.0, weights=(3, 1, 2)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(names)}
