@@ -1,4 +1,4 @@
-"""Dense calendar grids and lookup joins.
+"""Dense calendar grids.
 
 A grid is built per series instead of by joining a cross product back to the
 observations: the observed days of a series are folded into a map (its size is
@@ -111,13 +111,3 @@ def weekly_category_grid(reg: DataFrame, categories: DataFrame, numeric_cols: li
     return out.select(*keys, category,
                       F.split(F.col(category), ":").getItem(0).alias("flow_direction"),
                       *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in numeric_cols])
-
-
-def attach_user_daily(grid: DataFrame, k: int = 30, user="user_id", date="event_date",
-                      amount="amount", out="user_trailing_sum_30") -> DataFrame:
-    """J4 + W6: per-user daily total, trailing k-row sum (previous rows only), joined back."""
-    from pyspark.sql import Window
-    per_user = grid.groupBy(user, date).agg(F.sum(amount).alias("_u"))
-    w = Window.partitionBy(user).orderBy(date).rowsBetween(-k, -1)
-    per_user = per_user.select(user, date, F.sum("_u").over(w).alias(out))
-    return grid.join(per_user, [user, date], "left")
