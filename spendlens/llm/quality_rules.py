@@ -135,6 +135,11 @@ def query(spark, sf_dir: str) -> DataFrame:
         base.alias("base_failed"), verdict("prose", 2).alias("kept"), "n_lines", "n_exclaims", "failed_bits")
 
 
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    """What every rule of every policy costs: documents kept with it, without it, and failing it."""
+    return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the production policy keeps; null texts go (no words).
 
@@ -167,3 +172,11 @@ f AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_wor
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed,
        failed_bits = 0 AS kept, n_lines, n_exclaims, failed_bits FROM f
 """.replace("{docs}", "documents")
+
+#: Every rule of every policy against the ledger of the query above.
+ABLATION_SQL = "WITH q AS (" + SQL + "),\na(policy, version, rule, mask, bit) AS (VALUES " + ", ".join(
+    f"('{p}', {v}, '{r}', {mask(p, v)}, {1 << list(RULES).index(r)})" for p, vs in POLICIES.items() for v in vs for r in POLICIES[p][v]) + """)
+SELECT policy, version, rule, count(*) AS n_docs, count(*) FILTER (failed_bits & mask = 0) AS n_kept,
+       count(*) FILTER (failed_bits & mask & ~bit = 0) AS n_kept_without_rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failing_rule,
+       bit_or(failed_bits & mask) AS bits_seen FROM q, a GROUP BY policy, version, rule
+"""

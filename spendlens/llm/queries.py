@@ -19,6 +19,7 @@ QUERIES = {
     "op11_token_alignment": token_alignment.query,
     "op12_source_audit": source_audit.query,
     "op13_toxicity": toxicity.query,
+    "quality_rule_ablations": quality_rules.ablation_query,
 }
 
 ORACLE = {
@@ -28,4 +29,5 @@ ORACLE = {
     "op9_pivot_index": pivot_index.SQL,
     "op10_es_mixing": es_mixing.SQL,
     "op12_source_audit": source_audit.SQL,
+    "quality_rule_ablations": quality_rules.ABLATION_SQL,
 }
