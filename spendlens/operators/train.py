@@ -156,6 +156,7 @@ def cv_expanding(frame: DataFrame, make, label: str, n_splits: int, evaluate) ->
     out = []
     for i in range(1, n_splits + 1):
         train, test = expanding_fold(frame, i, n_splits, label)
+        train = sized(train, train.count())
         out.append((i, evaluate(make(train).fit(train).transform(test))))
     return out
 
@@ -183,8 +184,11 @@ def search(frame: DataFrame, name: str, features: list[str], label: str, n_split
 
     ``score`` maps a scored fold to a number.  The caller refits the setting with the best mean.
     """
-    folds = [tuple(f.persist() for f in expanding_fold(frame, i, n_splits, label)) for i in range(1, n_splits + 1)]
-    sizes = [train.count() for train, _ in folds]
+    folds, sizes = [], []
+    for i in range(1, n_splits + 1):
+        train, test = expanding_fold(frame, i, n_splits, label)
+        sizes.append(train.count())
+        folds.append((sized(train, sizes[-1]).persist(), test.persist()))
 
     def run(setting: dict) -> list[float]:
         return [score(learner(name, features, label, n, **setting).fit(train).transform(test))
