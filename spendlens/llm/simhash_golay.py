@@ -16,7 +16,7 @@ from functools import lru_cache
 from itertools import combinations, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -95,21 +95,21 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Only the letters A to Z are lower-cased and only space and tab to carriage return separate
     words.  Texts of any length are hashed in chunks of shingles.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64), "hash": b["hash"]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:       # a text at a time leaves the batch
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), b.column("hash")], ["doc_id", "fp", "hash"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
-    return rows.mapInPandas(run, "doc_id long, fp long, hash long")
+    return rows.mapInArrow(run, "doc_id long, fp long, hash long")
 
 
 def golay_keys(fps: DataFrame) -> DataFrame:
     """``(key, fp)``: up to 18 keys of each distinct fingerprint."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rem, table = decoding_table()
         for b in batches:
-            fp = b["fp"].to_numpy(np.int64)
+            fp = b.column("fp").to_numpy()
             u = fp.view(np.uint64)
             seg = [((u >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in SEGMENTS]
             keys, owners = [], []
@@ -120,9 +120,9 @@ def golay_keys(fps: DataFrame) -> DataFrame:
                 k = (i << 36) | (seg[i][:, None] << 12) | near
                 keys.append(k[fresh])
                 owners.append(np.broadcast_to(fp[:, None], near.shape)[fresh])
-            yield pd.DataFrame({"key": np.concatenate(keys), "fp": np.concatenate(owners)})
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "fp"])
 
-    return fps.select("fp").mapInPandas(run, "key long, fp long")
+    return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
 def links(fps: DataFrame, max_distance: int = 2, hot_key: int = HOT_KEY) -> DataFrame:
