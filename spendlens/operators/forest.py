@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 BINS = 32
-ROWS_PER_GROUP = 200_000
+ROWS_PER_GROUP = 500_000
 
 
 def bin_edges(df: DataFrame, features: list[str], bins: int = BINS) -> list[np.ndarray]:
@@ -77,7 +77,7 @@ def grow(x: np.ndarray, y: np.ndarray, class_weight: np.ndarray, rng: np.random.
     n_classes, d = len(class_weight), x.shape[1]
     times = rng.poisson(1.0, len(x))
     rows = np.nonzero(times)[0]
-    x, y, times = x[rows].astype(np.int64), y[rows].astype(np.int64), times[rows].astype(np.float64)
+    x, y, times = x[rows], y[rows].astype(np.int64), times[rows].astype(np.float64)
     node = np.zeros(len(x), dtype=np.int64)
     total = np.bincount(y, times, minlength=n_classes)[None]
     parts: list[tuple] = []
