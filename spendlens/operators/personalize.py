@@ -10,6 +10,7 @@ refit a softmax calibrator every few weeks after a warm-up.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,9 +36,10 @@ class CalibrationConfig:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    """Along the last axis, shifted by the maximum."""
-    e = np.exp(z - z.max(axis=-1, keepdims=True))
-    return e / e.sum(axis=-1, keepdims=True)
+    """Along the last axis, shifted by the maximum; class by class, as NumPy reduces a short last axis slowly."""
+    classes = range(z.shape[-1])
+    e = np.exp(z - reduce(np.maximum, [z[..., i] for i in classes])[..., None])
+    return e / reduce(np.add, [e[..., i] for i in classes])[..., None]
 
 
 def start_params(users: int, k: int) -> np.ndarray:
@@ -47,7 +49,11 @@ def start_params(users: int, k: int) -> np.ndarray:
 
 def calibrated(params: np.ndarray, p: np.ndarray) -> np.ndarray:
     """L11 for all users: softmax of the affine map of each user's probabilities ``p`` (users, rows, k)."""
-    return softmax(np.einsum("ujc,urc->urj", params, with_one(p)))
+    return _softened(params, with_one(p))
+
+
+def _softened(params: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return softmax(np.matmul(x, params.swapaxes(1, 2)))
 
 
 def with_one(p: np.ndarray) -> np.ndarray:
@@ -63,7 +69,7 @@ def refit(params: np.ndarray, p: np.ndarray, target: np.ndarray, cfg: Calibratio
     penalty = np.append(np.full(cfg.n_classes, cfg.l2), 0.0)
     x = with_one(p)
     for _ in range(max(1, cfg.epochs)):
-        gradient = np.einsum("urj,urc->ujc", calibrated(params, p) - target, x) / p.shape[1] + penalty * params
+        gradient = np.matmul((_softened(params, x) - target).swapaxes(1, 2), x) / p.shape[1] + penalty * params
         norm = np.linalg.norm(gradient.reshape(len(gradient), -1), axis=1)
         shrink = np.minimum(1.0, cfg.grad_clip / np.maximum(norm, 1e-12))
         params = params - cfg.learning_rate * shrink[:, None, None] * gradient

@@ -125,3 +125,41 @@ def test_summary_of_counts_equals_that_of_rows(spark):
     a, b = (sorted(map(tuple, d.select("fold", *[F.round(c, 9) for c in ("f1_macro", "f1_macro_fixed", "f1_weighted", "accuracy", "balanced_accuracy")],
                                        "n_rows").collect())) for d in (M.summary_of_counts(counts, ["fold"]), M.classification_summary(df, by=["fold"])))
     assert a == b
+
+
+def test_scoring_walks_no_further_than_the_tree_and_sets_leaves_aside(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, FO.BINS, (3000, 5)).astype(np.uint8)
+    y = (x[:, 0] // 9 + (x[:, 1] > x[:, 2])).astype(np.int64) % 4
+    trees = [FO.grow(x, y, np.ones(4), np.random.default_rng(k), 9, 1, 2, 2) for k in range(3)]
+
+    def plain(t, row):
+        node, out = 0, [0]
+        while t.child[node] > 0:
+            node = t.child[node] + int(row[t.column[node]] > t.cut[node])
+            out.append(node)
+        return out
+
+    for t in trees:
+        paths = [plain(t, r) for r in x]
+        depths = [0, 3, 5, 64]
+        for d, nodes in zip(depths, t.nodes_at_depths(x, depths)):
+            assert nodes.tolist() == [p[min(d, len(p) - 1)] for p in paths]
+    monkeypatch.setattr(FO, "ROWS_AT_ONCE", 700)
+    f = FO.Forest(list("abcde"), [np.arange(FO.BINS - 1)] * 5, trees)
+    assert np.array_equal(f.probabilities(x), sum(t.at_depths(x, [9])[0] for t in trees) / 3)
+    assert f.probabilities(x[:0]).shape == (0, 4)
+
+
+def test_trees_grow_once_and_chunks_of_a_test_block_add_up(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(k, float(a), float(b), int((a > 0.5) + 2 * (b > 0.3))) for k, (a, b) in enumerate(rng.random((400, 2)))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y int")
+    folds = [(df.where("k < 200"), df.where("k >= 200"))]
+    settings = [{"n_trees": t, "max_depth": d, "min_split": 2, "min_leaf": m, "max_features": 1} for t in (2, 4) for d in (2, 6) for m in (1, 3)]
+    whole = FO.search_confusions(df, folds, ["a", "b"], "y", settings)
+    parts = FO.search_confusions(df, folds, ["a", "b"], "y", settings, test_rows_per_group=30)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    # A sort behind the fits would run them twice, once to sample its input.
+    monkeypatch.setattr(type(df), "orderBy", lambda *a, **k: pytest.fail("sorted in Spark"))
+    assert len(FO.fit_forest(df, ["a", "b"], "y", n_trees=10, max_depth=3, trees_per_group=2).trees) == 10

@@ -62,3 +62,21 @@ def test_users_do_not_see_each_other():
     together = P._walk_many(pd.concat(parts).sample(frac=1.0, random_state=3), cfg).sort_values(order).reset_index(drop=True)
     alone = pd.concat([P._walk_many(p, cfg) for p in parts]).sort_values(order).reset_index(drop=True)
     pd.testing.assert_frame_equal(together, alone)
+
+
+def test_refit_equals_the_sums_written_out():
+    rng = np.random.default_rng(5)
+    cfg = P.CalibrationConfig(epochs=3)
+    p, label = rng.dirichlet(np.ones(4), (6, 11)), rng.integers(0, 4, (6, 11))
+    target = np.eye(4)[label]
+    got, want = P.refit(P.start_params(6, 4), p, target, cfg), P.start_params(6, 4)
+    for u in range(6):
+        for _ in range(cfg.epochs):
+            g = np.zeros((4, 5))
+            for r in range(11):
+                x = np.append(p[u, r], 1.0)
+                e = np.exp(want[u] @ x)
+                g += np.outer(e / e.sum() - target[u, r], x) / 11
+            g[:, :4] += cfg.l2 * want[u][:, :4]
+            want[u] = want[u] - cfg.learning_rate * min(1.0, cfg.grad_clip / np.linalg.norm(g)) * g
+    assert np.allclose(got, want, rtol=0, atol=1e-12)
