@@ -26,7 +26,7 @@ VOTES = 250
 
 
 def _rows(spark, sf_dir) -> DataFrame:
-    return FW.features_31(spark, sf_dir)[0].select(*KEYS, "is_test", NOW, Y)
+    return FW.labels_of(spark, sf_dir).select(*KEYS, "is_test", NOW, Y)
 
 
 def _argmax(cells: list) -> F.Column:
@@ -112,7 +112,7 @@ def out_of_fold(spark, sf_dir) -> DataFrame:
     largest class after the current bucket.  Counts by block add up to those of every fold, so one pass fits all folds.
     """
     def build():
-        fx = EV.folds_of(spark, sf_dir)
+        fx = EV.fold_labels(spark, sf_dir)
         block = F.coalesce("test_fold", F.lit(0))
         counts = fx.groupBy(block.alias("_block"), F.col(NOW).alias("_b")).agg(*[F.count(F.when(F.col(Y) == c, 1)).alias(f"_c{c}") for c in CLASSES])
         folds = F.explode(F.sequence(F.lit(1), F.lit(EV.N_SPLITS)))

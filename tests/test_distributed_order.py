@@ -1,5 +1,6 @@
 """Two-level prefix sums, exact quantiles, KS and expanding folds against brute force."""
 
+import datetime
 import random
 
 import numpy as np
@@ -123,3 +124,17 @@ def test_spearman_with_ties_against_pandas(spark):
     got = {r["g"]: r["spearman"] for r in S.spearman(spark.createDataFrame(pdf), "a", "b", by="g").collect()}
     for g, part in pdf.groupby("g"):
         assert abs(got[g] - part["a"].rank().corr(part["b"].rank())) < 1e-12
+
+
+def test_folds_by_keys_equal_those_by_index_and_leave_rows_in_place(spark):
+    rnd = random.Random(4)
+    rows = [(datetime.date(2024, 1, 1) + datetime.timedelta(weeks=int(rnd.random() ** 3 * 9)), u) for u in range(400)]
+    df = spark.createDataFrame([*rows, (None, 1), (None, 2)], "week date, user long").repartition(7)
+    for n_splits in (1, 3, 5):
+        a = B.expanding_folds(df, ["week", "user"], n_splits).drop("row_index")
+        b = B.expanding_folds(df, ["week", "user"], n_splits, index=False)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        # No row is shuffled for its fold.
+        assert "Window" not in b._jdf.queryExecution().optimizedPlan().toString()
+    few = B.expanding_folds(df.limit(3), ["week", "user"], 5, index=False).collect()
+    assert [r["test_fold"] for r in few] == [None] * 3 and {r["test_size"] for r in few} == {0}
