@@ -166,3 +166,18 @@ def test_user_sums_against_brute_force(spark):
         assert r["user_trailing_sum_30"] == want
     assert {(r["user_id"], r["event_date"]): r["amount"] for r in user_daily_grid(tx).collect() if r["amount"]} == {k: v for k, v in day.items() if v}
     assert daily_grid_with_user_sum(tx.where("false")).count() == 0 and user_daily_grid(tx.where("false")).count() == 0
+
+
+def test_category_rows_take_user_lags_from_windows_as_from_the_join(spark):
+    import datetime
+    import random
+    rnd = random.Random(3)
+    rows = [(u, datetime.date(2020, 1, 6) + datetime.timedelta(days=int(rnd.random() ** 2 * 70)), float(rnd.randint(1, 900)), f"{d}:{k}", d)
+            for u in range(5) for _ in range(60) for d, k in [(rnd.choice(["inflow", "outflow"]), rnd.choice("xyz"))]]
+    tx = spark.createDataFrame(rows, "user_id long, transaction_date date, amount_abs double, category string, flow_direction string")
+    split = datetime.date(2020, 2, 10)
+    joined = FF.category_regression_frame(tx, FF.weekly_flows(tx), split)
+    dealt = FF.category_regression_frame(tx, None, split)
+    assert dealt.columns == joined.columns
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, joined.collect()))
+    assert "Join" not in dealt._jdf.queryExecution().optimizedPlan().toString()
