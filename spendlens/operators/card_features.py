@@ -51,15 +51,16 @@ def max_gap_days(tx: DataFrame, user="user_id", date="event_date") -> DataFrame:
 
 
 def user_coverage(tx: DataFrame, user="user_id", date="event_date", amount="amount",
-                  category="category") -> DataFrame:
-    """A9 + J10: per-user first/last date, counts, mean/median amount, span, rate, max gap."""
+                  category="category", middle: bool = True) -> DataFrame:
+    """A9 + J10: per-user first/last date, counts, mean/median amount, span, rate, max gap; without ``middle`` no median."""
     cov = tx.groupBy(user).agg(
         F.min(date).alias("first_transaction_date"), F.max(date).alias("last_transaction_date"),
         F.count(F.lit(1)).alias("total_transactions"), F.countDistinct(category).alias("categories_count"),
         F.avg(amount).alias("avg_transaction_amount"))
-    # A hot user's raw amounts are cut by value, so no buffer holds them all.
-    mid = quantile_table(tx, [amount], [0.5], by=[user]).select(user, F.col("q")[0].alias("median_transaction_amount"))
-    cov = cov.join(mid, user, "left")
+    if middle:
+        # A hot user's raw amounts are cut by value, so no buffer holds them all.
+        mid = quantile_table(tx, [amount], [0.5], by=[user]).select(user, F.col("q")[0].alias("median_transaction_amount"))
+        cov = cov.join(mid, user, "left")
     span = F.datediff("last_transaction_date", "first_transaction_date")
     cov = cov.withColumn("activity_span_days", span).withColumn(
         "avg_txn_per_week", F.col("total_transactions") / F.greatest(F.col("activity_span_days"), F.lit(1)) * 7.0)
@@ -294,24 +295,27 @@ def attach_user_stats(lag: DataFrame, stats: DataFrame, user="user_id", missing:
 
 
 def card_features(lag: DataFrame, tx_split: DataFrame, stats: DataFrame, user="user_id",
-                  split: str | None = None, missing: str = "fail") -> DataFrame:
+                  split: str | None = None, missing: str = "fail", columns: list[str] | None = None) -> DataFrame:
     """The 16-column frame (tier 1 + 2) plus tier 3.
 
     ``lag`` holds user_id, week_t, week_monday, bucket_t, amount_t, bucket_t_plus_1,
     amount_t_plus_1 (buckets already re-assigned per user).  With ``split`` both splits
     are computed in one pass: every window and join is keyed by (split, user), so a
     split's history never sees the other split.  ``missing``: see :func:`attach_user_stats`.
+    With ``columns`` all rows come with those only, without the joins and windows that none of them reads.
     """
     keys = ([split] if split else []) + [user]
-    mix = category_mix(tx_split, keys)
-    f = attach_user_stats(lag, stats, user, missing).join(mix, keys + ["week_t"], "left")
+    f = attach_user_stats(lag, stats, user, missing)
+    mixed = columns is None or not _OF_MIX.isdisjoint(columns)
+    if mixed:
+        f = f.join(category_mix(tx_split, keys), keys + ["week_t"], "left")
     w = W.spec(keys, "week_monday")
     f = f.select(
         "*",
         clip((F.col("amount_t") - F.col("user_mean_amount")) / F.greatest(F.col("user_std_amount"), F.lit(1e-6)),
              -10, 10).alias("z_score"),
         W.rolling_entropy("bucket_t", w, 4).alias("entropy"),
-        clip(F.col("txn_count") / F.greatest(F.col("user_avg_txn_count"), F.lit(1e-6)), 0, 10).alias("relative_txn_count"),
+        *([clip(F.col("txn_count") / F.greatest(F.col("user_avg_txn_count"), F.lit(1e-6)), 0, 10).alias("relative_txn_count")] if mixed else []),
         clip(W.diff_prev("amount_t", w, 0.0), -1000, 1000).alias("delta_amount"),
         W.diff_prev("bucket_t", w, 0).cast("int").alias("delta_bucket"),
         F.coalesce(W.rolling_mean_prev("amount_t", w, 8), F.lit(0.0)).alias("rolling_mean_8w"),
@@ -322,9 +326,14 @@ def card_features(lag: DataFrame, tx_split: DataFrame, stats: DataFrame, user="u
     )
     f = W.add_rolling_std(f, "amount_t", w, 8, "rolling_std_8w")
     f = f.withColumn("rolling_std_8w", F.greatest(F.coalesce(F.col("rolling_std_8w"), F.lit(0.0)), F.lit(1e-6)))
-    return recency_asof(f, tx_split, keys)
+    if columns is None or "recency_days" in columns:
+        f = recency_asof(f, tx_split, keys)
+    return f if columns is None else f.select(*columns)
 
 
+#: Columns of the card frame that read a week's categories.
+_OF_MIX = {"txn_count", "relative_txn_count", "category_diversity", "dominant_category_ratio"}
+
 # Output columns of the card frame, in order.
 CARD_FEATURES_21 = [
     "user_id", "week_t", "bucket_t", "amount_t", "bucket_t_plus_1", "amount_t_plus_1", "z_score", "entropy",

@@ -181,3 +181,20 @@ def test_category_rows_take_user_lags_from_windows_as_from_the_join(spark):
     assert dealt.columns == joined.columns
     assert sorted(map(str, dealt.collect())) == sorted(map(str, joined.collect()))
     assert "Join" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_target_rows_without_the_columns_that_are_not_read(spark):
+    """A27 reads the same targets from a plan without medians, mixes and windows as from the whole frame."""
+    from collections import Counter
+
+    from spendlens.plans import card_weekly as CW
+    from spendlens.plans import shared
+    sf = "/root/testdata/sf0.001"
+    shared.clear()
+    few = CW.feature_targets(spark, sf)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "dominant_category_ratio" not in plan and "_entropy" not in plan and "percentile(weekly_amount" not in plan
+    whole = CW.features_21(spark, sf).select("split", "bucket_t_plus_1")
+    assert Counter(map(tuple, few.collect())) == Counter(map(tuple, whole.collect()))
+    own = C.user_coverage(CW.tx_of(spark, sf), middle=False)
+    assert set(C.user_coverage(CW.tx_of(spark, sf)).columns) - set(own.columns) == {"median_transaction_amount"}
