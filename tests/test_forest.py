@@ -163,3 +163,47 @@ def test_trees_grow_once_and_chunks_of_a_test_block_add_up(spark, monkeypatch):
     # A sort behind the fits would run them twice, once to sample its input.
     monkeypatch.setattr(type(df), "orderBy", lambda *a, **k: pytest.fail("sorted in Spark"))
     assert len(FO.fit_forest(df, ["a", "b"], "y", n_trees=10, max_depth=3, trees_per_group=2).trees) == 10
+
+
+def same_tree(a, b):
+    return all(np.allclose(getattr(a, c), getattr(b, c)) for c in ("column", "cut", "child", "share", "gain"))
+
+
+def test_every_tree_learns_from_all_rows(spark):
+    """More rows than a group of trees once got (half a million of them)."""
+    df = spark.range(510_000).selectExpr("CAST(pmod(xxhash64(id), 1000) AS double) AS a", "CAST(pmod(xxhash64(id, 1), 997) AS double) AS b",
+                                         "CAST(pmod(xxhash64(id), 1000) > 400 AS int) + CAST(pmod(xxhash64(id, 2), 10) = 0 AS int) AS y")
+    model = FO.fit_forest(df, ["a", "b"], "y", n_classes=3, n_trees=2, max_depth=3, min_leaf=5)
+    x, y, _ = FO._ordered(FO.binned_rows(df, ["a", "b"], "y", model.edges, []).toArrow())
+    assert len(y) == 510_000
+    for k, tree in enumerate(model.trees):
+        assert same_tree(tree, FO.grow(x, y, FO.balanced(y, 3), np.random.default_rng([42, k]), 3, 5, 2, 1))
+
+
+def test_parts_strings_and_files_hold_all_rows_in_order(spark, monkeypatch):
+    df = frame(spark, 700).unionByName(frame(spark, 700)).repartition(5)      # every row twice
+    edges = FO.bin_edges(df, ["a", "b", "c"])
+    rows = FO.binned_rows(df, ["a", "b", "c"], "y", edges, [])
+    x, y, _ = FO._ordered(rows.toArrow())
+    monkeypatch.setattr(FO, "ROWS_OF_A_PART", 90)
+    monkeypatch.setattr(FO, "ROWS_OF_A_STRING", 16)
+    packed, firsts = FO.packed_rows(rows, 1400, 3)
+    table = packed.selectExpr("0 AS group", "part", "start", "n", "y", "x").orderBy("start").toArrow()
+    packed.unpersist()
+    assert len(firsts) > 10 and max(table["n"].to_pylist()) == 16
+    for held in (1 << 20, 100):
+        monkeypatch.setattr(FO, "BYTES_IN_MEMORY", held)
+        got_x, got_y, groups = FO.unpacked(table.to_batches(max_chunksize=30), 1400, 3, firsts)
+        assert isinstance(got_x, np.memmap) == (held == 100) and groups == {0}
+        assert np.array_equal(got_x, x) and np.array_equal(got_y, y)
+
+
+def test_rows_in_pieces_and_nodes_in_ranges_grow_the_same_tree(monkeypatch):
+    x, y = made(3000, 6, 7)
+    weight = FO.balanced(y, 3)
+    whole = FO.grow(x, y, weight, np.random.default_rng(5), 14, 1, 2, 3)
+    assert whole.child.size > 400
+    for piece, nodes in ((100, 4096), (100_000, 7), (64, 5)):
+        monkeypatch.setattr(FO, "ROWS_OF_A_PIECE", piece)
+        monkeypatch.setattr(FO, "NODES_OF_A_RANGE", nodes)
+        assert same_tree(whole, FO.grow(x, y, weight, np.random.default_rng(5), 14, 1, 2, 3))
