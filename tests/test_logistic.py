@@ -81,3 +81,30 @@ def test_search_counts_every_row_of_every_fold_in_few_jobs(spark):
     assert {r["n"] for r in got} == {150}
     assert jobs < 60            # 48 fits, each of which ran jobs of its own for every iteration
     rows.unpersist()
+
+
+def test_folds_of_all_learners_share_passes_and_equal_single_fits(spark, monkeypatch):
+    from spendlens.operators.forest import fit_forest
+    from spendlens.plans import evaluation as EV
+    from spendlens.plans import models as P
+    df = frame(spark, 900).withColumn("test_fold", F.when(F.col("blk") > 0, F.col("blk"))).drop("blk").withColumnRenamed("i", "user_id").withColumn(
+        "week_start", F.date_add(F.lit("2024-01-01").cast("date"), F.col("user_id").cast("int")))
+    want = {}
+    for i in (1, 2, 3):
+        train, block = df.where(F.coalesce("test_fold", F.lit(0)) < i), df.where(F.col("test_fold") == i)
+        weighted = T.with_weights(train, "y", T.class_weights(train, "y"))
+        fits = {name: T.learner(name, NAMES, "y", weighted.count()).fit(weighted) for name in ("logistic_regression", "sgd_classifier")}
+        fits["random_forest"] = fit_forest(train, NAMES, "y", n_trees=250, max_depth=12, min_leaf=2)
+        for name, m in fits.items():
+            want |= {(i, name, r["user_id"]): (r["y"], int(r["prediction"])) for r in m.transform(block).select("user_id", "y", "prediction").collect()}
+    # A fit for each fold in Spark ML took hundreds of jobs.
+    monkeypatch.setattr(T, "learner", lambda *a, **k: pytest.fail("a fit of its own for a fold"))
+    monkeypatch.setattr(EV, "folds_of", lambda *a: df)
+    monkeypatch.setattr(EV, "N_SPLITS", 3)
+    monkeypatch.setattr(P, "FLOW_FEATURES_31", NAMES)
+    monkeypatch.setattr(P, "TARGET", "y")
+    rows = P.out_of_fold(spark, "own rows").collect()
+    got = {(r["fold"], r["model"], r["user_id"]): (r["y"], r["p"]) for r in rows}
+    assert len(rows) == len(got) == 3 * 675 and got.keys() == want.keys()
+    apart = [k for k in got if got[k] != want[k]]
+    assert all(k[1] != "random_forest" for k in apart) and len(apart) <= 4        # Spark ML stops earlier
