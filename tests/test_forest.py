@@ -1,5 +1,7 @@
 """Forests: one tree against a plain recursive one, properties the search uses, Spark fit and search."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -187,15 +189,17 @@ def test_parts_strings_and_files_hold_all_rows_in_order(spark, monkeypatch):
     x, y, _ = FO._ordered(rows.toArrow())
     monkeypatch.setattr(FO, "ROWS_OF_A_PART", 90)
     monkeypatch.setattr(FO, "ROWS_OF_A_STRING", 16)
-    packed, firsts = FO.packed_rows(rows, 1400, 3)
-    table = packed.selectExpr("0 AS group", "part", "start", "n", "y", "x").orderBy("start").toArrow()
+    packed, firsts, n = FO.packed_rows(rows, 1400, 3)
+    strings = packed.orderBy("start").collect()
     packed.unpersist()
-    assert len(firsts) > 10 and max(table["n"].to_pylist()) == 16
+    assert n == 1400 and len(firsts) > 10 and max(r["n"] for r in strings) == 16
     for held in (1 << 20, 100):
         monkeypatch.setattr(FO, "BYTES_IN_MEMORY", held)
-        got_x, got_y, groups = FO.unpacked(table.to_batches(max_chunksize=30), 1400, 3, firsts)
-        assert isinstance(got_x, np.memmap) == (held == 100) and groups == {0}
-        assert np.array_equal(got_x, x) and np.array_equal(got_y, y)
+        got = FO.Rows(n, 3, firsts)
+        for r in strings:
+            got.put(*r)
+        assert isinstance(got.x, np.memmap) == (held == 100)
+        assert np.array_equal(got.x, x) and np.array_equal(got.y, y)
 
 
 def test_rows_in_pieces_and_nodes_in_ranges_grow_the_same_tree(monkeypatch):
@@ -207,3 +211,18 @@ def test_rows_in_pieces_and_nodes_in_ranges_grow_the_same_tree(monkeypatch):
         monkeypatch.setattr(FO, "ROWS_OF_A_PIECE", piece)
         monkeypatch.setattr(FO, "NODES_OF_A_RANGE", nodes)
         assert same_tree(whole, FO.grow(x, y, weight, np.random.default_rng(5), 14, 1, 2, 3))
+
+
+def test_search_grows_the_trees_of_a_large_block_once_and_refits_without_a_model(spark, monkeypatch):
+    df = frame(spark, 500)
+    # In chunks of a quarter of a million test rows every chunk grew all trees again.
+    assert inspect.signature(FO.search_confusions).parameters["test_rows_per_group"].default > 2_500_000
+    train, test = df.where("i < 300"), df.where("i >= 300")
+    setting = {"n_trees": 9, "max_depth": 24, "min_split": 5, "min_leaf": 1, "max_features": 2}
+    pred = FO.fit_forest(train, ["a", "b", "c"], "y", **setting).transform(test)
+    want = {(r["y"], int(r["prediction"])): r["n"] for r in pred.groupBy("y", "prediction").agg(F.count("*").alias("n")).collect()}
+    monkeypatch.setattr(FO, "ROWS_AT_ONCE", 64)
+    for each in (None, 2):
+        got = FO.forest_confusion(train, test, ["a", "b", "c"], "y", **setting, trees_per_group=each)
+        assert {(r["y_true"], r["y_pred"]): r["n"] for r in got.collect()} == want
+    assert FO.forest_confusion(train, test.limit(0), ["a", "b", "c"], "y", **setting).count() == 0
