@@ -94,7 +94,7 @@ def test_folds_of_all_learners_share_passes_and_equal_single_fits(spark, monkeyp
         train, block = df.where(F.coalesce("test_fold", F.lit(0)) < i), df.where(F.col("test_fold") == i)
         weighted = T.with_weights(train, "y", T.class_weights(train, "y"))
         fits = {name: T.learner(name, NAMES, "y", weighted.count()).fit(weighted) for name in ("logistic_regression", "sgd_classifier")}
-        fits["random_forest"] = fit_forest(train, NAMES, "y", n_trees=250, max_depth=12, min_leaf=2)
+        fits["random_forest"] = fit_forest(T.sized(train, train.count()), NAMES, "y", n_trees=250, max_depth=12, min_leaf=2)
         for name, m in fits.items():
             want |= {(i, name, r["user_id"]): (r["y"], int(r["prediction"])) for r in m.transform(block).select("user_id", "y", "prediction").collect()}
     # A fit for each fold in Spark ML took hundreds of jobs.
